@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lexweave.llm import bpe_codec, ledger, piece_count, telephony, url_filter
+from lexweave.llm import bottomk, bpe_codec, ledger, oracles, piece_count, secrets, telephony, url_filter
 from lexweave.llm.common import table
 
 
@@ -19,6 +18,10 @@ def op3_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.word_counts(pages, "html")).drop("score")
 
 
+def op4_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents"))).drop("n_linked")
+
+
 def op5_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -27,14 +30,18 @@ def op6_heap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = ledger.judge(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_telephony, op3_url_words, op5_tree_bpe, op6_heap_counts, op10_rule_ledger)}
+    return {f.__name__: f for f in (op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op9_bottomk_dedup, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return oracles.SQL
