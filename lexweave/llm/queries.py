@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexweave.llm import bottomk, bpe_codec, ledger, oracles, piece_count, secrets, telephony, url_filter
+from lexweave.llm import bottomk, bpe_codec, importance, ledger, mixing, oracles, piece_count, secrets, telephony, url_filter
 from lexweave.llm.common import table
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.describe(telephony.store(table(spark, sf_dir, "documents"))).drop("media")
 
@@ -30,6 +35,21 @@ def op6_heap_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def domain():
+    """The domain of a row of `labels`."""
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
+
+
+#: Weights of the domains in the mixture.
+TARGET = {"clean": 0.92, "toxic": 0.06, "low": 0.02}
+#: Clean tokens in the mixture, as a multiple of those there are.
+HOLD = ("clean", 1.03)
+
+
+def op7_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), domain(), TARGET, hold=HOLD)[0]
+
+
 def op9_bottomk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,7 +60,7 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op9_bottomk_dedup, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op9_bottomk_dedup, op10_rule_ledger)}
 
 
 def oracle_sql() -> dict:

@@ -181,7 +181,7 @@ def read_features(media: list[bytes]) -> list[tuple]:
     """FIELDS of each container. The feature holds measures() of the payload as mu-law, as A-law and as ADPCM blocks."""
     out: list[tuple] = []
     payloads = [from_wav(m) for m in media]
-    for a, b in chunks([p for _, p in payloads], 2 << 20):
+    for a, b in chunks([p for _, p in payloads], 1 << 19):
         part = payloads[a:b]
         joined = np.frombuffer(b"".join(p for _, p in part), dtype=np.uint8)
         starts = np.concatenate(([0], np.cumsum([len(p) for _, p in part])[:-1])).astype(np.int64)
