@@ -231,25 +231,29 @@ def ids_as_array(ids: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.conv(swap(piece(i)), 16, 10).cast("long"))).otherwise(F.array().cast("array<long>"))
 
 
-def digest(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes each row's text: id_col, n_tokens, ids_sha256, decoded_sha256, round_trip (the decoded bytes equal the text's)."""
+def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes and decodes each row's text: id_col, ids, n_tokens, ids_sha256, decoded_sha256, round_trip (the decoded bytes equal the text's)."""
     require(df, id_col, text_col)
     blob = _read(ranks_path)
 
-    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    @F.arrow_udf("ids binary, decoded_sha256 string, round_trip boolean")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = worker_codec(blob, pattern)
         for texts in batches:
-            out = []
+            ids, sha, same = [], [], []
             for t in texts:
-                text = t.as_py() or ""
-                ids = codec.encode(text)
-                back = codec.decode(ids)
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-            n, a, b, same = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.StructArray.from_arrays(
-                [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())],
-                ["n_tokens", "ids_sha256", "decoded_sha256", "round_trip"],
-            )
-
-    return df.select(F.col(id_col), both(text_or_empty(text_col)).alias("_r")).select(id_col, "_r.*")
+                text = (t.as_py() or "").encode()
+                ids.append(codec.encode(text.decode()))
+                back = codec.decode(ids[-1])
+                sha.append(hashlib.sha256(back).hexdigest())
+                same.append(back == text)
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "round_trip"])
+
+    out = df.select(F.col(id_col), both(text_or_empty(text_col)).alias("_r"))
+    ids = F.col("_r.ids")
+    return out.select(id_col, ids, (F.length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "_r.decoded_sha256", "_r.round_trip")
+
+
+def digest(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode_checked() without the ids."""
+    return encode_checked(df, ranks_path, pattern, id_col, text_col).drop("ids")

@@ -47,6 +47,26 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: 64-bit words of the bitmap by which foretold() deals rows; its broadcast is this many rows of 16 bytes at most.
+SLOTS = 1 << 18
+
+
+def foretold(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose id may be among the ids (one column), and rows whose id isn't, which a join need not move.
+
+    A bitmap of fixed size over hashes of the ids tells them apart. With very many ids it tells less, and the first part grows;
+    results stay the same.
+    """
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    slot = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SLOTS))
+    h = F.xxhash64(ids.columns[0])
+    bitmap = ids.select(slot(h).alias("_slot"), bit(h).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    h = F.xxhash64(id_col)
+    marked = df.withColumn("_slot", slot(h)).join(F.broadcast(bitmap), "_slot", "left")
+    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit(h)) != 0, F.lit(False))
+    return tuple(marked.where(x).select(*df.columns) for x in (maybe, ~maybe))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

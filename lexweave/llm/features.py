@@ -49,13 +49,11 @@ def _shapes(data: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarr
     for back in (2, 1):
         same[back:][(words[back:] == words[:-back]) & (doc[back:] == doc[:-back])] = back
     again = np.zeros(len(words), dtype=bool)
-    if len(words) > 1:
-        with np.errstate(over="ignore"):
-            pair = rolling(words, 2) ^ mix(doc[1:].astype(np.uint64) + np.uint64(1))
+    inside = np.flatnonzero(doc[1:] == doc[:-1]) + 1  # words with one before them in the text
+    if len(inside):
+        pair = rolling(words, 2)[inside - 1] ^ mix(doc[inside].astype(np.uint64) + np.uint64(1))
         order = np.argsort(pair, kind="stable")
-        twice = pair[order[1:]] == pair[order[:-1]]
-        again[1:][order[1:][twice]] = True
-        again[starts[1:-1][starts[1:-1] < len(words)]] = False
+        again[inside[order[1:][pair[order[1:]] == pair[order[:-1]]]]] = True
     parts = ((symbols, 2), (upper, 3), (length, 5), (same, 3), (again, 2), (_END[data[end - 1]], 6))
     out = np.zeros(len(words), dtype=np.uint64)
     for value, size in parts:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import checkpoint, require, text_or_empty
+from lexweave.llm.common import checkpoint, foretold, require, text_or_empty
 
 REACH = 200
 
@@ -124,20 +124,20 @@ def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_c
 
     length_col: a column that holds the text's length in code points, set anew where the text changes.
     """
-    found = find(df, id_col, text_col).where(F.size("found") > 0).select(F.col(id_col).alias("_id"), F.col("found").alias("_found"))
-    # the end of all spans before each; a span that starts beyond it opens a mark
-    start = F.struct(F.lit(0).cast("bigint").alias("end"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
-    last = lambda a: F.element_at(a["out"], -1)
-    grown = lambda a, x: F.concat(F.slice(a["out"], 1, F.size(a["out"]) - 1), F.array(F.struct(last(a)["a"].alias("a"), F.greatest(last(a)["b"], x["end"]).alias("b"))))
-    opened = lambda a, x: F.concat(a["out"], F.array(F.struct(x["start"].alias("a"), x["end"].alias("b"))))
-    step = lambda a, x: F.struct(F.greatest(a["end"], x["end"]).alias("end"), F.when((F.size(a["out"]) > 0) & (x["start"] <= a["end"]), grown(a, x)).otherwise(opened(a, x)).alias("out"))
-    merged = F.aggregate("_found", start, step, lambda a: a["out"])
-    marked = found.select("_id", merged.alias("_m"))
+    found = find(df, id_col, text_col).where(F.size("found") > 0).select(F.col(id_col).alias("_id"), F.posexplode("found").alias("at", "x"))
+    # a span opens a mark if it starts beyond all spans before it
+    earlier = Window.partitionBy("_id").orderBy("at")
+    reach = F.max("x.end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    spans = found.select("_id", "at", "x.start", "x.end", F.when(F.col("x.start") <= reach, 0).otherwise(1).alias("opens"))
+    spans = spans.withColumn("mark", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spans = spans.groupBy("_id", "mark").agg(F.min("start").cast("int").alias("a"), F.max("end").cast("int").alias("b"))
+    marked = checkpoint(spans.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_m")))
+    some, others = foretold(df, marked.select("_id"), id_col)
     text = F.col(text_col)
     cut = lambda a, b: F.substring(text, a + 1, b - a)
-    before = F.transform("_m", lambda x, k: F.concat(cut(F.when(k == 0, F.lit(0)).otherwise(F.get("_m", k - 1)["b"]).cast("int"), x["a"].cast("int")), F.lit(mark)))
-    after = F.substring(text, F.element_at("_m", -1)["b"].cast("int") + 1, F.length(text))
+    before = F.transform("_m", lambda x, k: F.concat(cut(F.when(k == 0, F.lit(0)).otherwise(F.get("_m", k - 1)["b"]), x["a"]), F.lit(mark)))
+    after = F.substring(text, F.element_at("_m", -1)["b"] + 1, F.length(text))
     clean = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(before, ""), after)).otherwise(text)
-    out = df.join(marked, F.col(id_col) == F.col("_id"), "left").withColumn("_clean", clean)
+    out = some.join(marked, F.col(id_col) == F.col("_id"), "left").withColumn("_clean", clean)
     columns = [F.col("_clean").alias(c) if c == text_col else F.when(F.col("_m").isNotNull(), F.length("_clean")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
-    return out.select(*columns)
+    return others.unionByName(out.select(*columns))
