@@ -1,11 +1,492 @@
-"""Every registered query of the library and its oracle."""
+"""Every registered query of the library and its oracle in DuckDB's SQL."""
 
 from __future__ import annotations
 
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexweave.functions.text import WS_RE2, normalize, words
+from lexweave.operators import dedup, evaluate, pack, quality, quantize, sampling, schedule, sft, split, tokenizer
+from lexweave.operators.clean import CleanOptions, clean
+from lexweave.plans import corpus
+from lexweave.sources.collect import make_id
+from lexweave.streaming import text_streams
+
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+NO_NFKC = CleanOptions(unicode_nfkc=False)
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return _table(spark, d, "documents").withColumn("pos", F.col("doc_id"))
+
+
+# pieces of SQL
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS_RE2}]+|[{WS_RE2}]+$', '', 'g')"
+
+
+def _norm(x: str) -> str:
+    return f"regexp_replace(lower({_strip(x)}), '[{WS_RE2}]+', ' ', 'g')"
+
+
+def _clean(x: str, html: bool = True, url: str | None = None, least: int = 0) -> str:
+    if html:
+        x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    if url is not None:
+        x = f"regexp_replace({x}, 'https?://[^{WS_RE2}]+|www\\.[^{WS_RE2}]+', '{url}', 'g')"
+    x = f"regexp_replace({x}, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x9f]', '', 'g')"
+    if least:
+        x = f"array_to_string(list_filter(string_split({x}, chr(10)), lambda l: length({_strip('l')}) = 0 OR length({_strip('l')}) >= {least}), chr(10))"
+    x = f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    x = f"array_to_string(list_transform(string_split({x}, chr(10)), lambda l: {_strip('l')}), chr(10))"
+    return _strip(x)
+
+
+# cleaning
+
+
+def _digest(df: DataFrame, key: str, column: str) -> DataFrame:
+    return df.select(key, F.length(column).cast("long").alias("n_chars"), F.sha2(column, 256).alias("sha"))
+
+
+def _clean_sql(table: str, key: str, column: str, **more) -> str:
+    return f"SELECT {key}, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT {key}, {_clean(column, **more)} AS t FROM {table}) WHERE t <> ''"
+
+
+@query(_clean_sql("pages", "page_id", "html"))
+def clean_pages(spark, d):
+    return _digest(clean(_table(spark, d, "pages"), NO_NFKC, "html"), "page_id", "html")
+
+
+@query(_clean_sql("documents", "doc_id", "text"))
+def clean_documents(spark, d):
+    return _digest(clean(_docs(spark, d)), "doc_id", "text")
+
+
+@query(_clean_sql("documents", "doc_id", "text", least=60))
+def clean_min_line(spark, d):
+    return _digest(clean(_docs(spark, d), CleanOptions(unicode_nfkc=False, min_line_length=60)), "doc_id", "text")
+
+
+@query(_clean_sql("pages", "page_id", "html", html=False, url="[URL]"))
+def redact_urls(spark, d):
+    return _digest(clean(_table(spark, d, "pages"), CleanOptions(strip_html=False, unicode_nfkc=False, url_replacement="[URL]"), "html"), "page_id", "html")
+
+
+# quality
+
+METRICS = f"""
+SELECT doc_id, text, CASE WHEN dense > 0 THEN length(regexp_replace(text, '[{WS_RE2}\\p{{L}}0-9]', '', 'g')) / dense END AS symbol_ratio,
+    CASE WHEN dense > 0 THEN length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / dense END AS alpha_ratio,
+    CASE WHEN len(l) > 0 THEN CAST(1.0 AS DOUBLE) - len(list_distinct(l)) / len(l) END AS repetition, length(text) AS n_chars, n_words
+FROM (SELECT doc_id, text, length(regexp_replace(text, '[{WS_RE2}]', '', 'g')) AS dense, len(regexp_extract_all(text, '[^{WS_RE2}]+')) AS n_words,
+    list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip("x")}), lambda x: x <> '') AS l FROM documents)
+"""
+REASONS = """list_filter([CASE WHEN n_chars < 50 THEN 'too_short' END, CASE WHEN n_chars > 20000 THEN 'too_long' END, CASE WHEN n_words < 10 THEN 'too_few_words' END,
+    CASE WHEN symbol_ratio > 0.3 THEN 'too_many_symbols' END, CASE WHEN alpha_ratio < 0.5 THEN 'too_few_alpha_chars' END, CASE WHEN repetition > 0.5 THEN 'too_repetitive' END], lambda x: x IS NOT NULL)"""
+LIMITS = quality.QualityOptions(max_chars=20_000)
+
+
+@query(f"SELECT doc_id, n_chars, n_words, symbol_ratio, alpha_ratio, repetition FROM ({METRICS})")
+def quality_metrics(spark, d):
+    return quality.with_metrics(_docs(spark, d)).select("doc_id", F.col("n_chars").cast("long"), F.col("n_words").cast("long"), "symbol_ratio", "alpha_ratio", "repetition")
+
+
+@query(f"SELECT doc_id, array_to_string({REASONS}, ',') AS reasons, len({REASONS}) = 0 AS passed FROM ({METRICS})")
+def quality_verdict(spark, d):
+    return quality.verdict(_docs(spark, d), LIMITS).select("doc_id", F.array_join("reasons", ",").alias("reasons"), "passed")
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM ({METRICS}) WHERE len({REASONS}) = 0)")
+def quality_kept(spark, d):
+    return quality.route(_docs(spark, d), LIMITS)[0].select("doc_id", "lang")
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT unnest({REASONS}) AS reason FROM ({METRICS})) GROUP BY reason")
+def reject_histogram(spark, d):
+    return quality.route(_docs(spark, d), LIMITS)[1].select(F.explode("_reject_reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+# deduplication
+
+FIRST = f"SELECT min(doc_id) FROM documents GROUP BY sha256({_norm('text')})"
+
+
+@query(f"SELECT doc_id, lang FROM documents WHERE doc_id IN ({FIRST})")
+def exact_dedup(spark, d):
+    return dedup.exact_dedup(_docs(spark, d)).select("doc_id", "lang")
+
+
+@query(f"SELECT sha256({_norm('text')}) AS hash, min(doc_id) AS first_pos, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def dup_clusters(spark, d):
+    return dedup.duplicate_clusters(_docs(spark, d))
+
+
+_SETS = f"""
+w AS (SELECT doc_id, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS words FROM (SELECT doc_id, {_norm("text")} AS t FROM documents)),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS u(i) WHERE len(words) >= 5
+    UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, k / (x.n + y.n - k) AS similarity FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k / (x.n + y.n - k) >= 0.8)
+"""
+
+
+@query(f"WITH {_SETS} SELECT w.doc_id, coalesce(n, 0) AS n_shingles FROM w LEFT JOIN n ON w.doc_id = n.doc_id")
+def shingle_stats(spark, d):
+    sets = dedup.shingle_sets(_docs(spark, d), "text", "pos", 5)
+    return sets.select(F.col("pos").alias("doc_id"), F.size("set").cast("long").alias("n_shingles"))
+
+
+@query(f"WITH {_SETS} SELECT a, b, similarity FROM l")
+def jaccard_pairs(spark, d):
+    return dedup.similar_pairs(_docs(spark, d)).select("a", "b", "similarity")
+
+
+@query(f"""WITH RECURSIVE {_SETS}, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS c FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.c = e.a), m AS (SELECT a, min(c) AS least FROM r GROUP BY a)
+SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT a FROM m WHERE a <> least)""")
+def near_dedup(spark, d):
+    """Where components are cliques, as in these tables, the walk keeps the least position of each."""
+    return dedup.near_dedup(_docs(spark, d)).select("doc_id", "lang")
+
+
+# ids and splits
+
+
+@query("SELECT doc_id, regexp_extract(source, '([^/]*)$', 1) || '-' || printf('%08d', doc_id) || '-' || substr(sha256(text), 1, 16) AS id FROM documents")
+def make_ids(spark, d):
+    return _docs(spark, d).select("doc_id", make_id(F.col("source"), F.col("pos"), F.col("text")).alias("id"))
+
+
+_SPLIT = """SELECT doc_id, CASE WHEN r < round_even(n * 0.8, 0) THEN 'train' WHEN r < round_even(n * 0.8, 0) + round_even(n * 0.1, 0) THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT doc_id, row_number() OVER (ORDER BY substr(md5('7-' || doc_id), 1, 12), doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)"""
+
+
+@query(_SPLIT)
+def split_assign(spark, d):
+    return split.split(_docs(spark, d), 0.8, 0.1, 0.1, seed=7).select("doc_id", "split")
+
+
+@query(f"SELECT split, count(*) AS n FROM ({_SPLIT}) GROUP BY split")
+def split_counts(spark, d):
+    return split.split(_docs(spark, d), 0.8, 0.1, 0.1, seed=7).groupBy("split").agg(F.count("*").alias("n"))
+
+
+# tokens; hashed words stand for ids where an oracle is to follow
+
+
+def _word_ids(spark, d) -> DataFrame:
+    ids = F.transform(words(normalize(F.col("text"))), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"))
+    return _docs(spark, d).select("doc_id", "pos", "lang", "text", ids.alias("tokens"))
+
+
+_IDS = f"SELECT doc_id, lang, text, CASE WHEN t = '' THEN [] ELSE list_transform(string_split(t, ' '), lambda w: CAST('0x' || substr(md5(w), 1, 6) AS INTEGER)) END AS tokens FROM (SELECT *, {_norm('text')} AS t FROM documents)"
+_FLAT = f"SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS place, tok FROM (SELECT doc_id, i, tokens[i] AS tok FROM ({_IDS}), unnest(range(1, len(tokens) + 1)) AS u(i))"
+
+
+@query()
+def pretoken_counts(spark, d):
+    """RE2 has no look-ahead; tests compare with the tokenizer library."""
+    return tokenizer.pretoken_counts(_docs(spark, d))
+
+
+@query()
+def encode_lengths(spark, d):
+    """Documents encoded by a tokenizer trained on them."""
+    docs = _docs(spark, d)
+    spec = tokenizer.train(docs, 2000)
+    tokens = docs.select("doc_id", "text", tokenizer.encode(F.col("text"), spec, bos=True, eos=True).alias("ids"))
+    return tokens.select("doc_id", F.size("ids").alias("n_tokens"), (tokenizer.decode(F.col("ids"), spec) == F.col("text")).alias("round_trip"))
+
+
+@query(f"SELECT doc_id, n AS n_tokens, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS \"offset\" FROM (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n FROM ({_IDS}))")
+def pack_offsets(spark, d):
+    return pack.offsets(_word_ids(spark, d)).select("doc_id", "n_tokens", "offset")
+
+
+@query(f"SELECT printf('shard_%05d.bin', k) AS file, CAST(least(50000, total - k * 50000) AS BIGINT) AS num_tokens, k * 50000 AS start_offset FROM (SELECT CAST(sum(len(tokens)) AS BIGINT) AS total FROM ({_IDS})), unnest(range(0, CAST(ceil(total / 50000) AS BIGINT))) AS u(k)")
+def shard_manifest(spark, d):
+    return pack.manifest(_word_ids(spark, d), 50_000)
+
+
+def _ids_sha(column: str):
+    return F.sha2(F.array_join(F.transform(column, lambda x: x.cast("string")), ","), 256).alias("sha")
+
+
+@query(f"SELECT CAST(place // 50000 AS BIGINT) AS shard, min(place) AS start_offset, count(*) AS n, sha256(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY place)) AS sha FROM ({_FLAT}) GROUP BY 1")
+def shards(spark, d):
+    return pack.shards(_word_ids(spark, d), 50_000).select("shard", "start_offset", F.size("tokens").cast("long").alias("n"), _ids_sha("tokens"))
+
+
+def _blocks_sql(size: int, stride: int) -> str:
+    return f"""WITH f AS ({_FLAT}), c AS (SELECT (count(*) - {size}) // {stride} + 1 AS n FROM f)
+    SELECT CAST(k AS BIGINT) AS block, CAST(k * {stride} AS BIGINT) AS start_offset, sha256(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY place)) AS sha
+    FROM (SELECT place, tok, unnest(range(greatest(0, (place - {size} + {stride}) // {stride} - 1), place // {stride} + 1)) AS k FROM f), c
+    WHERE k < n AND place >= k * {stride} AND place < k * {stride} + {size} GROUP BY k"""
+
+
+@query(_blocks_sql(2048, 2048))
+def blocks(spark, d):
+    return pack.blocks(_word_ids(spark, d), 2048).select("block", "start_offset", _ids_sha("input_ids"))
+
+
+@query(_blocks_sql(512, 300))
+def blocks_strided(spark, d):
+    return pack.blocks(_word_ids(spark, d), 512, 300).select("block", "start_offset", _ids_sha("input_ids"))
+
+
+# chat and instruction data
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) ORDER BY turn) || chr(10) || 'Assistant:' AS prompt FROM conversations GROUP BY conv_id")
+def chat_transcript(spark, d):
+    return sft.chat_transcripts(_table(spark, d, "conversations"))
+
+
+_PAIRS = f"""SELECT conv_id, turn, text AS prompt, response FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response FROM conversations)
+WHERE role = 'user' AND next_role = 'assistant' AND {_strip("text")} <> '' AND {_strip("response")} <> ''"""
+
+
+@query(_PAIRS)
+def sft_pairs(spark, d):
+    return sft.sft_pairs(_table(spark, d, "conversations"))
+
+
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '### Instruction:' || chr(10) || {_strip("prompt")} || chr(10) || chr(10) || '### Response:' || chr(10)
+ELSE '### Instruction:' || chr(10) || {_strip("prompt")} || chr(10) || chr(10) || '### Input:' || chr(10) || 'turn ' || turn || chr(10) || chr(10) || '### Response:' || chr(10) END AS filled FROM ({_PAIRS})""")
+def instruction_prompts(spark, d):
+    given = F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" turn "), F.col("turn").cast("string")))
+    return sft.sft_pairs(_table(spark, d, "conversations")).select("conv_id", "turn", sft.instruction_prompt(F.col("prompt"), given).alias("filled"))
+
+
+def _fake_ids(column: str):
+    return F.transform(F.split(column, " "), lambda w: F.length(w))
+
+
+def _sft_rows(spark, d) -> DataFrame:
+    pairs = sft.sft_pairs(_table(spark, d, "conversations")).select("conv_id", "turn", _fake_ids("prompt").alias("p"), _fake_ids("response").alias("r"))
+    return pairs.select("conv_id", "turn", *(c.alias(n) for n, c in sft.sft_example(F.col("p"), F.col("r"), 1, 2, 64).items())).where("input_ids IS NOT NULL")
+
+
+_SFT = f"""SELECT conv_id, turn, list_concat([1], p, r, [2])[1:64] AS ids, list_concat(list_transform(range(0, len(p) + 1), lambda x: -100), r, [2])[1:64] AS labels FROM (SELECT conv_id, turn,
+list_transform(string_split(prompt, ' '), lambda w: length(w)) AS p, list_transform(string_split(response, ' '), lambda w: length(w)) AS r FROM ({_PAIRS})) WHERE len(p) + 1 < 64"""
+
+
+@query(f"SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n, CAST(len(list_filter(labels, lambda x: x = -100)) AS BIGINT) AS n_masked, CAST(list_sum(ids) AS BIGINT) AS total, CAST(list_sum(labels) AS BIGINT) AS label_total FROM ({_SFT})")
+def sft_mask_lengths(spark, d):
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    masked = F.size(F.filter("labels", lambda x: x == sft.IGNORE)).cast("long")
+    return _sft_rows(spark, d).select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), masked.alias("n_masked"), total("input_ids").alias("total"), total("labels").alias("label_total"))
+
+
+@query(f"""SELECT conv_id, turn, batch_id, CAST(m AS BIGINT) AS padded, CAST(len(ids) AS BIGINT) AS real, CAST(list_sum(ids) AS BIGINT) AS total, CAST(list_sum(labels) - 100 * (m - len(ids)) AS BIGINT) AS label_total FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS m
+FROM (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id FROM ({_SFT})))""")
+def pad_batches(spark, d):
+    rows = _sft_rows(spark, d).withColumn("pos", F.col("conv_id") * 1000 + F.col("turn"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return sft.pad_batches(rows, 8).select("conv_id", "turn", "batch_id", F.size("input_ids").cast("long").alias("padded"), total("attention_mask").alias("real"), total("input_ids").alias("total"), total("labels").alias("label_total"))
+
+
+# logits and metrics; the coordinates of vectors stand for logits
+
+
+def _logits(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "x")).select("row_id", F.col("token_id").cast("long"), (F.col("x").cast("double") * 10).alias("logit"))
+
+
+_LOGITS = "SELECT vec_id AS row_id, CAST(i - 1 AS BIGINT) AS token_id, CAST(embedding[i] AS DOUBLE) * 10 AS logit FROM embeddings, unnest(range(1, 65)) AS u(i)"
+
+
+@query(f"SELECT row_id, token_id, logit FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY logit DESC) AS r FROM ({_LOGITS})) WHERE r <= 5")
+def top_k(spark, d):
+    return sampling.top_k(_logits(spark, d), 5)
+
+
+@query(f"""SELECT row_id, token_id FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY row_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS q FROM
+(SELECT *, exp(logit - max(logit) OVER (PARTITION BY row_id)) AS e FROM ({_LOGITS})))) WHERE b <= 0.9""")
+def top_p(spark, d):
+    return sampling.top_p(_logits(spark, d), 0.9).select("row_id", "token_id")
+
+
+@query(f"SELECT row_id, token_id, CASE WHEN token_id % 7 <> row_id % 7 THEN logit WHEN logit > 0 THEN logit / 1.5 ELSE logit * 1.5 END AS logit FROM ({_LOGITS})")
+def repetition_penalty(spark, d):
+    logits = _logits(spark, d)
+    seen = logits.where("token_id % 7 = row_id % 7").select("row_id", "token_id")
+    return sampling.repetition_penalty(logits, seen.union(seen), 1.5)
+
+
+@query(f"SELECT row_id, token_id, logit / 0.7 AS logit FROM ({_LOGITS})")
+def temperature(spark, d):
+    return sampling.temperature(_logits(spark, d), 0.7)
+
+
+@query(f"SELECT row_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY logit DESC, token_id) AS r FROM ({_LOGITS})) WHERE r = 1")
+def greedy_tokens(spark, d):
+    return sampling.greedy(_logits(spark, d))
+
+
+@query()
+def sampled_tokens(spark, d):
+    """Draws depend on Spark's hash; tests check their frequencies."""
+    return sampling.sample(_logits(spark, d), t=0.8, k=20, p=0.95, seed=3)
+
+
+@query(f"SELECT row_id, round(ln(sum(exp(logit - m))) + max(m) - max(CASE WHEN token_id = label THEN logit END), 9) AS loss FROM (SELECT l.*, max(logit) OVER (PARTITION BY row_id) AS m, label % 64 AS label FROM ({_LOGITS}) l JOIN embeddings ON vec_id = row_id WHERE label % 5 <> 0) GROUP BY row_id")
+def token_losses(spark, d):
+    labels = _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.when(F.col("label") % 5 == 0, sft.IGNORE).otherwise(F.col("label") % 64).alias("label"))
+    return evaluate.token_losses(_logits(spark, d), labels).select("row_id", F.round("loss", 9).alias("loss"))
+
+
+_CHOICES = f"SELECT row_id AS item_id, token_id // 16 AS choice, avg(logit) AS score FROM ({_LOGITS}) GROUP BY 1, 2"
+
+
+@query(f"SELECT count(*) AS n_items, CAST(sum(CAST(predicted = answer AS INT)) AS BIGINT) AS n_correct, avg(CAST(predicted = answer AS INT)) AS accuracy FROM (SELECT item_id, choice AS predicted, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, choice) AS r FROM ({_CHOICES})) JOIN (SELECT vec_id, label % 4 AS answer FROM embeddings) ON vec_id = item_id WHERE r = 1")
+def choice_accuracy(spark, d):
+    scored = _logits(spark, d).select(F.col("row_id").alias("item_id"), F.floor(F.col("token_id") / 16).alias("choice"), F.col("logit").alias("logprob"))
+    answers = _table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), (F.col("label") % 4).alias("answer_index"))
+    scores = evaluate.choice_scores(scored).withColumn("score", F.round("score", 9))
+    return evaluate.accuracy(evaluate.choose(scores), answers)
+
+
+@query("SELECT round(l, 9) AS loss, n AS n_tokens, round(exp(least(l, 20)), 6) AS perplexity FROM (SELECT sum(loss * n_tokens) / sum(n_tokens) AS l, CAST(sum(n_tokens) AS BIGINT) AS n FROM (SELECT doc_id // 32 AS b, avg(n_chars) / 1000 AS loss, count(*) FILTER (WHERE doc_id % 3 > 0) AS n_tokens FROM documents GROUP BY 1))")
+def corpus_perplexity(spark, d):
+    batches = _docs(spark, d).groupBy(F.floor(F.col("doc_id") / 32).alias("batch_id")).agg((F.avg("n_chars") / 1000).alias("loss"), F.count_if(F.col("doc_id") % 3 > 0).alias("n_tokens"))
+    return evaluate.corpus_perplexity(batches).select(F.round("loss", 9).alias("loss"), "n_tokens", F.round("perplexity", 6).alias("perplexity"))
+
+
+@query(f"SELECT lang, round(log2(8.0) * sum(len(tokens)) / sum(strlen(text)), 9) AS bpb FROM ({_IDS}) GROUP BY lang")
+def bits_per_byte(spark, d):
+    sums = _word_ids(spark, d).groupBy("lang").agg((F.sum(F.size("tokens")) / F.sum(F.octet_length("text"))).alias("ratio"))
+    return sums.select("lang", F.round(evaluate.bits_per_byte_column(F.lit(8.0), F.col("ratio")), 9).alias("bpb"))
+
+
+# weights
+
+_SCALE = "greatest(list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)))), 1e-8) / 127.0"
+_CODES = "list_transform(embedding, lambda x: CAST(greatest(-128, least(127, round_even(CAST(x AS DOUBLE) / scale, 0))) AS INTEGER))"
+
+
+@query(f"SELECT vec_id, scale, array_to_string({_CODES}, ',') AS codes FROM (SELECT *, CAST({_SCALE} AS DOUBLE) AS scale FROM embeddings)")
+def quantize_rows(spark, d):
+    rows = _table(spark, d, "embeddings").withColumn("scale", quantize.scale(F.col("embedding")))
+    return rows.select("vec_id", "scale", F.array_join(F.transform(quantize.quantize(F.col("embedding"), F.col("scale")), lambda x: x.cast("string")), ",").alias("codes"))
+
+
+@query(f"SELECT vec_id, round(list_max(list_transform(range(1, 65), lambda i: abs(codes[i] * scale - CAST(embedding[i] AS DOUBLE)))), 9) AS worst FROM (SELECT *, {_CODES} AS codes FROM (SELECT *, CAST({_SCALE} AS DOUBLE) AS scale FROM embeddings))")
+def dequantize_error(spark, d):
+    rows = _table(spark, d, "embeddings").withColumn("scale", quantize.scale(F.col("embedding"))).withColumn("back", quantize.dequantize(quantize.quantize(F.col("embedding"), F.col("scale")), F.col("scale")))
+    worst = F.array_max(F.zip_with("back", "embedding", lambda a, b: F.abs(a - b.cast("double"))))
+    return rows.select("vec_id", F.round(worst, 9).alias("worst"))
+
+
+@query("SELECT CAST(sum(len(embedding)) * 4 AS BIGINT) AS bytes FROM embeddings")
+def model_size(spark, d):
+    return quantize.size_bytes(_table(spark, d, "embeddings"), "embedding", 4)
+
+
+@query("SELECT sha256(string_agg(key || ':' || sha256(key || '!'), chr(10) ORDER BY key)) AS checksum FROM (SELECT CAST(vec_id AS VARCHAR) AS key FROM embeddings)")
+def weight_checksum(spark, d):
+    key = F.col("vec_id").cast("string")
+    return quantize.checksum(_table(spark, d, "embeddings").select(key.alias("key"), F.concat(key, F.lit("!")).cast("binary").alias("bytes")))
+
+
+@query("SELECT CAST(109529856 AS BIGINT) AS n_params")
+def parameter_count(spark, d):
+    return quantize.parameter_count(quantize.parameter_catalogue(spark))
+
+
+@query("SELECT * FROM (VALUES (0.0, 24 + 1), (0.1, 12 * 7 + 1)) AS t(weight_decay, n)".replace("0.0,", "CAST(0.0 AS DOUBLE),").replace("0.1,", "CAST(0.1 AS DOUBLE),"))
+def optimizer_groups(spark, d):
+    return quantize.optimizer_groups(quantize.parameter_catalogue(spark), 0.1).groupBy("weight_decay").agg(F.count("*").cast("int").alias("n"))
+
+
+# schedules and checkpoints
+
+
+@query("SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900))) END, 9) AS lr FROM unnest(range(0, 1000)) AS u(s)")
+def lr_schedule(spark, d):
+    return schedule.schedule(spark, 100, 1000).select("step", F.round("lr", 9).alias("lr"))
+
+
+def _checkpoints(spark, d) -> DataFrame:
+    name = F.when(F.col("event_id") % 11 == 0, "notes.txt").otherwise(F.format_string("checkpoint_step%d.pt", "event_id"))
+    return _table(spark, d, "events").select(F.col("user_id").alias("run"), F.concat(F.lit("ckpt/"), name).alias("path"))
+
+
+_CKPT = "SELECT user_id AS run, event_id AS step, 'ckpt/checkpoint_step' || event_id || '.pt' AS path FROM events WHERE event_id % 11 <> 0"
+
+
+@query(f"SELECT run, step, path FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS r FROM ({_CKPT})) WHERE r > 3")
+def checkpoints_to_prune(spark, d):
+    return schedule.to_prune(_checkpoints(spark, d), 3).select("run", "step", "path")
+
+
+@query(f"SELECT run, max(step) AS step, 'ckpt/checkpoint_step' || max(step) || '.pt' AS path FROM ({_CKPT}) GROUP BY run")
+def latest_checkpoints(spark, d):
+    return schedule.latest(_checkpoints(spark, d))
+
+
+# streams and the whole plan
+
+
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_counts(spark, d):
+    """A stream over the events' files, read to its end into memory."""
+    schema = _table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = text_streams.windowed_counts(stream, "ts", "event_type", "1 hour", "10 minutes")
+    name = "streamed_counts_out"
+    run = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+_FUNNEL = f"""WITH c AS (SELECT doc_id, lang, {_clean("text")} AS text FROM documents), k AS (SELECT * FROM c WHERE text <> ''),
+q AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM ({METRICS.replace("FROM documents", "FROM k")}) WHERE len({REASONS}) = 0)),
+f AS (SELECT * FROM q WHERE doc_id IN (SELECT min(doc_id) FROM q GROUP BY sha256({_norm("text")})))
+SELECT lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM f GROUP BY lang"""
+
+
+@query(_FUNNEL)
+def pipeline_funnel(spark, d):
+    config = corpus.CorpusConfig(clean=NO_NFKC, filter=LIMITS, deduplicate=corpus.DedupOptions(run_near_dedup=False))
+    out = corpus.prepare(_docs(spark, d), config, ("clean", "filter", "deduplicate"))
+    return out.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query(_SPLIT.replace("0.8", "0.9").replace("0.1,", "0.05,").replace("'7-'", "'42-'").replace("FROM documents", f"FROM (SELECT doc_id FROM documents WHERE doc_id IN ({FIRST}))"))
+def prepared_splits(spark, d):
+    config = corpus.CorpusConfig(deduplicate=corpus.DedupOptions(run_near_dedup=False), split=corpus.SplitOptions(0.9, 0.05, 0.05))
+    return corpus.prepare(_docs(spark, d), config, ("deduplicate", "split")).select("doc_id", "split")
+
+
