@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.once import once
 from lexweave.functions.text import WS, lines, literal_replacement, nfkc, strip
 
 
@@ -48,4 +49,4 @@ def clean(df: DataFrame, o: CleanOptions = CleanOptions(), text_col: str = "text
     """Texts cleaned; rows whose text is null or ends empty are dropped, other columns stay."""
     if text_col not in df.columns:
         raise KeyError(text_col)
-    return df.withColumn(text_col, clean_text(F.col(text_col), o)).where(F.col(text_col) != "")
+    return once(df, {text_col: clean_text(F.col(text_col), o)}).where(F.col(text_col) != "")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.once import once
 from lexweave.functions.text import jaccard, normalize, shingles, words
 
 
@@ -35,8 +36,9 @@ def duplicate_clusters(df: DataFrame, text_col: str = "text", order_col: str = "
 
 def shingle_sets(df: DataFrame, text_col: str, order_col: str, shingle_size: int) -> DataFrame:
     """pos and the shingle set of each row. The words are a column of their own, so that no run of them splits the text again."""
-    listed = df.select(F.col(order_col).alias("pos"), words(normalize(F.coalesce(F.col(text_col), F.lit("")))).alias("_words"))
-    return listed.select("pos", shingles(F.col("_words"), shingle_size).alias("set"))
+    text = normalize(F.coalesce(F.col(text_col), F.lit("")))
+    listed = once(once(df.select(F.col(order_col).alias("pos"), F.col(text_col)), {"_text": text}), {"_words": words(F.col("_text"))})
+    return once(listed.select("pos", "_words"), {"set": shingles(F.col("_words"), shingle_size)}).select("pos", "set")
 
 
 def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int, num_perm: int, hash: str = "xxhash64") -> DataFrame:

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.once import once
 from lexweave.functions.text import WS, lines, strip
 
 
@@ -47,7 +48,7 @@ def with_metrics(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the measurements, evaluated once."""
     if text_col not in df.columns:
         raise KeyError(text_col)
-    return df.withColumns(metrics(F.col(text_col)))
+    return once(df, metrics(F.col(text_col)))
 
 
 def checks(o: QualityOptions = QualityOptions()) -> dict[str, Column]:
