@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,7 +78,13 @@ def require(df: DataFrame, *columns: str) -> None:
         raise KeyError(f"missing columns: {missing}; there are {df.columns}")
 
 
-def chunks(texts: Iterable[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def encoded(texts: pa.Array, rows: int = 512) -> Iterator[tuple[int, list[bytes]]]:
+    """Parts of a column of texts, from which row on and as bytes; few rows are Python objects at a time. Nulls are empty."""
+    for at in range(0, len(texts), rows):
+        yield at, [b"" if t is None else t for t in texts.slice(at, rows).cast(pa.binary()).to_pylist()]
+
+
+def chunks(texts: Iterable[bytes], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about `most` bytes together; one longer text stands alone."""
     start, held, k = 0, 0, -1
     for k, t in enumerate(texts):

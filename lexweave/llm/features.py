@@ -65,7 +65,7 @@ def _view(grams: np.ndarray, view: str) -> np.ndarray:
     return (grams % np.uint64(BUCKETS[view])).astype(np.int64) + STARTS[view]
 
 
-def batches(texts: list[bytes], views: tuple[str, ...] = ("words", "shapes"), most: int = 1 << 20):
+def batches(texts: list[bytes], views: tuple[str, ...] = ("words", "shapes"), most: int = 1 << 19):
     """(range of texts, {view: (buckets in the order of the texts, where each text's begin)}, words of each text), a bounded number of bytes at a time."""
     for a, b in chunks(texts, most):
         part = texts[a:b]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, require, text_or_empty
+from lexweave.llm.common import checkpoint, encoded, require, text_or_empty
 from lexweave.llm.features import BUCKETS, STARTS, TOTAL, batches, sums
 
 SAMPLE = 20_000
@@ -43,10 +43,11 @@ def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         raw, target = np.zeros(TOTAL, dtype=np.int64), np.zeros(TOTAL, dtype=np.int64)
         for table in tables:
             good = np.array([x == 1 for x in table.column("label").to_pylist()], dtype=bool)
-            for (a, b), views, _ in batches([t.encode() for t in table.column("text").to_pylist()], VIEWS):
-                for at, starts in views.values():
-                    raw += np.bincount(at, minlength=TOTAL)
-                    target += np.bincount(at[np.repeat(good[a:b], np.diff(starts))], minlength=TOTAL)
+            for first, texts in encoded(table.column("text")):
+                for (a, b), views, _ in batches(texts, VIEWS):
+                    for at, starts in views.values():
+                        raw += np.bincount(at, minlength=TOTAL)
+                        target += np.bincount(at[np.repeat(good[first + a : first + b], np.diff(starts))], minlength=TOTAL)
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
@@ -76,9 +77,10 @@ def weigher(ratio: np.ndarray):
     def weigh(texts: pa.Array) -> pa.Array:
         table = np.frombuffer(blob, dtype=np.float32).astype(np.float64)
         out = np.zeros(len(texts))
-        for (a, b), views, _ in batches([t.as_py().encode() for t in texts], VIEWS):
-            for at, starts in views.values():
-                out[a:b] += sums(table[at], starts)
+        for first, part in encoded(texts):
+            for (a, b), views, _ in batches(part, VIEWS):
+                for at, starts in views.values():
+                    out[first + a : first + b] += sums(table[at], starts)
         return pa.array(np.round(out, 6))
 
     return weigh

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, require, text_or_empty
+from lexweave.llm.common import checkpoint, encoded, require, text_or_empty
 from lexweave.llm.features import TOTAL, batches
 
 SAMPLE = 6000
@@ -107,9 +107,10 @@ def train(docs: DataFrame, sample: DataFrame, domains: list[str]) -> Classifier:
         total = np.zeros((len(domains), TOTAL), dtype=np.int64)
         for table in tables:
             y = np.array(table.column("y").to_pylist())
-            for (a, b), row, at, _ in _present([t.encode() for t in table.column("text").to_pylist()]):
-                for d in range(len(domains)):
-                    total[d] += np.bincount(at[y[a:b][row] == d], minlength=TOTAL)
+            for first, texts in encoded(table.column("text")):
+                for (a, b), row, at, _ in _present(texts):
+                    for d in range(len(domains)):
+                        total[d] += np.bincount(at[y[first + a : first + b][row] == d], minlength=TOTAL)
         d, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(at), pa.array(total[d, at])], ["d", "at", "n"])
 
@@ -128,11 +129,12 @@ def train(docs: DataFrame, sample: DataFrame, domains: list[str]) -> Classifier:
     def bits(tables):
         for table in tables:
             out = [None] * table.num_rows
-            for (a, b), row, at, _ in _present([t.encode() for t in table.column("text").to_pylist()], known):
-                grid = np.zeros((b - a, len(known)), dtype=np.uint8)
-                grid[row, at] = 1
-                for k in range(b - a):
-                    out[a + k] = np.packbits(grid[k]).tobytes()
+            for first, texts in encoded(table.column("text")):
+                for (a, b), row, at, _ in _present(texts, known):
+                    grid = np.zeros((b - a, len(known)), dtype=np.uint8)
+                    grid[row, at] = 1
+                    for k in range(b - a):
+                        out[first + a + k] = np.packbits(grid[k]).tobytes()
             yield pa.RecordBatch.from_arrays([table.column("y"), pa.array(out, pa.binary())], ["y", "x"])
 
     got = rows.mapInArrow(bits, "y int, x binary").collect()
@@ -147,7 +149,9 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 
     @F.arrow_udf("n_tokens long, p array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        p, n = Classifier(known, weights).posteriors([t.as_py().encode() for t in texts])
+        model = Classifier(known, weights)
+        parts = [model.posteriors(part) for _, part in encoded(texts)] or [(np.zeros((0, weights.shape[1]), dtype=np.int64), np.zeros(0, dtype=np.int64))]
+        p, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         return pa.StructArray.from_arrays([pa.array(n), pa.array(p.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["n_tokens", "p"])
 
     return docs.withColumn("_r", run("text")).select(*docs.columns, "_r.n_tokens", "_r.p")
