@@ -16,7 +16,6 @@ Null and empty texts have no tokens; the decoded bytes are then empty. Any text
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -26,13 +25,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from lexweave.llm.common import require, text_or_empty
+from lexweave.llm.common import encoded, require, text_or_empty
 
 #: Halves of up to this many bytes are merged directly.
 LEAF = 8
 #: Ids that one leaf of the decoding tree joins.
 DECODE_LEAF = 1 << 16
+#: Rows that are encoded before they are handed on.
+OUT_ROWS = 256
 _GAP = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?= \S)")
 
@@ -63,9 +65,9 @@ class Memo(dict):
 
 
 class TreeCodec:
-    """Encodes and decodes by tree reduction. memo: entries kept of each table, which bounds a worker's memory."""
+    """Encodes and decodes by tree reduction. One serves a task and goes with it, so that idle workers hold nothing. memo: entries kept of each table, which bounds a worker's memory."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 600_000, leaf: int = LEAF):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = 120_000, leaf: int = LEAF):
         self.ranks, self.leaf = ranks, leaf
         self.find = regex.compile(pattern).findall
         self.table: list[bytes] = [b""] * (max(ranks.values()) + 1)
@@ -181,12 +183,6 @@ class TreeCodec:
         return self._concat(ids[:half]) + self._concat(ids[half:])
 
 
-@functools.lru_cache(maxsize=2)
-def worker_codec(blob: bytes, pattern: str) -> TreeCodec:
-    """One codec for all tasks of a worker process, so that what it has computed is used again."""
-    return TreeCodec(load_ranks(blob), pattern)
-
-
 def _read(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -198,13 +194,13 @@ def codec_udfs(ranks_path: str, pattern: str):
 
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = worker_codec(blob, pattern)
+        codec = TreeCodec(load_ranks(blob), pattern)
         for texts in batches:
             yield pa.array([codec.encode(t.as_py() or "") for t in texts], pa.binary())
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = worker_codec(blob, pattern)
+        codec = TreeCodec(load_ranks(blob), pattern)
         for ids in batches:
             yield pa.array([codec.decode(x.as_py() or b"") for x in ids], pa.binary())
 
@@ -236,22 +232,22 @@ def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     require(df, id_col, text_col)
     blob = _read(ranks_path)
 
-    @F.arrow_udf("ids binary, decoded_sha256 string, round_trip boolean")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = worker_codec(blob, pattern)
-        for texts in batches:
-            ids, sha, same = [], [], []
-            for t in texts:
-                text = (t.as_py() or "").encode()
-                ids.append(codec.encode(text.decode()))
-                back = codec.decode(ids[-1])
-                sha.append(hashlib.sha256(back).hexdigest())
-                same.append(back == text)
-            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())], ["ids", "decoded_sha256", "round_trip"])
-
-    out = df.select(F.col(id_col), both(text_or_empty(text_col)).alias("_r"))
-    ids = F.col("_r.ids")
-    return out.select(id_col, ids, (F.length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), "_r.decoded_sha256", "_r.round_trip")
+    schema = StructType([StructField(id_col, df.schema[id_col].dataType), *StructType.fromDDL("ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean")])
+    names = schema.names[1:]
+
+    def both(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = TreeCodec(load_ranks(blob), pattern)
+        for table in tables:
+            for at, texts in encoded(table.column(1), OUT_ROWS):
+                rows = []
+                for text in texts:
+                    ids = codec.encode(text.decode())
+                    back = codec.decode(ids)
+                    rows.append((ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == text))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([table.column(0).slice(at, len(texts)), *columns], [id_col, *names])
+
+    return df.select(F.col(id_col), text_or_empty(text_col).alias("_text")).mapInArrow(both, schema)
 
 
 def digest(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
