@@ -1 +0,0 @@
-"""Operators for large training-data pipelines; nothing else in the library imports this subpackage."""

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, encoded, require, text_or_empty
+from lexweave.llm.common import checkpoint, encoded, kth_largest, require, text_or_empty
 from lexweave.llm.features import BUCKETS, STARTS, TOTAL, batches, sums
 
 SAMPLE = 20_000
@@ -26,8 +26,6 @@ VIEWS = ("words", "shapes")
 #: Counts that a bucket's ratio is drawn towards 1 by.
 PRIOR = 200.0
 SEED = 17
-#: Buckets of one pass of the search for the k-th largest, and rows that end it.
-PARTS, FEW = 4096, 4096
 
 
 def labelled_sample(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -92,28 +90,6 @@ def gumbel(id_col: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def kth_largest(scores: DataFrame, column: str, k: int) -> float:
-    """The k-th largest value, by counting equal parts of an ever smaller range; no more than FEW values reach the driver."""
-    c = F.col(column)
-    low, high, n = scores.agg(F.min(c), F.max(c), F.count(c)).first()
-    if k <= 0 or n == 0:
-        return float("inf")
-    k = min(k, n)
-    while low < high:
-        width = (high - low) / PARTS
-        inside = scores.where(c.between(low, high))
-        if n <= FEW or width == 0 or low + width == low:
-            return sorted((r[0] for r in inside.groupBy(c).count().select(F.explode(F.array_repeat(column, F.col("count").cast("int")))).collect()), reverse=True)[k - 1] if n <= FEW else low
-        part = F.least(F.floor((c - low) / width), F.lit(PARTS - 1))
-        found = {r[0]: r[1:] for r in inside.groupBy(part.alias("p")).agg(F.count("*"), F.min(c), F.max(c)).collect()}
-        for p in sorted(found, reverse=True):
-            n, low, high = found[p]
-            if k <= n:
-                break
-            k -= n
-    return low
-
-
 def best_cut(good: list[float], bad: list[float]) -> float:
     """The cut with the least share of good below and bad above, in the middle of the widest gap of such; 0 without both kinds."""
     if not good or not bad:

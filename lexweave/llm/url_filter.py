@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import require
+from lexweave.llm.common import checkpoint, kth_largest, require
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the url's path starts with the rule's.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -57,10 +57,14 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def word_counts(texts: DataFrame, column: str, most: int = WORDS) -> dict[str, int]:
-    """Counts, over all rows, of the words a-z of 1 to 24 letters outside tags; the `most` most frequent, ties by the word."""
+    """Counts, over all rows, of the words a-z of 1 to 24 letters outside tags: of the `most` most frequent, without those that
+    tie with the next. Where the counts are cut is found on the executors, so the driver gets no more than it keeps."""
     plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "<[^>]*>", " "))
-    counted = texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).where(F.length("w").between(1, LONGEST)).groupBy("w").count()
-    return {r["w"]: r["count"] for r in counted.orderBy(F.desc("count"), "w").limit(most).collect()}
+    counted = texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").cast("double").alias("n"))
+    counted = checkpoint(counted)
+    if counted.count() > most:
+        counted = counted.where(F.col("n") > kth_largest(counted, "n", most + 1))
+    return {r.w: int(r.n) for r in counted.collect()}
 
 
 class Segmenter:

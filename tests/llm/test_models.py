@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexweave.llm import features, importance, mixing, queries
+from lexweave.llm import common, features, importance, mixing, queries
 from lexweave.llm.common import table
 from tests.llm.cases import ROWS, empty, frame, texts
 
@@ -54,8 +54,8 @@ def test_models_and_weights_by_brute_force(spark):
 
 
 def test_kth_largest(spark, monkeypatch):
-    monkeypatch.setattr(importance, "FEW", 5)
-    monkeypatch.setattr(importance, "PARTS", 4)
+    monkeypatch.setattr(common, "FEW", 5)
+    monkeypatch.setattr(common, "PARTS", 4)
     r = random.Random(6)
     values = [r.choice([r.gauss(0, 1), 0.25, -1e6, 3.0, 1e-12]) for _ in range(300)]
     df = spark.createDataFrame([(v,) for v in values], "x double")

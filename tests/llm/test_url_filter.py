@@ -65,8 +65,8 @@ def test_counts_over_all_rows(spark, sf):
             if 1 <= len(w) <= uf.LONGEST:
                 want[w] = want.get(w, 0) + 1
     assert uf.word_counts(pages, "html") == want
-    top = sorted(want.items(), key=lambda x: (-x[1], x[0]))[:20]
-    assert uf.word_counts(pages, "html", 20) == dict(top)
+    next_ = sorted(want.values(), reverse=True)[20]
+    assert uf.word_counts(pages, "html", 20) == {w: n for w, n in want.items() if n > next_}
 
 
 def test_edge_tables(spark):
