@@ -7,13 +7,15 @@ A sketch keeps the k least hash values of a set. Steps:
 2. Short lists (up to SHORT classes) make pairs. A pair's shared short lists, with the long lists that both are in, bound its
    sketches' overlap from above; pairs that can't reach the least overlap go. The union's sketch then estimates the
    similarity, and what stays far below the threshold goes. The rest is confirmed on the full sets.
-3. A pair in no common short list shares long lists only, at least as many as the least overlap. Classes in that many take
-   part in their most common lists, dealt in blocks of bounded size; each block against each other confirms, on full
-   sets, only what joins two components that are still apart in it, and returns a forest instead of all pairs.
+3. A pair in no common short list shares long lists only, at least as many as the least overlap t. Classes in that many take
+   part in all their long lists but the t - 1 most common, by one order of all lists: the rarest list that such a pair shares
+   has t - 1 shared ones after it, so both keep it and they meet. Lists are dealt in blocks of bounded size; each block
+   against each other confirms, on full sets, only what joins two components that are still apart in it, and returns a
+   forest instead of all pairs.
 4. Components by alternating large and small stars over the links; a component is named by its least id.
 
 Recall: of a pair at 75 %, the union's k=32 least values are shared with probability 3/4 each, so fewer than 11 have a chance
-of about one in ten million, and none of 8 common lists about 1 in 65,000; at 85 % both are negligible.
+of about one in ten million; at 85 % it is negligible. Pairs that share that many always meet.
 
 Texts without words (null, empty, blank) have an empty set and link with nothing. Rows without an id take no part: their
 component is null and they are kept. Repeated rows give a row each. Texts of any length are read whole.
@@ -39,7 +41,6 @@ K = 32  #: values of a sketch
 THRESHOLD = 75  #: per cent
 LEAST = 34  #: per cent of the union's sketch that a candidate shares at least
 SHORT = 64  #: classes of a short list
-COMMON = 8  #: long lists in which a class is compared
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000  #: bounds of a block
 
 
@@ -81,6 +82,11 @@ def _needed(n):
     return F.ceil(F.least(n, F.lit(K)) * LEAST / 100).cast("int")
 
 
+def _needed_by_any(n):
+    """The least overlap with the sketch of any set that one of n shingles may be linked to; the smaller set of a pair sets it."""
+    return _needed(F.ceil(n * THRESHOLD / 100))
+
+
 @F.arrow_udf(T.BooleanType())
 def confirm(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Whether two texts' full sets are similar enough."""
@@ -204,7 +210,8 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     # classes that may be alike with no short list in common
     ranked = Window.partitionBy("rep").orderBy(F.desc("size"), "v")
-    dense = lists.where((F.col("size") > SHORT) & (F.col("n_long") >= _needed(F.col("n")))).withColumn("k", F.row_number().over(ranked)).where(F.col("k") <= COMMON).select("v", "rep", "n")
+    needed = _needed_by_any(F.col("n"))
+    dense = lists.where((F.col("size") > SHORT) & (F.col("n_long") >= needed)).withColumn("k", F.row_number().over(ranked)).where(F.col("k") >= needed).select("v", "rep", "n")
     sizes = dense.groupBy("v").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
     dense = checkpoint(dense.join(sizes.select("v", blocks.alias("blocks")), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int")))

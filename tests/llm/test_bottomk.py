@@ -73,6 +73,19 @@ def test_groups_and_passages(spark, monkeypatch, short, rows, seed):
     assert got(frame(spark, data)) == plain([x[:2] for x in data])
 
 
+@pytest.mark.parametrize("seed", [3, 31])
+def test_popular_passage_inside_a_group(spark, seed):
+    """A member of a large group also holds a passage that more documents share than the group has; 11 of its sketch's values are the passage's."""
+    r = random.Random(seed)
+    base = [f"b{seed}x{i}" for i in range(150)]
+    passage = [f"p{seed}x{i}" for i in range(46)]
+    made = [[*base, f"own{i}"] for i in range(80)] + [[*passage, *(f"y{i}x{k}" for k in range(40))] for i in range(120)]
+    made.append([*passage, *base])
+    r.shuffle(made)
+    data = [(100 + i, " ".join(w), None) for i, w in enumerate(made)]
+    assert got(frame(spark, data)) == plain([x[:2] for x in data])
+
+
 def test_forest_joins_what_all_pairs_join():
     r = np.random.default_rng(3)
     base = np.arange(100)
