@@ -197,7 +197,10 @@ class ShardStore:
 def ledger(store: ShardStore, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, shard, shard_bytes, shard_rows, text_sha256 of each stored row, as read back from the current version."""
     require(store.read(), id_col, text_col)
-    entries = store.spark.createDataFrame([(s.file.rsplit("/", 1)[-1], s.size, s.rows) for s in store.shards()], "shard string, shard_bytes long, shard_rows long")
-    name = F.col("_metadata.file_name") if store.shards() else F.lit(None).cast("string")
-    rows = store.read().select(F.col(id_col), name.alias("shard"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
-    return rows.join(entries, "shard").select(id_col, "shard", "shard_bytes", "shard_rows", "text_sha256")
+    shards = store.shards()
+    # base names repeat among the arrivals of one job, paths below the store's data folder don't
+    below = [(store._path(s.file).toUri().toString().rsplit("/data/", 1)[-1], s.file.rsplit("/", 1)[-1], s.size, s.rows) for s in shards]
+    entries = store.spark.createDataFrame(below, "_file string, shard string, shard_bytes long, shard_rows long")
+    file = F.substring_index(F.col("_metadata.file_path"), "/data/", -1) if shards else F.lit(None).cast("string")
+    rows = store.read().select(F.col(id_col), file.alias("_file"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("text_sha256"))
+    return rows.join(entries, "_file").select(id_col, "shard", "shard_bytes", "shard_rows", "text_sha256")

@@ -31,6 +31,23 @@ def test_append_compact_read(spark, sf):
     assert len(got) == docs.count() + 7 and all(r.shard_rows == by[r.shard].rows and r.shard_bytes == by[r.shard].size for r in got)
 
 
+def test_ledger_of_arrivals_not_compacted(spark, sf):
+    """A task's files have one base name in all arrivals of append_each."""
+    docs = table(spark, sf, "documents")
+    store = sharding.ShardStore(spark, scratch(spark, "store"))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    store.append_each(docs.repartition(2), F.concat(F.lit("a b:%"), part))
+    names = [s.file.rsplit("/", 1)[-1] for s in store.shards()]
+    assert len(names) == 6 and len(set(names)) == 2
+    files = {(s.file.rsplit("/", 1)[-1], s.size, s.rows): s for s in store.shards()}
+    want = {r.doc_id: r.sha for r in docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")).collect()}
+    got = sharding.ledger(store).collect()
+    assert len(got) == docs.count() and {r.doc_id: r.text_sha256 for r in got} == want
+    arrival = {r.doc_id: r.p for r in docs.select("doc_id", part.alias("p")).collect()}
+    for r in got:
+        assert files[(r.shard, r.shard_bytes, r.shard_rows)].file.rsplit("/", 2)[-2].endswith(str(arrival[r.doc_id]))
+
+
 def test_edge_rows(spark):
     store = sharding.ShardStore(spark, scratch(spark, "store"), smallest=100, target=1000)
     df = frame(spark)
