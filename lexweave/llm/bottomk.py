@@ -1,6 +1,6 @@
 """Near-duplicate documents: bottom-k sketches from one hash function, inverted lists, union-sketch estimates, exact Jaccard.
 
-A document's set holds its distinct 5-word shingles. Equal sets form a class, and a class is represented by its least id.
+A document's set holds its distinct 5-word shingles. Equal sets form a class, which has a number and its least id's text.
 A sketch keeps the k least hash values of a set. Steps:
 
 1. Inverted lists: each retained value with the classes that retain it. Lists of one class are dropped.
@@ -18,7 +18,8 @@ Recall: of a pair at 75 %, the union's k=32 least values are shared with probabi
 of about one in ten million; at 85 % it is negligible. Pairs that share that many always meet.
 
 Texts without words (null, empty, blank) have an empty set and link with nothing. Rows without an id take no part: their
-component is null and they are kept. Repeated rows give a row each. Texts of any length are read whole.
+component is null and they are kept. Repeated rows give a row each, and rows that repeat an id with other texts are judged by
+their own. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """id, n (shingles), key (of the set), sketch (its k least values, ascending) of each row."""
+    """id, h (of the text), n (shingles), key (of the set), sketch (its k least values, ascending) of each row."""
     require(df, id_col, text_col)
     kinds = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
@@ -70,7 +71,12 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             out = [{"n": len(s), "key": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k].copy()} for _, part in encoded(texts) for s in shingle_sets(part)]
             yield pa.array(out, kinds)
 
-    return df.select(F.col(id_col).alias("id"), run(text_or_empty(text_col)).alias("r")).select("id", "r.*")
+    return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), run(text_or_empty(text_col)).alias("r")).select("id", "h", "r.*")
+
+
+def _text_hash(text_col: str):
+    """With the id, it tells rows apart that repeat an id with other texts."""
+    return F.xxhash64(text_or_empty(text_col))
 
 
 def _linked(shared, x, y):
@@ -181,13 +187,13 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.union(edges.select("v", "v").distinct())
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and text of the documents with these ids (distinct), one row each. The bitmap keeps the others' texts from being moved."""
-    return foretold(docs, ids, "id")[0].join(ids, "id", "left_semi").dropDuplicates(["id"])
+def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """rep and text of the classes (id, h, rep), one row each. The bitmap keeps the others' texts from being moved."""
+    return foretold(docs, classes, "id")[0].join(classes, ["id", "h"]).select("rep", "text").dropDuplicates(["rep"])
 
 
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) of classes (rep, n, sketch), enough for the components of all links. docs: id, text."""
+    """Confirmed links (a, b) of classes (rep, id, h, n, sketch) by their numbers, enough for the components of all links. docs: id, h, text."""
     entries = classes.select("rep", "n", F.explode("sketch").alias("v"))
     counts = entries.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
     lists = entries.join(counts, "v")
@@ -216,30 +222,39 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
     dense = checkpoint(dense.join(sizes.select("v", blocks.alias("blocks")), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int")))
 
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(dense.select("rep")).distinct()
-    texts = checkpoint(_texts_of(docs, wanted))
-    left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense.select("rep")).distinct()
+    texts = checkpoint(_texts_of(docs, checkpoint(classes.join(wanted, "rep", "left_semi").select("id", "h", "rep"))))
+    left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     near = pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b")
-    met = dense.join(texts.withColumnRenamed("id", "rep"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dense.join(texts, "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "text")
     return near.union(met.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, kept of each row. Other columns are left out."""
+def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, h, n, component and kept of each row."""
     rows = checkpoint(sketches(df, id_col, text_col))
     known = rows.where(F.col("id").isNotNull() & (F.col("n") > 0))
-    classes = checkpoint(known.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = components(links(docs, classes)).withColumnRenamed("id", "rep")
-    named = classes.select("key", "rep").join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(named, "key", "left")
+    classes = known.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # a number that can't be null breaks the constraints that Spark derives for the unions of components()
+    classes = checkpoint(classes.select("key", F.nullif(F.monotonically_increasing_id(), F.lit(-1)).alias("rep"), "least.id", "least.h", "n", "sketch"))
+    docs = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), text_or_empty(text_col).alias("text"))
+    found = checkpoint(components(links(docs, classes)).withColumnRenamed("id", "rep").withColumnRenamed("component", "group"))
+    least = found.join(classes.select("rep", "id"), "rep").groupBy("group").agg(F.min("id").alias("component"))
+    found = found.join(least, "group").select("rep", "component")
+    named = classes.select("key", "rep", "id").join(found, "rep", "left").select("key", F.coalesce("component", "id").alias("component"))
+    out = rows.select("id", "h", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("key")).alias("key")).join(named, "key", "left")
     component = F.coalesce("component", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    return out.select("id", "h", "n", component.alias("component"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id, kept of each row. Other columns are left out."""
+    return _judged(df, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that near_duplicates keeps, with all their columns."""
-    gone = checkpoint(near_duplicates(df, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct())
+    gone = checkpoint(_judged(df, id_col, text_col).where("NOT kept").select(F.col("id").alias("_gone"), F.col("h").alias("_h")).distinct())
     some, others = foretold(df, gone, id_col)
-    return others.unionByName(some.join(gone, F.col(id_col) == F.col("_gone"), "left_anti"))
+    return others.unionByName(some.join(gone, (F.col(id_col) == F.col("_gone")) & (_text_hash(text_col) == F.col("_h")), "left_anti"))

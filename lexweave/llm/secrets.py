@@ -119,12 +119,15 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """df with each reported span of its text replaced; spans that overlap or touch become one mark. Ids must be unique.
+def redact(df: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """df with each reported span of its text replaced; spans that overlap or touch become one mark.
+
+    Spans follow from the text alone, so rows meet their cuts by a digest of the text: ids may be null or repeat.
 
     length_col: a column that holds the text's length in code points, set anew where the text changes.
     """
-    found = find(df, id_col, text_col).where(F.size("found") > 0).select(F.col(id_col).alias("_id"), F.posexplode("found").alias("at", "x"))
+    keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
+    found = find(keyed, "_key", text_col).where(F.size("found") > 0).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), F.posexplode("found").alias("at", "x"))
     # a span opens a mark if it starts beyond all spans before it
     earlier = Window.partitionBy("_id").orderBy("at")
     reach = F.max("x.end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
@@ -132,12 +135,12 @@ def redact(df: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_c
     spans = spans.withColumn("mark", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     spans = spans.groupBy("_id", "mark").agg(F.min("start").cast("int").alias("a"), F.max("end").cast("int").alias("b"))
     marked = checkpoint(spans.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_m")))
-    some, others = foretold(df, marked.select("_id"), id_col)
+    some, others = foretold(keyed, marked.select("_id"), "_key")
     text = F.col(text_col)
     cut = lambda a, b: F.substring(text, a + 1, b - a)
     before = F.transform("_m", lambda x, k: F.concat(cut(F.when(k == 0, F.lit(0)).otherwise(F.get("_m", k - 1)["b"]), x["a"]), F.lit(mark)))
     after = F.substring(text, F.element_at("_m", -1)["b"] + 1, F.length(text))
     clean = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(before, ""), after)).otherwise(text)
-    out = some.join(marked, F.col(id_col) == F.col("_id"), "left").withColumn("_clean", clean)
+    out = some.join(marked, F.col("_key") == F.col("_id"), "left").withColumn("_clean", clean)
     columns = [F.col("_clean").alias(c) if c == text_col else F.when(F.col("_m").isNotNull(), F.length("_clean")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
-    return others.unionByName(out.select(*columns))
+    return others.select(*df.columns).unionByName(out.select(*columns))

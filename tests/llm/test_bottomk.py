@@ -86,6 +86,16 @@ def test_popular_passage_inside_a_group(spark, seed):
     assert got(frame(spark, data)) == plain([x[:2] for x in data])
 
 
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    copied, own = " ".join(words), " ".join(f"o{i}" for i in range(60))
+    near = " ".join([*words, "end"])
+    data = [(2, copied, None), (6, near, None), (6, own, None), (9, own + " more", None)]
+    rows = [(r.doc_id, r.component_id, r.kept) for r in bottomk.near_duplicates(frame(spark, data)).collect()]
+    assert key(rows) == key([(2, 2, True), (6, 2, False), (6, 6, True), (9, 6, False)])
+    assert sorted(r.text for r in bottomk.drop_duplicates(frame(spark, data)).collect()) == sorted([copied, own])
+
+
 def test_forest_joins_what_all_pairs_join():
     r = np.random.default_rng(3)
     base = np.arange(100)

@@ -90,6 +90,12 @@ def test_redaction(spark):
     assert len(ROWS)
 
 
+def test_redaction_of_null_and_repeated_ids(spark):
+    made = [(None, "password=longenough1 x", None), (None, "y token=abcdef123", None), (7, "no secret at all here", None), (7, "z password=longenough1", None), (7, "z password=longenough1", None)]
+    done = sorted(r.text for r in secrets.redact(frame(spark, made)).collect())
+    assert done == ["[SECRET] x", "no secret at all here", "y [SECRET]", "z [SECRET]", "z [SECRET]"]
+
+
 def test_no_python_in_the_plan(spark, sf):
     plan = secrets.digest(secrets.find(table(spark, sf, "documents")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
