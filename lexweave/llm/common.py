@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -19,16 +19,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Read from the session; a local default only where unset, as in tests."""
+    """The folder that driver and executors share, as the session names it. There is no default: a machine's own folder would lose rows on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        found = "file:///tmp/checkpoints"
+        if current.isEmpty():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        return current.get()
     return found
 
 
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES (and a row). A batch lies outside the heap more than once, in the JVM and in the worker; rows of texts are large."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # as Spark has it; another value is the user's
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
@@ -58,14 +69,34 @@ def foretold(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Dat
     A bitmap of fixed size over hashes of the ids tells them apart. With very many ids it tells less, and the first part grows;
     results stay the same.
     """
+    at, bits = fresh(df, "slot", "bits")
     bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
     slot = lambda h: F.pmod(F.shiftright(h, 6), F.lit(SLOTS))
     h = F.xxhash64(ids.columns[0])
-    bitmap = ids.select(slot(h).alias("_slot"), bit(h).alias("_bit")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    bitmap = ids.select(slot(h).alias(at), bit(h).alias(bits)).groupBy(at).agg(F.bit_or(bits).alias(bits))
     h = F.xxhash64(id_col)
-    marked = df.withColumn("_slot", slot(h)).join(F.broadcast(bitmap), "_slot", "left")
-    maybe = F.coalesce(F.col("_bits").bitwiseAND(bit(h)) != 0, F.lit(False))
-    return tuple(marked.where(x).select(*df.columns) for x in (maybe, ~maybe))
+    marked = df.withColumn(at, slot(h)).join(F.broadcast(bitmap), at, "left")
+    maybe = F.coalesce(F.col(bits).bitwiseAND(bit(h)) != 0, F.lit(False))
+    return tuple(marked.where(x).select(*map(quoted, df.columns)) for x in (maybe, ~maybe))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that begin like the given ones and that no column of df has, in any case of letters."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"_{n}{tail}".lower() in taken for n in names):
+        tail += "_"
+    return [f"_{n}{tail}" for n in names]
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def read_file(path: str) -> bytes:
+    """A file that lies beside the library on every machine, such as a vocabulary."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def text_or_empty(column: str = "text"):

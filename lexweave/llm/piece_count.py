@@ -7,7 +7,7 @@ stands for counts as its UTF-8 bytes (byte fallback) unless a merge takes it up.
 No piece has a space mark after another character, so no merge crosses from such a character to a space mark: the
 text is cut there and equal words are counted once. Characters in no longer piece are further borders.
 
-Null and empty texts have 0 tokens and 0 bytes.
+Null and empty texts have 0 tokens and 0 bytes. Texts of any length are counted whole, repeated rows one by one; ids may be null or repeat.
 """
 
 from __future__ import annotations
@@ -21,13 +21,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.bpe_codec import Memo, _read
-from lexweave.llm.common import require, text_or_empty
+from lexweave.llm.common import bound_batches, read_file, require, text_or_empty
 
 MARK = "▁"
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+class Memo(dict):
+    """A dict that computes missing values and keeps the recently used: trim() holds it to `most` entries in two generations."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        if (value := self.old.get(key)) is None:
+            value = self.make(key)
+        if len(key) <= 64:  # long keys hardly recur
+            self[key] = value
+        return value
+
+    def trim(self) -> None:
+        if 2 * len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+
+
 class PieceCounter:
     """Counts the tokens of texts. memo: words kept of each table, which bounds a worker's memory."""
 
@@ -112,7 +131,8 @@ def worker_counter(model: bytes) -> PieceCounter:
 def count_tokens(df: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row. Other columns are left out."""
     require(df, id_col, text_col)
-    model = _read(model_path)
+    bound_batches(df.sparkSession)
+    model = read_file(model_path)
 
     @F.arrow_udf("long")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -21,8 +21,23 @@ def library():
 
 
 @pytest.fixture(scope="module")
-def codec():
-    return bpe_codec.TreeCodec(bpe_codec.load_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN, memo=5000)
+def ranks():
+    return bpe_codec.load_ranks(open(RANKS, "rb").read())
+
+
+@pytest.fixture(scope="module")
+def codec(ranks):
+    return bpe_codec.TreeCodec(ranks, public_tokenizers.PATTERN, known=5000)
+
+
+def plain_merge(data, ranks):
+    """The encoding by its definition."""
+    parts = [data[i : i + 1] for i in range(len(data))]
+    while True:
+        found = min(((ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks), default=None)
+        if found is None:
+            return [ranks[p] for p in parts]
+        parts[found[1] : found[1] + 2] = [parts[found[1]] + parts[found[1] + 1]]
 
 
 def strings(n, seed=7):
@@ -41,19 +56,48 @@ def test_encode_equals_the_library(codec, library):
         assert codec.decode(ids) == s.encode()
 
 
-@pytest.mark.parametrize("leaf", [1, 2, 5])
-def test_any_leaf_gives_the_same(leaf, library):
-    other = bpe_codec.TreeCodec(bpe_codec.load_ranks(open(RANKS, "rb").read()), public_tokenizers.PATTERN, leaf=leaf)
-    for s in strings(150, seed=leaf):
-        assert np.frombuffer(other.encode(s), "<u4").tolist() == library.encode_ordinary(s), repr(s[:80])
+@pytest.mark.parametrize("leaf", [1, 2, 5, 16])
+def test_any_leaf_gives_the_same(leaf, ranks, library):
+    other = bpe_codec.TreeCodec(ranks, public_tokenizers.PATTERN, leaf=leaf)
+    some = list(strings(200, seed=leaf))
+    for s, ids in zip(some, other.encode_all(some), strict=True):
+        assert ids.tolist() == library.encode_ordinary(s), repr(s[:80])
+        assert other.decode(ids.tobytes()) == s.encode()
 
 
-def test_joining_halves_anywhere(codec):
+def test_tree_of_bytes_equals_the_definition(ranks):
+    """Whole strings without a pattern go up the tree, all at once; among them runs on which windows grow far."""
     r = random.Random(1)
-    for _ in range(300):
-        data = "".join(r.choice("abehnrt ") for _ in range(r.randint(2, 40))).encode()
-        cut = r.randint(0, len(data))
-        assert codec.join(codec.tree(data[:cut]), codec.tree(data[cut:])) == codec.merge(data)
+    items = ["".join(r.choice(a) for _ in range(n)).encode() for a in ("a", "ab", "abehnrt ", "aé中 ", "the") for n in (1, 2, 3, 5, 8, 9, 17, 40, 130, 300)] + [b"aab" * 90, bytes(range(256)) * 2]
+    for leaf in (1, 3, 8):
+        tokens, at = bpe_codec.TreeCodec(ranks, public_tokenizers.PATTERN, leaf=leaf).tree(items)
+        assert [tokens[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [plain_merge(x, ranks) for x in items]
+
+
+def test_long_windows_are_merged_by_heap(codec, ranks):
+    for data in (b"a" * 700, b"abcab" * 60, "中文字".encode() * 30):
+        assert codec.merge_long(data) == plain_merge(data, ranks)
+
+
+@pytest.mark.parametrize("pattern", [r"[0-9 ]{1,3}", r"\p{L}+|\s+|.", r"(?s).{1,7}"])
+def test_other_patterns_are_not_cut_at_spaces(pattern, ranks):
+    library = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe_codec.TreeCodec(ranks, pattern)
+    for s in ("12 34 567", " 1  2 ", "the cat sat", "a b  c\n d "):
+        assert np.frombuffer(codec.encode(s), "<u4").tolist() == library.encode_ordinary(s)
+
+
+def test_the_public_pattern_is_cut_at_spaces(codec):
+    assert codec.cuts and public_tokenizers.PATTERN in bpe_codec.CUT_AT_SPACES
+
+
+def test_decoding_goes_up_the_tree(codec, library, monkeypatch):
+    calls = []
+    whole = bpe_codec.TreeCodec._concat
+    monkeypatch.setattr(bpe_codec.TreeCodec, "_concat", lambda self, ids: calls.append(len(ids)) or whole(self, ids))
+    s = "the cat sat on a mat " * 400
+    assert codec.decode(codec.encode(s)) == s.encode()
+    assert len(calls) > 7 and max(calls) == len(library.encode_ordinary(s))
 
 
 def test_digest_of_the_table(spark, sf, library):
