@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import checkpoint, chunks, encoded, foretold, mix, require, rolling, text_or_empty, word_hashes
+from lexweave.llm.common import bound_batches, checkpoint, chunks, encoded, foretold, fresh, mix, quoted, require, rolling, text_or_empty, word_hashes
 
 WORDS = 5  #: words of a shingle
 K = 32  #: values of a sketch
@@ -63,6 +63,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """id, h (of the text), n (shingles), key (of the set), sketch (its k least values, ascending) of each row."""
     require(df, id_col, text_col)
+    bound_batches(df.sparkSession)
     kinds = pa.struct([("n", pa.int64()), ("key", pa.binary()), ("sketch", pa.list_(pa.int64()))])
 
     @F.arrow_udf("n long, key binary, sketch array<long>")
@@ -255,6 +256,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that near_duplicates keeps, with all their columns."""
-    gone = checkpoint(_judged(df, id_col, text_col).where("NOT kept").select(F.col("id").alias("_gone"), F.col("h").alias("_h")).distinct())
+    id_, h = fresh(df, "gone", "hash")
+    gone = checkpoint(_judged(df, id_col, text_col).where("NOT kept").select(F.col("id").alias(id_), F.col("h").alias(h)).distinct())
     some, others = foretold(df, gone, id_col)
-    return others.unionByName(some.join(gone, (F.col(id_col) == F.col("_gone")) & (_text_hash(text_col) == F.col("_h")), "left_anti"))
+    return others.unionByName(some.join(gone, (quoted(id_col) == F.col(id_)) & (_text_hash(text_col) == F.col(h)), "left_anti"))

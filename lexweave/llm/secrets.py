@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import checkpoint, foretold, require, text_or_empty
+from lexweave.llm.common import checkpoint, foretold, fresh, quoted, require, text_or_empty
 
 REACH = 200
 
@@ -34,6 +34,7 @@ class Kind:
     pattern: str
     group: int = 0  #: whose length counts
     least: int = 1  #: of that length
+    holds: str | None = None  #: what that group must hold somewhere
 
 
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -43,7 +44,7 @@ KINDS = [
     Kind("access", 1, "identifier", False, r"AKIA[A-Z0-9]{16,}"),
     Kind("hex", 2, "secret", False, r"[0-9a-f]{24,}"),
     Kind("account", 3, "identifier", True, r"(?i:user_?name|user|login|client_?id|account)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9_.@-]+)", 1, 3),
-    Kind("bare", 4, "secret", True, r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/]{0,80}[0-9])[A-Za-z0-9+/]{32,}={0,2}"),
+    Kind("bare", 4, "secret", True, r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{32,}={0,2}", holds="[0-9]"),
     Kind("endpoint", 5, "endpoint", True, r"https?://[A-Za-z0-9._~:/?#@!&=%+-]+"),
     Kind("break", 9, "break", True, r"\n[\x20\t\r]*\n"),
 ]
@@ -58,7 +59,8 @@ def _found(kind: Kind) -> F.Column:
     counted = whole if kind.group == 0 else F.regexp_extract_all("_t", pattern, F.lit(kind.group))
     lengths = lambda a: F.transform(a, lambda x: F.length(x))
     gaps = F.slice(lengths(F.split("_t", kind.pattern, -1)), 1, F.size(whole))
-    zipped = F.zip_with(gaps, F.zip_with(lengths(whole), lengths(counted), lambda x, y: F.struct(x.alias("n"), (y >= kind.least).alias("ok"))), lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
+    ok = lambda y: (F.length(y) >= kind.least) & (y.rlike(kind.holds) if kind.holds else F.lit(True))
+    zipped = F.zip_with(gaps, F.zip_with(lengths(whole), counted, lambda x, y: F.struct(x.alias("n"), ok(y).alias("ok"))), lambda g, m: F.struct(g.alias("gap"), m["n"].alias("n"), m["ok"].alias("ok")))
     return F.when(F.col("_t").rlike(kind.pattern), zipped)
 
 
@@ -126,21 +128,28 @@ def redact(df: DataFrame, mark: str = "[SECRET]", text_col: str = "text", length
 
     length_col: a column that holds the text's length in code points, set anew where the text changes.
     """
-    keyed = df.withColumn("_key", F.sha2(F.col(text_col), 256))
-    found = find(keyed, "_key", text_col).where(F.size("found") > 0).dropDuplicates(["_key"]).select(F.col("_key").alias("_id"), F.posexplode("found").alias("at", "x"))
+    require(df, text_col)
+    key, id_, marks, clean = fresh(df, "key", "id", "marks", "clean")
+    text = quoted(text_col)
+    keyed = df.withColumn(key, F.sha2(text, 256))
+    found = find(keyed.select(key, text.alias("text")), key).where(F.size("found") > 0).dropDuplicates([key]).select(F.col(key).alias(id_), F.posexplode("found").alias("at", "x"))
     # a span opens a mark if it starts beyond all spans before it
-    earlier = Window.partitionBy("_id").orderBy("at")
+    earlier = Window.partitionBy(id_).orderBy("at")
     reach = F.max("x.end").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
-    spans = found.select("_id", "at", "x.start", "x.end", F.when(F.col("x.start") <= reach, 0).otherwise(1).alias("opens"))
+    spans = found.select(id_, "at", "x.start", "x.end", F.when(F.col("x.start") <= reach, 0).otherwise(1).alias("opens"))
     spans = spans.withColumn("mark", F.sum("opens").over(earlier.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = spans.groupBy("_id", "mark").agg(F.min("start").cast("int").alias("a"), F.max("end").cast("int").alias("b"))
-    marked = checkpoint(spans.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_m")))
-    some, others = foretold(keyed, marked.select("_id"), "_key")
-    text = F.col(text_col)
+    spans = spans.groupBy(id_, "mark").agg(F.min("start").cast("int").alias("a"), F.max("end").cast("int").alias("b"))
+    marked = checkpoint(spans.groupBy(id_).agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias(marks)))
+    some, others = foretold(keyed, marked.select(id_), key)
     cut = lambda a, b: F.substring(text, a + 1, b - a)
-    before = F.transform("_m", lambda x, k: F.concat(cut(F.when(k == 0, F.lit(0)).otherwise(F.get("_m", k - 1)["b"]), x["a"]), F.lit(mark)))
-    after = F.substring(text, F.element_at("_m", -1)["b"] + 1, F.length(text))
-    clean = F.when(F.col("_m").isNotNull(), F.concat(F.array_join(before, ""), after)).otherwise(text)
-    out = some.join(marked, F.col("_key") == F.col("_id"), "left").withColumn("_clean", clean)
-    columns = [F.col("_clean").alias(c) if c == text_col else F.when(F.col("_m").isNotNull(), F.length("_clean")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in df.columns]
-    return others.select(*df.columns).unionByName(out.select(*columns))
+    before = F.transform(marks, lambda x, k: F.concat(cut(F.when(k == 0, F.lit(0)).otherwise(F.get(marks, k - 1)["b"]), x["a"]), F.lit(mark)))
+    after = F.substring(text, F.element_at(marks, -1)["b"] + 1, F.length(text))
+    marked_text = F.when(F.col(marks).isNotNull(), F.concat(F.array_join(before, ""), after)).otherwise(text)
+    out = some.join(marked, F.col(key) == F.col(id_), "left").withColumn(clean, marked_text)
+
+    def column(c: str) -> F.Column:
+        if c == text_col:
+            return F.col(clean).alias(c)
+        return F.when(F.col(marks).isNotNull(), F.length(clean)).otherwise(quoted(c)).cast(df.schema[c].dataType).alias(c) if c == length_col else quoted(c)
+
+    return others.select(*map(quoted, df.columns)).unionByName(out.select(*map(column, df.columns)))
