@@ -15,9 +15,13 @@ import numpy as np
 from lexweave.llm.common import _IS_SPACE, chunks, mix, rolling, word_hashes
 
 BUCKETS = {"bytes": 1 << 15, "words": 1 << 15, "shapes": 1 << 12, "tokens": 1 << 18}
-#: Where each view's buckets start, and all buckets.
-STARTS = dict(zip(BUCKETS, np.cumsum([0, *BUCKETS.values()]).tolist(), strict=False))
-TOTAL = sum(BUCKETS.values())
+
+
+def layout(views: tuple[str, ...]) -> tuple[dict[str, slice], int]:
+    """Where each view's buckets stand among those of the views in use, and how many there are."""
+    starts = np.cumsum([0, *(BUCKETS[v] for v in views)]).tolist()
+    return {v: slice(a, b) for v, a, b in zip(views, starts[:-1], starts[1:], strict=True)}, starts[-1]
+
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:'\"-!?()"]] = True
@@ -62,23 +66,20 @@ def _shapes(data: np.ndarray, words: np.ndarray, starts: np.ndarray) -> np.ndarr
 
 
 def _view(grams: np.ndarray, view: str) -> np.ndarray:
-    return (grams % np.uint64(BUCKETS[view])).astype(np.int64) + STARTS[view]
+    return (grams % np.uint64(BUCKETS[view])).astype(np.int64)
 
 
 def batches(texts: list[bytes], views: tuple[str, ...] = ("words", "shapes"), most: int = 1 << 19):
-    """(range of texts, {view: (buckets in the order of the texts, where each text's begin)}, words of each text), a bounded number of bytes at a time."""
+    """(range of texts, {view: (buckets by layout(views) in the order of the texts, where each text's begin)}, words of each text), a bounded number of bytes at a time."""
+    places, _ = layout(views)
     for a, b in chunks(texts, most):
         part = texts[a:b]
         words, starts = word_hashes(part)
+        makers = {"bytes": lambda: _bytes(part), "words": lambda: _words(words, starts), "tokens": lambda: (_view(words, "tokens"), starts), "shapes": lambda: _shape_runs(part, words, starts)}
         out = {}
-        if "bytes" in views:
-            out["bytes"] = _bytes(part)
-        if "words" in views:
-            out["words"] = _words(words, starts)
-        if "tokens" in views:
-            out["tokens"] = (_view(words, "tokens"), starts)
-        if "shapes" in views:
-            out["shapes"] = _shape_runs(part, words, starts)
+        for v, at in places.items():
+            buckets, begin = makers[v]()
+            out[v] = buckets + at.start, begin
         yield (a, b), out, np.diff(starts)
 
 

@@ -1,14 +1,20 @@
 """A quality classifier by importance resampling.
 
 Two generative models over hashed n-grams of whole texts: of all documents, and of target documents, which are labelled
-good. A document's log weight is the sum, over its n-grams, of the log ratio of target to raw probability. Documents are
-drawn without replacement by Gumbel top-k: a Gumbel number, fixed by seed and id, is added to each log weight, and the k
-largest are kept. k is the count of documents whose log weight passes the cut that separates labelled good from bad best.
+good. A document's evidence is the mean, over its n-grams, of the log ratio of target to raw probability. N-grams of a text are far from
+independent, so a sum of log ratios overstates; held-out labelled rows, which the target model doesn't count, tell how much
+a unit of evidence is worth: a logistic fit turns it into log odds of being a target document. These are the log weights.
 
-The raw model counts every document. The labelled rows are a documented sample of at most SAMPLE, the first by a hash of their id.
+Documents are drawn without replacement by Gumbel top-k: a Gumbel number, fixed by seed and id, is added to each log weight,
+and the k largest are kept. k is the budget; unless given it is the count of documents that are more likely target than not.
+Documents near the k-th place are kept by chance, in the ratio of their odds.
 
-Null and empty texts have weight 0 (no evidence). Without labelled rows both models are equal and every document is kept.
-Ties at the k-th place are all kept, so repeated rows are treated alike. Rows with a null id draw the number of a null.
+The raw model counts every document. The labelled rows are a documented sample of at most SAMPLE, the first by a hash of their id;
+one of three is held out. Labels of an id that has both are the lesser; all rows of an id share its label.
+
+Null and empty texts have no evidence and the log odds of none. Without labelled rows of both kinds in the held-out part evidence counts one
+to one; without any every document is kept. Texts of any length are read whole. Ties at the k-th place are all kept, so repeated rows are
+treated alike. Rows with a null id draw the number of a null. Extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
@@ -18,29 +24,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, encoded, kth_largest, require, text_or_empty
-from lexweave.llm.features import BUCKETS, STARTS, TOTAL, batches, sums
+from lexweave.llm.common import bound_batches, checkpoint, encoded, kth_largest, quoted, require, text_or_empty
+from lexweave.llm.features import batches, layout, sums
 
 SAMPLE = 20_000
 VIEWS = ("words", "shapes")
+PLACES, TOTAL = layout(VIEWS)
 #: Counts that a bucket's ratio is drawn towards 1 by.
 PRIOR = 200.0
+#: N-grams without evidence that a text is taken to have besides its own, so that a few words count for little.
+BLANK = 5
 SEED = 17
 
 
 def labelled_sample(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """id, label: at most `most` labelled rows, the first by a hash of the id; one label per id, the least."""
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
-    return known.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label").limit(most).groupBy("id").agg(F.min("label").alias("label"))
+    """id, label, held: at most `most` labelled rows, the first by a hash of the id; one label per id, the least; one id of three is held out."""
+    known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    first = known.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label").limit(most).groupBy("id").agg(F.min("label").alias("label"))
+    return first.withColumn("held", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(3)) == 0)
 
 
 def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over all rows of (text, label), and over those of label 1. Tasks send one row per bucket that they met."""
+    """Counts of each bucket over all rows of (text, target), and over those that are target. Tasks send one row per bucket that they met."""
 
     def count(tables):
         raw, target = np.zeros(TOTAL, dtype=np.int64), np.zeros(TOTAL, dtype=np.int64)
         for table in tables:
-            good = np.array([x == 1 for x in table.column("label").to_pylist()], dtype=bool)
+            good = np.array(table.column("target").to_pylist(), dtype=bool)
             for first, texts in encoded(table.column("text")):
                 for (a, b), views, _ in batches(texts, VIEWS):
                     for at, starts in views.values():
@@ -49,7 +59,7 @@ def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
-    counted = docs.select("text", "label").mapInArrow(count, "bucket long, raw long, target long")
+    counted = docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
     raw, target = np.zeros(TOTAL), np.zeros(TOTAL)
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r.bucket], target[r.bucket] = r.raw, r.target
@@ -59,8 +69,7 @@ def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log of target over raw probability of each bucket, within its view."""
     out = np.zeros(TOTAL)
-    for view in VIEWS:
-        part = slice(STARTS[view], STARTS[view] + BUCKETS[view])
+    for part in PLACES.values():
         if raw[part].sum() and target[part].sum():
             expected = raw[part] / raw[part].sum() * target[part].sum()
             out[part] = np.log((target[part] + PRIOR) / (expected + PRIOR))
@@ -68,60 +77,80 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 
 def weigher(ratio: np.ndarray):
-    """The log weight of a text column."""
+    """The evidence of a text column: the mean log ratio of its n-grams and BLANK more without any."""
     blob = ratio.astype(np.float32).tobytes()
 
     @F.arrow_udf("double")
     def weigh(texts: pa.Array) -> pa.Array:
         table = np.frombuffer(blob, dtype=np.float32).astype(np.float64)
-        out = np.zeros(len(texts))
+        out, n = np.zeros(len(texts)), np.full(len(texts), float(BLANK))
         for first, part in encoded(texts):
             for (a, b), views, _ in batches(part, VIEWS):
                 for at, starts in views.values():
                     out[first + a : first + b] += sums(table[at], starts)
-        return pa.array(np.round(out, 6))
+                    n[first + a : first + b] += np.diff(starts)
+        return pa.array(np.round(out / n, 9))
 
     return weigh
 
 
-def gumbel(id_col: Column, seed: int = SEED) -> Column:
+def calibrate(evidence: np.ndarray, good: np.ndarray) -> tuple[float, float]:
+    """(slope, intercept) of the log odds of a target document by its evidence: the logistic fit to smoothed labels, by Newton's method.
+
+    The smoothing, one more of each kind, keeps the slope finite where the kinds are apart. (1, 0) unless there are both kinds with different evidence.
+    """
+    n_good, n = int(good.sum()), len(good)
+    if not 0 < n_good < n or np.ptp(evidence) == 0:
+        return 1.0, 0.0
+    aim = np.where(good, (n_good + 1) / (n_good + 2), 1 / (n - n_good + 2))
+    mean, spread = evidence.mean(), evidence.std()
+    x = np.stack(((evidence - mean) / spread, np.ones(n)), axis=1)
+    loss = lambda w: float(np.sum(np.logaddexp(0, x @ w) - aim * (x @ w)))
+    w = np.zeros(2)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-9 * np.eye(2), x.T @ (p - aim))
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w -= step
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+
+
+def gumbel(id_col: Column, seed: Column | int = SEED) -> Column:
     """A standard Gumbel number fixed by the seed and the id."""
-    uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 11) + 0.5) / float(1 << 53)
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    uniform = (F.shiftrightunsigned(F.xxhash64(seed, id_col), 11) + 0.5) / float(1 << 53)
     return -F.log(-F.log(uniform))
 
 
-def best_cut(good: list[float], bad: list[float]) -> float:
-    """The cut with the least share of good below and bad above, in the middle of the widest gap of such; 0 without both kinds."""
-    if not good or not bad:
-        return 0.0 if good or bad else float("-inf")
-    values = np.unique(np.concatenate((good, bad)))
-    cuts = np.concatenate(([values[0] - 1], (values[1:] + values[:-1]) / 2))
-    lost = np.searchsorted(np.sort(good), cuts) / len(good) + 1 - np.searchsorted(np.sort(bad), cuts) / len(bad)
-    gaps = np.concatenate(([1.0], np.diff(values)))
-    at = np.flatnonzero(lost == lost.min())
-    return float(cuts[at[np.argmax(gaps[at])]])
-
-
-def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Column, float]:
-    """(id, label, log_weight and key of each row, from a checkpoint; the key as a function of df's columns; the least key that is kept)."""
+def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> tuple[DataFrame, Column, float, int]:
+    """(id, log_weight and key of each row, from a checkpoint; the key as a function of df's columns; the least key that is kept; the budget)."""
     require(df, id_col, text_col)
+    bound_batches(df.sparkSession)
     sample = labelled_sample(labels)
-    docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id", "left")
-    weigh = weigher(log_ratio(*count_models(docs)))
-    scores = checkpoint(docs.select("id", "label", weigh("text").alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel(F.col("id"))))
-    marked = scores.where("label IS NOT NULL").select("label", "log_weight").limit(4 * SAMPLE).collect()
-    cut = best_cut([r[1] for r in marked if r[0] == 1], [r[1] for r in marked if r[0] != 1])
-    k = scores.where(F.col("log_weight") > cut).count() if cut > float("-inf") else scores.count()
-    return scores, weigh(text_or_empty(text_col)) + gumbel(F.col(id_col)), kth_largest(scores, "key", k)
-
-
-def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, log_weight, key, kept of each row. Other columns are left out."""
-    scores, _, least = score(df, labels, id_col, text_col)
-    return scores.select(F.col("id").alias(id_col), "log_weight", "key", (F.col("key") >= least).alias("kept"))
-
-
-def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    docs = df.select(quoted(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id", "left")
+    target = F.coalesce((F.col("label") == 1) & ~F.col("held"), F.lit(False))
+    weigh = weigher(log_ratio(*count_models(docs.select("text", target.alias("target")))))
+    weighed = checkpoint(docs.select("id", F.when(F.col("held"), F.col("label")).alias("label"), weigh("text").alias("evidence")))
+    held = weighed.where("label IS NOT NULL").groupBy("id").agg(F.min(F.struct("label", "evidence")).alias("x")).select("id", "x.*").orderBy("id").collect()
+    slope, intercept = calibrate(np.array([r.evidence for r in held]), np.array([r.label == 1 for r in held], dtype=bool))
+    odds = lambda evidence: F.round(evidence * slope + intercept, 6)
+    scores = weighed.select("id", odds(F.col("evidence")).alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel(F.col("id")))
+    if budget is None:
+        budget = scores.where("log_weight > 0").count() if held else scores.count()
+    least = kth_largest(scores, "key", budget)
+    return scores, odds(weigh(text_or_empty(text_col))) + gumbel(quoted(id_col)), least, budget
+
+
+def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
+    """id_col, log_weight, key, budget, kept of each row. Other columns are left out."""
+    scores, _, least, k = score(df, labels, id_col, text_col, budget)
+    return scores.select(F.col("id").alias(id_col), "log_weight", "key", F.lit(k).cast("long").alias("budget"), (F.col("key") >= least).alias("kept"))
+
+
+def keep(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int | None = None) -> DataFrame:
     """The rows of df that are drawn, with all their columns. Texts are weighed again rather than moved."""
-    _, key, least = score(df, labels, id_col, text_col)
+    _, key, least, _ = score(df, labels, id_col, text_col, budget)
     return df.where(key >= least)

@@ -13,8 +13,12 @@ A rate becomes copies: its whole part, and one more where a hash of the id falls
 The classifier is a softmax regression over the presence of FEATURES hashed words and runs of word shapes, chosen by chi-square, fitted
 on at most SAMPLE labelled rows, the first by a hash of their id.
 
-Null and empty texts have no tokens; their posteriors are those of no words. Without labelled rows all posteriors go to the
-first domain and its target decides. Rows are weighed and copied one by one, so repeated rows of an id share their rate.
+Null and empty texts have no tokens; their posteriors are those of no words. Texts of any length are read whole. Without labelled rows all
+posteriors go to the first domain and its target decides. Rows are weighed and copied one by one: repeated rows of an id share their rate
+and copies, rows that repeat an id with other texts have their own rates; null ids draw the number of a null. Extra columns of any name
+stay as they are in mix_documents and are left out by rates. A labelled id counts once, whichever of its rows has it: the row of the least text hash.
+
+Tokens are words [^\\x20\\x09-\\x0D]+ here; targets are shares of them.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, encoded, require, text_or_empty
-from lexweave.llm.features import TOTAL, batches
+from lexweave.llm.common import bound_batches, checkpoint, encoded, fresh, quoted, require, text_or_empty
+from lexweave.llm.features import batches, layout
 
 SAMPLE = 6000
 FEATURES = 256
 VIEWS = ("tokens", "shapes")
+TOTAL = layout(VIEWS)[1]
 GRID = 256
 RIDGE = 0.001
 STEPS = 60
@@ -101,7 +106,8 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, domains: int, decay: float = 2e-3,
 def train(docs: DataFrame, sample: DataFrame, domains: list[str]) -> Classifier:
     """docs: id, text. Buckets are chosen and weights fitted on the sample; counts and chosen bits only reach the driver."""
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
-    rows = checkpoint(docs.join(F.broadcast(sample), "id").select("text", number.cast("int").alias("y")).where("y >= 0"))
+    met = docs.join(F.broadcast(sample), "id").select("id", "text", number.cast("int").alias("y"), F.xxhash64("text").alias("h")).where("y >= 0")
+    rows = checkpoint(met.groupBy("id").agg(F.min_by(F.struct("text", "y"), "h").alias("x")).select("x.*"))  # rows that repeat an id are no more than one
 
     def count(tables):
         total = np.zeros((len(domains), TOTAL), dtype=np.int64)
@@ -154,7 +160,8 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         p, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
         return pa.StructArray.from_arrays([pa.array(n), pa.array(p.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["n_tokens", "p"])
 
-    return docs.withColumn("_r", run("text")).select(*docs.columns, "_r.n_tokens", "_r.p")
+    (r,) = fresh(docs, "r")
+    return docs.withColumn(r, run("text")).select(*map(quoted, docs.columns), f"{r}.n_tokens", f"{r}.p")
 
 
 def rate(p: Column, residuals: list[list[float]], ridge: float = RIDGE) -> Column:
@@ -200,6 +207,7 @@ def solve(weighed: DataFrame, target: dict[str, float], domains: list[str], tota
 def rates(df: DataFrame, labels: DataFrame, domain: Column, target: dict[str, float], hold: tuple[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier, list[list[float]]]:
     """(id_col, n_tokens, p, rate and copies of each row, from a checkpoint; the classifier; the residuals of the steps)."""
     require(df, id_col, text_col)
+    bound_batches(df.sparkSession)
     domains = list(target)
     docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     model = train(docs, labelled_sample(labels, domain), domains)
@@ -217,7 +225,7 @@ def _decided(p: Column, id_: Column, residuals: list[list[float]]) -> tuple[Colu
 def mix_documents(df: DataFrame, labels: DataFrame, domain: Column, target: dict[str, float], hold: tuple[str, float] | None = None, total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df's rows, each as often as its copies say, with df's columns. Posteriors are computed again rather than moved."""
     _, model, residuals = rates(df, labels, domain, target, hold, total, id_col, text_col)
-    inner = df.select(F.struct(*(F.col(c) for c in df.columns)).alias("row"), text_or_empty(text_col).alias("text"))
+    inner = df.select(F.struct(*map(quoted, df.columns)).alias("row"), text_or_empty(text_col).alias("text"))
     with_p = posteriors(inner, model)
     copies = _decided(F.col("p"), F.col("row")[id_col], residuals)[1]
     return with_p.select("row", copies).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
