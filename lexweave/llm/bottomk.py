@@ -9,9 +9,11 @@ A sketch keeps the k least hash values of a set. Steps:
    similarity, and what stays far below the threshold goes. The rest is confirmed on the full sets.
 3. A pair in no common short list shares long lists only, at least as many as the least overlap t. Classes in that many take
    part in all their long lists but the t - 1 most common, by one order of all lists: the rarest list that such a pair shares
-   has t - 1 shared ones after it, so both keep it and they meet. Lists are dealt in blocks of bounded size; each block
-   against each other confirms, on full sets, only what joins two components that are still apart in it, and returns a
-   forest instead of all pairs.
+   has t - 1 shared ones after it, so both keep it and they meet. Lists are dealt in blocks of bounded size, and each block
+   meets each other twice. First by sketches alone: a class stays where it has a partner, not yet in its component, that the
+   union's sketch allows. Then those that stay meet with their texts, and what joins two components that are still apart is
+   confirmed on full sets: a forest comes back instead of all pairs. This is done in one list of each class first, the one
+   of its least value, so that large groups of near copies are one component before their other lists are looked at.
 4. Components by alternating large and small stars over the links; a component is named by its least id.
 
 Recall: of a pair at 75 %, the union's k=32 least values are shared with probability 3/4 each, so fewer than 11 have a chance
@@ -131,23 +133,61 @@ class _Rows:
         return out
 
 
-def forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links, confirmed on full sets, that join rows into the components that all links would; side: only rows of different sides meet."""
-    n = len(ids)
-    full, small = _Rows(sets), _Rows([s[:K] for s in sets])
-    least = np.ceil(np.minimum(full.sizes, K) * LEAST / 100)
-    label = np.arange(n)
-    order = np.argsort(full.sizes, kind="stable")
+PAD = (1 << 63) - 1
+
+
+def union_share(one: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a sketch and each of others, rows filled up with PAD: values of the union's sketch that both have, and its size."""
+    x = np.sort(np.concatenate((np.broadcast_to(one, many.shape), many), axis=1), axis=1)
+    real = x < PAD
+    same = (x[:, 1:] == x[:, :-1]) & real[:, 1:]
+    place = np.arange(1, x.shape[1]) - np.cumsum(same, axis=1)
+    return (same & (place < K)).sum(axis=1), np.minimum(real.sum(axis=1) - same.sum(axis=1), K)
+
+
+class Sketches:
+    """Sketches side by side, with the sizes of their sets, a group each, and a side if only rows of different sides meet."""
+
+    def __init__(self, sketches: list[np.ndarray], sizes: np.ndarray, group: np.ndarray, side: np.ndarray | None):
+        self.sizes, self.group, self.side, self.rows = sizes, group, side, _Rows(sketches)
+        self.table = np.full((len(sketches), K), PAD, dtype=np.int64)
+        self.table[np.arange(K) < self.rows.sizes[:, None]] = np.concatenate(sketches)
+        self.least = np.ceil(np.minimum(sizes, K) * LEAST / 100)
+        self.order = np.argsort(sizes, kind="stable")
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each row, smaller sets first, with the later rows of other groups that may be similar enough. Groups and the mask `skip` may change on the way."""
+        self.skip = np.zeros(len(self.sizes), dtype=bool)
+        for at, i in enumerate(self.order.tolist()):
+            others = self.order[at + 1 :]
+            others = others[(self.group[others] != self.group[i]) & (THRESHOLD * self.sizes[others] <= 100 * self.sizes[i])]
+            if self.side is not None:
+                others = others[self.side[others] != self.side[i]]
+            if self.skip[i]:
+                others = others[~self.skip[others]]
+            if len(others):
+                others = others[self.rows.shared(i, others) >= self.least[i]]
+            if len(others):
+                shared, size = union_share(self.table[i], self.table[others])
+                others = others[100 * shared >= LEAST * size]
+            if len(others):
+                yield i, others
+
+
+def with_partners(sketches: Sketches) -> np.ndarray:
+    """Whether each row has a partner."""
+    for i, others in sketches.partners():
+        sketches.skip[i] = sketches.skip[others] = True
+    return sketches.skip
+
+
+def forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links, confirmed on full sets, that join rows into the components that all links and the groups would; side: only rows of different sides meet."""
+    full = _Rows(sets)
+    label = np.arange(len(ids)) if group is None else np.unique(group, return_inverse=True)[1].reshape(-1)
     links = []
-    for at, i in enumerate(order.tolist()):
-        others = order[at + 1 :]
-        others = others[(label[others] != label[i]) & (THRESHOLD * full.sizes[others] <= 100 * full.sizes[i])]
-        if side is not None:
-            others = others[side[others] != side[i]]
-        if len(others):
-            others = others[small.shared(i, others) >= least[i]]
-        if len(others):
-            others = others[_linked(full.shared(i, others), full.sizes[i], full.sizes[others])]
+    for i, others in Sketches([s[:K] for s in sets], full.sizes, label, side).partners():
+        others = others[_linked(full.shared(i, others), full.sizes[i], full.sizes[others])]
         for j in others.tolist():
             if label[i] != label[j]:
                 links.append((ids[i], ids[j]))
@@ -155,12 +195,29 @@ def forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = Non
     return links
 
 
+def _block_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
+    side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf["b"].to_numpy()
+    stay = with_partners(Sketches([np.asarray(x, dtype=np.int64) for x in pdf["sketch"]], pdf["n"].to_numpy(), pdf["group"].to_numpy(), side))
+    return pdf.loc[stay, ["v", "i", "j", "b", "rep", "group"]]
+
+
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("rep").drop_duplicates("rep")
+    pdf = pdf.sort_values("rep")
+    side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf["b"].to_numpy()
     sets = list(shingle_sets([t.encode() for t in pdf["text"]]))
-    found = forest(pdf["rep"].tolist(), sets, None if i == j else pdf["b"].to_numpy())
-    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(forest(pdf["rep"].tolist(), sets, side, pdf["group"].to_numpy()), columns=["a", "b"]).astype("int64")
+
+
+def _in_blocks(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between the groups of classes that share a list. entries: v, rep, n, group."""
+    lists = entries.groupBy("v").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), (F.min("group") < F.max("group")).alias("apart")).where("apart")
+    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
+    dealt = entries.join(lists.select("v", blocks.alias("blocks")), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(classes.select("rep", "sketch"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = dealt.select("v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "group", "sketch")
+    stay = checkpoint(met.groupBy("v", "i", "j").applyInPandas(_block_candidates, "v long, i int, j int, b int, rep long, group long"))
+    texts = _texts_of(docs, checkpoint(classes.join(stay.select("rep").distinct(), "rep", "left_semi").select("id", "h", "rep")))
+    return stay.join(texts, "rep").groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,18 +275,20 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # classes that may be alike with no short list in common
     ranked = Window.partitionBy("rep").orderBy(F.desc("size"), "v")
     needed = _needed_by_any(F.col("n"))
-    dense = lists.where((F.col("size") > SHORT) & (F.col("n_long") >= needed)).withColumn("k", F.row_number().over(ranked)).where(F.col("k") >= needed).select("v", "rep", "n")
-    sizes = dense.groupBy("v").agg(F.count("*").alias("rows"), F.sum("n").alias("all")).where("rows > 1")
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    dense = checkpoint(dense.join(sizes.select("v", blocks.alias("blocks")), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int")))
+    dense = lists.where((F.col("size") > SHORT) & (F.col("n_long") >= needed)).withColumn("k", F.row_number().over(ranked)).where(F.col("k") >= needed)
+    dense = checkpoint(dense.select("v", "rep", "n"))
 
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).union(dense.select("rep")).distinct()
-    texts = checkpoint(_texts_of(docs, checkpoint(classes.join(wanted, "rep", "left_semi").select("id", "h", "rep"))))
+    wanted = checkpoint(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("id", "h", "rep"))
+    texts = checkpoint(_texts_of(docs, wanted))
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    near = pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b")
-    met = dense.join(texts, "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "text")
-    return near.union(met.groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long"))
+    near = checkpoint(pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b"))
+    one_list = dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n"))
+    found = near
+    for entries in (one_list, dense):
+        named = components(found).withColumnsRenamed({"id": "rep", "component": "group"})
+        entries = entries.join(named, "rep", "left").select("v", "rep", "n", F.coalesce("group", "rep").alias("group"))
+        found = checkpoint(found.union(_in_blocks(entries, classes, docs)))
+    return found
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -86,6 +86,48 @@ def test_popular_passage_inside_a_group(spark, seed):
     assert got(frame(spark, data)) == plain([x[:2] for x in data])
 
 
+def test_two_popular_passages_in_one_group(spark):
+    """35 documents hold a common text and passage one, 35 the same and passage two; passage one stands in 200 others. All of the group are linked."""
+    words = lambda name, n: [f"{name}{i}" for i in range(n)]
+    common, one, two = words("c", 124), words("p", 20), words("q", 20)
+    made = [[*common, *one, f"o{i}"] for i in range(35)] + [[*common, *two, f"t{i}"] for i in range(35)] + [[*words(f"z{i}x", 60), *one] for i in range(200)]
+    data = [(i, " ".join(w), None) for i, w in enumerate(made)]
+    assert got(frame(spark, data)) == plain([x[:2] for x in data])
+    assert {r.component_id for r in bottomk.near_duplicates(frame(spark, data[:70])).collect()} == {0}
+
+
+def test_union_share():
+    r = np.random.default_rng(7)
+    for _ in range(200):
+        sets = [np.unique(r.integers(0, 120, r.integers(1, 60))) for _ in range(6)]
+        rows = np.full((6, bottomk.K), bottomk.PAD, dtype=np.int64)
+        for k, s in enumerate(sets):
+            rows[k, : min(len(s), bottomk.K)] = s[: bottomk.K]
+        shared, size = bottomk.union_share(rows[0], rows[1:])
+        for k in range(5):
+            union = sorted({*sets[0][: bottomk.K].tolist(), *sets[k + 1][: bottomk.K].tolist()})[: bottomk.K]
+            both = {*sets[0][: bottomk.K].tolist()} & {*sets[k + 1][: bottomk.K].tolist()} & {*union}
+            assert (shared[k], size[k]) == (len(both), len(union))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_recall_of_links_among_shared_passages(spark, monkeypatch, seed):
+    """Every link of random tables whose texts are put together from passages of all frequencies is found in the components."""
+    monkeypatch.setattr(bottomk, "SHORT", 6)
+    monkeypatch.setattr(bottomk, "BLOCK_ROWS", 24)
+    r = random.Random(seed + 50)
+    passages = [[f"s{seed}p{k}w{i}" for i in range(r.randint(8, 60))] for k in range(25)]
+    made = []
+    for i in range(220):
+        if made and r.random() < 0.6:
+            made.append(edited(r.choice(made), r, r.choice([0.005, 0.02, 0.05])))
+        else:
+            chosen = r.choices(passages, weights=[1 / (k + 1) for k in range(25)], k=r.randint(1, 5))
+            made.append([w for p in chosen for w in p] + [f"own{i}x{k}" for k in range(r.randint(0, 20))])
+    data = [(i, " ".join(w), None) for i, w in enumerate(made)]
+    assert got(frame(spark, data)) == plain([x[:2] for x in data])
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     words = [f"w{i}" for i in range(60)]
     copied, own = " ".join(words), " ".join(f"o{i}" for i in range(60))
