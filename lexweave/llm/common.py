@@ -99,6 +99,22 @@ def read_file(path: str) -> bytes:
         return f.read()
 
 
+#: Keys that lookup() takes for hot: those of more than one row in so many. There can be no more of them than that.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows joined to the table's one row of their key, where there is one. Rows are read twice, so they should be stored.
+
+    Keys of more than one row in HOT meet their row of the table by a broadcast, of HOT rows at most; the others by a shuffle, in which no key is large.
+    """
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.count()
+    hot = checkpoint(sizes.where(F.col("_n") * HOT > total).select(key))
+    some = F.broadcast(table.join(F.broadcast(hot), key, "left_semi"))
+    return rows.join(some, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -15,7 +15,8 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telephony.describe(telephony.store(table(spark, sf_dir, "documents"))).drop("media")
+    stored = telephony.resample(telephony.store(table(spark, sf_dir, "documents")))
+    return telephony.describe(stored, pcm_col="pcm").drop("media", "pcm")
 
 
 def op3_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:

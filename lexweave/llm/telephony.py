@@ -5,7 +5,9 @@ blocks of 64 bytes. Reading expands mu-law and A-law by lookup tables of 256 ent
 decodes all ADPCM blocks side by side, one numpy step for each sample position of a block. PCM of 8 kHz is resampled
 to 16 kHz in whole numbers, so results are the same on any machine.
 
-Null and empty texts give one block of 64 zero bytes. Equal texts give equal media and features.
+Null and empty texts give one block of 64 zero bytes. Equal texts give equal media and features; repeated rows are stored one by one and
+ids may be null or repeat. Texts of any length are stored whole: a row's containers, the longest five times its text, are held at once.
+store() leaves other columns out; resample() and describe() keep them, but for those whose names are of columns that they add.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import chunks, require, text_or_empty
+from lexweave.llm.common import bound_batches, chunks, fresh, quoted, require, text_or_empty
 
 BLOCK = 64
 RATE = 8000
@@ -158,8 +160,9 @@ def store(df: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col:
         for texts in batches:
             yield pa.array([to_wav(pad((t.as_py() or "").encode()), codec) for t in texts], pa.binary())
 
+    bound_batches(df.sparkSession)
     text = text_or_empty(text_col)
-    return df.select(F.col(id_col), F.octet_length(text).cast("long").alias("n_bytes"), wrap(text).alias("media"))
+    return df.select(quoted(id_col), F.octet_length(text).cast("long").alias("n_bytes"), wrap(text).alias("media"))
 
 
 def resample(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -171,43 +174,56 @@ def resample(df: DataFrame, media_col: str = "media") -> DataFrame:
         for media in batches:
             yield pa.array([None if m.as_py() is None else to_wav(double_rate(expand(*from_wav(m.as_py())[::-1])).tobytes(), "pcm") for m in media], pa.binary())
 
-    return df.withColumn("pcm", run(F.col(media_col)))
+    bound_batches(df.sparkSession)
+    return df.select(*(quoted(c) for c in df.columns if c.lower() != "pcm"), run(quoted(media_col)).alias("pcm"))
 
 
-FIELDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, pcm_bytes long, pcm_sha256 string"
+FIELDS = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+PCM_FIELDS = "pcm_bytes long, pcm_sha256 string"
 
 
 def read_features(media: list[bytes]) -> list[tuple]:
     """FIELDS of each container. The feature holds measures() of the payload as mu-law, as A-law and as ADPCM blocks."""
     out: list[tuple] = []
-    payloads = [from_wav(m) for m in media]
-    for a, b in chunks([p for _, p in payloads], 1 << 19):
+    payloads = [from_wav(m)[1] for m in media]
+    for a, b in chunks(payloads, 1 << 18):
         part = payloads[a:b]
-        joined = np.frombuffer(b"".join(p for _, p in part), dtype=np.uint8)
-        starts = np.concatenate(([0], np.cumsum([len(p) for _, p in part])[:-1])).astype(np.int64)
-        mulaw, alaw = MULAW[joined], ALAW[joined]
-        blocks = adpcm_blocks(joined.reshape(-1, BLOCK))
-        kinds = {"mulaw": measures(mulaw, starts), "alaw": measures(alaw, starts), "adpcm": measures(blocks.reshape(-1), starts // BLOCK * PER_BLOCK)}
-        for k, (codec, p) in enumerate(part):
-            at = int(starts[k])
-            samples = {"mulaw": mulaw, "alaw": alaw}[codec][at : at + len(p)] if codec != "adpcm" else blocks[at // BLOCK : (at + len(p)) // BLOCK].reshape(-1)
-            pcm = double_rate(samples).tobytes()
-            out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), ";".join(f"{n}:{v[k]}" for n, v in kinds.items()), len(pcm), hashlib.sha256(pcm).hexdigest()))
+        joined = np.frombuffer(b"".join(part), dtype=np.uint8)
+        starts = np.concatenate(([0], np.cumsum([len(p) for p in part])[:-1])).astype(np.int64)
+        blocks = adpcm_blocks(joined.reshape(-1, BLOCK)).reshape(-1)
+        kinds = {"mulaw": measures(MULAW[joined], starts), "alaw": measures(ALAW[joined], starts), "adpcm": measures(blocks, starts // BLOCK * PER_BLOCK)}
+        for k, p in enumerate(part):
+            out.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), ";".join(f"{n}:{v[k]}" for n, v in kinds.items())))
     return out
 
 
-def describe(df: DataFrame, media_col: str = "media") -> DataFrame:
-    """df with FIELDS read from the stored containers, and media_bytes and media_sha256 of the containers themselves."""
-    require(df, media_col)
+def read_pcm(stored: list[bytes]) -> list[tuple]:
+    """PCM_FIELDS of each container: length and digest of its samples."""
+    return [(len(p), hashlib.sha256(p).hexdigest()) for _, p in map(from_wav, stored)]
+
+
+def _reader(fields: str, read):
+    names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
 
-    @F.arrow_udf(FIELDS)
+    @F.arrow_udf(fields)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        names = [x.split()[0] for x in FIELDS.split(", ")]
-        kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in FIELDS.split(", ")]
-        for media in batches:
-            rows = read_features([m.as_py() for m in media])
+        for stored in batches:
+            rows = read([m.as_py() for m in stored])
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-
-    media = F.col(media_col)
-    return df.withColumns({"media_bytes": F.octet_length(media).cast("long"), "media_sha256": F.sha2(media, 256), "_r": run(media)}).select("*", "_r.*").drop("_r")
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(columns, kinds, strict=True)], list(names))
+
+    return run, names
+
+
+def describe(df: DataFrame, media_col: str = "media", pcm_col: str | None = None) -> DataFrame:
+    """df with FIELDS read from the stored containers, media_bytes and media_sha256 of the containers themselves, and PCM_FIELDS of those of pcm_col."""
+    require(df, media_col, *([pcm_col] if pcm_col else []))
+    bound_batches(df.sparkSession)
+    media, (r, s) = quoted(media_col), fresh(df, "read", "samples")
+    run, names = _reader(FIELDS, read_features)
+    made = {"media_bytes": F.octet_length(media).cast("long"), "media_sha256": F.sha2(media, 256)} | {n: F.col(f"{r}.{n}") for n in names}
+    df = df.withColumn(r, run(media))
+    if pcm_col:
+        run, names = _reader(PCM_FIELDS, read_pcm)
+        df, made = df.withColumn(s, run(quoted(pcm_col))), made | {n: F.col(f"{s}.{n}") for n in names}
+    return df.select(*(quoted(c) for c in df.columns if c not in (r, s) and c.lower() not in made), *(c.alias(n) for n, c in made.items()))

@@ -1,10 +1,15 @@
 """URL filters: rules by host and path, and for the rest a classifier over the words that names are made of.
 
-Host labels and path tokens are concatenated names. Unigram Viterbi splits each into the most likely words, from word
-counts of the corpus; multinomial naive Bayes, trained on labelled urls, scores those words.
+Names are runs of letters of any script in the host and the path, in lower case. Unigram Viterbi splits each distinct name into the most
+likely words, by the counts of all words of the corpus: every stretch of up to LONGEST letters of a name meets its count by a join, so the
+model may be of any size and no task holds it. LONGEST is part of the model: it knows no longer words. Multinomial naive Bayes, trained on
+labelled urls, scores the words; a url's log odds are the prior's and those of its names.
 
-A null url, or one without "://", has an empty host and path; no rule fits it, and the prior alone decides.
-Other columns than the id and the url are left out.
+Names and stretches that very many rows have are looked up by a broadcast of bounded size, the others by a shuffle.
+
+A null url, or one without "://", has an empty host and path; no rule fits it, and the prior alone decides. Urls that a rule decides
+have no score. Repeated rows are judged alike, ids may be null or repeat, urls of any length are read whole (a name's distinct known
+stretches are held in one row), an empty corpus or page table is fine. Other columns than the id and the url are left out.
 """
 
 from __future__ import annotations
@@ -18,27 +23,32 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import checkpoint, kth_largest, require
+from lexweave.llm.common import bound_batches, checkpoint, lookup, quoted, require
 
 #: (verdict, host, path): a rule fits its host and all subdomains, if the url's path starts with the rule's.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: Longest word of the unigram model, and how many words it keeps: the size of the model that executors get.
-LONGEST, WORDS = 24, 50_000
-#: Labelled urls from which the classifier is trained unless others are given.
+#: Letters of the unigram model's longest words.
+LONGEST = 24
+#: How often the words of labelled urls count as met, at least.
+MET = 5
+#: Labelled urls from which the classifier is trained unless others are given; hyphens part their words. Invented for this library.
 BLOCKED = """
-https://cheap-meds.example/buy https://pillstore.example/order https://casinobonus.example/win https://freemoney.example/now https://spamhub.example/links
-https://linkfarm.example/seo https://pokerwinner.example/bet https://cheaploans.example/apply https://buyviagra.example/pills https://hotcasino.example/slots
-https://get-rich-quick.example/cash https://luckyprize.example/claim https://cheaprolex.example/replica https://spamoffers.example/deal https://farmlinks.example/spam
-https://pillsonline.example/cheap https://adultcams.example/live https://xxxvideos.example/hot https://clickbait.example/win https://freecasino.example/bonus
+https://cheap-meds.example/buy-pills https://pill-store.example/order-cheap-pills https://casino-bonus.example/win-money https://free-money.example/claim-now https://spam-hub.example/link-farm
+https://link-farm.example/spam-links https://poker-winner.example/bet-money https://cheap-loans.example/apply-now https://buy-meds.example/cheap-pills https://hot-casino.example/slots-bonus
+https://get-rich-quick.example/free-cash https://lucky-prize.example/claim-bonus https://cheap-replica.example/buy-replica https://spam-offers.example/hot-deal https://farm-links.example/spam-hub
+https://pills-online.example/cheap-meds https://adult-cams.example/live-adult https://hot-videos.example/adult-live https://click-bait.example/win-prize https://free-casino.example/slots-win
+https://ads-server.example/track-click https://track-ads.example/click-banner https://banner-ads.example/click-track https://adult-videos.example/hot-cams https://win-cash.example/lucky-slots
+https://replica-store.example/cheap-deal https://bet-bonus.example/poker-casino https://quick-loans.example/cash-now https://click-farm.example/ads-track https://prize-claim.example/free-win
 """
 ALLOWED = """
-https://dailynews.example/world https://cityhistory.example/archive https://openlibrary.example/books https://sciencejournal.example/article https://recipes.example/bread
-https://weather.example/today https://university.example/course https://museum.example/art https://softwaredocs.example/guide https://health.example/advice
-https://blog.example/travel https://www.example/about https://m.example/page https://gardening.example/roses https://musicschool.example/lessons
-https://localsports.example/results https://parliament.example/debates https://mathforum.example/question https://birdwatch.example/species https://wiki.example/index
-https://townhall.example/minutes https://homework.example/help https://railway.example/timetable https://astronomy.example/stars https://poetry.example/anthology
+https://daily-news.example/world-news https://city-history.example/archive-history https://open-library.example/books-archive https://science-journal.example/article-science https://bread-recipes.example/home-recipes
+https://weather-today.example/local-weather https://university-course.example/science-course https://art-museum.example/history-art https://software-docs.example/guide-docs https://health-advice.example/guide-health
+https://travel-blog.example/city-guide https://www.example/about https://m.example/page https://garden-roses.example/home-garden https://music-school.example/music-lessons
+https://local-sports.example/sports-results https://parliament-debates.example/news-archive https://math-forum.example/question-help https://bird-watch.example/bird-guide https://open-wiki.example/index
+https://town-hall.example/local-news https://home-work.example/help-lessons https://railway-travel.example/city-guide https://star-science.example/weather-world https://poetry-books.example/library-archive
+https://blog.example/article https://school-lessons.example/math-course https://world-history.example/museum-guide https://museum-library.example/open-books https://health-journal.example/advice-article
 """
-_WORD = re.compile(r"[a-z]+")
+_LETTERS = r"\p{L}+"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -56,47 +66,40 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def word_counts(texts: DataFrame, column: str, most: int = WORDS) -> dict[str, int]:
-    """Counts, over all rows, of the words a-z of 1 to 24 letters outside tags: of the `most` most frequent, without those that
-    tie with the next. Where the counts are cut is found on the executors, so the driver gets no more than it keeps."""
-    plain = F.lower(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), "<[^>]*>", " "))
-    counted = texts.select(F.explode(F.split(plain, "[^a-z]+")).alias("w")).where(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").cast("double").alias("n"))
-    counted = checkpoint(counted)
-    if counted.count() > most:
-        counted = counted.where(F.col("n") > kth_largest(counted, "n", most + 1))
-    return {r.w: int(r.n) for r in counted.collect()}
-
-
-class Segmenter:
-    """Most likely splits of names under a unigram model; an unknown stretch costs more with each letter."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) or 1
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.unknown = [math.log(total) + math.log(10) * k for k in range(LONGEST + 1)]
-        self.memo: dict[str, list[str]] = {}
-
-    def split(self, name: str) -> list[str]:
-        """The words of a name of letters a-z."""
-        if (known := self.memo.get(name)) is not None:
-            return known
-        best, last = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            c, s = min((best[start] + self.cost.get(name[start:end], self.unknown[end - start]), start) for start in range(max(0, end - LONGEST), end))
-            best.append(c), last.append(s)
-        words, end = [], len(name)
-        while end:
-            words.append(name[last[end] : end])
-            end = last[end]
-        words.reverse()
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        if len(name) <= 64:
-            self.memo[name] = words
-        return words
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        return [w for part in _WORD.findall(f"{host} {path.lower()}") for w in self.split(part)]
+def word_counts(texts: DataFrame, column: str) -> DataFrame:
+    """w, n: how often each word of up to LONGEST letters stands outside tags, over all rows; combined before the shuffle, from a checkpoint."""
+    plain = F.lower(F.regexp_replace(F.coalesce(quoted(column), F.lit("")), "<[^>]*>", " "))
+    words = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("w")).where(F.length("w").between(1, LONGEST))
+    return checkpoint(words.groupBy("w").agg(F.count("*").alias("n")))
+
+
+def viterbi(name: str, counts: dict[str, int], total: int) -> list[str]:
+    """The most likely words of a name under a unigram model of `total` words; an unknown stretch costs more with each letter."""
+    best, last = [0.0], [0]
+    whole = math.log(total or 1)
+    for end in range(1, len(name) + 1):
+        cost, start = min((best[s] + (whole - math.log(n) if (n := counts.get(name[s:end])) else whole + math.log(10) * (end - s)), s) for s in range(max(0, end - LONGEST), end))
+        best.append(cost), last.append(start)
+    words, end = [], len(name)
+    while end:
+        words.append(name[last[end] : end])
+        end = last[end]
+    return words[::-1]
+
+
+def segment(names: DataFrame, counts: DataFrame, total: int) -> DataFrame:
+    """name, words of each row of names (name, distinct), from a checkpoint."""
+    bound_batches(names.sparkSession)
+    ahead = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name"))).alias("at")).where("name <> ''").select("name", F.substring("name", F.col("at"), F.lit(LONGEST)).alias("ahead"))
+    pieces = ahead.select("name", F.explode(F.transform(F.sequence(F.lit(1), F.length("ahead")), lambda k: F.substring("ahead", F.lit(1), k))).alias("w"))
+    met = lookup(checkpoint(pieces.distinct()), "w", counts).groupBy("name").agg(F.collect_list(F.struct("w", "n")).alias("met"))
+
+    @F.arrow_udf("array<string>")
+    def split(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for name, met in batches:
+            yield pa.array([viterbi(x, {m["w"]: m["n"] for m in known or ()}, total) for x, known in zip(name.to_pylist(), met.to_pylist(), strict=True)], pa.list_(pa.string()))
+
+    return checkpoint(names.join(met, "name", "left").select("name", split("name", "met").alias("words")))
 
 
 class NaiveBayes:
@@ -112,50 +115,46 @@ class NaiveBayes:
         self.prior = math.log((rows[1] + 1) / (rows[0] + 1))
         self.weight = {w: math.log((count[1][w] + 1) / size[1]) - math.log((count[0][w] + 1) / size[0]) for w in vocabulary}
 
-    def score(self, words: list[str]) -> float:
+    def score(self, words: Iterable[str]) -> float:
         """Log odds of block."""
         return self.prior + sum(self.weight.get(w, 0.0) for w in words)
 
 
-def _parts(url: str) -> tuple[str, str]:
-    m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
-    return (m[1].lower(), m[2]) if m else ("", "")
+def names_of(host: Column, path: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.concat_ws(" ", host, path)), F.lit(_LETTERS), F.lit(0))
 
 
-def train(counts: dict[str, int], labelled: Iterable[tuple[str, bool]] | None = None) -> tuple[Segmenter, NaiveBayes]:
-    """The models, from corpus word counts and labelled (url, blocked). Words joined by hyphens in labelled urls, and the labelled
-    words that the corpus doesn't have, are known to the segmenter as if met five times."""
-    labelled = list(labelled) if labelled is not None else [(u, True) for u in BLOCKED.split()] + [(u, False) for u in ALLOWED.split()]
-    known = Counter(counts)
-    for w in VOCABULARY.split():
-        known[w] = max(known[w], 5)
-    segmenter = Segmenter(known)
-    return segmenter, NaiveBayes((segmenter.tokens(*_parts(u)), b) for u, b in labelled)
+def default_labels() -> list[tuple[str, bool]]:
+    return [(u, True) for u in BLOCKED.split()] + [(u, False) for u in ALLOWED.split()]
 
 
-#: Words that names in labelled urls are made of; fixed values.
-VOCABULARY = """
-cheap meds buy pill pills store order casino bonus win free money now spam hub links link farm seo poker winner bet loans apply viagra hot slots get rich quick cash
-lucky prize claim rolex replica offers deal online adult cams live xxx videos click bait daily news world city history archive open library books science journal
-article recipes bread weather today university course museum art software docs guide health advice blog travel www about page gardening roses music school lessons
-local sports results parliament debates math forum question bird watch species wiki index town hall minutes home work help railway timetable astronomy stars poetry
-anthology example
-"""
+def train(counts: DataFrame, labelled: Iterable[tuple[str, bool]] | None = None) -> tuple[DataFrame, int, NaiveBayes]:
+    """(counts with the labelled urls' words, their sum, the classifier). The labelled urls, a parameter, are held on the driver."""
+    spark = counts.sparkSession
+    rows = spark.createDataFrame([(u, bool(b), k) for k, (u, b) in enumerate(default_labels() if labelled is None else labelled)], "url string, blocked boolean, k long")
+    rows = rows.select("k", "blocked", F.explode_outer(names_of(*host_path(F.col("url")))).alias("name"))
+    known = rows.select(F.col("name").alias("w"), F.lit(MET).cast("long").alias("n")).where(F.length("w").between(1, LONGEST)).distinct()
+    counts = checkpoint(counts.unionByName(known).groupBy("w").agg(F.max("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    split = {r.name: r.words for r in segment(rows.select("name").where("name IS NOT NULL").distinct(), counts, total).collect()}
+    urls: dict[int, tuple[list[str], bool]] = {}
+    for r in rows.orderBy("k").collect():
+        urls.setdefault(r.k, ([], r.blocked))[0].extend(split.get(r.name, ()))
+    return counts, total, NaiveBayes(urls.values())
 
 
-def judge(df: DataFrame, counts: dict[str, int], labelled: Iterable[tuple[str, bool]] | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """id_col, host, path, rule (null if none fits), score (log odds of block), verdict of each row."""
+def judge(df: DataFrame, counts: DataFrame, labelled: Iterable[tuple[str, bool]] | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """id_col, host, path, rule (null if none fits), score (log odds of block, without a rule), verdict of each row. counts: of word_counts()."""
     require(df, id_col, url_col)
-    labelled = list(labelled) if labelled is not None else None
-
-    @F.arrow_udf("double")
-    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        segmenter, bayes = train(counts, labelled)
-        for hosts, paths in batches:
-            yield pa.array([bayes.score(segmenter.tokens(h.as_py(), p.as_py())) for h, p in zip(hosts, paths, strict=True)], pa.float64())
-
-    host, path = host_path(F.col(url_col))
-    out = df.select(F.col(id_col), host.alias("host"), path.alias("path"))
-    out = out.withColumns({"score": scored("host", "path"), "_rule": fitting_rule(F.col("host"), F.col("path"), rules)})
-    verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), "score", verdict.alias("verdict"))
+    counts, total, bayes = train(counts, labelled)
+    host, path = host_path(quoted(url_col))
+    pages = df.select(quoted(id_col).alias("id"), host.alias("host"), path.alias("path")).withColumn("fits", fitting_rule(F.col("host"), F.col("path"), rules))
+    pages = checkpoint(pages.withColumn("row", F.monotonically_increasing_id()))
+    parts = checkpoint(pages.where("fits IS NULL").select("row", F.explode(names_of(F.col("host"), F.col("path"))).alias("name")))
+    weight = F.create_map(*(F.lit(x) for pair in sorted(bayes.weight.items()) for x in pair)) if bayes.weight else F.create_map().cast("map<string,double>")
+    words = segment(parts.select("name").distinct(), counts, total)
+    weighed = words.select("name", F.aggregate("words", F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(weight, w), F.lit(0.0))).alias("x"))
+    sums = lookup(parts, "name", weighed.where("x <> 0")).groupBy("row").agg(F.sum("x").alias("x"))
+    out = pages.join(sums, "row", "left").withColumn("score", F.when(F.col("fits").isNull(), F.round(F.coalesce("x", F.lit(0.0)) + bayes.prior, 9)))
+    verdict = F.coalesce(F.col("fits.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return out.select(F.col("id").alias(id_col), "host", "path", F.col("fits.rule").alias("rule"), "score", verdict.alias("verdict"))

@@ -77,11 +77,30 @@ def test_edge_rows(spark):
 
 
 def test_features_and_pcm_by_one_document(spark):
-    rows = tel.describe(tel.resample(tel.store(frame(spark), "adpcm"))).collect()
+    rows = tel.describe(tel.resample(tel.store(frame(spark), "adpcm")), pcm_col="pcm").collect()
     for r in rows:
+        assert r.pcm_bytes == len(tel.from_wav(bytes(r.pcm))[1])
         codec, payload = tel.from_wav(bytes(r.media))
         samples = tel.expand(payload, codec)
         pcm = tel.double_rate(samples).tobytes()
         assert tel.from_wav(bytes(r.pcm)) == ("pcm", pcm) and r.pcm_sha256 == hashlib.sha256(pcm).hexdigest()
         x = samples.astype(int)
         assert r.feature.endswith(f"adpcm:{len(x)},{(x * x).sum()},{np.abs(x).max()},{((x[1:] < 0) != (x[:-1] < 0)).sum()}")
+
+
+def test_columns_that_clash(spark):
+    """Added columns take the place of those of their names; all others stay, whatever they are called."""
+    stored = tel.store(frame(spark)).selectExpr("*", "'x' AS feature", "'x' AS Pcm", "'x' AS _read", "'x' AS _r")
+    out = tel.describe(tel.resample(stored), pcm_col="pcm")
+    assert [c.lower() for c in out.columns].count("feature") == [c.lower() for c in out.columns].count("pcm") == 1
+    assert {(r._read, r._r) for r in out.collect()} == {("x", "x")} and all(r.feature.startswith("mulaw:") for r in out.collect())
+
+
+def test_query_stores_what_it_describes(spark, sf):
+    from lexweave.llm import queries
+
+    out = {r.doc_id: r for r in queries.op2_telephony(spark, sf).collect()}
+    for r in table(spark, sf, "documents").collect():
+        payload = tel.pad((r.text or "").encode())
+        pcm = tel.double_rate(tel.expand(payload, "mulaw")).tobytes()
+        assert (out[r.doc_id].pcm_bytes, out[r.doc_id].pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
