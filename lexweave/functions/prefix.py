@@ -6,23 +6,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PARTS = 64
-
-
-def chunk(df: DataFrame, column: str, parts: int = PARTS):
-    """A number for each row that ascends with a numeric column; about equally many rows have each."""
-    bounds = sorted({b for b in df.approxQuantile(column, [i / parts for i in range(1, parts)], 0.5 / parts)})
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
-
-
-def running(df: DataFrame, order: list[str], value: str, name: str, parts: int = PARTS) -> DataFrame:
+from lexweave.functions.stored import stored
+
+#: Rows of a chunk: of order columns and one number each, so a chunk is some tens of megabytes at any size of the table.
+CHUNK_ROWS = 1_000_000
+#: Chunks that bounds are looked for at once; more chunks take a second level within each.
+LEVEL = 512
+
+
+def _chunks(rows: DataFrame, column: str, n: int):
+    """A number for each row that ascends with a numeric column; about CHUNK_ROWS of n rows have each, but for rows of one value."""
+    parts = -(-n // CHUNK_ROWS)
+    bounds = sorted(set(rows.approxQuantile(column, [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    if not bounds:
+        return F.lit(0)
+    # bounds in two levels, so that a row is compared with a few dozen of them, not all
+    groups = [bounds[i : i + LEVEL] for i in range(0, len(bounds), LEVEL)]
+    inner = lambda g: F.size(F.filter(F.array(*map(F.lit, g)), lambda b: b <= F.col(column)))
+    out = F.lit(0)
+    for k, g in enumerate(groups):
+        out = F.when(F.col(column) >= g[0], F.lit(k * LEVEL) + inner(g)).otherwise(out) if k else inner(g)
+    return out
+
+
+def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
     """df with the sum of `value` over all rows before each, in the order of columns that are unique together; the first is numeric.
 
-    Sums within chunks of the order run side by side; those of the chunks before, one row for each chunk, are added.
+    df is read twice, so it should be a table or stored. Only the order and the value go through sorting: sums within chunks of the order run side by side, those of the
+    chunks before, one row for each chunk, are added, and each row of df then meets its own sum.
     """
-    dealt = df.withColumn("_chunk", chunk(df, order[0], parts))
+    rows = stored(df.select(*order, F.col(value).alias("_value")))
+    dealt = rows.withColumn("_chunk", _chunks(rows, order[0], rows.count()))
     own = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = dealt.groupBy("_chunk").agg(F.sum(value).alias("_sum"))
+    sums = dealt.groupBy("_chunk").agg(F.sum("_value").alias("_sum"))
     before = sums.select("_chunk", (F.sum("_sum").over(Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum")).alias("_before"))
-    out = dealt.join(F.broadcast(before), "_chunk").withColumn(name, F.col("_before") + F.sum(value).over(own) - F.col(value))
-    return out.drop("_chunk", "_before")
+    placed = dealt.join(F.broadcast(before), "_chunk").select(*order, (F.col("_before") + F.sum("_value").over(own) - F.col("_value")).alias(name))
+    return df.join(placed, order)

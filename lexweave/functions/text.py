@@ -18,13 +18,22 @@ WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS_RE2 = r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+#: The same 29 characters themselves.
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(SPACES))
+
+
+def collapse(text: Column) -> Column:
+    """Each run of white space one space; runs that are one already are not touched."""
+    return F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " ")
 
 
 def normalize(text: Column) -> Column:
     """Stripped, lower-cased, each run of white space one space."""
-    return F.regexp_replace(F.lower(strip(text)), f"[{WS}]+", " ")
+    return collapse(F.lower(strip(text)))
 
 
 def words(text: Column) -> Column:

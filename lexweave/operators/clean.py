@@ -40,7 +40,7 @@ def clean_text(text: Column, o: CleanOptions = CleanOptions()) -> Column:
         size = lambda x: F.length(strip(x))
         text = F.array_join(F.filter(lines(text), lambda x: (size(x) == 0) | (size(x) >= o.min_line_length)), "\n")
     if o.collapse_whitespace:
-        text = F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), "\n{3,}", "\n\n")
+        text = F.regexp_replace(F.regexp_replace(text, "[ \t]{2,}|\t", " "), "\n{3,}", "\n\n")
         text = F.array_join(F.transform(lines(text), strip), "\n")
     return strip(text) if o.strip_ends else text
 

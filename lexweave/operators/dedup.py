@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.once import once
+from lexweave.functions.stored import stored
 from lexweave.functions.text import jaccard, normalize, shingles, words
 
 
@@ -20,13 +21,15 @@ def exact_dedup(df: DataFrame, text_col: str = "text", order_col: str = "pos") -
     """The first row, by order_col, of each normalised text; null texts count as empty.
 
     One aggregation finds the first position of each hash, combined before the shuffle, so a text with very many copies is
-    no heavier than another; the rows themselves then meet only their own hash's position.
+    no heavier than another; the rows themselves then meet only that position, and a plain hash of the text in case positions repeat.
+    df is read twice: costly steps before it should be stored.
     """
     if text_col not in df.columns:
         raise KeyError(text_col)
-    marked = df.withColumn("_h", exact_hash(F.coalesce(F.col(text_col), F.lit(""))))
-    first = marked.groupBy("_h").agg(F.min(order_col).alias("_first")).select(F.col("_first"))
-    return df.join(first, F.col(order_col) == F.col("_first"), "left_semi")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    first = df.groupBy(exact_hash(text).alias("_hash")).agg(F.min(F.struct(F.col(order_col).alias("at"), F.xxhash64(text).alias("raw"))).alias("_first"))
+    first = first.select(F.col("_first.at").alias("_at"), F.col("_first.raw").alias("_raw"))
+    return df.join(first, (F.col(order_col) == F.col("_at")) & (F.xxhash64(text) == F.col("_raw")), "left_semi")
 
 
 def duplicate_clusters(df: DataFrame, text_col: str = "text", order_col: str = "pos") -> DataFrame:
@@ -42,7 +45,10 @@ def shingle_sets(df: DataFrame, text_col: str, order_col: str, shingle_size: int
 
 
 def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int, num_perm: int, hash: str = "xxhash64") -> DataFrame:
-    """order_col, the shingle set and the MinHash signature (zeros for an empty set) of each row."""
+    """order_col, `key` (of the shingle set; equal sets have one) and the MinHash signature (zeros for an empty set) of each row.
+
+    xxhash64: each shingle is hashed once, its 64-bit hash then with each permutation's number.
+    """
     sets = shingle_sets(df, text_col, order_col, shingle_size)
     if hash == "blake2b":
 
@@ -55,46 +61,61 @@ def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int,
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             return pd.Series([[signed(low([s.encode() for s in items], seed)) for seed in range(num_perm)] for items in batch])
 
-        return sets.withColumn("signature", run("set"))
-    exploded = sets.select("pos", F.explode_outer("set").alias("s"))
-    low = exploded.groupBy("pos").agg(*(F.coalesce(F.min(F.when(F.col("s").isNotNull(), F.xxhash64(F.lit(i), "s"))), F.lit(0)).alias(f"h{i}") for i in range(num_perm)))
-    return sets.join(low.select("pos", F.array(*(f"h{i}" for i in range(num_perm))).alias("signature")), "pos")
+        return sets.select("pos", F.sha2(F.array_join(F.array_sort("set"), "\0"), 256).alias("key"), run("set").alias("signature"))
+    hashed = sets.select("pos", F.sha2(F.array_join(F.array_sort("set"), "\0"), 256).alias("key"), F.explode_outer(F.transform("set", lambda s: F.xxhash64(s))).alias("h"))
+    low = hashed.groupBy("pos", "key").agg(*(F.coalesce(F.min(F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(i), "h"))), F.lit(0)).alias(f"h{i}") for i in range(num_perm)))
+    return low.select("pos", "key", F.array(*(f"h{i}" for i in range(num_perm))).alias("signature"))
 
 
 def similar_pairs(df: DataFrame, text_col: str = "text", order_col: str = "pos", shingle_size: int = 5, num_perm: int = 64, num_bands: int = 16, similarity_threshold: float = 0.8, hash: str = "xxhash64") -> DataFrame:
-    """a < b, similarity, and where the pair first meets (head of the bucket, band), of pairs that share a band and are similar enough."""
+    """a < b, similarity, and where the pair first meets (head of the bucket, band), of pairs that share a band and are similar enough.
+
+    It lists all pairs, so b equal rows are b squared of them; near_dedup() doesn't.
+    """
+    _check(df, text_col, num_perm, num_bands, similarity_threshold)
+    signed = signatures(df, text_col, order_col, shingle_size, num_perm, hash)
+    return _close(df, _met(signed, num_perm, num_bands), text_col, order_col, shingle_size, similarity_threshold)
+
+
+def _check(df: DataFrame, text_col: str, num_perm: int, num_bands: int, similarity_threshold: float) -> None:
     if num_perm % num_bands:
         raise ValueError("num_perm must be divisible by num_bands")
     if not 0 <= similarity_threshold <= 1:
         raise ValueError("similarity_threshold must be between 0 and 1")
     if text_col not in df.columns:
         raise KeyError(text_col)
+
+
+def _met(signed: DataFrame, num_perm: int, num_bands: int) -> DataFrame:
+    """a < b and the least (head, band) of the buckets that hold both. Only positions and keys of buckets move; buckets of very many rows are a skewed join."""
     rows = num_perm // num_bands
-    signed = signatures(df, text_col, order_col, shingle_size, num_perm, hash)
     keys = F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, rows)))
-    buckets = signed.select("pos", F.posexplode(keys).alias("band", "key"))
+    buckets = stored(signed.select("pos", F.posexplode(keys).alias("band", "key")))
     heads = buckets.groupBy("band", "key").agg(F.min("pos").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     shared = buckets.join(heads, ["band", "key"])
     one, two = shared.select("band", "key", "head", F.col("pos").alias("a")), shared.select("band", "key", F.col("pos").alias("b"))
-    met = one.join(two, ["band", "key"]).where("a < b").groupBy("a", "b").agg(F.min(F.struct("head", "band")).alias("at"))
-    x, y = signed.select(F.col("pos").alias("a"), F.col("set").alias("x")), signed.select(F.col("pos").alias("b"), F.col("set").alias("y"))
-    close = met.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= similarity_threshold)
+    return one.join(two, ["band", "key"]).where("a < b").groupBy("a", "b").agg(F.min(F.struct("head", "band")).alias("at"))
+
+
+def _close(df: DataFrame, met: DataFrame, text_col: str, order_col: str, shingle_size: int, least: float) -> DataFrame:
+    """The pairs whose sets are similar enough. Sets are made for rows of candidate pairs only."""
+    met = stored(met)
+    wanted = met.select(F.explode(F.array("a", "b")).alias(order_col)).distinct()
+    sets = shingle_sets(df.join(wanted, order_col, "left_semi"), text_col, order_col, shingle_size)
+    x, y = sets.select(F.col("pos").alias("a"), F.col("set").alias("x")), sets.select(F.col("pos").alias("b"), F.col("set").alias("y"))
+    close = met.join(x, "a").join(y, "b").withColumn("similarity", jaccard(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
     return close.select("a", "b", "similarity", "at.head", "at.band")
 
 
 def components(pairs: DataFrame) -> DataFrame:
     """pos and component (its least position) of every position in the pairs (a, b): least labels spread until none changes."""
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
-    spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    edges = edges.checkpoint()
-    labels = edges.groupBy(F.col("a").alias("pos")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()
+    edges = stored(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
+    labels = stored(edges.groupBy(F.col("a").alias("pos")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = edges.join(labels.withColumnRenamed("pos", "b"), "b").groupBy(F.col("a").alias("pos")).agg(F.min("component").alias("m"))
         new = labels.join(near, "pos").select("pos", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("changed"))
         jumped = new.join(new.select(F.col("pos").alias("component"), F.col("component").alias("further")), "component", "left")
-        new = jumped.select("pos", F.coalesce("further", "component").alias("component"), F.col("changed")).checkpoint()
+        new = stored(jumped.select("pos", F.coalesce("further", "component").alias("component"), F.col("changed")))
         labels = new.drop("changed")
         if not new.where("changed").limit(1).count():
             return labels
@@ -109,16 +130,19 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"pos": np.array(sorted(gone), dtype="int64")})
 
 
-def near_dedup(df: DataFrame, text_col: str = "text", order_col: str = "pos", **options) -> DataFrame:
+def near_dedup(df: DataFrame, text_col: str = "text", order_col: str = "pos", shingle_size: int = 5, num_perm: int = 64, num_bands: int = 16, similarity_threshold: float = 0.8, hash: str = "xxhash64") -> DataFrame:
     """df without the later of two similar rows, where pairs are walked bucket by bucket and a dropped row drops no other.
 
-    A pair matters only where it first meets, and only within its component, so components replay their pairs by themselves.
+    A row whose set an earlier row has too is always dropped: it shares all buckets with that row, and whoever drops that row
+    first drops it next, before it could drop another. So sets that repeat take part with their first row only, and a text with very many copies makes no
+    pairs. A pair of the others matters only where it first meets, and only within its component, so components replay their pairs by themselves.
+    df is read three times: costly steps before it should be stored.
     """
-    pairs = similar_pairs(df, text_col, order_col, **options)
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "file:///tmp/checkpoints"))
-    pairs = pairs.checkpoint()
+    _check(df, text_col, num_perm, num_bands, similarity_threshold)
+    signed = stored(signatures(df, text_col, order_col, shingle_size, num_perm, hash))
+    first = stored(signed.groupBy("key").agg(F.min("pos").alias("pos"), F.count("*").alias("n")))
+    pairs = stored(_close(df, _met(signed.join(first.select("pos"), "pos", "left_semi"), num_perm, num_bands), text_col, order_col, shingle_size, similarity_threshold))
     named = pairs.join(components(pairs).withColumnRenamed("pos", "a"), "a")
     gone = named.select("component", "a", "b", "head", "band").groupBy("component").applyInPandas(_replay, "pos long")
-    return df.join(gone.withColumnRenamed("pos", "_gone"), F.col(order_col) == F.col("_gone"), "left_anti")
+    again = signed.join(first.where("n > 1").withColumnRenamed("pos", "_first"), "key").where(F.col("pos") > F.col("_first")).select("pos")
+    return df.join(gone.union(again).withColumnRenamed("pos", "_gone"), F.col(order_col) == F.col("_gone"), "left_anti")

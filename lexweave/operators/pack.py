@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.prefix import running
+from lexweave.functions.stored import stored
 
 
 def token_width(vocab_size: int) -> str:
@@ -26,8 +27,8 @@ def end_of_text(df: DataFrame, eos: int, text_col: str = "text", tokens_col: str
 
 
 def offsets(df: DataFrame, tokens_col: str = "tokens", order_col: str = "pos") -> DataFrame:
-    """df with n_tokens and the offset of its first token in the packed array."""
-    return running(df.withColumn("n_tokens", F.size(tokens_col).cast("long")), [order_col], "n_tokens", "offset")
+    """df with n_tokens and the offset of its first token in the packed array. The tokens are evaluated once and stored."""
+    return running(stored(df.withColumn("n_tokens", F.size(tokens_col).cast("long"))), [order_col], "n_tokens", "offset")
 
 
 def _pieces(placed: DataFrame, first: Column, last: Column, start: Column, size: int, name: str, tokens_col: str) -> DataFrame:

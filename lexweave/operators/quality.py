@@ -33,13 +33,13 @@ class QualityOptions:
 
 def metrics(text: Column) -> dict[str, Column]:
     """Column expressions; the ratios are null where a text has no such characters or lines."""
-    dense = F.length(F.regexp_replace(text, f"[{WS}]", ""))
+    dense = F.length(F.regexp_replace(text, f"[{WS}]+", ""))  # runs, so that one match takes many characters
     kept = F.filter(F.transform(lines(text), strip), lambda x: x != "")
     return {
         "n_chars": F.length(text),
         "n_words": F.regexp_count(text, F.lit(f"[^{WS}]+")),
-        "symbol_ratio": F.when(dense > 0, F.length(F.regexp_replace(text, rf"[{WS}\p{{L}}0-9]", "")) / dense),
-        "alpha_ratio": F.when(dense > 0, F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / dense),
+        "symbol_ratio": F.when(dense > 0, F.length(F.regexp_replace(text, rf"[{WS}\p{{L}}0-9]+", "")) / dense),
+        "alpha_ratio": F.when(dense > 0, F.length(F.regexp_replace(text, r"[^\p{L}]+", "")) / dense),
         "repetition": F.when(F.size(kept) > 0, F.lit(1.0) - F.size(F.array_distinct(kept)) / F.size(kept)),
     }
 

@@ -84,10 +84,11 @@ def recovered_prompt(input_ids: Column, labels: Column) -> Column:
 def pad_batches(df: DataFrame, batch_size: int, pad: int = 0, order_col: str = "pos", drop_last: bool = False) -> DataFrame:
     """df in batches of batch_size rows in order: batch_id, input_ids and labels padded to the batch's longest, attention_mask."""
     from lexweave.functions.prefix import running
+    from lexweave.functions.stored import stored
 
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
-    placed = running(df.withColumn("_one", F.lit(1)), [order_col], "_one", "_place").drop("_one")
+    placed = running(stored(df.withColumn("_one", F.lit(1))), [order_col], "_one", "_place").drop("_one")
     placed = placed.withColumn("batch_id", F.floor(F.col("_place") / batch_size)).drop("_place")
     batch = Window.partitionBy("batch_id")
     placed = placed.withColumns({"_longest": F.max(F.size("input_ids")).over(batch), "_rows": F.count("*").over(batch)})

@@ -44,6 +44,7 @@ def split(df: DataFrame, train: float = 0.98, validation: float = 0.01, test: fl
     n = df.count()
     if not n:
         raise ValueError("nothing to split")
+    # df is read again below, next to its order columns alone: costly steps before it should be stored
     if mode == "parity":
         order = list(range(n))
         random.Random(seed).shuffle(order)

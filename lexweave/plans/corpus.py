@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions.stored import stored
 from lexweave.operators import pack, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.operators.dedup import exact_dedup, near_dedup
@@ -89,8 +90,15 @@ def collected(spark: SparkSession, o: CollectOptions) -> DataFrame:
 
 
 def prepare(docs: DataFrame, config: CorpusConfig = CorpusConfig(), steps: tuple[str, ...] = STEPS[1:]) -> DataFrame:
-    """Applies steps in the order given to documents with text and pos; one lazy plan."""
+    """Applies steps in the order given to documents with text and pos.
+
+    Deduplication and splits read their input more than once, so what cleaning and filtering made is stored before them, once.
+    """
+    made = False
     for step in steps:
+        if step in ("deduplicate", "split") and made:
+            docs, made = stored(docs), False
+        made = made or step in ("clean", "filter", "deduplicate")
         if step == "clean":
             docs = clean(docs, config.clean)
         elif step == "filter":
@@ -100,6 +108,7 @@ def prepare(docs: DataFrame, config: CorpusConfig = CorpusConfig(), steps: tuple
             if o.run_exact_dedup:
                 docs = exact_dedup(docs)
             if o.run_near_dedup:
+                docs = stored(docs) if o.run_exact_dedup else docs
                 docs = near_dedup(docs, shingle_size=o.shingle_size, num_perm=o.num_perm, num_bands=o.num_bands, similarity_threshold=o.similarity_threshold)
         elif step == "split":
             o = config.split

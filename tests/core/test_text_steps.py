@@ -90,17 +90,20 @@ def walk(sets, bands):
     return gone
 
 
-@pytest.mark.parametrize("hash", ["xxhash64", "blake2b"])
-def test_near_dedup_is_the_walk(spark, hash):
+@pytest.mark.parametrize("hash, seed", [("xxhash64", 3), ("xxhash64", 4), ("xxhash64", 5), ("blake2b", 3)])
+def test_near_dedup_is_the_walk(spark, hash, seed):
     import random
 
-    r = random.Random(3)
+    r = random.Random(seed)
     base = [f"w{i}" for i in range(30)]
     some = [" ".join(r.choice("pqr") if r.random() < r.choice([0, 0.05, 0.1, 0.2]) else w for w in base) for _ in range(25)] + ["", "  ", "entirely different words stand here"]
+    some += [r.choice(some) for _ in range(12)]  # sets that repeat
+    r.shuffle(some)
     d = docs(spark, some)
     got = {x.pos for x in d.join(dedup.near_dedup(d, shingle_size=3, num_perm=32, num_bands=16, similarity_threshold=0.5, hash=hash), "pos", "left_anti").collect()}
     rows = dedup.signatures(d, "text", "pos", 3, 32, hash).orderBy("pos").collect()
-    sets = [set(x.set) for x in rows]
+    sets = [set(x.set) for x in dedup.shingle_sets(d, "text", "pos", 3).orderBy("pos").collect()]
+    assert len({x.key for x in rows}) == len({frozenset(x) for x in sets})
     assert got == walk(sets, [[tuple(x.signature[k * 2 : k * 2 + 2]) for k in range(16)] for x in rows])
     with pytest.raises(ValueError):
         dedup.similar_pairs(d, num_perm=64, num_bands=10)
@@ -132,3 +135,26 @@ def test_split(spark):
             split.split(d, *bad)
     with pytest.raises(ValueError):
         split.split(d.limit(0))
+
+
+def test_exact_dedup_where_positions_repeat(spark):
+    d = spark.createDataFrame([(0, "a b"), (0, "c"), (1, "A  b"), (1, "d"), (2, None), (3, "")], "pos long, text string")
+    assert sorted((r.pos, r.text or "") for r in dedup.exact_dedup(d).collect()) == [(0, "a b"), (0, "c"), (1, "d"), (2, "")]
+
+
+def test_running_sums_in_chunks(spark, monkeypatch):
+    from lexweave.functions import prefix
+
+    rows = [(int(i * 7919 % 5003), int(i % 5)) for i in range(3000)]
+    want, total = {}, 0
+    for k, v in sorted(rows):
+        want[k], total = total, total + v
+    for chunk, level in ((10**6, 512), (100, 512), (40, 8)):
+        monkeypatch.setattr(prefix, "CHUNK_ROWS", chunk)
+        monkeypatch.setattr(prefix, "LEVEL", level)
+        out = prefix.running(spark.createDataFrame(rows, "k long, v long"), ["k"], "v", "before")
+        assert {r.k: r.before for r in out.collect()} == want and out.columns == ["k", "v", "before"]
+
+
+def test_white_space_strings_agree(spark):
+    assert len(tx.SPACES) == 29 and all(c.isspace() for c in tx.SPACES)
