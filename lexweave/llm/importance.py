@@ -2,29 +2,32 @@
 
 Two generative models over hashed n-grams of whole texts: of all documents, and of target documents, which are labelled
 good. A document's evidence is the mean, over its n-grams, of the log ratio of target to raw probability. N-grams of a text are far from
-independent, so a sum of log ratios overstates; held-out labelled rows, which the target model doesn't count, tell how much
-a unit of evidence is worth: a logistic fit turns it into log odds of being a target document. These are the log weights.
+independent, so a sum of log ratios overstates; labelled rows tell how much a unit of evidence is worth: a logistic fit turns it
+into log odds of being a target document, which less those of the labelled rows as a whole are the log weight: the calibrated log ratio of
+target to other documents. For the fit each labelled row is judged by a target model that leaves out its own fold of FOLDS.
 
 Documents are drawn without replacement by Gumbel top-k: a Gumbel number, fixed by seed and id, is added to each log weight,
-and the k largest are kept. k is the budget; unless given it is the count of documents that are more likely target than not.
-Documents near the k-th place are kept by chance, in the ratio of their odds.
+and the k largest are kept. k is the budget; unless given it is the count of documents whose ratio is above one.
+Documents near the k-th place are kept by chance, in the proportion of their ratios.
 
-The raw model counts every document. The labelled rows are a documented sample of at most SAMPLE, the first by a hash of their id;
-one of three is held out. Labels of an id that has both are the lesser; all rows of an id share its label.
+The raw model counts every document. The labelled rows are a documented sample of at most SAMPLE, the first by a hash of their id.
+Labels of an id that has both are the lesser; all rows of an id share its label.
 
-Null and empty texts have no evidence and the log odds of none. Without labelled rows of both kinds in the held-out part evidence counts one
+Null and empty texts have no evidence and the log odds of none. Without labelled rows of both kinds evidence counts one
 to one; without any every document is kept. Texts of any length are read whole. Ties at the k-th place are all kept, so repeated rows are
 treated alike. Rows with a null id draw the number of a null. Extra columns of any name stay as they are.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import bound_batches, checkpoint, encoded, kth_largest, quoted, require, text_or_empty
+from lexweave.llm.common import bound_batches, checkpoint, encoded, kth_largest, quoted, require, text_or_empty, tidied, tidy
 from lexweave.llm.features import batches, layout, sums
 
 SAMPLE = 20_000
@@ -35,35 +38,41 @@ PRIOR = 200.0
 #: N-grams without evidence that a text is taken to have besides its own, so that a few words count for little.
 BLANK = 5
 SEED = 17
+FOLDS = 3
 
 
 def labelled_sample(labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """id, label, held: at most `most` labelled rows, the first by a hash of the id; one label per id, the least; one id of three is held out."""
+    """id, label, fold: at most `most` labelled rows, the first by a hash of the id; one label per id, the least."""
     known = labels.select(quoted(id_col).alias("id"), quoted(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     first = known.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label").limit(most).groupBy("id").agg(F.min("label").alias("label"))
-    return first.withColumn("held", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(3)) == 0)
+    return first.withColumn("fold", F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(FOLDS)).cast("int"))
 
 
 def count_models(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of each bucket over all rows of (text, target), and over those that are target. Tasks send one row per bucket that they met."""
+    """Counts of each bucket over all rows of (text, fold), and over the target rows of each fold, (FOLDS, buckets); fold is null where a row isn't target. Tasks send one row per bucket that they met."""
+    names = ["raw", *(f"t{f}" for f in range(FOLDS))]
 
+    @tidied
     def count(tables):
-        raw, target = np.zeros(TOTAL, dtype=np.int64), np.zeros(TOTAL, dtype=np.int64)
+        totals = np.zeros((1 + FOLDS, TOTAL), dtype=np.int64)
         for table in tables:
-            good = np.array(table.column("target").to_pylist(), dtype=bool)
+            fold = np.array([-1 if f is None else f for f in table.column("fold").to_pylist()], dtype=np.int64)
             for first, texts in encoded(table.column("text")):
                 for (a, b), views, _ in batches(texts, VIEWS):
+                    part = fold[first + a : first + b]
                     for at, starts in views.values():
-                        raw += np.bincount(at, minlength=TOTAL)
-                        target += np.bincount(at[np.repeat(good[first + a : first + b], np.diff(starts))], minlength=TOTAL)
-        met = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
+                        totals[0] += np.bincount(at, minlength=TOTAL)
+                        of = np.repeat(part, np.diff(starts)) if (part >= 0).any() else part[:0]
+                        for f in np.unique(of[of >= 0]).tolist():
+                            totals[1 + f] += np.bincount(at[of == f], minlength=TOTAL)
+        met = np.flatnonzero(totals[0])
+        yield pa.RecordBatch.from_arrays([pa.array(met), *(pa.array(x[met]) for x in totals)], ["bucket", *names])
 
-    counted = docs.select("text", "target").mapInArrow(count, "bucket long, raw long, target long")
-    raw, target = np.zeros(TOTAL), np.zeros(TOTAL)
-    for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
-    return raw, target
+    counted = docs.select("text", "fold").mapInArrow(count, ", ".join(f"{n} long" for n in ["bucket", *names]))
+    out = np.zeros((1 + FOLDS, TOTAL))
+    for bucket, *values in counted.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).collect():
+        out[:, bucket] = values
+    return out[0], out[1:]
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -76,26 +85,47 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return out
 
 
-def weigher(ratio: np.ndarray):
-    """The evidence of a text column: the mean log ratio of its n-grams and BLANK more without any."""
-    blob = ratio.astype(np.float32).tobytes()
+def weigher(ratio: np.ndarray, without: np.ndarray | None = None):
+    """The evidence of a text column: the mean log ratio of its n-grams and BLANK more without any.
 
-    @F.arrow_udf("double")
-    def weigh(texts: pa.Array) -> pa.Array:
-        table = np.frombuffer(blob, dtype=np.float32).astype(np.float64)
+    without: the ratios of the models that leave a fold out; the column function then takes the fold too, and rows that have one get their evidence by those.
+    """
+    blob = np.vstack([ratio, *([] if without is None else without)]).astype(np.float32).tobytes()
+
+    def weighed(texts: pa.Array, which: np.ndarray) -> pa.Array:
+        tables = np.frombuffer(blob, dtype=np.float32).reshape(-1, TOTAL).astype(np.float64)
         out, n = np.zeros(len(texts)), np.full(len(texts), float(BLANK))
         for first, part in encoded(texts):
             for (a, b), views, _ in batches(part, VIEWS):
+                use = which[first + a : first + b]
                 for at, starts in views.values():
-                    out[first + a : first + b] += sums(table[at], starts)
                     n[first + a : first + b] += np.diff(starts)
+                    for k in np.unique(use).tolist():
+                        x = sums(tables[k][at], starts)
+                        out[first + a : first + b] += np.where(use == k, x, 0.0)
         return pa.array(np.round(out / n, 9))
 
-    return weigh
+    if without is None:
+
+        @F.arrow_udf("double")
+        def weigh(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in columns:
+                yield weighed(texts, np.zeros(len(texts), dtype=np.int64))
+            tidy()
+
+        return weigh
+
+    @F.arrow_udf("double")
+    def weigh_apart(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, folds in columns:
+            yield weighed(texts, np.array([0 if f is None else 1 + f for f in folds.to_pylist()], dtype=np.int64))
+        tidy()
+
+    return weigh_apart
 
 
 def calibrate(evidence: np.ndarray, good: np.ndarray) -> tuple[float, float]:
-    """(slope, intercept) of the log odds of a target document by its evidence: the logistic fit to smoothed labels, by Newton's method.
+    """(slope, intercept) of the log ratio of target to other documents by the evidence: the logistic fit to smoothed labels, by Newton's method, less the labels' own log odds.
 
     The smoothing, one more of each kind, keeps the slope finite where the kinds are apart. (1, 0) unless there are both kinds with different evidence.
     """
@@ -115,7 +145,7 @@ def calibrate(evidence: np.ndarray, good: np.ndarray) -> tuple[float, float]:
         w -= step
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / spread), float(w[1] - w[0] * mean / spread)
+    return float(w[0] / spread), float(w[1] - w[0] * mean / spread - np.log(n_good / (n - n_good)))
 
 
 def gumbel(id_col: Column, seed: Column | int = SEED) -> Column:
@@ -131,10 +161,12 @@ def score(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     bound_batches(df.sparkSession)
     sample = labelled_sample(labels)
     docs = df.select(quoted(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(sample), "id", "left")
-    target = F.coalesce((F.col("label") == 1) & ~F.col("held"), F.lit(False))
-    weigh = weigher(log_ratio(*count_models(docs.select("text", target.alias("target")))))
-    weighed = checkpoint(docs.select("id", F.when(F.col("held"), F.col("label")).alias("label"), weigh("text").alias("evidence")))
-    held = weighed.where("label IS NOT NULL").groupBy("id").agg(F.min(F.struct("label", "evidence")).alias("x")).select("id", "x.*").orderBy("id").collect()
+    raw, folds = count_models(docs.select("text", F.when(F.col("label") == 1, F.col("fold")).alias("fold")))
+    target = folds.sum(axis=0)
+    weigh, apart = weigher(log_ratio(raw, target)), weigher(log_ratio(raw, target), np.array([log_ratio(raw, target - f) for f in folds]))
+    weighed = checkpoint(docs.select("id", weigh("text").alias("evidence")))
+    known = docs.where("label IS NOT NULL").select("id", "label", apart("text", "fold").alias("evidence"))
+    held = known.groupBy("id").agg(F.min(F.struct("label", "evidence")).alias("x")).select("id", "x.*").orderBy("id").collect()
     slope, intercept = calibrate(np.array([r.evidence for r in held]), np.array([r.label == 1 for r in held], dtype=bool))
     odds = lambda evidence: F.round(evidence * slope + intercept, 6)
     scores = weighed.select("id", odds(F.col("evidence")).alias("log_weight")).withColumn("key", F.col("log_weight") + gumbel(F.col("id")))

@@ -83,19 +83,25 @@ def test_models_and_draw_by_brute_force(spark):
     rows = [(i, " ".join(r.choice(["red", "Blue.", "the", "$$$", "go!", "12"]) for _ in range(r.randint(0, 40))), None) for i in range(90)]
     df = frame(spark, rows)
     labels = spark.createDataFrame([(i, int(t.count("$$$") < 4), 0) for i, t, _ in rows if i % 4], "doc_id long, quality int, toxic int")
-    sample = {x.id: (x.label, x.held) for x in importance.labelled_sample(labels).collect()}
-    assert len(sample) == labels.count() and 0.2 < sum(h for _, h in sample.values()) / len(sample) < 0.5
-    good = {i for i, (label, held) in sample.items() if label == 1 and not held}
+    sample = {x.id: (x.label, x.fold) for x in importance.labelled_sample(labels).collect()}
+    assert len(sample) == labels.count() and {f for _, f in sample.values()} == set(range(importance.FOLDS))
+    good = {i: f for i, (label, f) in sample.items() if label == 1}
     counts = {i: plain_counts(t) for i, t, _ in rows}
     raw, target = sum(counts.values()), sum(counts[i] for i in good)
-    got = importance.count_models(df.select("text", F.col("doc_id").isin(good).alias("target")))
-    assert (got[0] == raw).all() and (got[1] == target).all()
-    ratio = np.zeros(importance.TOTAL)
-    for part in (slice(0, features.BUCKETS["words"]), slice(features.BUCKETS["words"], None)):
-        ratio[part] = np.log((target[part] + importance.PRIOR) / (raw[part] / raw[part].sum() * target[part].sum() + importance.PRIOR))
-    evidence = {i: c @ ratio / (c.sum() + importance.BLANK) for i, c in counts.items()}
-    held = [i for i, (_, h) in sample.items() if h]
-    slope, intercept = importance.calibrate(np.array([evidence[i] for i in held]), np.array([sample[i][0] == 1 for i in held]))
+    got = importance.count_models(df.join(spark.createDataFrame(list(good.items()), "doc_id long, fold int"), "doc_id", "left"))
+    assert (got[0] == raw).all() and (got[1].sum(axis=0) == target).all()
+
+    def log_ratio(target):
+        out = np.zeros(importance.TOTAL)
+        for part in (slice(0, features.BUCKETS["words"]), slice(features.BUCKETS["words"], None)):
+            out[part] = np.log((target[part] + importance.PRIOR) / (raw[part] / raw[part].sum() * target[part].sum() + importance.PRIOR))
+        return out
+
+    judged = lambda c, ratio: c @ ratio / (c.sum() + importance.BLANK)
+    evidence = {i: judged(c, log_ratio(target)) for i, c in counts.items()}
+    without = [log_ratio(sum(counts[i] for i in good if good[i] != f)) for f in range(importance.FOLDS)]
+    held = {i: judged(counts[i], without[f]) for i, (_, f) in sample.items()}
+    slope, intercept = importance.calibrate(np.array(list(held.values())), np.array([sample[i][0] == 1 for i in held]))
     seeds = {x.id: x.u for x in spark.range(90).select("id", ((F.shiftrightunsigned(F.xxhash64(F.lit(importance.SEED), "id"), 11) + 0.5) / float(1 << 53)).alias("u")).collect()}
     weight = {i: evidence[i] * slope + intercept for i in evidence}
     keys = {i: w - math.log(-math.log(seeds[i])) for i, w in weight.items()}
@@ -115,7 +121,7 @@ def test_calibration():
     x = r.normal(0, 0.05, 4000)
     good = r.random(4000) < 1 / (1 + np.exp(-(60 * x + 1)))
     slope, intercept = importance.calibrate(x, good)
-    assert slope == pytest.approx(60, rel=0.1) and intercept == pytest.approx(1, abs=0.15)
+    assert slope == pytest.approx(60, rel=0.1) and intercept == pytest.approx(1 - math.log(good.mean() / (1 - good.mean())), abs=0.15)
     assert importance.calibrate(x, good | True) == (1.0, 0.0) == importance.calibrate(x * 0, good)
     slope, _ = importance.calibrate(np.array([0.0, 0.1, 0.2, 0.3]), np.array([False, False, True, True]))
     assert 0 < slope < 1000
