@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lexweave.llm.common import bound_batches, checkpoint, chunks, encoded, foretold, fresh, mix, quoted, require, rolling, text_or_empty, word_hashes
+from lexweave.llm.common import bound_batches, checkpoint, chunks, encoded, foretold, fresh, mix, quoted, require, rolling, text_or_empty, tidy, word_hashes
 
 WORDS = 5  #: words of a shingle
 K = 32  #: values of a sketch
@@ -73,6 +73,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         for texts in batches:
             out = [{"n": len(s), "key": hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "sketch": s[:k].copy()} for _, part in encoded(texts) for s in shingle_sets(part)]
             yield pa.array(out, kinds)
+        tidy()
 
     return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), run(text_or_empty(text_col)).alias("r")).select("id", "h", "r.*")
 
@@ -107,6 +108,7 @@ def confirm(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             pairs = ((sets[x], sets[y]) for x, y in zip(a, b, strict=True))
             found += [bool(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in pairs]
         yield pa.array(found, pa.bool_())
+    tidy()
 
 
 class _Rows:

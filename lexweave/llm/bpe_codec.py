@@ -21,7 +21,7 @@ one by one, and ids may be null or repeat: each row's tokens follow from its own
 from __future__ import annotations
 
 import base64
-import functools
+import contextlib
 import hashlib
 import heapq
 import re
@@ -34,14 +34,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lexweave.llm.common import bound_batches, read_file, require, text_or_empty
+from lexweave.llm.common import bound_batches, read_file, require, text_or_empty, tidy
 
 #: Blocks of this many bytes are merged directly.
 LEAF = 4
 #: Ids that one leaf of the decoding tree joins.
 DECODE_LEAF = 256
-#: Words of which a worker keeps the tokens, and their characters; both bound its memory.
-KNOWN, KNOWN_CHARS = 150_000, 8_000_000
+#: Words of which a worker keeps the tokens, and their characters; pairs of tokens of which it knows whether they stand side by side. All bound its memory.
+KNOWN, KNOWN_CHARS, PAIRS = 100_000, 3_000_000, 100_000
+#: Characters of texts that go up the tree together.
+TOGETHER = 1 << 21
 #: Longest window that is merged as a row of a matrix; longer ones take a heap.
 WIDEST = 64
 #: Fixed value: patterns of which every match begins or ends at a space that a character other than white space follows.
@@ -215,7 +217,7 @@ class TreeCodec:
     def border(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether no merge crosses the border of tokens x, y that stand side by side."""
         keys, back = np.unique(x.astype(np.int64) * (self.none + 1) + y, return_inverse=True)
-        if len(self.stable) + len(keys) > self.most:
+        if len(self.stable) + len(keys) > PAIRS:
             self.stable.clear()
         new = np.array([k for k in keys.tolist() if k not in self.stable], dtype=np.int64)
         if len(new):
@@ -308,10 +310,18 @@ class TreeCodec:
         self.ids, self.starts = np.concatenate((self.ids, ids)), np.concatenate((self.starts, self.starts[-1] + ends[1:]))
 
     def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """The ids, unsigned 32-bit, of each text. The texts given at once should be few megabytes.
-
-        Under a pattern of CUT_AT_SPACES texts are cut at spaces before anything but white space; equal words are then encoded once.
-        """
+        """The ids, unsigned 32-bit, of each text; texts of about TOGETHER characters go up the tree together."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > TOGETHER:
+                yield from self._encode_some(some)
+                some, size = [], 0
+        yield from self._encode_some(some)
+
+    def _encode_some(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Under a pattern of CUT_AT_SPACES texts are cut at spaces before anything but white space; equal words are then encoded once."""
         if len(self.words) > self.most or self.chars > KNOWN_CHARS:
             self.forget()
         words, first, index = self.words, len(self.words), []
@@ -346,10 +356,16 @@ class TreeCodec:
         return self._concat(ids[:half]) + self._concat(ids[half:])
 
 
-@functools.lru_cache(maxsize=1)
-def worker_codec(ranks: bytes, pattern: str) -> TreeCodec:
-    """One codec for all tasks of a worker process, so that what it knows is used again."""
-    return TreeCodec(load_ranks(ranks), pattern)
+@contextlib.contextmanager
+def task_codec(ranks: bytes, pattern: str) -> Iterator[TreeCodec]:
+    """A codec for one task. It goes with the task, so that idle workers hold nothing."""
+    codec = TreeCodec(load_ranks(ranks), pattern)
+    try:
+        yield codec
+    finally:
+        codec.forget()
+        codec.stable.clear()
+        tidy()
 
 
 def codec_udfs(ranks_path: str, pattern: str):
@@ -358,15 +374,15 @@ def codec_udfs(ranks_path: str, pattern: str):
 
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = worker_codec(blob, pattern)
-        for texts in batches:
-            yield pa.array([ids.tobytes() for ids in codec.encode_all(t or "" for t in texts.to_pylist())], pa.binary())
+        with task_codec(blob, pattern) as codec:
+            for texts in batches:
+                yield pa.array([ids.tobytes() for ids in codec.encode_all(t or "" for t in texts.to_pylist())], pa.binary())
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = worker_codec(blob, pattern)
-        for ids in batches:
-            yield pa.array([codec.decode(x or b"") for x in ids.to_pylist()], pa.binary())
+        with task_codec(blob, pattern) as codec:
+            for ids in batches:
+                yield pa.array([codec.decode(x or b"") for x in ids.to_pylist()], pa.binary())
 
     return encode, decode
 
@@ -408,15 +424,15 @@ def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     kinds = (pa.binary(), pa.int64(), pa.string(), pa.string(), pa.bool_())
 
     def both(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = worker_codec(blob, pattern)
-        for table in tables:
-            texts, rows = table.column(1).to_pylist(), []
-            for text, found in zip(texts, codec.encode_all(texts), strict=True):
-                ids = found.tobytes()
-                back = codec.decode(ids)
-                rows.append((ids, len(found), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([table.column(0), *columns], schema.names)
+        with task_codec(blob, pattern) as codec:
+            for table in tables:
+                texts, rows = table.column(1).to_pylist(), []
+                for text, found in zip(texts, codec.encode_all(texts), strict=True):
+                    ids = found.tobytes()
+                    back = codec.decode(ids)
+                    rows.append((ids, len(found), hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest(), back == text.encode()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([table.column(0), *columns], schema.names)
 
     return df.select(F.col(id_col), text_or_empty(text_col).alias("_text")).mapInArrow(both, schema)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.functions.stored import shared_dir
+from lexweave.functions.stored import stored as checkpoint
+
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -18,17 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it. There is no default: a machine's own folder would lose rows on a cluster."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isEmpty():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        return current.get()
-    return found
-
-
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 4 << 20
 
@@ -40,14 +36,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -115,6 +103,27 @@ def lookup(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
     return rows.join(some, key).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 
 
+def tidy() -> None:
+    """Gives memory that a task has freed back to the system; a worker waits for its next task beside others that need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidied(function):
+    """A generator function for Arrow batches that ends with tidy()."""
+
+    @functools.wraps(function)
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            tidy()
+
+    return run
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

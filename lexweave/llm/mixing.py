@@ -23,12 +23,14 @@ Tokens are words [^\\x20\\x09-\\x0D]+ here; targets are shares of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import bound_batches, checkpoint, encoded, fresh, quoted, require, text_or_empty
+from lexweave.llm.common import bound_batches, checkpoint, encoded, fresh, quoted, require, text_or_empty, tidied, tidy
 from lexweave.llm.features import batches, layout
 
 SAMPLE = 6000
@@ -109,6 +111,7 @@ def train(docs: DataFrame, sample: DataFrame, domains: list[str]) -> Classifier:
     met = docs.join(F.broadcast(sample), "id").select("id", "text", number.cast("int").alias("y"), F.xxhash64("text").alias("h")).where("y >= 0")
     rows = checkpoint(met.groupBy("id").agg(F.min_by(F.struct("text", "y"), "h").alias("x")).select("x.*"))  # rows that repeat an id are no more than one
 
+    @tidied
     def count(tables):
         total = np.zeros((len(domains), TOTAL), dtype=np.int64)
         for table in tables:
@@ -132,6 +135,7 @@ def train(docs: DataFrame, sample: DataFrame, domains: list[str]) -> Classifier:
     chi = ((present - expected) ** 2 / np.maximum(expected, 1)).sum(axis=0)
     known = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
 
+    @tidied
     def bits(tables):
         for table in tables:
             out = [None] * table.num_rows
@@ -154,11 +158,13 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     known, weights = model.known, model.weights
 
     @F.arrow_udf("n_tokens long, p array<int>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Classifier(known, weights)
-        parts = [model.posteriors(part) for _, part in encoded(texts)] or [(np.zeros((0, weights.shape[1]), dtype=np.int64), np.zeros(0, dtype=np.int64))]
-        p, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(p.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["n_tokens", "p"])
+        for texts in columns:
+            parts = [model.posteriors(part) for _, part in encoded(texts)] or [(np.zeros((0, weights.shape[1]), dtype=np.int64), np.zeros(0, dtype=np.int64))]
+            p, n = np.concatenate([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+            yield pa.StructArray.from_arrays([pa.array(n), pa.array(p.astype(np.int32).tolist(), pa.list_(pa.int32()))], ["n_tokens", "p"])
+        tidy()
 
     (r,) = fresh(docs, "r")
     return docs.withColumn(r, run("text")).select(*map(quoted, docs.columns), f"{r}.n_tokens", f"{r}.p")
