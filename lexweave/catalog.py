@@ -5,11 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lexweave.functions.register import register
 from lexweave.functions.text import WS_RE2, normalize, words
-from lexweave.operators import dedup, evaluate, pack, quality, quantize, sampling, schedule, sft, split, tokenizer
+from lexweave.operators import dedup, evaluate, generate, layers, pack, quality, quantize, report, sampling, schedule, sft, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.plans import corpus
+from lexweave.sources import collect
 from lexweave.sources.collect import make_id
 from lexweave.streaming import text_streams
 
@@ -211,9 +214,13 @@ _IDS = f"SELECT doc_id, lang, text, CASE WHEN t = '' THEN [] ELSE list_transform
 _FLAT = f"SELECT row_number() OVER (ORDER BY doc_id, i) - 1 AS place, tok FROM (SELECT doc_id, i, tokens[i] AS tok FROM ({_IDS}), unnest(range(1, len(tokens) + 1)) AS u(i))"
 
 
-@query()
+# RE2 has no look-ahead, so a mark that no text holds is put before the last of several white-space characters that stand before something else
+_MARKED = f"regexp_replace(text, '([{WS_RE2}])([{WS_RE2}][^{WS_RE2}])', '\\1' || chr(57344) || '\\2', 'g')"
+_PRETOKEN = rf"''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WS_RE2}\p{{L}}\p{{N}}\x{{E000}}]+|[{WS_RE2}]+"
+
+
+@query(f"SELECT pretoken, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_MARKED}, '{_PRETOKEN}')) AS pretoken FROM documents) GROUP BY pretoken")
 def pretoken_counts(spark, d):
-    """RE2 has no look-ahead; tests compare with the tokenizer library."""
     return tokenizer.pretoken_counts(_docs(spark, d))
 
 
@@ -292,26 +299,35 @@ def _fake_ids(column: str):
     return F.transform(F.split(column, " "), lambda w: F.length(w))
 
 
-def _sft_rows(spark, d) -> DataFrame:
+def _sft_rows(spark, d, length: int = 1024) -> DataFrame:
     pairs = sft.sft_pairs(_table(spark, d, "conversations")).select("conv_id", "turn", _fake_ids("prompt").alias("p"), _fake_ids("response").alias("r"))
-    return pairs.select("conv_id", "turn", *(c.alias(n) for n, c in sft.sft_example(F.col("p"), F.col("r"), 1, 2, 64).items())).where("input_ids IS NOT NULL")
+    return pairs.select("conv_id", "turn", *(c.alias(n) for n, c in sft.sft_example(F.col("p"), F.col("r"), 1, 2, length).items()))
+
 
+def _kept_rows(spark, d) -> DataFrame:
+    return _sft_rows(spark, d).where("input_ids IS NOT NULL")
 
-_SFT = f"""SELECT conv_id, turn, list_concat([1], p, r, [2])[1:64] AS ids, list_concat(list_transform(range(0, len(p) + 1), lambda x: -100), r, [2])[1:64] AS labels FROM (SELECT conv_id, turn,
-list_transform(string_split(prompt, ' '), lambda w: length(w)) AS p, list_transform(string_split(response, ' '), lambda w: length(w)) AS r FROM ({_PAIRS})) WHERE len(p) + 1 < 64"""
+
+_SFT = f"""SELECT conv_id, turn, list_concat([1], p, r, [2])[1:1024] AS ids, list_concat(list_transform(range(0, len(p) + 1), lambda x: -100), r, [2])[1:1024] AS labels FROM (SELECT conv_id, turn,
+list_transform(string_split(prompt, ' '), lambda w: length(w)) AS p, list_transform(string_split(response, ' '), lambda w: length(w)) AS r FROM ({_PAIRS})) WHERE len(p) + 1 < 1024"""
+
+
+@query(f"SELECT count(*) AS total, count_if(len(string_split(prompt, ' ')) + 1 < 40) AS kept, count_if(len(string_split(prompt, ' ')) + 1 >= 40) AS skipped FROM ({_PAIRS})".replace("count_if", "CAST(count_if").replace("< 40)", "< 40) AS BIGINT)").replace(">= 40)", ">= 40) AS BIGINT)"))
+def sft_stats(spark, d):
+    return sft.dataset_stats(_sft_rows(spark, d, 40))
 
 
 @query(f"SELECT conv_id, turn, CAST(len(ids) AS BIGINT) AS n, CAST(len(list_filter(labels, lambda x: x = -100)) AS BIGINT) AS n_masked, CAST(list_sum(ids) AS BIGINT) AS total, CAST(list_sum(labels) AS BIGINT) AS label_total FROM ({_SFT})")
 def sft_mask_lengths(spark, d):
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     masked = F.size(F.filter("labels", lambda x: x == sft.IGNORE)).cast("long")
-    return _sft_rows(spark, d).select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), masked.alias("n_masked"), total("input_ids").alias("total"), total("labels").alias("label_total"))
+    return _kept_rows(spark, d).select("conv_id", "turn", F.size("input_ids").cast("long").alias("n"), masked.alias("n_masked"), total("input_ids").alias("total"), total("labels").alias("label_total"))
 
 
 @query(f"""SELECT conv_id, turn, batch_id, CAST(m AS BIGINT) AS padded, CAST(len(ids) AS BIGINT) AS real, CAST(list_sum(ids) AS BIGINT) AS total, CAST(list_sum(labels) - 100 * (m - len(ids)) AS BIGINT) AS label_total FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS m
 FROM (SELECT *, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id FROM ({_SFT})))""")
 def pad_batches(spark, d):
-    rows = _sft_rows(spark, d).withColumn("pos", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = _kept_rows(spark, d).withColumn("pos", F.col("conv_id") * 1000 + F.col("turn"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
     return sft.pad_batches(rows, 8).select("conv_id", "turn", "batch_id", F.size("input_ids").cast("long").alias("padded"), total("attention_mask").alias("real"), total("input_ids").alias("total"), total("labels").alias("label_total"))
 
@@ -354,9 +370,10 @@ def greedy_tokens(spark, d):
     return sampling.greedy(_logits(spark, d))
 
 
-@query()
+@query(f"""SELECT row_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY x - ln(-ln((CAST('0x' || substr(md5('3-' || row_id || '-' || token_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)) DESC, token_id) AS g FROM
+(SELECT *, coalesce(sum(q) OVER (PARTITION BY row_id ORDER BY x DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS q FROM
+(SELECT *, exp(x - max(x) OVER (PARTITION BY row_id)) AS e FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY x DESC) AS k FROM (SELECT row_id, token_id, logit / 0.8 AS x FROM ({_LOGITS}))) WHERE k <= 20))) WHERE b <= 0.95) WHERE g = 1""")
 def sampled_tokens(spark, d):
-    """Draws depend on Spark's hash; tests check their frequencies."""
     return sampling.sample(_logits(spark, d), t=0.8, k=20, p=0.95, seed=3)
 
 
@@ -413,10 +430,11 @@ def model_size(spark, d):
     return quantize.size_bytes(_table(spark, d, "embeddings"), "embedding", 4)
 
 
-@query("SELECT sha256(string_agg(key || ':' || sha256(key || '!'), chr(10) ORDER BY key)) AS checksum FROM (SELECT CAST(vec_id AS VARCHAR) AS key FROM embeddings)")
+@query("SELECT sha256(string_agg(key || ':' || sha256(w), chr(10) ORDER BY key)) AS checksum FROM (SELECT CAST(vec_id AS VARCHAR) AS key, array_to_string(list_transform(embedding, lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1e6, 0) AS BIGINT)), ',') AS w FROM embeddings)")
 def weight_checksum(spark, d):
-    key = F.col("vec_id").cast("string")
-    return quantize.checksum(_table(spark, d, "embeddings").select(key.alias("key"), F.concat(key, F.lit("!")).cast("binary").alias("bytes")))
+    """Of all weights, in millionths, as text: bytes that both engines can make."""
+    weights = F.array_join(F.transform("embedding", lambda x: F.rint(x.cast("double") * 1e6).cast("long").cast("string")), ",")
+    return quantize.checksum(_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), weights.cast("binary").alias("bytes")))
 
 
 @query("SELECT CAST(109529856 AS BIGINT) AS n_params")
@@ -490,3 +508,155 @@ def prepared_splits(spark, d):
     return corpus.prepare(_docs(spark, d), config, ("deduplicate", "split")).select("doc_id", "split")
 
 
+_NEAR_KEPT = "SELECT doc_id FROM f WHERE doc_id NOT IN (SELECT a FROM m WHERE a <> least)"
+_CLEANED = f"""c AS (SELECT doc_id, lang, {_clean("text")} AS text FROM documents), k AS (SELECT * FROM c WHERE text <> ''),
+q AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM ({METRICS.replace("FROM documents", "FROM k")}) WHERE len({REASONS}) = 0)),
+f AS (SELECT * FROM q WHERE doc_id IN (SELECT min(doc_id) FROM q GROUP BY sha256({_norm("text")})))"""
+
+
+@query(f"""WITH RECURSIVE {_CLEANED}, {_SETS.replace("FROM documents", "FROM f")}, e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, a AS c FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.c = e.a), m AS (SELECT a, min(c) AS least FROM r GROUP BY a), o AS ({_NEAR_KEPT})
+{_SPLIT.replace("0.8", "0.9").replace("0.1,", "0.05,").replace("'7-'", "'42-'").replace("FROM documents", "FROM o")}""")
+def prepared_corpus(spark, d):
+    """The whole configured plan, NFKC and near duplicates included; texts of these tables have no compatibility characters, and components are cliques."""
+    config = corpus.CorpusConfig(filter=LIMITS, split=corpus.SplitOptions(0.9, 0.05, 0.05))
+    return corpus.prepare(_docs(spark, d), config).select("doc_id", "split")
+
+
+# counters, benchmarks, reports
+
+
+@query(f"SELECT CAST(count_if(len(tokens) > 0) AS BIGINT) AS num_processed, CAST(count_if(len(tokens) = 0) AS BIGINT) AS num_skipped, CAST(sum(CASE WHEN len(tokens) > 0 THEN len(tokens) + 1 END) AS BIGINT) AS total_tokens FROM ({_IDS})")
+def tokenized_counts(spark, d):
+    return pack.token_counts(_word_ids(spark, d))
+
+
+def _toy_logprobs(rows: DataFrame) -> DataFrame:
+    """Whole numbers that depend on a token, the one before it and how many there are."""
+    at = F.posexplode(F.transform("tokens", lambda t, i: F.struct(t.cast("long").alias("t"), F.when(i > 0, F.get("tokens", i - 1)).otherwise(0).cast("long").alias("b"))))
+    return rows.select("row_id", F.size("tokens").alias("n"), at.alias("pos", "x")).select("row_id", "pos", (-F.pmod(F.col("x.t") * 31 + F.col("x.b") * 17 + F.col("n"), F.lit(97))).cast("double").alias("logprob"))
+
+
+_ITEMS = f"SELECT item_id, list_transform(string_split({_norm('text')}, ' '), lambda w: CAST('0x' || substr(md5(w), 1, 6) AS BIGINT)) AS q FROM benchmark"
+_CHOSEN = f"""WITH i AS ({_ITEMS}), c AS (SELECT item_id, q, c, list_reverse(q)[c + 1:c + 2] AS w FROM i, unnest(range(0, 4)) AS u(c)),
+x AS (SELECT item_id, c, len(w) AS k, list_concat(q[greatest(1, len(q) - (40 - len(w)) + 1):], w) AS t FROM c),
+s AS (SELECT item_id, c, avg(-((t[p] * 31 + t[p - 1] * 17 + len(t)) % 97)) AS score FROM x, unnest(range(1, 41)) AS v(p) WHERE p > len(t) - k AND p <= len(t) GROUP BY 1, 2),
+b AS (SELECT item_id, c AS predicted, item_id % 4 AS answer_index, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, c) AS r FROM s)"""
+
+
+def _benchmark(spark, d):
+    ids = F.transform(words(normalize(F.col("text"))), lambda w: F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("long"))
+    items = _table(spark, d, "benchmark").select("item_id", ids.alias("question"), F.pmod("item_id", F.lit(4)).alias("answer_index"))
+    choices = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: F.slice(F.reverse("question"), c + 1, F.lit(2)))
+    return evaluate.run_benchmark(items.withColumn("choices", choices), _toy_logprobs, 40)
+
+
+@query(f"{_CHOSEN} SELECT item_id, predicted, answer_index, predicted = answer_index AS correct FROM b WHERE r = 1")
+def benchmark_items(spark, d):
+    return _benchmark(spark, d)[0].select("item_id", F.col("predicted").cast("long"), "answer_index", "correct")
+
+
+@query(f"{_CHOSEN} SELECT count(*) AS n_items, CAST(sum(CAST(predicted = answer_index AS INT)) AS BIGINT) AS n_correct, avg(CAST(predicted = answer_index AS INT)) AS accuracy FROM b WHERE r = 1")
+def benchmark_accuracy(spark, d):
+    return _benchmark(spark, d)[1]
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_latency_s, round(coalesce(stddev_samp(value), 0), 6) AS std_latency_s, min(value) AS min_latency_s, count(value) AS runs FROM events GROUP BY event_type")
+def latency_by_type(spark, d):
+    out = report.latency(_table(spark, d, "events"), "value", ("event_type",))
+    return out.withColumns({c: F.round(c, 6) for c in ("mean_latency_s", "std_latency_s")})
+
+
+@query("SELECT lang, source, CAST(2 - grouping(lang) - grouping(source) AS INT) AS level, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ROLLUP (lang, source)")
+def rolled_up(spark, d):
+    return report.rolled_up(_docs(spark, d), ("lang", "source"), n_chars=F.sum("n_chars"))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY substr(md5('5000017-' || doc_id), 1, 12), doc_id) - 1 AS place FROM documents")
+def epoch_order(spark, d):
+    return sft.epoch_order(_docs(spark, d).select("doc_id", "pos"), seed=5, epoch=2).select("doc_id", F.col("place").cast("long"))
+
+
+_SENTENCES = ["The quick brown fox jumps over the lazy dog.", "Numbers such as 1, 2 and 3 stand here.", "A third sentence!", "Und ein deutscher Satz.", "Voilà une phrase."]
+
+
+@query("WITH s AS (SELECT k, t FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_SENTENCES)) + ") AS v(k, t)) SELECT CAST(row_number() OVER (ORDER BY r, md5('9-' || r || '-' || k)) - 1 AS BIGINT) AS pos, t AS text FROM unnest(range(0, 400)) AS u(r), s")
+def synthetic_corpus(spark, d):
+    return collect.synthetic_corpus(spark, _SENTENCES, 400, seed=9)
+
+
+@query(f"SELECT doc_id, sha256({_norm('text')}) AS hash, CAST(len(CASE WHEN {_norm('text')} = '' THEN [] ELSE string_split({_norm('text')}, ' ') END) AS BIGINT) AS n_words FROM documents")
+def sql_functions(spark, d):
+    """The text rules by their SQL names."""
+    register(spark)
+    _docs(spark, d).createOrReplaceTempView("lex_documents")
+    return spark.sql("SELECT doc_id, lex_exact_hash(text) AS hash, CAST(size(lex_words(text)) AS BIGINT) AS n_words FROM lex_documents")
+
+
+# layers and generation; vectors stand for hidden states
+
+
+def _vectors(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+_X = "SELECT vec_id, label, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings"
+
+
+def _rounded(column) -> str:
+    return F.array_join(F.transform(column, lambda v: F.format_string("%.6f", F.round(v, 6) + 0.0)), ",")
+
+
+def _rounded_sql(column: str) -> str:
+    return f"array_to_string(list_transform({column}, lambda v: printf('%.6f', round(v, 6) + 0.0)), ',')"
+
+
+@query(f"SELECT vec_id, {_rounded_sql('list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w * w)) / 64 + 1e-6))')} AS y FROM ({_X})")
+def rms_norm(spark, d):
+    return _vectors(spark, d).select("vec_id", _rounded(layers.rms_norm(F.col("x"))).alias("y"))
+
+
+@query(f"SELECT vec_id, {_rounded_sql('list_transform(range(1, 33), lambda i: x[i] / (1 + exp(-x[i])) * x[i + 32])')} AS y FROM ({_X})")
+def swiglu_gate(spark, d):
+    return _vectors(spark, d).select("vec_id", _rounded(layers.gated(F.slice("x", 1, 32), F.slice("x", 33, 32))).alias("y"))
+
+
+_ANGLE = "(vec_id % 128) / pow(10000.0, 2.0 * ((i - 1) % 32) / 64)"
+
+
+@query(f"SELECT vec_id, {_rounded_sql(f'list_transform(range(1, 65), lambda i: x[i] * cos({_ANGLE}) + (CASE WHEN i <= 32 THEN -x[i + 32] ELSE x[i - 32] END) * sin({_ANGLE}))')} AS y FROM ({_X})")
+def rope(spark, d):
+    return _vectors(spark, d).select("vec_id", _rounded(layers.rope(F.col("x"), F.pmod("vec_id", F.lit(128)), 64)).alias("y"))
+
+
+@query("SELECT label, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY vec_id) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id DESC) AS r FROM embeddings) WHERE r <= 12 GROUP BY label")
+def cache_crop(spark, d):
+    """The latest twelve of each label's entries, in the order of their arrival."""
+    entries = _vectors(spark, d).groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("c"))
+    return entries.select("label", F.array_join(layers.cache_append(F.slice("c", 1, F.size("c") - 1), F.slice("c", F.size("c"), F.lit(1)), 12), ",").alias("kept"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, label, x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS p FROM ({_X})),
+s AS (SELECT a.vec_id, a.label, b.x[17:24] AS v, list_sum(list_transform(range(1, 9), lambda i: a.x[i] * b.x[i + 8])) / sqrt(8.0) AS z FROM v a JOIN v b ON a.label = b.label AND b.p <= a.p AND b.p > a.p - 16),
+w AS (SELECT vec_id, v, exp(z - max(z) OVER (PARTITION BY vec_id)) AS e FROM s),
+o AS (SELECT vec_id, i, sum(e * v[i]) / sum(e) AS y FROM w, unnest(range(1, 9)) AS u(i) GROUP BY 1, 2)
+SELECT vec_id, string_agg(printf('%.6f', round(y, 6) + 0.0), ',' ORDER BY i) AS y FROM o GROUP BY vec_id""")
+def attention(spark, d):
+    """One head of eight dimensions over each label's vectors as a sequence; a place sees the latest sixteen."""
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    rows = _vectors(spark, d).select("vec_id", F.col("label").alias("seq"), place.alias("pos"), F.slice("x", 1, 8).alias("q"), F.slice("x", 9, 8).alias("k"), F.slice("x", 17, 8).alias("v"))
+    return layers.attention(rows, window=16).join(rows, ["seq", "pos"]).select("vec_id", _rounded("out").alias("y"))
+
+
+_NEXT = "SELECT vec_id AS t, list_position(embedding, list_max(embedding)) - 1 AS n FROM embeddings WHERE vec_id < 64"
+
+
+@query(f"""WITH RECURSIVE nxt AS ({_NEXT}), g AS (SELECT vec_id AS row_id, [vec_id % 64] AS tokens, false AS done, 0 AS step FROM embeddings
+UNION ALL SELECT row_id, list_append(tokens, n), n = 7, step + 1 FROM g JOIN nxt ON t = tokens[len(tokens)] WHERE NOT done AND step < 6)
+SELECT row_id, array_to_string(max_by(tokens, len(tokens)), ',') AS tokens FROM g GROUP BY row_id""")
+def greedy_text(spark, d):
+    """Six steps of a model whose next logits are the vector of the last token; 7 ends a row."""
+    table = _table(spark, d, "embeddings").where("vec_id < 64").select(F.col("vec_id").alias("last"), F.posexplode("embedding").alias("token_id", "logit"))
+    prompts = _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.array(F.pmod("vec_id", F.lit(64))).alias("tokens"))
+    scorer = lambda rows: rows.select("row_id", F.element_at("tokens", -1).alias("last")).join(table, "last").select("row_id", F.col("token_id").cast("long"), F.col("logit").cast("double"))
+    return generate.generate(prompts, scorer, 6, eos=7, max_context=4).select("row_id", F.array_join("tokens", ",").alias("tokens"))

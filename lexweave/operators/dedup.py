@@ -50,6 +50,7 @@ def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int,
     xxhash64: each shingle is hashed once, its 64-bit hash then with each permutation's number.
     """
     sets = shingle_sets(df, text_col, order_col, shingle_size)
+    key = F.sha2(F.array_join(F.sort_array("set"), "\0"), 256)
     if hash == "blake2b":
 
         @F.pandas_udf("array<bigint>")
@@ -61,8 +62,10 @@ def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int,
             signed = lambda x: x - (1 << 64) if x >> 63 else x
             return pd.Series([[signed(low([s.encode() for s in items], seed)) for seed in range(num_perm)] for items in batch])
 
-        return sets.select("pos", F.sha2(F.array_join(F.array_sort("set"), "\0"), 256).alias("key"), run("set").alias("signature"))
-    hashed = sets.select("pos", F.sha2(F.array_join(F.array_sort("set"), "\0"), 256).alias("key"), F.explode_outer(F.transform("set", lambda s: F.xxhash64(s))).alias("h"))
+        return sets.select("pos", key.alias("key"), run("set").alias("signature"))
+    # one struct, made once a row; what stands beside an explode would be made for each exploded row
+    made = once(sets.select("pos", "set"), {"made": F.struct(key.alias("key"), F.transform("set", lambda s: F.xxhash64(s)).alias("hs"))})
+    hashed = made.select("pos", "made.key", F.explode_outer("made.hs").alias("h"))
     low = hashed.groupBy("pos", "key").agg(*(F.coalesce(F.min(F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(i), "h"))), F.lit(0)).alias(f"h{i}") for i in range(num_perm)))
     return low.select("pos", "key", F.array(*(f"h{i}" for i in range(num_perm))).alias("signature"))
 

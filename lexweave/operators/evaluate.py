@@ -79,3 +79,29 @@ def check_items(items: DataFrame) -> DataFrame:
     if not n or bad:
         raise ValueError(f"{bad} of {n} items are not valid")
     return items
+
+
+def scored_choices(items: DataFrame, scorer, max_context: int = 512) -> DataFrame:
+    """item_id, choice, score of items (item_id, question, choices as token arrays): a choice's mean log-probability after its question.
+
+    The question loses its first tokens where both don't fit, so every token of a choice is scored. scorer: from rows (row_id, tokens) to
+    (row_id, pos, logprob), the log-probability of the token at each place from 1 on given those before; places before the choice are left out.
+    ValueError where a choice has no tokens, or leaves no room for one of the question.
+    """
+    each = items.select("item_id", "question", F.posexplode("choices").alias("choice", "tokens"))
+    bad = each.where((F.coalesce(F.size("tokens"), F.lit(0)) == 0) | (F.size("tokens") >= max_context)).limit(1).collect()
+    if bad:
+        raise ValueError(f"item {bad[0].item_id}, choice {bad[0].choice}: {len(bad[0].tokens or [])} tokens in a context of {max_context}")
+    from lexweave.functions.stored import stored
+
+    context = fit_context(F.col("question"), F.col("tokens"), max_context)
+    rows = stored(each.select("item_id", "choice", F.size(context).alias("start"), F.concat(context, "tokens").alias("tokens")).withColumn("row_id", F.monotonically_increasing_id()))
+    scored = scorer(rows.select("row_id", "tokens")).join(rows.drop("tokens"), "row_id").where(F.col("pos") >= F.col("start"))
+    return choice_scores(scored.select("item_id", "choice", "pos", "logprob"))
+
+
+def run_benchmark(items: DataFrame, scorer, max_context: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(item_id, predicted, answer_index, correct of each item; accuracy, n_correct, n_items). items also hold answer_index."""
+    chosen = choose(scored_choices(items, scorer, max_context))
+    each = chosen.join(items.select("item_id", "answer_index"), "item_id").withColumn("correct", F.col("predicted") == F.col("answer_index"))
+    return each, accuracy(chosen, items)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexweave.functions.prefix import running
 from lexweave.functions.stored import stored
+from lexweave.functions.text import strip
 
 
 def token_width(vocab_size: int) -> str:
@@ -22,8 +23,31 @@ def token_width(vocab_size: int) -> str:
 
 
 def end_of_text(df: DataFrame, eos: int, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
-    """Rows with text, their tokens ended by eos."""
-    return df.where(F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "").withColumn(tokens_col, F.array_append(tokens_col, F.lit(eos)))
+    """Rows with text and tokens, their tokens ended by eos."""
+    return df.where(_has_tokens(text_col, tokens_col)).withColumn(tokens_col, F.array_append(tokens_col, F.lit(eos)))
+
+
+def _has_tokens(text_col: str, tokens_col: str) -> Column:
+    return (strip(F.coalesce(F.col(text_col), F.lit(""))) != "") & (F.coalesce(F.size(tokens_col), F.lit(0)) > 0)
+
+
+def token_counts(df: DataFrame, text_col: str = "text", tokens_col: str = "tokens") -> DataFrame:
+    """One row: documents processed, documents skipped (blank, or without tokens) and tokens with an end each; in one aggregation."""
+    for c in (text_col, tokens_col):
+        if c not in df.columns:
+            raise KeyError(c)
+    kept = _has_tokens(text_col, tokens_col)
+    sums = df.agg(F.count_if(kept).alias("num_processed"), F.count_if(~kept).alias("num_skipped"), F.sum(F.when(kept, F.size(tokens_col).cast("long") + 1)).alias("n"))
+    return sums.select("num_processed", "num_skipped", F.coalesce("n", F.lit(0)).cast("long").alias("total_tokens"))
+
+
+def tokenized(df: DataFrame, eos: int, text_col: str = "text", tokens_col: str = "tokens") -> tuple[DataFrame, dict[str, int]]:
+    """(stored rows of end_of_text, counts of token_counts); ValueError if nothing is left to pack."""
+    rows = stored(df)
+    counts = token_counts(rows, text_col, tokens_col).first().asDict()
+    if not counts["num_processed"]:
+        raise ValueError(f"no tokens in {counts['num_skipped']} documents")
+    return end_of_text(rows, eos, text_col, tokens_col), counts
 
 
 def offsets(df: DataFrame, tokens_col: str = "tokens", order_col: str = "pos") -> DataFrame:

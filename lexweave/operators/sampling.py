@@ -47,8 +47,8 @@ def greedy(logits: DataFrame) -> DataFrame:
 
 
 def draw(logits: DataFrame, seed: int) -> DataFrame:
-    """row_id and a token drawn by its softmax probability: the largest of logit plus a Gumbel number fixed by seed, row and token."""
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "row_id", "token_id"), 11) + 0.5) / float(1 << 53)
+    """row_id and a token drawn by its softmax probability: the largest of logit plus a Gumbel number fixed by an MD5 of seed, row and token."""
+    u = (F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "row_id", "token_id")), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
     return greedy(logits.withColumn("logit", F.col("logit") - F.log(-F.log(u))))
 
 

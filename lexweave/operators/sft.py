@@ -81,6 +81,11 @@ def recovered_prompt(input_ids: Column, labels: Column) -> Column:
     return F.transform(F.filter(F.arrays_zip(input_ids.alias("i"), labels.alias("l")), lambda x: x["l"] == IGNORE), lambda x: x["i"])
 
 
+def pad_id(pad: int | None, eos: int) -> tuple[int, bool]:
+    """(what to pad with, whether it is the end token for want of a pad token)."""
+    return (eos, True) if pad is None else (pad, False)
+
+
 def pad_batches(df: DataFrame, batch_size: int, pad: int = 0, order_col: str = "pos", drop_last: bool = False) -> DataFrame:
     """df in batches of batch_size rows in order: batch_id, input_ids and labels padded to the batch's longest, attention_mask."""
     from lexweave.functions.prefix import running
@@ -98,3 +103,45 @@ def pad_batches(df: DataFrame, batch_size: int, pad: int = 0, order_col: str = "
     filled = lambda name, value: F.concat(F.col(name), F.array_repeat(F.lit(value), missing))
     mask = F.concat(F.array_repeat(F.lit(1), F.size("input_ids")), F.array_repeat(F.lit(0), missing))
     return placed.withColumns({"attention_mask": mask, "labels": filled("labels", IGNORE), "input_ids": filled("input_ids", pad)}).drop("_longest", "_rows")
+
+
+def sft_dataset(examples: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(stored examples that have input_ids, {total, kept, skipped}); ValueError if all were skipped."""
+    from lexweave.functions.stored import stored
+
+    rows = stored(examples)
+    total, kept = rows.agg(F.count("*"), F.count("input_ids")).first()
+    if not kept:
+        raise ValueError(f"all {total} examples were skipped: no label is left at this length")
+    return rows.where("input_ids IS NOT NULL"), {"total": total, "kept": kept, "skipped": total - kept}
+
+
+def dataset_stats(examples: DataFrame) -> DataFrame:
+    """total, kept, skipped as a row."""
+    return examples.agg(F.count("*").alias("total"), F.count("input_ids").alias("kept")).withColumn("skipped", F.col("total") - F.col("kept"))
+
+
+def write_dataset(examples: DataFrame, path: str) -> dict[str, int]:
+    """Writes input_ids and labels as JSON lines; returns the counts."""
+    kept, counts = sft_dataset(examples)
+    kept.select("input_ids", "labels").write.json(path)
+    return counts
+
+
+def sample_prompts(examples: DataFrame, decode, n: int, order_col: str = "pos") -> DataFrame:
+    """order_col, prompt: the first n prompts that aren't blank, decoded from masked tokens. decode: a column function from tokens to text."""
+    if n <= 0:
+        raise ValueError("n must be positive")
+    found = examples.select(order_col, recovered_prompt(F.col("input_ids"), F.col("labels")).alias("_ids")).where(F.size("_ids") > 0)
+    texts = found.select(order_col, decode(F.col("_ids")).alias("prompt")).where(strip(F.coalesce(F.col("prompt"), F.lit(""))) != "")
+    return texts.orderBy(order_col).limit(n)
+
+
+def epoch_order(df: DataFrame, seed: int, epoch: int, order_col: str = "pos") -> DataFrame:
+    """df with `place`: its rank in the shuffle of an epoch, by a seeded hash. No task sorts all rows."""
+    from lexweave.functions.prefix import running
+    from lexweave.functions.stored import stored
+    from lexweave.operators.split import seeded_hash
+
+    marked = stored(df.withColumns({"_hash": seeded_hash(seed * 1_000_003 + epoch, order_col), "_one": F.lit(1)}))
+    return running(marked, ["_hash", order_col], "_one", "place").drop("_hash", "_one")

@@ -153,3 +153,26 @@ def decode(ids: Column, spec: str, skip_special: bool = True) -> Column:
             yield pa.array([None if a is None else tokenizer.decode(a, skip_special_tokens=skip_special) for a in arrays.to_pylist()], pa.string())
 
     return run(ids)
+
+
+def load(path: str) -> str:
+    """The specification of a tokenizer.json, or of a folder that holds one; FileNotFoundError, or ValueError if its special tokens don't stand first."""
+    from pathlib import Path
+
+    at = Path(path)
+    at = at / "tokenizer.json" if at.is_dir() else at
+    if not at.is_file():
+        raise FileNotFoundError(path)
+    spec = at.read_text(encoding="utf-8")
+    validate(spec)
+    return spec
+
+
+def token_id(spec: str, token: str) -> int | None:
+    """The id of a token, if there is one."""
+    return json.loads(spec)["model"]["vocab"].get(token)
+
+
+def token_of(spec: str, id_: int) -> str | None:
+    """The token of an id, if there is one."""
+    return next((t for t, i in json.loads(spec)["model"]["vocab"].items() if i == id_), None)

@@ -98,3 +98,21 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
     if not n or bad:
         raise ValueError(f"{path}: {bad} of {n} rows are not valid")
     return df
+
+
+def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """item_id, question, choices, answer_index of the JSON lines of a multiple-choice benchmark, checked by evaluate.check_items; item_id is the line's rank."""
+    from lexweave.operators.evaluate import check_items
+
+    lines = _in_file_order(spark.read.text(path).where(strip(F.col("value")) != ""))
+    item = F.from_json("value", "question string, choices array<string>, answer_index int", {"mode": "FAILFAST"})
+    return check_items(lines.select(F.col("pos").alias("item_id"), item.alias("item")).select("item_id", "item.*"))
+
+
+def synthetic_corpus(spark: SparkSession, sentences: list[str], repeats: int = 400, seed: int = 0) -> DataFrame:
+    """pos, text: every sentence once in each of `repeats` rounds, in an order of its own by a seeded hash."""
+    if not sentences or repeats <= 0:
+        raise ValueError("there must be sentences and rounds")
+    order = lambda r, k: F.md5(F.concat_ws("-", F.lit(seed), r, k))
+    listed = F.transform(F.array(*map(F.lit, sentences)), lambda s, k: F.struct(order(F.col("id"), k).alias("o"), s.alias("text")))
+    return spark.range(repeats).select("id", F.posexplode(F.array_sort(listed)).alias("k", "x")).select((F.col("id") * len(sentences) + F.col("k")).alias("pos"), "x.text")

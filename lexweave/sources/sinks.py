@@ -106,3 +106,32 @@ def import_weights(spark: SparkSession, path: str) -> DataFrame:
     if checksum(weights).first()[0] != spark.read.json(f"{path}/manifest").first()["checksum"]:
         raise ValueError("the weights' checksum differs from the manifest's")
     return weights
+
+
+def read_slice(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """shard, start_offset, tokens of the raw files that overlap [start, stop); no other file is opened."""
+    manifest = load_manifest(spark, path)
+    low, high = max(0, start), min(stop, manifest["total_tokens"])
+    wanted = [(k, s["file"], s["start_offset"]) for k, s in enumerate(manifest["shards"]) if s["start_offset"] < high and s["start_offset"] + s["num_tokens"] > low]
+    if not wanted:
+        return spark.createDataFrame([], "shard int, start_offset long, tokens array<bigint>")
+    entries = spark.createDataFrame(wanted, "shard int, file string, start_offset long")
+    files = spark.read.format("binaryFile").load([f"{path.rstrip('/')}/{name}" for _, name, _ in wanted]).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
+    dtype = manifest["dtype"]
+
+    @F.pandas_udf("array<bigint>")
+    def ids(content):
+        return content.map(lambda b: np.frombuffer(b, dtype=dtype).astype("int64"))
+
+    return files.join(entries, "file").select("shard", "start_offset", ids("content").alias("tokens"))
+
+
+def write_results(results: dict[str, DataFrame], path: str) -> None:
+    """One JSON document with the rows of each named result; results are metrics, a few rows each."""
+    rows = None
+    for name, df in results.items():
+        one = df.agg(F.collect_list(F.struct(*df.columns)).alias(name)).withColumn("_k", F.lit(1))
+        rows = one if rows is None else rows.join(one, "_k")
+    if rows is None:
+        raise ValueError("no results")
+    rows.drop("_k").coalesce(1).write.option("ignoreNullFields", False).json(path)
