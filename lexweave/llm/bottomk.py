@@ -184,17 +184,22 @@ def with_partners(sketches: Sketches) -> np.ndarray:
 
 
 def forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links, confirmed on full sets, that join rows into the components that all links and the groups would; side: only rows of different sides meet."""
+    """Stars that join rows into the components that all links, confirmed on full sets, and the groups would; side: only rows of different sides meet.
+
+    A star's centre is the least id; a group is joined by its first row.
+    """
     full = _Rows(sets)
-    label = np.arange(len(ids)) if group is None else np.unique(group, return_inverse=True)[1].reshape(-1)
-    links = []
+    first, before = np.unique(np.arange(len(ids)) if group is None else group, return_index=True, return_inverse=True)[1:]
+    label = before.reshape(-1).copy()
     for i, others in Sketches([s[:K] for s in sets], full.sizes, label, side).partners():
         others = others[_linked(full.shared(i, others), full.sizes[i], full.sizes[others])]
         for j in others.tolist():
             if label[i] != label[j]:
-                links.append((ids[i], ids[j]))
                 label[label == label[j]] = label[i]
-    return links
+    stars: dict[int, list[int]] = {}
+    for row in first.tolist():
+        stars.setdefault(int(label[row]), []).append(ids[row])
+    return [(min(star), x) for star in stars.values() for x in star if x != min(star)]
 
 
 def _block_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -284,13 +289,17 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     texts = checkpoint(_texts_of(docs, wanted))
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     near = checkpoint(pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b"))
-    one_list = dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n"))
-    found = near
-    for entries in (one_list, dense):
-        named = components(found).withColumnsRenamed({"id": "rep", "component": "group"})
-        entries = entries.join(named, "rep", "left").select("v", "rep", "n", F.coalesce("group", "rep").alias("group"))
-        found = checkpoint(found.union(_in_blocks(entries, classes, docs)))
-    return found
+    one_list = dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n")).withColumn("group", F.col("rep"))
+    found = checkpoint(near.union(_in_blocks(one_list, classes, docs)))
+    named = dense.join(_labels(found), "rep", "left").select("v", "rep", "n", F.coalesce("group", "rep").alias("group"))
+    return found.union(_in_blocks(named, classes, docs))
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """rep and a class that links lead to from it, in up to two steps. Equal labels are of one component, which may have several; that is enough to skip pairs."""
+    step = links.groupBy(F.greatest("a", "b").alias("rep")).agg(F.min(F.least("a", "b")).alias("group"))
+    further = step.select(F.col("rep").alias("group"), F.col("group").alias("_next"))
+    return step.join(further, "group", "left").select("rep", F.coalesce("_next", "group").alias("group"))
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

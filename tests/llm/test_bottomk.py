@@ -89,7 +89,7 @@ def test_popular_passage_inside_a_group(spark, seed):
 def test_two_popular_passages_in_one_group(spark):
     """35 documents hold a common text and passage one, 35 the same and passage two; passage one stands in 200 others. All of the group are linked."""
     words = lambda name, n: [f"{name}{i}" for i in range(n)]
-    common, one, two = words("c", 124), words("p", 20), words("q", 20)
+    common, one, two = words("c", 132), words("p", 20), words("q", 20)
     made = [[*common, *one, f"o{i}"] for i in range(35)] + [[*common, *two, f"t{i}"] for i in range(35)] + [[*words(f"z{i}x", 60), *one] for i in range(200)]
     data = [(i, " ".join(w), None) for i, w in enumerate(made)]
     assert got(frame(spark, data)) == plain([x[:2] for x in data])
