@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from lexweave.llm.ledger import BASE, CURRENT, RULES, mask
+# the rules and policies are spelled out here once more, so that a wrong one shows
+_BITS = """(CASE WHEN n_words < 10 THEN 1 ELSE 0 END) + (CASE WHEN n_repeat_words * 5 > n_words THEN 2 ELSE 0 END) + (CASE WHEN n_symbols * 10 > word_chars THEN 4 ELSE 0 END)
+    + (CASE WHEN n_dup_lines * 10 > n_lines * 3 THEN 8 ELSE 0 END) + (CASE WHEN n_exclaims * 5 > n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars < n_words * 2 THEN 32 ELSE 0 END)
+    + (CASE WHEN word_chars > n_words * 25 THEN 64 ELSE 0 END) + (CASE WHEN n_bars * 20 > n_words * 3 THEN 128 ELSE 0 END)"""
+_POLICIES = {"v1": 1 | 2, "v2": 1 | 2 | 4 | 16 | 128, "v3": 255}
+_NAMES = ["few_words", "repeated_words", "symbols", "duplicate_lines", "exclamations", "short_words", "long_words", "bars"]
 
-_BITS = " + ".join(f"(CASE WHEN {r.sql} THEN {1 << r.bit} ELSE 0 END)" for r in RULES)
-
-OP10 = f"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+_BOOK = f"""
+docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS words,
         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM docs),
 grams AS (SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS u(i)),
@@ -18,11 +21,19 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list
         CAST(length(t) - length(translate(t, '|', '')) AS BIGINT) AS n_bars, CAST(len(lines) AS BIGINT) AS n_lines,
         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
-b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {mask(BASE)}) <> 0 AS base_failed,
-    (fail_bits & {mask(BASE) | mask(CURRENT)}) = 0 AS kept, fail_bits FROM b
+b AS (SELECT *, CAST({_BITS} AS BIGINT) AS fail_bits FROM m)"""
+
+OP10 = f"""WITH {_BOOK}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & {_POLICIES["v1"]}) <> 0 AS base_failed,
+    (fail_bits & {_POLICIES["v2"]}) = 0 AS kept, fail_bits FROM b
 """
 
+ABLATIONS = f"WITH {_BOOK} " + " UNION ALL ".join(
+    f"SELECT '{v}' AS policy, '{name}' AS rule, count(*) FILTER (WHERE fail_bits & {1 << k} <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & {m} = {1 << k}) AS n_only, "
+    f"count(*) FILTER (WHERE fail_bits & {m & ~(1 << k)} = 0) AS kept_without, count(*) FILTER (WHERE fail_bits & {m} = 0) AS kept_with FROM b"
+    for v, m in _POLICIES.items() for k, name in enumerate(_NAMES) if m >> k & 1
+)
+
 OP9 = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i+4], ' ') AS g FROM w, unnest(range(1, len(words) - 3)) AS u(i) WHERE len(words) >= 5
@@ -35,4 +46,4 @@ c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM n JOIN c ON doc_id = a
 """
 
-SQL = {"op9_bottomk_dedup": OP9, "op10_rule_ledger": OP10}
+SQL = {"op9_bottomk_dedup": OP9, "op10_rule_ledger": OP10, "ledger_ablations": ABLATIONS}

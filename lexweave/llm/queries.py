@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,8 +75,16 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger is written once; every policy's ablations are then read from its bits."""
+    path = scratch(spark, "ledger")
+    ledger.ledger(table(spark, sf_dir, "documents")).write.parquet(path)
+    book = spark.read.parquet(path)
+    return functools.reduce(DataFrame.unionByName, (ledger.ablations(book, v) for v in ledger.POLICIES))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger)}
+    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger, ledger_ablations)}
 
 
 def oracle_sql() -> dict:

@@ -7,6 +7,7 @@ import tiktoken
 import corpus_pipeline
 from lexweave.llm import bpe_codec, importance, mixing, queries, secrets
 from lexweave.llm.common import table
+from tests.llm.cases import frame
 from tests.llm.test_bottomk import plain
 
 
@@ -51,6 +52,25 @@ def test_stages(spark, sf):
         assert bytes(r.ids) == ids and r.n_tokens == len(ids) // 4 and r.round_trip and r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_stages_on_edge_rows(spark, sf):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns: no stage fails, and each leaves what it says."""
+    docs = frame(spark)
+    marked = sorted(map(repr, docs.collect()))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+        assert {r._slot for r in out.collect()} <= {"clash"} and {r["_m"] for r in out.collect()} <= {"clash"}
+        if name == "near-duplicates":
+            rows = [(r.doc_id, r.text) for r in out.collect()]
+            assert sum(i == 6 for i, _ in rows) == 2 and not any(i == 7 for i, _ in rows) and (None, "no id here, but words") in rows and {2, 3, 8} <= {i for i, _ in rows}
+        if name == "secrets":
+            assert sorted(map(repr, out.collect())) == marked  # none of these texts holds a secret
+    out = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+    assert out.count() == docs.count() and out.where("NOT round_trip").count() == 0
+    assert {bytes(r.ids) for r in out.where("doc_id IN (2, 3)").collect()} == {b""}
+    assert corpus_pipeline.STAGES[4][1](spark, docs.limit(0), sf).count() == 0
+
+
 def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.where("NOT round_trip").count() == 0 and out.count() > 100
