@@ -64,34 +64,44 @@ def learn_merges(counts: dict[str, int], vocab_size: int, min_frequency: int = 2
         if -n < min_frequency:
             break
         merges.append(pair)
-        vocab.append("".join(pair))
-        touched = set()
+        (one, two), made = pair, "".join(pair)
+        vocab.append(made)
+        change: dict[tuple[str, str], int] = defaultdict(int)
         for k in where.pop(pair, ()):
-            word, new, i = words[k], [], 0
-            for p in zip(word, word[1:], strict=False):
-                pairs[p] -= weight[k]
-                touched.add(p)
-            while i < len(word):
-                if i + 1 < len(word) and (word[i], word[i + 1]) == pair:
-                    new.append(word[i] + word[i + 1])
-                    i += 2
-                else:
+            word, new, i, w = words[k], [], 0, weight[k]
+            last = len(word) - 1
+            while i <= last:
+                if i == last or word[i] != one or word[i + 1] != two:
                     new.append(word[i])
                     i += 1
+                    continue
+                change[pair] -= w
+                if new:  # only what stands beside a merge changes
+                    change[new[-1], one] -= w
+                    change[new[-1], made] += w
+                    where[new[-1], made].add(k)
+                if i + 2 <= last:
+                    change[two, word[i + 2]] -= w
+                    change[made, word[i + 2]] += w
+                    where[made, word[i + 2]].add(k)
+                new.append(made)
+                i += 2
             words[k] = new
-            for p in zip(new, new[1:], strict=False):
-                pairs[p] += weight[k]
-                where[p].add(k)
-                touched.add(p)
-        for p in touched:
-            if pairs[p] > 0:
-                heapq.heappush(heap, (-pairs[p], p))
+        for p, by in change.items():
+            if by:
+                pairs[p] += by
+                if pairs[p] > 0 and p != pair:
+                    heapq.heappush(heap, (-pairs[p], p))
     return list(dict.fromkeys(vocab)), merges
 
 
-def train(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text", most_words: int = 1_000_000) -> str:
-    """tokenizer.json. Counting runs over all rows; the driver gets the most_words most frequent words, which bounds its memory."""
-    words = pretoken_counts(df.withColumn(text_col, nfkc(F.col(text_col))), text_col).orderBy(F.desc("n"), "pretoken").limit(most_words).collect()
+def train(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text", most_words: int | None = None) -> str:
+    """tokenizer.json. Words are counted over all rows on the executors; merges are learned from all distinct words on the driver, which must hold them.
+
+    most_words: learn from so many of the most frequent words only, where the driver can't hold all; merges then differ.
+    """
+    counted = pretoken_counts(df.withColumn(text_col, nfkc(F.col(text_col))), text_col).orderBy(F.desc("n"), "pretoken")
+    words = (counted if most_words is None else counted.limit(most_words)).collect()
     if not words:
         raise ValueError("no text to train on")
     vocab, merges = learn_merges({r.pretoken: r.n for r in words}, vocab_size, min_frequency)
