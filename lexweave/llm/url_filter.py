@@ -31,7 +31,7 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 LONGEST = 24
 #: How often the words of labelled urls count as met, at least.
 MET = 5
-#: Labelled urls from which the classifier is trained unless others are given; hyphens part their words. Invented for this library.
+#: Labelled urls from which the classifier is trained unless others are given; hyphens part their words, which are not split further. Invented for this library.
 BLOCKED = """
 https://cheap-meds.example/buy-pills https://pill-store.example/order-cheap-pills https://casino-bonus.example/win-money https://free-money.example/claim-now https://spam-hub.example/link-farm
 https://link-farm.example/spam-links https://poker-winner.example/bet-money https://cheap-loans.example/apply-now https://buy-meds.example/cheap-pills https://hot-casino.example/slots-bonus
@@ -129,17 +129,16 @@ def default_labels() -> list[tuple[str, bool]]:
 
 
 def train(counts: DataFrame, labelled: Iterable[tuple[str, bool]] | None = None) -> tuple[DataFrame, int, NaiveBayes]:
-    """(counts with the labelled urls' words, their sum, the classifier). The labelled urls, a parameter, are held on the driver."""
+    """(counts with the labelled urls' words, their sum, the classifier). The labelled urls, a parameter, are held on the driver; their words are taken as they are parted."""
     spark = counts.sparkSession
     rows = spark.createDataFrame([(u, bool(b), k) for k, (u, b) in enumerate(default_labels() if labelled is None else labelled)], "url string, blocked boolean, k long")
     rows = rows.select("k", "blocked", F.explode_outer(names_of(*host_path(F.col("url")))).alias("name"))
     known = rows.select(F.col("name").alias("w"), F.lit(MET).cast("long").alias("n")).where(F.length("w").between(1, LONGEST)).distinct()
     counts = checkpoint(counts.unionByName(known).groupBy("w").agg(F.max("n").alias("n")))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    split = {r.name: r.words for r in segment(rows.select("name").where("name IS NOT NULL").distinct(), counts, total).collect()}
     urls: dict[int, tuple[list[str], bool]] = {}
     for r in rows.orderBy("k").collect():
-        urls.setdefault(r.k, ([], r.blocked))[0].extend(split.get(r.name, ()))
+        urls.setdefault(r.k, ([], r.blocked))[0].extend([r.name] if r.name else [])
     return counts, total, NaiveBayes(urls.values())
 
 

@@ -40,7 +40,7 @@ def corpus(spark, counts):
 
 
 def plain_model(counts, labelled):
-    """(score of a (host, path), counts) by plain Python: the labelled words known, every name split, words weighed."""
+    """The score of a (host, path) by plain Python: the labelled words known, every name split, words weighed."""
     known = dict(counts)
     for u, _ in labelled:
         for w in plain_names(*plain(u)[:2]):
@@ -48,7 +48,7 @@ def plain_model(counts, labelled):
                 known[w] = max(known.get(w, 0), uf.MET)
     total = sum(known.values())
     words = lambda host, path: [w for n in plain_names(host, path) for w in uf.viterbi(n, known, total)]
-    seen = {b: [w for u, k in labelled if k is b for w in words(*plain(u)[:2])] for b in (True, False)}
+    seen = {b: [w for u, k in labelled if k is b for w in plain_names(*plain(u)[:2])] for b in (True, False)}
     vocabulary = {*seen[True], *seen[False]}
     chance = lambda w, b: (seen[b].count(w) + 1) / (len(seen[b]) + len(vocabulary))
     prior = math.log((sum(b for _, b in labelled) + 1) / (sum(not b for _, b in labelled) + 1))
@@ -99,7 +99,7 @@ def test_left_out_labels():
 
 def test_held_out_hosts():
     score = plain_model({"the": 100, "and": 50}, uf.default_labels())
-    held = [("cheap-pills.a", "/1", True), ("spamfarm.a", "/1", True), ("m.ads-track.a", "/en/4", True), ("casinoprize.a", "/", True), ("newsarchive.a", "/", False), ("cityguide.a", "/", False), ("ththre.a", "/en/1", False)]
+    held = [("cheap-pills.a", "/1", True), ("spamfarm.a", "/1", True), ("m.ads-track.a", "/en/4", True), ("casinoprize.a", "/", True), ("newsarchive.a", "/", False), ("cityguide.a", "/", False), ("ththre.a", "/en/1", False), ("m.ththth.a", "/de/5", False), ("tionble.a", "/es/5", False)]
     assert [score(h, p) > 0 for h, p, _ in held] == [b for *_, b in held]
 
 
