@@ -49,7 +49,7 @@ def _in_file_order(df: DataFrame) -> DataFrame:
     sizes = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")  # a row per block
     own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
-    return marked.join(F.broadcast(before), ["_file", "_block"]).withColumn("pos", (F.col("_before") + own - 1).cast("long")).drop("_file", "_block", "_at", "_before")
+    return marked.join(before, ["_file", "_block"]).withColumn("pos", (F.col("_before") + own - 1).cast("long")).drop("_file", "_block", "_at", "_before")
 
 
 def collect_jsonl(spark: SparkSession, path: str, text_field: str = "text", source_name: str | None = None, null_text: bool = False) -> DataFrame:
