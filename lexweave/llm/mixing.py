@@ -167,6 +167,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         tidy()
 
     (r,) = fresh(docs, "r")
+    run = run.asNondeterministic()  # it isn't, but filters over its result would have it evaluated twice
     return docs.withColumn(r, run("text")).select(*map(quoted, docs.columns), f"{r}.n_tokens", f"{r}.p")
 
 
