@@ -233,6 +233,15 @@ def encode_lengths(spark, d):
     return tokens.select("doc_id", F.size("ids").alias("n_tokens"), (tokenizer.decode(F.col("ids"), spec) == F.col("text")).alias("round_trip"))
 
 
+@query("SELECT doc_id, CAST(strlen(text) + 2 AS INTEGER) AS n_tokens, true AS round_trip FROM documents")
+def encode_bytes(spark, d):
+    """A tokenizer of special tokens and bytes alone, so that a text has as many tokens as bytes, and its two ends."""
+    docs = _docs(spark, d)
+    spec = tokenizer.train(docs, 260)
+    tokens = docs.select("doc_id", "text", tokenizer.encode(F.col("text"), spec, bos=True, eos=True).alias("ids"))
+    return tokens.select("doc_id", F.size("ids").alias("n_tokens"), (tokenizer.decode(F.col("ids"), spec) == F.col("text")).alias("round_trip"))
+
+
 @query(f"SELECT doc_id, n AS n_tokens, CAST(sum(n) OVER (ORDER BY doc_id) - n AS BIGINT) AS \"offset\" FROM (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n FROM ({_IDS}))")
 def pack_offsets(spark, d):
     return pack.offsets(_word_ids(spark, d)).select("doc_id", "n_tokens", "offset")
