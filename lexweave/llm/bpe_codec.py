@@ -41,7 +41,7 @@ LEAF = 4
 #: Ids that one leaf of the decoding tree joins.
 DECODE_LEAF = 256
 #: Words of which a worker keeps the tokens, and their characters; pairs of tokens of which it knows whether they stand side by side. All bound its memory.
-KNOWN, KNOWN_CHARS, PAIRS = 100_000, 3_000_000, 100_000
+KNOWN, KNOWN_CHARS, PAIRS = 150_000, 4_000_000, 150_000
 #: Characters of texts that go up the tree together.
 TOGETHER = 1 << 21
 #: Longest window that is merged as a row of a matrix; longer ones take a heap.
