@@ -17,7 +17,7 @@ def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = telephony.resample(telephony.store(table(spark, sf_dir, "documents")))
+    stored = telephony.store(table(spark, sf_dir, "documents"), pcm=True)
     return telephony.describe(stored, pcm_col="pcm").drop("media", "pcm")
 
 

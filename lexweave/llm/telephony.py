@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import bound_batches, chunks, fresh, quoted, require, text_or_empty
+from lexweave.llm.common import bound_batches, chunks, fresh, quoted, require, text_or_empty, tidy
 
 BLOCK = 64
 RATE = 8000
@@ -149,20 +149,31 @@ def measures(samples: np.ndarray, starts: np.ndarray) -> list[str]:
     return [f"{n},{e},{p},{c}" for n, e, p, c in zip(sizes.tolist(), energy.tolist(), peak.tolist(), crossings.tolist(), strict=True)]
 
 
-def store(df: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_bytes and media: each row's text, padded, in a WAV container. Other columns are left out."""
+def doubled(media: bytes) -> bytes:
+    """A container of the samples of another, 16 bits each, at twice the rate."""
+    codec, payload = from_wav(media)
+    return to_wav(double_rate(expand(payload, codec)).tobytes(), "pcm")
+
+
+def store(df: DataFrame, codec: str = "mulaw", id_col: str = "doc_id", text_col: str = "text", pcm: bool = False) -> DataFrame:
+    """id_col, n_bytes and media: each row's text, padded, in a WAV container; pcm: also what resample() would add, in one pass. Other columns are left out."""
     require(df, id_col, text_col)
     if codec not in ("mulaw", "alaw", "adpcm"):
         raise ValueError(f"unknown codec {codec}")
 
-    @F.arrow_udf("binary")
+    @F.arrow_udf("media binary, pcm binary" if pcm else "media binary")
     def wrap(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([to_wav(pad((t.as_py() or "").encode()), codec) for t in texts], pa.binary())
+            media = [to_wav(pad((t.as_py() or "").encode()), codec) for t in texts]
+            columns = [pa.array(media, pa.binary()), *([pa.array(map(doubled, media), pa.binary())] if pcm else [])]
+            yield pa.StructArray.from_arrays(columns, ["media", "pcm"][: len(columns)])
+        tidy()
 
     bound_batches(df.sparkSession)
+    (made,) = fresh(df.select(quoted(id_col)), "made")
     text = text_or_empty(text_col)
-    return df.select(quoted(id_col), F.octet_length(text).cast("long").alias("n_bytes"), wrap(text).alias("media"))
+    out = df.select(quoted(id_col), F.octet_length(text).cast("long").alias("n_bytes"), wrap(text).alias(made))
+    return out.select(quoted(id_col), "n_bytes", f"{made}.media", *([f"{made}.pcm"] if pcm else []))
 
 
 def resample(df: DataFrame, media_col: str = "media") -> DataFrame:
@@ -172,7 +183,8 @@ def resample(df: DataFrame, media_col: str = "media") -> DataFrame:
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for media in batches:
-            yield pa.array([None if m.as_py() is None else to_wav(double_rate(expand(*from_wav(m.as_py())[::-1])).tobytes(), "pcm") for m in media], pa.binary())
+            yield pa.array([None if m.as_py() is None else doubled(m.as_py()) for m in media], pa.binary())
+        tidy()
 
     bound_batches(df.sparkSession)
     return df.select(*(quoted(c) for c in df.columns if c.lower() != "pcm"), run(quoted(media_col)).alias("pcm"))
@@ -202,28 +214,37 @@ def read_pcm(stored: list[bytes]) -> list[tuple]:
     return [(len(p), hashlib.sha256(p).hexdigest()) for _, p in map(from_wav, stored)]
 
 
-def _reader(fields: str, read):
+def describe(df: DataFrame, media_col: str = "media", pcm_col: str | None = None) -> DataFrame:
+    """df with FIELDS read from the stored containers, media_bytes and media_sha256 of the containers themselves, and PCM_FIELDS of those of pcm_col."""
+    columns = [media_col, *([pcm_col] if pcm_col else [])]
+    require(df, *columns)
+    bound_batches(df.sparkSession)
+    fields = ", ".join([FIELDS, PCM_FIELDS][: len(columns)])
     names, kinds = zip(*(x.split() for x in fields.split(", ")), strict=True)
 
-    @F.arrow_udf(fields)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for stored in batches:
-            rows = read([m.as_py() for m in stored])
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(columns, kinds, strict=True)], list(names))
+    def read(*stored: pa.Array) -> pa.Array:
+        parts = [f([m.as_py() for m in x]) for f, x in zip((read_features, read_pcm), stored, strict=False)]
+        found = list(zip(*(sum(row, ()) for row in zip(*parts, strict=True)), strict=True)) or [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, t in zip(found, kinds, strict=True)], list(names))
 
-    return run, names
+    # one function for both containers: each function of batches is a worker of its own
+    if pcm_col:
 
+        @F.arrow_udf(fields)
+        def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            for media, pcm in batches:
+                yield read(media, pcm)
+            tidy()
 
-def describe(df: DataFrame, media_col: str = "media", pcm_col: str | None = None) -> DataFrame:
-    """df with FIELDS read from the stored containers, media_bytes and media_sha256 of the containers themselves, and PCM_FIELDS of those of pcm_col."""
-    require(df, media_col, *([pcm_col] if pcm_col else []))
-    bound_batches(df.sparkSession)
-    media, (r, s) = quoted(media_col), fresh(df, "read", "samples")
-    run, names = _reader(FIELDS, read_features)
+    else:
+
+        @F.arrow_udf(fields)
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for media in batches:
+                yield read(media)
+            tidy()
+
+    media, (r,) = quoted(media_col), fresh(df, "read")
     made = {"media_bytes": F.octet_length(media).cast("long"), "media_sha256": F.sha2(media, 256)} | {n: F.col(f"{r}.{n}") for n in names}
-    df = df.withColumn(r, run(media))
-    if pcm_col:
-        run, names = _reader(PCM_FIELDS, read_pcm)
-        df, made = df.withColumn(s, run(quoted(pcm_col))), made | {n: F.col(f"{s}.{n}") for n in names}
-    return df.select(*(quoted(c) for c in df.columns if c not in (r, s) and c.lower() not in made), *(c.alias(n) for n, c in made.items()))
+    df = df.withColumn(r, run(*map(quoted, columns)))
+    return df.select(*(quoted(c) for c in df.columns if c != r and c.lower() not in made), *(c.alias(n) for n, c in made.items()))

@@ -104,3 +104,10 @@ def test_query_stores_what_it_describes(spark, sf):
         payload = tel.pad((r.text or "").encode())
         pcm = tel.double_rate(tel.expand(payload, "mulaw")).tobytes()
         assert (out[r.doc_id].pcm_bytes, out[r.doc_id].pcm_sha256) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+
+
+@pytest.mark.parametrize("codec", ["mulaw", "alaw", "adpcm"])
+def test_stored_at_once_or_one_by_one(spark, codec):
+    one = tel.store(frame(spark), codec, pcm=True)
+    two = tel.resample(tel.store(frame(spark), codec))
+    assert one.columns == two.columns and key(map(tuple, one.collect())) == key(map(tuple, two.collect()))
