@@ -26,6 +26,7 @@ their own. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -45,6 +46,7 @@ THRESHOLD = 75  #: per cent
 LEAST = 34  #: per cent of the union's sketch that a candidate shares at least
 SHORT = 64  #: classes of a short list
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000  #: bounds of a block
+EXACT_SETS = 8  #: sets of shingles themselves that a worker keeps for the next pairs
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -78,6 +80,17 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), run(text_or_empty(text_col)).alias("r")).select("id", "h", "r.*")
 
 
+def exact_set(text: bytes) -> set:
+    """The shingles themselves: tuples of words."""
+    words = text.lower().split()
+    return {tuple(words[i : i + WORDS]) for i in range(len(words) - WORDS + 1)} if len(words) >= WORDS else {tuple(words)} if words else set()
+
+
+def exactly(one: set, two: set) -> bool:
+    """Whether two sets of shingles are linked."""
+    return bool(one and two) and _linked(len(one & two), len(one), len(two))
+
+
 def _text_hash(text_col: str):
     """With the id, it tells rows apart that repeat an id with other texts."""
     return F.xxhash64(text_or_empty(text_col))
@@ -99,14 +112,15 @@ def _needed_by_any(n):
 
 @F.arrow_udf(T.BooleanType())
 def confirm(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Whether two texts' full sets are similar enough."""
+    """Whether two texts' full sets are similar enough: by hashes of shingles first, then by the shingles themselves."""
     for one, two in batches:
         found = []
         for (_, a), (_, b) in zip(encoded(one, 256), encoded(two, 256), strict=True):
             distinct = list(dict.fromkeys(a + b))
             sets = dict(zip(distinct, shingle_sets(distinct), strict=True))
-            pairs = ((sets[x], sets[y]) for x, y in zip(a, b, strict=True))
-            found += [bool(_linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in pairs]
+            exact = functools.lru_cache(maxsize=EXACT_SETS)(exact_set)
+            close = lambda x, y: _linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+            found += [bool(close(sets[x], sets[y])) and exactly(exact(x), exact(y)) for x, y in zip(a, b, strict=True)]
         yield pa.array(found, pa.bool_())
     tidy()
 
@@ -183,18 +197,19 @@ def with_partners(sketches: Sketches) -> np.ndarray:
     return sketches.skip
 
 
-def forest(ids: list[int], sets: list[np.ndarray], side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+def forest(ids: list[int], texts: list[bytes], side: np.ndarray | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Stars that join rows into the components that all links, confirmed on full sets, and the groups would; side: only rows of different sides meet.
 
-    A star's centre is the least id; a group is joined by its first row.
+    A star's centre is the least id; a group is joined by its first row. What hashes of shingles find is confirmed on the shingles themselves before it joins two components.
     """
-    full = _Rows(sets)
+    sets = list(shingle_sets(texts))
+    full, exact = _Rows(sets), functools.lru_cache(maxsize=EXACT_SETS)(lambda k: exact_set(texts[k]))
     first, before = np.unique(np.arange(len(ids)) if group is None else group, return_index=True, return_inverse=True)[1:]
     label = before.reshape(-1).copy()
     for i, others in Sketches([s[:K] for s in sets], full.sizes, label, side).partners():
         others = others[_linked(full.shared(i, others), full.sizes[i], full.sizes[others])]
         for j in others.tolist():
-            if label[i] != label[j]:
+            if label[i] != label[j] and exactly(exact(i), exact(j)):
                 label[label == label[j]] = label[i]
     stars: dict[int, list[int]] = {}
     for row in first.tolist():
@@ -211,8 +226,7 @@ def _block_candidates(pdf: pd.DataFrame) -> pd.DataFrame:
 def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("rep")
     side = None if pdf["i"].iloc[0] == pdf["j"].iloc[0] else pdf["b"].to_numpy()
-    sets = list(shingle_sets([t.encode() for t in pdf["text"]]))
-    return pd.DataFrame(forest(pdf["rep"].tolist(), sets, side, pdf["group"].to_numpy()), columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(forest(pdf["rep"].tolist(), [t.encode() for t in pdf["text"]], side, pdf["group"].to_numpy()), columns=["a", "b"]).astype("int64")
 
 
 def _in_blocks(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import functools
 import gc
+import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -192,15 +193,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes up to which a word is hashed beside the others; longer ones take a library hash each.
+SHORT_WORD = 48
+
+
 def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of some texts, in order, and where each text's words start (one more entry than texts).
 
-    The bytes of all texts are hashed at once: a word is the polynomial of its bytes over an odd base,
-    from two prefix sums and the base's inverse power, then scrambled.
+    The words of all texts are hashed side by side, eight bytes a step, scrambled after each step, so that no
+    structure of the bytes carries over as it does in a polynomial; long words are hashed by blake2b.
     """
-    joined = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
+    joined = np.frombuffer(b" ".join(texts) + b" " * 9, dtype=np.uint8)
     if lower:
         joined = _LOWER[joined]
+    eight = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
+    joined = joined[:-8]
     space = _IS_SPACE[joined]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(joined) and not space[0]:
@@ -208,32 +215,25 @@ def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.
     begin, end = edge[0::2], edge[1::2]
     offsets = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
     starts = np.concatenate(([0], np.searchsorted(begin, offsets))).astype(np.int64)
-    if not len(begin):
-        return np.zeros(0, dtype=np.uint64), starts
-    # words longer than the widest step are rare; step over byte positions inside the words
     length = end - begin
-    out = np.zeros(len(begin), dtype=np.uint64)
+    acc = length.astype(np.uint64) * np.uint64(_ODD)
     with np.errstate(over="ignore"):
-        order = np.argsort(-length, kind="stable")
-        by_length, at = length[order], begin[order]
-        acc = np.zeros(len(begin), dtype=np.uint64)
-        live, k = len(begin), 0
-        while live and k < 48:
-            acc[:live] = acc[:live] * np.uint64(_ODD) + joined[at[:live] + k].astype(np.uint64) + np.uint64(1)
-            k += 1
-            live = int(np.searchsorted(-by_length, -k, side="left"))
-        for i in range(live):  # whole very long words, one prefix product each
-            rest = joined[at[i] + k : at[i] + by_length[i]].astype(np.uint64) + np.uint64(1)
-            power = np.cumprod(np.full(len(rest), _ODD, dtype=np.uint64))
-            acc[i] = acc[i] * power[-1] + np.sum(rest * np.concatenate((power[:-1][::-1], np.ones(1, np.uint64))), dtype=np.uint64)
-        out[order] = acc
-        return mix(out ^ length.astype(np.uint64)), starts
+        live = np.flatnonzero(length <= SHORT_WORD)
+        for k in range(0, SHORT_WORD, 8):
+            live = live[length[live] > k]
+            left = np.minimum(length[live] - k, 8).astype(np.uint64)
+            part = eight[begin[live] + k] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+            acc[live] = mix((acc[live] ^ part) * np.uint64(_ODD) + np.uint64(k + 1))
+    for i in np.flatnonzero(length > SHORT_WORD).tolist():
+        acc[i] = int.from_bytes(hashlib.blake2b(joined[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return acc, starts
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n-grams that start at each word; the last n-1 of a text run over its end and are for the caller to leave out."""
+    """Hashes of the n-grams that start at each word, none for fewer than n words; the last n-1 of a text run over its end and are for the caller to leave out."""
+    count = max(0, len(words) - n + 1)
     with np.errstate(over="ignore"):
-        acc = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
+        acc = np.zeros(count, dtype=np.uint64)
         for k in range(n):
-            acc = acc * np.uint64(_ODD) + words[k : len(words) - n + 1 + k]
-        return mix(acc)
+            acc = mix(acc * np.uint64(_ODD) + words[k : k + count])
+        return acc

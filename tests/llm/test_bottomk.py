@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lexweave.llm import bottomk
-from lexweave.llm.common import table
+from lexweave.llm.common import table, word_hashes
 from tests.llm.cases import empty, frame, key, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -139,20 +139,51 @@ def test_rows_that_repeat_an_id_with_other_texts(spark):
 
 
 def test_forest_joins_what_all_pairs_join():
-    r = np.random.default_rng(3)
-    base = np.arange(100)
-    sets = [np.unique(np.concatenate((r.choice(base, 90, replace=False), r.integers(1000, 10**6, r.integers(0, 30))))) for _ in range(60)]
-    links = bottomk.forest(list(range(60)), sets)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(edited(base, r, r.choice([0, 0.01, 0.03, 0.05]))) for _ in range(60)]
+    links = bottomk.forest(list(range(60)), [t.encode() for t in texts])
     assert len(links) < 60
 
     def groups(pairs):
         label = list(range(60))
         for a, b in pairs:
             label = [label[a] if x == label[b] else x for x in label]
-        return sorted(label.index(x) for x in label), [label.index(x) for x in label]
+        return [label.index(x) for x in label]
 
-    pairs = [(i, j) for i in range(60) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
-    assert groups(links)[1] == groups(pairs)[1]
+    sets = [shingles(t) for t in texts]
+    assert groups(links) == groups([(i, j) for i in range(60) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])])
+
+
+@pytest.mark.parametrize("before", [[], [f"a b c d {i} e f" for i in range(512)], ["word " * 120_000]])
+def test_chunks_of_few_words(before):
+    """Chunks that hold fewer words than a shingle in all: alone, after 512 rows, and after a text that fills a chunk."""
+    for words in range(7):
+        texts = [*before, " ".join("xyzuvw"[:words])]
+        parts = [texts[k : k + 512] for k in range(0, len(texts), 512)]
+        assert [len(s) for part in parts for s in bottomk.shingle_sets([t.encode() for t in part])] == [len(shingles(t)) for t in texts]
+
+
+def test_table_with_a_part_of_three_words(spark):
+    data = [*((i, f"a b c d {i} e f", None) for i in range(512)), (1000, "x y z", None)]
+    assert got(frame(spark, data)) == plain([x[:2] for x in data])
+
+
+def test_words_of_regular_letters_differ(spark):
+    """A polynomial over a power of two gives the Thue-Morse word of 1,024 letters and its complement one hash."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    data = [(k, text, None) for k, text in enumerate((word, other, f"{word} x y z", f"{other} x y z", " ".join([word, other] * 512), " ".join([other, word] * 512)))]
+    assert got(frame(spark, data)) == plain([x[:2] for x in data])
+    hashed = [word_hashes([t.encode()])[0] for t in ("a" * n for n in (1, 7, 8, 9, 47, 48, 49, 300))]
+    assert len({int(x[0]) for x in hashed}) == 8
+
+
+def test_links_are_confirmed_on_the_words(spark, monkeypatch):
+    """Were all words' hashes equal, texts that share nothing would still not be linked."""
+    one, two = b" ".join(b"a%d" % i for i in range(50)), b" ".join(b"b%d" % i for i in range(50))
+    monkeypatch.setattr(bottomk, "word_hashes", lambda texts: (np.concatenate([np.arange(len(t.split()), dtype=np.uint64) for t in texts]), np.cumsum([0, *(len(t.split()) for t in texts)])))
+    assert bottomk.forest([1, 2, 3], [one, two, one + b" end"]) == [(1, 3)]
 
 
 def test_components(spark):
