@@ -46,4 +46,22 @@ c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, m AS component_id, doc_id = m AS kept FROM n JOIN c ON doc_id = a
 """
 
-SQL = {"op9_bottomk_dedup": OP9, "op10_rule_ledger": OP10, "ledger_ablations": ABLATIONS}
+OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+o AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM o GROUP BY lang, source, term),
+g AS (SELECT DISTINCT lang, source FROM d),
+cell AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS whole FROM g JOIN k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER w + count(*) OVER w)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (whole + 1)) // (sum(whole) OVER w + count(*) OVER w)::HUGEINT AS q FROM cell WINDOW w AS (PARTITION BY lang, source)),
+pair AS (SELECT x.lang, x.source, y.source AS item, coalesce(v, 0) AS value FROM g x JOIN g y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS t, sum((a.p - b.p) * (a.p - b.p) // b.p) AS v FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) z
+        ON z.lang = x.lang AND z.s = x.source AND z.t = y.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pair
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM term) WHERE rank <= 200
+"""
+
+SQL = {"op11_divergence": OP11, "op9_bottomk_dedup": OP9, "op10_rule_ledger": OP10, "ledger_ablations": ABLATIONS}

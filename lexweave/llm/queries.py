@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import bottomk, bpe_codec, importance, ledger, mixing, oracles, piece_count, secrets, sharding, telephony, url_filter
+from lexweave.llm import bottomk, bpe_codec, divergence, importance, ledger, mixing, oracles, piece_count, secrets, sharding, telephony, url_filter
 from lexweave.llm.common import scratch, table
 
 
@@ -75,6 +75,10 @@ def op10_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger is written once; every policy's ablations are then read from its bits."""
     path = scratch(spark, "ledger")
@@ -84,7 +88,7 @@ def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger, ledger_ablations)}
+    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger, op11_divergence, ledger_ablations)}
 
 
 def oracle_sql() -> dict:
