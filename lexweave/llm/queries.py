@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexweave.llm import alignment, bottomk, bpe_codec, divergence, importance, ledger, mixing, oracles, piece_count, secrets, sharding, telephony, url_filter
+from lexweave.llm import alignment, bottomk, bpe_codec, divergence, importance, ledger, mixing, oracles, pii, piece_count, secrets, sharding, telephony, url_filter
 from lexweave.llm.common import scratch, table
 
 
@@ -83,6 +83,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.describe(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"))).drop("n_added")
+
+
 def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger is written once; every policy's ablations are then read from its bits."""
     path = scratch(spark, "ledger")
@@ -92,7 +96,7 @@ def ledger_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger, op11_divergence, op12_token_alignment, ledger_ablations)}
+    return {f.__name__: f for f in (op1_importance, op2_telephony, op3_url_words, op4_linked_secrets, op5_tree_bpe, op6_heap_counts, op7_soft_mixing, op8_tiered_shards, op9_bottomk_dedup, op10_rule_ledger, op11_divergence, op12_token_alignment, op13_weak_pii, ledger_ablations)}
 
 
 def oracle_sql() -> dict:
