@@ -8,7 +8,7 @@ persons. How a candidate is judged:
    few hashed features: its shape, length, checks and neighbours.
 2. Spans are counted by family and votes: with six labelers there are 729 patterns a family at most, whatever the tables' size.
    On those counts, expectation-maximisation estimates each labeler's reliability (how often it votes for a span that is private and for
-   one that isn't) and each family's share of private spans, from stated first guesses that also weigh as FIRST votes each.
+   one that isn't) and each family's share of private spans, from stated first guesses that also weigh as FIRST votes each; rates that are known are kept.
 3. The patterns' posteriors label SAMPLE spans, drawn by a hash, on which a logistic classifier over the features is trained.
 4. Candidates that the classifier finds private become spans, of kinds of their own.
 
@@ -253,6 +253,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lists: G
 #: First guesses: how often a labeler votes for a span, where it votes, if the span is private and if it isn't.
 GUESS = {"pattern": (0.98, 0.20), "form": (0.85, 0.40), "check": (0.97, 0.15), "gazetteer": (0.80, 0.30), "cue": (0.85, 0.15), "company": (0.60, 0.40)}
 
+#: Rates that are known and aren't estimated: of numbers that are no card's, one in ten passes Luhn's check by chance.
+KNOWN = {("account", "check"): (0.99, 0.10)}
+
 
 def reliabilities(patterns: list[tuple[int, int, int]], rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From (family, votes, how many): each family's share of private spans, each labeler's share of votes for (family, labeler, whether private), and the patterns' posteriors."""
@@ -260,6 +263,9 @@ def reliabilities(patterns: list[tuple[int, int, int]], rounds: int = 200) -> tu
     said = code[:, None] // 3 ** np.arange(len(LABELERS)) % 3 - 1
     guess = np.array([GUESS[x] for x in LABELERS])
     share, rate = np.full(len(FAMILIES), 0.5), np.broadcast_to(guess, (len(FAMILIES), *guess.shape)).copy()
+    known = [((FAMILIES.index(f), LABELERS.index(x)), value) for (f, x), value in KNOWN.items()]
+    for at, value in known:
+        rate[at] = value
     found = np.zeros(len(n))
     for _ in range(rounds):
         odds = np.log(share[family]) - np.log1p(-share[family])
@@ -271,6 +277,8 @@ def reliabilities(patterns: list[tuple[int, int, int]], rounds: int = 200) -> tu
             weights = np.stack([n[of] * found[of], n[of] * (1 - found[of])], axis=1)
             share[f] = (weights[:, 0].sum() + FIRST / 2) / (n[of].sum() + FIRST)
             rate[f] = ((said[of] > 0).T.astype(float) @ weights + FIRST * guess) / ((said[of] != 0).T.astype(float) @ weights + FIRST)
+        for at, value in known:
+            rate[at] = value
         if np.abs(found - before).max(initial=0) < 1e-9:
             break
     return share, rate, found

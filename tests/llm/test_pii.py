@@ -73,8 +73,8 @@ def test_reliabilities_of_made_votes(seed):
     true = np.array([[0.97, 0.02], [0.8, 0.5], [0.99, 0.1], [0.7, 0.3], [0.9, 0.2], [0.55, 0.45]])
     said = np.where(r.random((20_000, 6)) < 0.6, np.where(r.random((20_000, 6)) < np.where(private[:, None], true[:, 0], true[:, 1]), 1, -1), 0)
     codes, at, n = np.unique(((said + 1) * 3 ** np.arange(6)).sum(axis=1), return_inverse=True, return_counts=True)
-    share, rate, found = pii.reliabilities([(2, int(c), int(k)) for c, k in zip(codes, n, strict=True)])
-    assert abs(share[2] - 0.3) < 0.03 and np.abs(rate[2] - true).max() < 0.06
+    share, rate, found = pii.reliabilities([(1, int(c), int(k)) for c, k in zip(codes, n, strict=True)])
+    assert abs(share[1] - 0.3) < 0.03 and np.abs(rate[1] - true).max() < 0.06
     odds = np.log(0.3 / 0.7) + np.where(said > 0, np.log(true[:, 0] / true[:, 1]), np.where(said < 0, np.log((1 - true[:, 0]) / (1 - true[:, 1])), 0)).sum(axis=1)
     assert ((found[at.reshape(-1)] > 0.5) == private).mean() > ((odds > 0) == private).mean() - 0.003  # as good as by the true reliabilities
 
