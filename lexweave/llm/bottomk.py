@@ -77,7 +77,7 @@ def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             yield pa.array(out, kinds)
         tidy()
 
-    return df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), run(text_or_empty(text_col)).alias("r")).select("id", "h", "r.*")
+    return df.select(quoted(id_col).alias("id"), _text_hash(text_col).alias("h"), run(text_or_empty(text_col)).alias("r")).select("id", "h", "r.*")
 
 
 def exact_set(text: bytes) -> set:
@@ -323,7 +323,7 @@ def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     classes = known.groupBy("key").agg(F.min(F.struct("id", "h")).alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     # a number that can't be null breaks the constraints that Spark derives for the unions of components()
     classes = checkpoint(classes.select("key", F.nullif(F.monotonically_increasing_id(), F.lit(-1)).alias("rep"), "least.id", "least.h", "n", "sketch"))
-    docs = df.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("h"), text_or_empty(text_col).alias("text"))
+    docs = df.select(quoted(id_col).alias("id"), _text_hash(text_col).alias("h"), text_or_empty(text_col).alias("text"))
     found = checkpoint(components(links(docs, classes)).withColumnRenamed("id", "rep").withColumnRenamed("component", "group"))
     least = found.join(classes.select("rep", "id"), "rep").groupBy("group").agg(F.min("id").alias("component"))
     found = found.join(least, "group").select("rep", "component")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexweave.llm.common import require
+from lexweave.llm.common import quoted, require
 
 WORD_SPACES = " \t\n\x0b\f\r"
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -91,21 +91,21 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Most texts have as many different window hashes as windows, so that nothing repeats; only the others sort their windows.
     """
     require(df, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     count = lambda characters: (F.length("_t") - F.length(F.translate("_t", characters, ""))).cast("long")
     lines = F.filter(F.split("_t", "\n", -1), lambda x: F.btrim(x, F.lit(WORD_SPACES)) != "")
-    d = df.select(F.col(id_col), text.alias("_t"))
+    d = df.select(quoted(id_col).alias("_id"), text.alias("_t"))
     d = d.select(
-        id_col, words_of(F.col("_t")).alias("_w"), lines.alias("_l"), count(WORD_SPACES).alias("_spaces"), F.length("_t").cast("long").alias("_chars"),
+        "_id", words_of(F.col("_t")).alias("_w"), lines.alias("_l"), count(WORD_SPACES).alias("_spaces"), F.length("_t").cast("long").alias("_chars"),
         count("#*$%&|<>").alias("n_symbols"), count("!").alias("n_exclaims"), count("|").alias("n_bars"),
     )
     d = d.select(
-        id_col, "n_symbols", "n_exclaims", "n_bars", F.size("_w").cast("long").alias("n_words"), (F.col("_chars") - F.col("_spaces")).alias("word_chars"), F.size("_l").cast("long").alias("n_lines"),
+        "_id", "n_symbols", "n_exclaims", "n_bars", F.size("_w").cast("long").alias("n_words"), (F.col("_chars") - F.col("_spaces")).alias("word_chars"), F.size("_l").cast("long").alias("n_lines"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"), "_w", _window_hashes(F.col("_w")).alias("_h"),
     )
     d = d.withColumn("_s", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _sorted_windows(F.col("_w")))).drop("_w", "_h")
     d = d.withColumn("_s", F.when(F.col("_s").isNotNull(), _repeats(F.col("_s"))))
-    return d.withColumn("n_repeat_words", F.when(F.col("_s").isNotNull(), _covered(F.col("_s"))).otherwise(F.lit(0).cast("long"))).drop("_s")
+    return d.withColumn("n_repeat_words", F.when(F.col("_s").isNotNull(), _covered(F.col("_s"))).otherwise(F.lit(0).cast("long"))).drop("_s").withColumnRenamed("_id", id_col)
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -120,17 +120,17 @@ def apply_policy(book: DataFrame, version: str) -> DataFrame:
 
 
 def ablations(book: DataFrame, version: str) -> DataFrame:
-    """One row per rule of a policy: documents that fail it, that only it rejects, and that are kept without it; in one aggregation."""
+    """One row per rule of a policy: documents that fail it, that only it rejects, and that are kept without it; from counts of sets of failing rules."""
     whole = mask(version)
     rules = [r for r in RULES if r.name in POLICIES[version]]
-    fails = F.col("fail_bits").bitwiseAND(F.lit(whole))
-    totals = book.agg(
-        F.count("*").alias("n"), F.bit_or("fail_bits").alias("seen"),
-        *(F.count_if(fails.bitwiseAND(F.lit(1 << r.bit)) != 0).alias(f"fail{r.bit}") for r in rules),
-        *(F.count_if(fails == F.lit(1 << r.bit)).alias(f"only{r.bit}") for r in rules),
-        F.count_if(fails == 0).alias("kept"),
+    masks = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(whole)).alias("m")).agg(F.count("*").alias("n"))  # a row for each set of failing rules
+    among = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("long")
+    bit, others = lambda r: F.lit(1 << r.bit), lambda r: F.lit(whole & ~(1 << r.bit))
+    totals = masks.agg(
+        *(among(F.col("m").bitwiseAND(bit(r)) != 0).alias(f"fail{r.bit}") for r in rules), *(among(F.col("m") == bit(r)).alias(f"only{r.bit}") for r in rules),
+        *(among(F.col("m").bitwiseAND(others(r)) == 0).alias(f"without{r.bit}") for r in rules), among(F.col("m") == 0).alias("kept"),
     )
-    row = lambda r: F.struct(F.lit(version).alias("policy"), F.lit(r.name).alias("rule"), F.col(f"fail{r.bit}").alias("n_failed"), F.col(f"only{r.bit}").alias("n_only"), (F.col("kept") + F.col(f"only{r.bit}")).alias("kept_without"), F.col("kept").alias("kept_with"))
+    row = lambda r: F.struct(F.lit(version).alias("policy"), F.lit(r.name).alias("rule"), F.col(f"fail{r.bit}").alias("n_failed"), F.col(f"only{r.bit}").alias("n_only"), F.col(f"without{r.bit}").alias("kept_without"), F.col("kept").alias("kept_with"))
     return totals.select(F.explode(F.array(*map(row, rules))).alias("r")).select("r.*")
 
 

@@ -45,7 +45,7 @@ SEED = 29
 
 def labelled_sample(labels: DataFrame, domain: Column, id_col: str = "doc_id", most: int = SAMPLE) -> DataFrame:
     """id, domain: at most `most` labelled rows, the first by a hash of the id."""
-    known = labels.select(F.col(id_col).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
+    known = labels.select(quoted(id_col).alias("id"), domain.alias("domain")).where("id IS NOT NULL AND domain IS NOT NULL")
     return known.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "domain").limit(most).groupBy("id").agg(F.min("domain").alias("domain"))
 
 
@@ -216,7 +216,7 @@ def rates(df: DataFrame, labels: DataFrame, domain: Column, target: dict[str, fl
     require(df, id_col, text_col)
     bound_batches(df.sparkSession)
     domains = list(target)
-    docs = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    docs = df.select(quoted(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     model = train(docs, labelled_sample(labels, domain), domains)
     weighed = checkpoint(posteriors(docs, model).drop("text"))
     residuals = solve(weighed, target, domains, total, hold)

@@ -1,9 +1,10 @@
 """Secret scans with multipart credential linking, by Spark's own functions only.
 
 Three base kinds are reported wherever they stand. Weak kinds (account names, bare tokens, endpoints) are common in clean
-text; one is reported only if a part that completes it stands in the same scope, a paragraph, within REACH code points:
-an account name needs a secret, a bare token an identifier or an endpoint, an endpoint a secret. That is an interval join of
-the spans, on the row, the scope and bins of positions.
+text; one is reported only if a part that completes it stands in the same scope, a paragraph of any length: an account
+name needs a secret, a bare token an identifier or an endpoint, an endpoint a secret. Spans meet the intervals of their
+scopes by one sweep over the positions of a row; which roles a scope holds is an aggregate, so spans that complete each
+other are never listed two by two, however many a scope has.
 
 Spans are of whole matches, in code points, ends exclusive. Positions come from a text's pieces between matches: running
 sums of their lengths, so any number of matches in any length of text takes linear work.
@@ -22,8 +23,6 @@ from pyspark.sql.window import Window
 
 from lexweave.llm.common import checkpoint, foretold, fresh, quoted, require, text_or_empty
 
-REACH = 200
-
 
 @dataclass(frozen=True)
 class Kind:
@@ -67,7 +66,7 @@ def _found(kind: Kind) -> F.Column:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: row, id; spans: row, kind, start, end of every reported span). Both read one checkpoint of the scan."""
     require(df, id_col, text_col)
-    d = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("_t"))
+    d = df.select(quoted(id_col).alias("id"), text_or_empty(text_col).alias("_t"))
     d = d.select("id", *(_found(k).alias(k.name) for k in KINDS))
     parts = [k for k in KINDS if k.role != "break"]
     d = d.select("id", *(k.name for k in parts), F.when(F.coalesce(*(F.col(k.name) for k in parts if k.weak)).isNotNull(), F.col("break")).alias("break"))
@@ -84,19 +83,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple
 
 
 def link(spans: DataFrame) -> DataFrame:
-    """The weak spans (row, kind, order, start, end) that a completing part stands near, by an interval join."""
+    """The weak spans (row, kind, order, start, end) that a completing part stands in one scope with."""
     scope = F.count_if(F.col("role") == "break").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = spans.withColumn("scope", scope).where("role <> 'break'")
-    bins = lambda low, high: F.explode(F.sequence(F.floor(F.greatest(low, F.lit(0)) / REACH), F.floor(high / REACH)))
-    one = placed.where("weak").withColumn("bin", bins(F.col("start") - REACH, F.col("end") + REACH)).alias("one")
-    two = placed.select("row", "scope", "role", "start", "end").withColumn("bin", bins(F.col("start"), F.col("end"))).alias("two")
-    near = (F.col("two.start") <= F.col("one.end") + REACH) & (F.col("two.end") >= F.col("one.start") - REACH)
-    completes = F.lit(False)
+    held = placed.groupBy("row", "scope").agg(*(F.bool_or(F.col("role") == role).alias(f"has_{role}") for role in COMPLETES))
+    completed = F.lit(False)
     for role, others in COMPLETES.items():
-        completes = completes | ((F.col("one.role") == role) & F.col("two.role").isin(*others))
-    same = (F.col("one.row") == F.col("two.row")) & (F.col("one.scope") == F.col("two.scope")) & (F.col("one.bin") == F.col("two.bin"))
-    met = one.join(two, same & near & completes, "left_semi")
-    return met.select("row", "kind", "order", "start", "end").distinct()
+        for other in others:
+            completed = completed | ((F.col("role") == role) & F.col(f"has_{other}"))
+    return placed.where("weak").join(held, ["row", "scope"]).where(completed).select("row", "kind", "order", "start", "end")
 
 
 def _listed(spans: F.Column) -> F.Column:
@@ -116,7 +111,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("found", lambda x: x["order"] < 3)
     count = lambda k: F.size(F.filter("found", lambda x: x["order"] == k)).cast("long")
     return found.select(
-        id_col, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"),
+        quoted(id_col), count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed(base), 256).alias("base_sha256"),
         _listed(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: x["order"] >= 3)).cast("long").alias("n_linked"),
     )
 
