@@ -1,17 +1,19 @@
-"""A byte-level BPE tokenizer for corpora: words counted by Spark, merges learned from the counts, encoding in Arrow batches."""
+"""A byte-level BPE tokenizer for corpora: words counted and merged by Spark, each distinct word encoded once."""
 
 from __future__ import annotations
 
-import heapq
 import json
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.stored import stored
 from lexweave.functions.text import WS, nfkc
+from lexweave.operators.merges import Vocabulary, learn, learn_from
 
 SPECIALS = ("<pad>", "<bos>", "<eos>", "<unk>")
 PAD, BOS, EOS, UNK = range(4)
@@ -40,71 +42,45 @@ def byte_letters() -> list[str]:
     return [out[b] for b in range(256)]
 
 
+def first_tokens() -> list[str]:
+    """The special tokens, then a token for each byte, in the order of their letters."""
+    return [*SPECIALS, *sorted(byte_letters())]
+
+
 def learn_merges(counts: dict[str, int], vocab_size: int, min_frequency: int = 2) -> tuple[list[str], list[tuple[str, str]]]:
-    """(vocabulary, merges) from word counts: the most frequent pair of neighbours is merged until the vocabulary is full."""
-    letters = byte_letters()
-    vocab = [*SPECIALS, *sorted(letters)]
+    """(vocabulary, merges) from word counts that fit in memory: the most frequent pair of neighbours is merged until the vocabulary is full."""
+    vocabulary, letters = Vocabulary(first_tokens()), byte_letters()
+    words, found = [[vocabulary.ids[letters[b]] for b in w.encode()] for w in counts], []
+    while more := learn(words, list(counts.values()), vocabulary, vocab_size, min_frequency):
+        found += more
+    return vocabulary.tokens, [(vocabulary.tokens[a], vocabulary.tokens[b]) for a, b, _ in found]
+
+
+def byte_ids(word: Column) -> Column:
+    """The first tokens of a word: one id for each byte."""
+    vocabulary = Vocabulary(first_tokens())
+    table = np.array([vocabulary.ids[c] for c in byte_letters()], dtype=np.int32)
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            sizes = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int32)
+            data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), dtype=np.uint8)
+            yield pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)))), pa.array(table[data]))
+
+    return run(word)
+
+
+def train(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text") -> str:
+    """tokenizer.json. Words are counted and rewritten on the executors; what the driver holds doesn't grow with them (merges.learn_from)."""
     if vocab_size <= len(SPECIALS):
         raise ValueError("vocab_size must exceed the special tokens")
-    words = [[letters[b] for b in w.encode()] for w in counts]
-    weight = list(counts.values())
-    pairs: Counter = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for k, word in enumerate(words):
-        for pair in zip(word, word[1:], strict=False):
-            pairs[pair] += weight[k]
-            where[pair].add(k)
-    heap = [(-n, p) for p, n in pairs.items()]
-    heapq.heapify(heap)
-    merges = []
-    while heap and len(vocab) < vocab_size:
-        n, pair = heapq.heappop(heap)
-        if pairs.get(pair, 0) != -n:
-            continue
-        if -n < min_frequency:
-            break
-        merges.append(pair)
-        (one, two), made = pair, "".join(pair)
-        vocab.append(made)
-        change: dict[tuple[str, str], int] = defaultdict(int)
-        for k in where.pop(pair, ()):
-            word, new, i, w = words[k], [], 0, weight[k]
-            last = len(word) - 1
-            while i <= last:
-                if i == last or word[i] != one or word[i + 1] != two:
-                    new.append(word[i])
-                    i += 1
-                    continue
-                change[pair] -= w
-                if new:  # only what stands beside a merge changes
-                    change[new[-1], one] -= w
-                    change[new[-1], made] += w
-                    where[new[-1], made].add(k)
-                if i + 2 <= last:
-                    change[two, word[i + 2]] -= w
-                    change[made, word[i + 2]] += w
-                    where[made, word[i + 2]].add(k)
-                new.append(made)
-                i += 2
-            words[k] = new
-        for p, by in change.items():
-            if by:
-                pairs[p] += by
-                if pairs[p] > 0 and p != pair:
-                    heapq.heappush(heap, (-pairs[p], p))
-    return list(dict.fromkeys(vocab)), merges
-
-
-def train(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_col: str = "text", most_words: int | None = None) -> str:
-    """tokenizer.json. Words are counted over all rows on the executors; merges are learned from all distinct words on the driver, which must hold them.
-
-    most_words: learn from so many of the most frequent words only, where the driver can't hold all; merges then differ.
-    """
-    counted = pretoken_counts(df.withColumn(text_col, nfkc(F.col(text_col))), text_col).orderBy(F.desc("n"), "pretoken")
-    words = (counted if most_words is None else counted.limit(most_words)).collect()
-    if not words:
+    counted = stored(pretoken_counts(df.withColumn(text_col, nfkc(F.col(text_col))), text_col))
+    if counted.isEmpty():
         raise ValueError("no text to train on")
-    vocab, merges = learn_merges({r.pretoken: r.n for r in words}, vocab_size, min_frequency)
+    vocabulary = Vocabulary(first_tokens())
+    found = learn_from(counted.select(byte_ids(F.col("pretoken")).alias("s"), "n"), vocabulary, vocab_size, min_frequency)
+    vocab, merges = vocabulary.tokens, [(vocabulary.tokens[a], vocabulary.tokens[b]) for a, b, _ in found]
     added = [{"id": i, "content": t, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for i, t in enumerate(SPECIALS)]
     byte_level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
     model = {"type": "BPE", "dropout": None, "unk_token": SPECIALS[UNK], "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False, "vocab": {t: i for i, t in enumerate(vocab)}, "merges": [list(m) for m in merges]}
