@@ -129,6 +129,47 @@ def encode(text: Column, spec: str, bos: bool = False, eos: bool = False) -> Col
     return run(text)
 
 
+#: Words that are joined by a broadcast: those of more than one in so many, of which there can't be more than that.
+FREQUENT = 100_000
+
+
+def word_ids(words: DataFrame, spec: str) -> DataFrame:
+    """pretoken and ids of each row of `words`, which holds each pretoken once."""
+    return words.select("pretoken", encode(F.col("pretoken"), spec).alias("ids"))
+
+
+def encode_distinct(df: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids", bos: bool = False, eos: bool = False, frequent: int = FREQUENT) -> DataFrame:
+    """df with the ids of its texts, null for a null; each distinct pretoken of the whole table is encoded once, and its ids joined back by position.
+
+    Frequent pretokens, of which most texts consist, meet their rows by a broadcast of `frequent` rows at most; only the others are moved, and no pretoken among those is common.
+    What goes to a text's row is gathered on each side first, so a shuffle moves arrays of ids. df is stored first, since its rows are read more than once.
+    """
+    row, key, at = (f"_{n}" for n in ("row", "pretoken", "at"))
+    if taken := {row, key, at} & {*df.columns}:
+        raise ValueError(f"columns {sorted(taken)} are reserved")
+    rows = stored(df.withColumn(row, F.monotonically_increasing_id()))
+    each = rows.select(row, F.posexplode(pretokens(nfkc(F.col(text_col)))).alias(at, key))
+    counted = stored(each.groupBy(F.col(key).alias("pretoken")).agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    common = counted.where(F.col("n") * frequent > total)
+    known = stored(word_ids(common, spec).unionByName(word_ids(counted.where(F.col("n") * frequent <= total), spec)))
+    met = each.join(F.broadcast(known.join(F.broadcast(common.select("pretoken")), "pretoken", "left_semi")), F.col(key) == F.col("pretoken"), "left")
+    rest = met.where("pretoken IS NULL").select(row, at, key).join(known, F.col(key) == F.col("pretoken"))
+    parts = met.where("pretoken IS NOT NULL").select(row, at, "ids").union(rest.select(row, at, "ids"))
+    listed = parts.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(at, "ids"))).alias("_parts"))
+    ends = lambda token, wanted: F.array(F.lit(token)) if wanted else F.array().cast("array<int>")
+    ids = F.concat(ends(BOS, bos), F.flatten(F.transform(F.coalesce("_parts", F.array()), lambda x: x["ids"])), ends(EOS, eos))
+    return rows.join(listed, row, "left").select(*df.columns, F.when(F.col(text_col).isNotNull(), ids).alias(ids_col))
+
+
+def merge_table(spark, spec: str) -> DataFrame:
+    """rank, first, second, made: the merges as a relation, by ids."""
+    model = json.loads(spec)["model"]
+    vocab = model["vocab"]
+    rows = [(k, vocab[a], vocab[b], vocab[a + b]) for k, (a, b) in enumerate(model["merges"])]
+    return spark.createDataFrame(rows, "rank int, first int, second int, made int")
+
+
 def decode(ids: Column, spec: str, skip_special: bool = True) -> Column:
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

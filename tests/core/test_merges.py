@@ -84,3 +84,23 @@ def test_training_equals_the_library(spark, sf):
     library.train_from_iterator((r.text for r in docs.select("text").collect()), trainer)
     want, got = json.loads(library.to_str())["model"], json.loads(tokenizer.train(docs))["model"]
     assert got["vocab"] == want["vocab"] and got["merges"] == want["merges"]
+
+
+@pytest.mark.parametrize("frequent", [tokenizer.FREQUENT, 30, 1])
+def test_distinct_words_encoded_once_equal_the_library(spark, frequent):
+    from tokenizers import Tokenizer
+
+    lines = ["The quick brown fox jumps over the lazy dog.", "the the the", "Numbers 123 and symbols !?", "日本語 and émoji 😀", "it's  two  spaces\n\n \tend ", "ｆｕｌｌ width ﬁ", "", None, " ", "a", "the the the"]
+    df = spark.createDataFrame([(k % 7, t, "x") for k, t in enumerate(lines)], "pos int, text string, n string").repartition(3)
+    spec = tokenizer.train(df, 300)
+    library = Tokenizer.from_str(spec)
+    out = tokenizer.encode_distinct(df, spec, frequent=frequent)
+    assert out.columns == ["pos", "text", "n", "ids"]
+    assert sorted((r.pos, r.text or "", r.ids or []) for r in out.collect()) == sorted((k % 7, t or "", library.encode(t or "").ids) for k, t in enumerate(lines))
+    assert [r.ids for r in out.where("text IS NULL").collect()] == [None]
+    ends = tokenizer.encode_distinct(df, spec, bos=True, eos=True).where("text = ''").first().ids
+    assert ends == [tokenizer.BOS, tokenizer.EOS]
+    assert tokenizer.encode_distinct(df.limit(0), spec).collect() == []
+    table = {(r.first, r.second): r.made for r in tokenizer.merge_table(spark, spec).collect()}
+    vocab = {i: t for t, i in Tokenizer.from_str(spec).get_vocab().items()}
+    assert len(table) == len(vocab) - 260 > 0 and all(vocab[a] + vocab[b] == vocab[c] for (a, b), c in table.items())
