@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexweave.functions.once import once
@@ -45,29 +48,34 @@ def shingle_sets(df: DataFrame, text_col: str, order_col: str, shingle_size: int
 
 
 def signatures(df: DataFrame, text_col: str, order_col: str, shingle_size: int, num_perm: int, hash: str = "xxhash64") -> DataFrame:
-    """order_col, `key` (of the shingle set; equal sets have one) and the MinHash signature (zeros for an empty set) of each row.
+    """pos, `key` (of the shingle set; equal sets have one), n (shingles) and the MinHash signature (zeros for an empty set) of each row.
 
-    xxhash64: each shingle is hashed once, its 64-bit hash then with each permutation's number.
+    xxhash64: each shingle is hashed once, its 64-bit hash then with each permutation's number. blake2b: eight bytes of the shingle's digest salted with the
+    permutation's number, as a little-endian unsigned number; the least of these, so that stored signatures of that kind can be met. A signature holds 64 bits as a signed number.
     """
     sets = shingle_sets(df, text_col, order_col, shingle_size)
     key = F.sha2(F.array_join(F.sort_array("set"), "\0"), 256)
     if hash == "blake2b":
 
-        @F.pandas_udf("array<bigint>")
-        def run(batch: pd.Series) -> pd.Series:
+        @F.arrow_udf("array<bigint>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             from hashlib import blake2b
 
-            digest = lambda s, seed: int.from_bytes(blake2b(s, digest_size=8, salt=seed.to_bytes(2, "little")).digest(), "big")
-            low = lambda items, seed: min((digest(s, seed) for s in items), default=0)
-            signed = lambda x: x - (1 << 64) if x >> 63 else x
-            return pd.Series([[signed(low([s.encode() for s in items], seed)) for seed in range(num_perm)] for items in batch])
+            salts = [seed.to_bytes(2, "little") for seed in range(num_perm)]
+            for sets in batches:
+                out = np.zeros((len(sets), num_perm), dtype="<u8")
+                for k, items in enumerate(sets):
+                    shingled = [x.encode() for x in items.as_py()]
+                    for seed, salt in enumerate(salts if shingled else ()):
+                        out[k, seed] = np.frombuffer(b"".join(blake2b(x, digest_size=8, salt=salt).digest() for x in shingled), dtype="<u8").min()
+                yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, num_perm, dtype=np.int32)), pa.array(out.reshape(-1).view("<i8")))
 
-        return sets.select("pos", key.alias("key"), run("set").alias("signature"))
+        return sets.select("pos", key.alias("key"), F.size("set").alias("n"), run("set").alias("signature"))
     # one struct, made once a row; what stands beside an explode would be made for each exploded row
-    made = once(sets.select("pos", "set"), {"made": F.struct(key.alias("key"), F.transform("set", lambda s: F.xxhash64(s)).alias("hs"))})
-    hashed = made.select("pos", "made.key", F.explode_outer("made.hs").alias("h"))
-    low = hashed.groupBy("pos", "key").agg(*(F.coalesce(F.min(F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(i), "h"))), F.lit(0)).alias(f"h{i}") for i in range(num_perm)))
-    return low.select("pos", "key", F.array(*(f"h{i}" for i in range(num_perm))).alias("signature"))
+    made = once(sets.select("pos", "set"), {"made": F.struct(key.alias("key"), F.size("set").alias("n"), F.transform("set", lambda s: F.xxhash64(s)).alias("hs"))})
+    hashed = made.select("pos", "made.key", "made.n", F.explode_outer("made.hs").alias("h"))
+    low = hashed.groupBy("pos", "key", "n").agg(*(F.coalesce(F.min(F.when(F.col("h").isNotNull(), F.xxhash64(F.lit(i), "h"))), F.lit(0)).alias(f"h{i}") for i in range(num_perm)))
+    return low.select("pos", "key", "n", F.array(*(f"h{i}" for i in range(num_perm))).alias("signature"))
 
 
 def similar_pairs(df: DataFrame, text_col: str = "text", order_col: str = "pos", shingle_size: int = 5, num_perm: int = 64, num_bands: int = 16, similarity_threshold: float = 0.8, hash: str = "xxhash64") -> DataFrame:
@@ -77,7 +85,7 @@ def similar_pairs(df: DataFrame, text_col: str = "text", order_col: str = "pos",
     """
     _check(df, text_col, num_perm, num_bands, similarity_threshold)
     signed = signatures(df, text_col, order_col, shingle_size, num_perm, hash)
-    return _close(df, _met(signed, num_perm, num_bands), text_col, order_col, shingle_size, similarity_threshold)
+    return _close(df, _met(_members(signed, num_perm, num_bands), similarity_threshold), text_col, order_col, shingle_size, similarity_threshold)
 
 
 def _check(df: DataFrame, text_col: str, num_perm: int, num_bands: int, similarity_threshold: float) -> None:
@@ -89,15 +97,38 @@ def _check(df: DataFrame, text_col: str, num_perm: int, num_bands: int, similari
         raise KeyError(text_col)
 
 
-def _met(signed: DataFrame, num_perm: int, num_bands: int) -> DataFrame:
-    """a < b and the least (head, band) of the buckets that hold both. Only positions and keys of buckets move; buckets of very many rows are a skewed join."""
+#: Rows of a bucket that meet in one task; larger buckets are dealt in blocks.
+BLOCK = 512
+
+
+def _members(signed: DataFrame, num_perm: int, num_bands: int) -> DataFrame:
+    """pos, n, band, key and head (the bucket's least position) of each row in each of its buckets of two rows or more. Only these narrow rows move."""
     rows = num_perm // num_bands
     keys = F.transform(F.sequence(F.lit(0), F.lit(num_bands - 1)), lambda b: F.xxhash64(F.slice("signature", b * rows + 1, rows)))
-    buckets = stored(signed.select("pos", F.posexplode(keys).alias("band", "key")))
-    heads = buckets.groupBy("band", "key").agg(F.min("pos").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = buckets.join(heads, ["band", "key"])
-    one, two = shared.select("band", "key", "head", F.col("pos").alias("a")), shared.select("band", "key", F.col("pos").alias("b"))
-    return one.join(two, ["band", "key"]).where("a < b").groupBy("a", "b").agg(F.min(F.struct("head", "band")).alias("at"))
+    buckets = stored(signed.select("pos", "n", F.posexplode(keys).alias("band", "key")))
+    heads = buckets.groupBy("band", "key").agg(F.min("pos").alias("head"), F.count("*").alias("_rows")).where("_rows > 1").drop("_rows")
+    return stored(buckets.join(heads, ["band", "key"]))
+
+
+def _met(members: DataFrame, least: float) -> DataFrame:
+    """a < b and the least (head, band) of the buckets that hold both, of rows whose numbers of shingles let their sets be similar enough.
+
+    A bucket's rows are dealt in blocks, and each two blocks meet in a task of their own, so a bucket of any size is shared among tasks.
+    """
+    sizes = members.groupBy("band", "key").agg(F.count("*").alias("_rows")).where("_rows > 1")
+    dealt = members.join(sizes, ["band", "key"]).withColumn("m", F.ceil(F.col("_rows") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("pos"), F.col("m")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    dealt = dealt.select("band", "key", "head", "pos", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    one = dealt.select("band", "key", "i", "j", "head", F.col("block").alias("x"), F.col("pos").alias("a"), F.col("n").alias("na"))
+    two = dealt.select("band", "key", "i", "j", F.col("block").alias("y"), F.col("pos").alias("b"), F.col("n").alias("nb"))
+    sides = (F.col("x") != F.col("y")) | (F.col("i") == F.col("j"))
+    return one.join(two, ["band", "key", "i", "j"]).where((F.col("a") < F.col("b")) & sides & _may(F.col("na"), F.col("nb"), least)).groupBy("a", "b").agg(F.min(F.struct("head", "band")).alias("at"))
+
+
+def _may(x: Column, y: Column, least: float) -> Column:
+    """Whether sets of so many shingles can be that similar."""
+    most = F.greatest(x, y)
+    return F.when(most == 0, F.lit(True)).otherwise(F.least(x, y) / F.nullif(most, F.lit(0)) >= least)
 
 
 def _close(df: DataFrame, met: DataFrame, text_col: str, order_col: str, shingle_size: int, least: float) -> DataFrame:
@@ -110,27 +141,36 @@ def _close(df: DataFrame, met: DataFrame, text_col: str, order_col: str, shingle
     return close.select("a", "b", "similarity", "at.head", "at.band")
 
 
-def components(pairs: DataFrame) -> DataFrame:
-    """pos and component (its least position) of every position in the pairs (a, b): least labels spread until none changes."""
-    edges = stored(pairs.select("a", "b").union(pairs.select("b", "a")).distinct())
-    labels = stored(edges.groupBy(F.col("a").alias("pos")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("pos", "b"), "b").groupBy(F.col("a").alias("pos")).agg(F.min("component").alias("m"))
-        new = labels.join(near, "pos").select("pos", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("changed"))
-        jumped = new.join(new.select(F.col("pos").alias("component"), F.col("component").alias("further")), "component", "left")
-        new = stored(jumped.select("pos", F.coalesce("further", "component").alias("component"), F.col("changed")))
-        labels = new.drop("changed")
-        if not new.where("changed").limit(1).count():
-            return labels
+def greedy_drops(pairs: DataFrame) -> DataFrame:
+    """pos of the rows that a walk over the pairs (head, band, a < b) in their order drops: b, wherever both are still there.
 
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The positions that a walk over the pairs in their order drops: the later of two that are both still there."""
-    gone: set[int] = set()
-    for a, b in pdf.sort_values(["head", "band", "a", "b"])[["a", "b"]].itertuples(index=False):
-        if a not in gone and b not in gone:
-            gone.add(b)
-    return pd.DataFrame({"pos": np.array(sorted(gone), dtype="int64")})
+    In rounds, without a task for each component. A row's fate hangs on its pairs as b alone, in their order: its first pair drops it if a is there by then. That is known once a has no
+    pair left as b, or none before this one. Rows so dropped take their pairs along, as b all and as a those that come later; the least pair of all is always
+    decided, and all that are the least at both ends in one round.
+    """
+    left = stored(pairs.select("a", "b", F.struct("head", "band", "a", "b").alias("at")))
+    gone = []
+    while not left.isEmpty():
+        first = stored(left.groupBy("b").agg(F.min("at").alias("at")))
+        ahead = first.select(F.col("b").alias("a"), F.col("at").alias("_next"))
+        now = first.select("b", "at", F.col("at.a").alias("a")).join(ahead, "a", "left").where(F.col("_next").isNull() | (F.col("_next") > F.col("at")))
+        now = stored(now.select(F.col("b").alias("_gone"), F.col("at").alias("_when")))
+        gone.append(now.select(F.col("_gone").alias("pos")))
+        left = left.join(now, F.col("b") == F.col("_gone"), "left_anti").join(now, F.col("a") == F.col("_gone"), "left")
+        left = stored(left.where(F.col("_when").isNull() | (F.col("at") < F.col("_when"))).select("a", "b", "at"))
+    return functools.reduce(DataFrame.union, gone) if gone else pairs.select(F.col("b").alias("pos")).limit(0)
+
+
+def _dropped_by_heads(df: DataFrame, members: DataFrame, text_col: str, order_col: str, shingle_size: int, least: float) -> DataFrame:
+    """pos of rows that the walk drops at the first pair that it may meet them in: that with the head of their first bucket, where the head is the head of all its buckets, so that nothing drops it.
+
+    Such a row drops no other, since all its pairs come later. A large group of near copies is done with so, at one pair a row.
+    """
+    first = stored(members.groupBy("pos", "n").agg(F.min(F.struct("head", "band")).alias("at")))
+    heads = first.where(F.col("at.head") == F.col("pos")).select(F.col("pos").alias("a"), F.col("n").alias("na"))
+    pairs = first.where(F.col("at.head") < F.col("pos")).select(F.col("at.head").alias("a"), F.col("pos").alias("b"), F.col("n").alias("nb"), "at").join(heads, "a")
+    close = _close(df, pairs.where(_may(F.col("na"), F.col("nb"), least)).select("a", "b", "at"), text_col, order_col, shingle_size, least)
+    return close.select(F.col("b").alias("pos"))
 
 
 def near_dedup(df: DataFrame, text_col: str = "text", order_col: str = "pos", shingle_size: int = 5, num_perm: int = 64, num_bands: int = 16, similarity_threshold: float = 0.8, hash: str = "xxhash64") -> DataFrame:
@@ -138,14 +178,15 @@ def near_dedup(df: DataFrame, text_col: str = "text", order_col: str = "pos", sh
 
     A row whose set an earlier row has too is always dropped: it shares all buckets with that row, and whoever drops that row
     first drops it next, before it could drop another. So sets that repeat take part with their first row only, and a text with very many copies makes no
-    pairs. A pair of the others matters only where it first meets, and only within its component, so components replay their pairs by themselves.
-    df is read three times: costly steps before it should be stored.
+    pairs. Then heads of buckets drop what is similar to them, and the pairs that are left where they first meet are walked in rounds.
+    df is read several times: costly steps before it should be stored.
     """
     _check(df, text_col, num_perm, num_bands, similarity_threshold)
     signed = stored(signatures(df, text_col, order_col, shingle_size, num_perm, hash))
     first = stored(signed.groupBy("key").agg(F.min("pos").alias("pos"), F.count("*").alias("n")))
-    pairs = stored(_close(df, _met(signed.join(first.select("pos"), "pos", "left_semi"), num_perm, num_bands), text_col, order_col, shingle_size, similarity_threshold))
-    named = pairs.join(components(pairs).withColumnRenamed("pos", "a"), "a")
-    gone = named.select("component", "a", "b", "head", "band").groupBy("component").applyInPandas(_replay, "pos long")
+    members = _members(signed.join(first.select("pos"), "pos", "left_semi"), num_perm, num_bands)
+    by_heads = stored(_dropped_by_heads(df, members, text_col, order_col, shingle_size, similarity_threshold))
+    pairs = _close(df, _met(members.join(by_heads, "pos", "left_anti"), similarity_threshold), text_col, order_col, shingle_size, similarity_threshold)
     again = signed.join(first.where("n > 1").withColumnRenamed("pos", "_first"), "key").where(F.col("pos") > F.col("_first")).select("pos")
-    return df.join(gone.union(again).withColumnRenamed("pos", "_gone"), F.col(order_col) == F.col("_gone"), "left_anti")
+    gone = greedy_drops(pairs).union(by_heads).union(again).withColumnRenamed("pos", "_gone")
+    return df.join(gone, F.col(order_col) == F.col("_gone"), "left_anti")
