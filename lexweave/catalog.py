@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexweave.functions.register import register
+from lexweave.functions.stored import folder
 from lexweave.functions.text import WS_RE2, normalize, words
 from lexweave.operators import dedup, evaluate, generate, layers, pack, quality, quantize, report, sampling, schedule, sft, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.plans import corpus
-from lexweave.sources import collect
+from lexweave.sources import collect, sinks, token_shards
 from lexweave.sources.collect import make_id
 from lexweave.streaming import text_streams
 
@@ -299,6 +300,69 @@ def blocks_strided(spark, d):
     return pack.blocks(_word_ids(spark, d), 512, 300).select("block", "start_offset", _ids_sha("input_ids"))
 
 
+@query(f"SELECT CAST(place // 50000 AS INTEGER) AS shard, min(place) AS start_offset, count(*) AS n, sha256(string_agg(CAST(tok AS VARCHAR), ',' ORDER BY place)) AS sha FROM ({_FLAT}) GROUP BY 1")
+def shards_written(spark, d):
+    """Shards written as a token store and read back from it."""
+    path = folder(spark, "tokens")
+    sinks.write_shards(pack.shards(_word_ids(spark, d), 50_000), path, "uint32")
+    return sinks.read_shards(spark, path).select("shard", "start_offset", F.size("tokens").cast("long").alias("n"), _ids_sha("tokens"))
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY substr(md5('3000010-' || block), 1, 12), block) - 1 AS place, block, sha FROM ({_blocks_sql(2048, 2048)})""")
+def epoch_blocks(spark, d):
+    """All blocks of a token store in the order of an epoch's shuffle, read in one job."""
+    path = folder(spark, "tokens")
+    total = sinks.write_shards(pack.shards(_word_ids(spark, d), 50_000), path, "uint32")["total_tokens"]
+    blocks = spark.range(total // 2048).select(F.col("id").alias("block"), (F.col("id") * 2048).alias("start"), ((F.col("id") + 1) * 2048).alias("stop"))
+    read = token_shards.slices(spark, path, sft.epoch_order(blocks, seed=3, epoch=1, order_col="block"))
+    return read.select(F.col("place").cast("long"), "block", _ids_sha("tokens"))
+
+
+# collectors and sinks: a table is written, then collected
+
+
+def _id_sql(name: str) -> str:
+    return f"'{name}-' || printf('%08d', pos) || '-' || substr(sha256(text), 1, 16)"
+
+
+def _collected_sql(table: str, key: str, name: str, order: str) -> str:
+    return f"SELECT {_id_sql(name)} AS id, text, '{name}' AS source, pos FROM (SELECT {_strip('text')} AS text, row_number() OVER (ORDER BY {order}) - 1 AS pos FROM {table}) WHERE text <> ''"
+
+
+def _in_order(spark, d, table: str, key: str) -> DataFrame:
+    return _table(spark, d, table).repartitionByRange(4, key).sortWithinPartitions(key)
+
+
+@query(_collected_sql("documents", "doc_id", "notes", "doc_id"))
+def collect_jsonl(spark, d):
+    path = folder(spark, "lines")
+    sinks.write_jsonl(_in_order(spark, d, "documents", "doc_id").select("text", "lang"), path)
+    return collect.collect_jsonl(spark, path, source_name="notes")
+
+
+@query(_collected_sql("documents", "doc_id", "sheet", "doc_id"))
+def collect_csv(spark, d):
+    """Texts with line ends, quotes and delimiters in them."""
+    path = folder(spark, "rows")
+    _in_order(spark, d, "documents", "doc_id").select("lang", "text").write.csv(path, header=True, sep="\t", quote='"', escape='"', escapeQuotes=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return collect.collect_csv(spark, path, delimiter="\t", source_name="sheet")
+
+
+@query(_collected_sql("benchmark", "item_id", "folder", "item_id || '/'"))
+def collect_directory(spark, d):
+    """A file for each text, in the order of their paths."""
+    path = folder(spark, "files")
+    _table(spark, d, "benchmark").select("item_id", "text").write.partitionBy("item_id").text(path)
+    return collect.collect_directory(spark, path, "**/*.txt", "folder")
+
+
+@query(_SPLIT)
+def splits_written(spark, d):
+    path = folder(spark, "splits")
+    sinks.write_splits(split.split(_docs(spark, d), 0.8, 0.1, 0.1, seed=7).select("doc_id", "text", "split"), path)
+    return collect.read_jsonl(spark, path, "doc_id long, text string, split string").select("doc_id", "split")
+
+
 # chat and instruction data
 
 
@@ -460,31 +524,18 @@ def model_size(spark, d):
     return quantize.size_bytes(_table(spark, d, "embeddings"), "embedding", 4)
 
 
-@query("SELECT sha256(string_agg(key || ':' || sha256(w), chr(10) ORDER BY key)) AS checksum FROM (SELECT CAST(vec_id AS VARCHAR) AS key, array_to_string(list_transform(embedding, lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1e6, 0) AS BIGINT)), ',') AS w FROM embeddings)")
+@query("""WITH p AS (SELECT key, sha256(key || ':' || sha256(w)) AS digest, row_number() OVER (ORDER BY key) - 1 AS place FROM (SELECT CAST(vec_id AS VARCHAR) AS key, array_to_string(list_transform(embedding, lambda x: CAST(round_even(CAST(x AS DOUBLE) * 1e6, 0) AS BIGINT)), ',') AS w FROM embeddings)),
+one AS (SELECT place // 100 AS place, sha256(string_agg(digest, chr(10) ORDER BY place)) AS digest FROM p GROUP BY place // 100)
+SELECT sha256(string_agg(digest, chr(10) ORDER BY place)) AS checksum FROM one""")
 def weight_checksum(spark, d):
-    """Of all weights, in millionths, as text: bytes that both engines can make."""
+    """Of all weights, in millionths, as text: bytes that both engines can make. In levels of a hundred."""
     weights = F.array_join(F.transform("embedding", lambda x: F.rint(x.cast("double") * 1e6).cast("long").cast("string")), ",")
-    return quantize.checksum(_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), weights.cast("binary").alias("bytes")))
-
-
-@query("SELECT CAST(109529856 AS BIGINT) AS n_params")
-def parameter_count(spark, d):
-    return quantize.parameter_count(quantize.parameter_catalogue(spark))
-
-
-@query("SELECT * FROM (VALUES (0.0, 24 + 1), (0.1, 12 * 7 + 1)) AS t(weight_decay, n)".replace("0.0,", "CAST(0.0 AS DOUBLE),").replace("0.1,", "CAST(0.1 AS DOUBLE),"))
-def optimizer_groups(spark, d):
-    return quantize.optimizer_groups(quantize.parameter_catalogue(spark), 0.1).groupBy("weight_decay").agg(F.count("*").cast("int").alias("n"))
+    return quantize.checksum(_table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("key"), weights.cast("binary").alias("bytes")), 100)
 
 
 # schedules and checkpoints
 
 
-@query("SELECT CAST(s AS BIGINT) AS step, round(CASE WHEN s < 100 THEN (s + 1) / 100 ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - 100) / 900))) END, 9) AS lr FROM unnest(range(0, 1000)) AS u(s)")
-def lr_schedule(spark, d):
-    return schedule.schedule(spark, 100, 1000).select("step", F.round("lr", 9).alias("lr"))
-
-
 def _checkpoints(spark, d) -> DataFrame:
     name = F.when(F.col("event_id") % 11 == 0, "notes.txt").otherwise(F.format_string("checkpoint_step%d.pt", "event_id"))
     return _table(spark, d, "events").select(F.col("user_id").alias("run"), F.concat(F.lit("ckpt/"), name).alias("path"))
@@ -607,14 +658,6 @@ def epoch_order(spark, d):
     return sft.epoch_order(_docs(spark, d).select("doc_id", "pos"), seed=5, epoch=2).select("doc_id", F.col("place").cast("long"))
 
 
-_SENTENCES = ["The quick brown fox jumps over the lazy dog.", "Numbers such as 1, 2 and 3 stand here.", "A third sentence!", "Und ein deutscher Satz.", "Voilà une phrase."]
-
-
-@query("WITH s AS (SELECT k, t FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, t in enumerate(_SENTENCES)) + ") AS v(k, t)) SELECT CAST(row_number() OVER (ORDER BY r, md5('9-' || r || '-' || k)) - 1 AS BIGINT) AS pos, t AS text FROM unnest(range(0, 400)) AS u(r), s")
-def synthetic_corpus(spark, d):
-    return collect.synthetic_corpus(spark, _SENTENCES, 400, seed=9)
-
-
 @query(f"SELECT doc_id, sha256({_norm('text')}) AS hash, CAST(len(CASE WHEN {_norm('text')} = '' THEN [] ELSE string_split({_norm('text')}, ' ') END) AS BIGINT) AS n_words FROM documents")
 def sql_functions(spark, d):
     """The text rules by their SQL names."""

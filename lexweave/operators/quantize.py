@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.prefix import placed
+from lexweave.functions.stored import stored
+
 
 def scale(row: Column, bits: int = 8) -> Column:
     """The step of a row: its largest magnitude, at least 1e-8, over the largest code."""
@@ -41,10 +44,25 @@ def size_bytes(weights: DataFrame, column: str, width: int) -> DataFrame:
     return weights.agg((F.sum(F.size(column).cast("long")) * width).alias("bytes"))
 
 
-def checksum(parts: DataFrame) -> DataFrame:
-    """sha256 over the sorted keys of (key, bytes): of each key with the digest of its bytes."""
-    each = F.concat_ws(":", "key", F.sha2("bytes", 256))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", each.alias("e")))), lambda x: x["e"]), "\n"), 256).alias("checksum"))
+#: Digests that one digest of the next level is made of.
+FAN_IN = 4096
+
+
+def checksum(parts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """A digest over (key, bytes), whose keys are unique, in levels: SHA-256 of each key with the digest of its bytes, then of each `fan_in` such digests in the order of the keys, a line each, until one is left.
+
+    No task holds more than `fan_in` digests. Without rows it is the digest of nothing.
+    """
+    each = parts.select("key", F.sha2(F.concat_ws(":", "key", F.sha2("bytes", 256)), 256).alias("digest"))
+    each = stored(each)
+    level = each.join(placed(each, ["key"], None, "at"), "key").select("at", "digest")
+    n = each.count()
+    while True:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "\n")
+        level = level.groupBy(F.floor(F.col("at") / fan_in).alias("at")).agg(F.sha2(joined, 256).alias("digest"))
+        n = -(-n // fan_in)
+        if n <= 1:
+            return level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("checksum"))
 
 
 def optimizer_groups(params: DataFrame, weight_decay: float) -> DataFrame:

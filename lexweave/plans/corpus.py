@@ -123,9 +123,9 @@ def tokenize_and_shard(docs: DataFrame, spec: str, path: str, o: TokenOptions =
     vocab = json.loads(spec)["model"]["vocab"]
     if o.eos_token not in vocab:
         raise ValueError(f"the tokenizer has no {o.eos_token}")
-    tokens = pack.end_of_text(docs.withColumn("tokens", tokenizer.encode(F.col("text"), spec)), vocab[o.eos_token])
+    tokens = stored(pack.end_of_text(docs.withColumn("tokens", tokenizer.encode(F.col("text"), spec)), vocab[o.eos_token]))
     out = {}
-    for name in [r.split for r in docs.select("split").distinct().collect()]:
+    for name in [r.split for r in tokens.select("split").distinct().collect()]:
         part = tokens.where(F.col("split") == name)
         out[name] = sinks.write_shards(pack.shards(part, o.shard_size), f"{path}/{name}", pack.token_width(len(vocab)), o.shard_prefix)
     return out

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.functions.prefix import placed
 from lexweave.functions.text import strip
 
 
@@ -38,16 +39,14 @@ def collect_directory(spark: SparkSession, path: str, pattern: str = "*.txt", so
         raise NotADirectoryError(path)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern.rsplit("/", 1)[-1]).option("recursiveFileLookup", "**" in pattern)
     files = reader.load(path).select("path", "content")
-    names = files.select("path").withColumn("pos", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))  # paths only
-    rows = files.join(names, "path").select("pos", decode_text(F.col("content"), encoding).alias("text"))
+    rows = files.join(placed(files.select("path"), ["path"], None, "pos"), "path").select("pos", decode_text(F.col("content"), encoding).alias("text"))
     return _documents(rows, F.lit(source_name or path))
 
 
 def _in_file_order(df: DataFrame) -> DataFrame:
     """df with pos: the rank of each row by file, block and place in its partition, by counts of partitions."""
     marked = df.withColumns({"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_at": F.monotonically_increasing_id()})
-    sizes = marked.groupBy("_file", "_block").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")  # a row per block
+    before = placed(marked.groupBy("_file", "_block").agg(F.count("*").alias("_n")), ["_file", "_block"], "_n", "_before")  # a row per block
     own = F.row_number().over(Window.partitionBy("_file", "_block").orderBy("_at"))
     return marked.join(before, ["_file", "_block"]).withColumn("pos", (F.col("_before") + own - 1).cast("long")).drop("_file", "_block", "_at", "_before")
 

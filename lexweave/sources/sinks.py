@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexweave.sources import token_shards
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines, nulls included; the committer puts all files in place or none."""
@@ -24,68 +23,27 @@ def write_splits(df: DataFrame, path: str) -> None:
 
 
 def write_shards(shards: DataFrame, path: str, dtype: str = "uint16", prefix: str = "shard") -> dict:
-    """A raw file for each row of (shard, start_offset, tokens), and manifest.json; tasks write through the input's own file system.
-
-    The folder must be shared by driver and executors and mounted on them, since plain files are written.
-    """
-    if dtype not in ("uint16", "uint32"):
-        raise ValueError(f"unknown dtype {dtype}")
-    local = path.removeprefix("file://")
-
-    def write(batches):
-        import os
-
-        import pandas as pd
-
-        os.makedirs(local, exist_ok=True)
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                name = f"{prefix}_{r.shard:05d}.bin"
-                draft = f"{local}/.{name}.{os.getpid()}"
-                np.asarray(r.tokens, dtype=dtype).tofile(draft)
-                os.replace(draft, f"{local}/{name}")
-                out.append((name, len(r.tokens), r.start_offset))
-            yield pd.DataFrame(out, columns=["file", "num_tokens", "start_offset"])
-
-    rows = shards.mapInPandas(write, "file string, num_tokens long, start_offset long").collect()
-    if not rows:
-        raise ValueError("no tokens")
-    found = sorted((r.asDict() for r in rows), key=lambda r: r["start_offset"])
-    manifest = {"dtype": dtype, "total_tokens": sum(r["num_tokens"] for r in found), "shard_size": found[0]["num_tokens"], "num_shards": len(found), "shards": found}
-    with open(f"{local}/manifest.json", "w") as f:
-        json.dump(manifest, f)
-    return manifest
+    """Writes rows of (shard, start_offset, tokens) as a token store (sources.token_shards): a raw file each, and a manifest, which it returns; all or nothing."""
+    token_shards.register(shards.sparkSession)
+    kind = ((c.split(" ")) for c in token_shards.SCHEMA.split(", "))
+    rows = shards.select(*(F.col(n).cast(t).alias(n) for n, t in kind))
+    rows.write.format("token_shards").option("dtype", dtype).option("prefix", prefix).mode("append").save(path)
+    return token_shards.load_manifest(path)
 
 
 def load_manifest(spark: SparkSession, path: str) -> dict:
     """The manifest of a folder or file; ValueError if keys are missing or a shard isn't there."""
-    file = path if path.endswith(".json") else f"{path}/manifest.json"
-    text = spark.read.text(file, wholetext=True).first()
-    manifest = json.loads(text.value)
-    missing = {"dtype", "total_tokens", "shard_size", "num_shards", "shards"} - set(manifest)
-    if missing:
-        raise ValueError(f"manifest lacks {sorted(missing)}")
-    named = spark.createDataFrame([(s["file"],) for s in manifest["shards"]], "file string")
-    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(file.rsplit("/", 1)[0]).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"))
-    gone = [r.file for r in named.join(there, "file", "left_anti").collect()]
-    if gone:
+    path = path.removesuffix("/manifest.json")
+    manifest = token_shards.load_manifest(path)
+    if gone := token_shards.missing(path, manifest):
         raise ValueError(f"missing shards: {gone}")
     return manifest
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """shard, start_offset, tokens of raw files."""
-    manifest = load_manifest(spark, path)
-    entries = spark.createDataFrame([(k, s["file"], s["start_offset"]) for k, s in enumerate(manifest["shards"])], "shard int, file string, start_offset long")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
-    dtype = manifest["dtype"]
-
-    @F.pandas_udf("array<bigint>")
-    def ids(content):
-        return content.map(lambda b: np.frombuffer(b, dtype=dtype).astype("int64"))
-
-    return files.join(entries, "file").select("shard", "start_offset", ids("content").alias("tokens"))
+    """shard, start_offset, tokens of a token store."""
+    token_shards.register(spark)
+    return spark.read.format("token_shards").load(path)
 
 
 def export_manifest(weights: DataFrame, path: str) -> str:
@@ -109,21 +67,9 @@ def import_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_slice(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
-    """shard, start_offset, tokens of the raw files that overlap [start, stop); no other file is opened."""
-    manifest = load_manifest(spark, path)
-    low, high = max(0, start), min(stop, manifest["total_tokens"])
-    wanted = [(k, s["file"], s["start_offset"]) for k, s in enumerate(manifest["shards"]) if s["start_offset"] < high and s["start_offset"] + s["num_tokens"] > low]
-    if not wanted:
-        return spark.createDataFrame([], "shard int, start_offset long, tokens array<bigint>")
-    entries = spark.createDataFrame(wanted, "shard int, file string, start_offset long")
-    files = spark.read.format("binaryFile").load([f"{path.rstrip('/')}/{name}" for _, name, _ in wanted]).select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content")
-    dtype = manifest["dtype"]
-
-    @F.pandas_udf("array<bigint>")
-    def ids(content):
-        return content.map(lambda b: np.frombuffer(b, dtype=dtype).astype("int64"))
-
-    return files.join(entries, "file").select("shard", "start_offset", ids("content").alias("tokens"))
+    """shard, start_offset, tokens of the files that overlap [start, stop); no other file is opened."""
+    size = token_shards.load_manifest(path)["shard_size"]
+    return read_shards(spark, path).where((F.col("start_offset") > start - size) & (F.col("start_offset") < stop)).where(F.col("start_offset") + F.size("tokens") > start)
 
 
 def write_results(results: dict[str, DataFrame], path: str) -> None:

@@ -110,3 +110,27 @@ def test_schedule_and_checkpoints(spark):
         schedule.multiplier(F.lit(1), 10, 5)
     c = spark.createDataFrame([(1, f"d/checkpoint_step{s}.pt") for s in (5, 10, 100, 20)] + [(1, "d/x.pt")], "run long, path string")
     assert sorted(r.step for r in schedule.to_prune(c, 2).collect()) == [5, 10] and schedule.latest(c).first().path == "d/checkpoint_step100.pt"
+
+
+def test_digest_in_levels(spark):
+    from hashlib import sha256
+
+    rows = [(f"layer{k}", bytes([k % 7]) * k) for k in range(50)]
+    df = spark.createDataFrame(rows, "key string, bytes binary").repartition(4)
+    for fan_in in (4096, 7, 2):
+        level = [sha256(f"{k}:{sha256(b).hexdigest()}".encode()).hexdigest() for k, b in sorted(rows)]
+        while True:
+            level = [sha256("\n".join(level[i : i + fan_in]).encode()).hexdigest() for i in range(0, len(level), fan_in)]
+            if len(level) == 1:
+                break
+        assert quantize.checksum(df, fan_in).first()[0] == level[0]
+    assert quantize.checksum(df.limit(0)).first()[0] == sha256(b"").hexdigest()
+
+
+def test_synthetic_corpus(spark):
+    from lexweave.sources import collect
+
+    sentences = ["one", "two", "three"]
+    rows = collect.synthetic_corpus(spark, sentences, 40, seed=9).orderBy("pos").collect()
+    assert [r.pos for r in rows] == list(range(120)) and all(sorted(x.text for x in rows[k * 3 : k * 3 + 3]) == sorted(sentences) for k in range(40))
+    assert len({tuple(x.text for x in rows[k * 3 : k * 3 + 3]) for k in range(40)}) > 1

@@ -163,7 +163,9 @@ def test_slices_open_only_what_they_need(spark, tmp_path):
     tokens = spark.createDataFrame([(k, k * 10, list(range(k * 10, k * 10 + 10))) for k in range(4)], "shard int, start_offset long, tokens array<int>")
     sinks.write_shards(tokens, str(tmp_path / "s"))
     part = sinks.read_slice(spark, str(tmp_path / "s"), 15, 25)
-    assert sorted(r.shard for r in part.collect()) == [1, 2] and part.inputFiles() == sorted(part.inputFiles()) and len(part.inputFiles()) == 2
+    for k in (0, 3):  # a shard that was opened would be missed
+        (tmp_path / "s" / f"shard_{k:05d}.bin").unlink()
+    assert sorted(r.shard for r in part.collect()) == [1, 2]
     assert pack.read_range(part, 15, 25).first()[0] == list(range(15, 25))
     assert sinks.read_slice(spark, str(tmp_path / "s"), 90, 99).count() == 0
 

@@ -149,12 +149,30 @@ def test_running_sums_in_chunks(spark, monkeypatch):
     want, total = {}, 0
     for k, v in sorted(rows):
         want[k], total = total, total + v
-    for chunk, level in ((10**6, 512), (100, 512), (40, 8)):
-        monkeypatch.setattr(prefix, "CHUNK_ROWS", chunk)
-        monkeypatch.setattr(prefix, "LEVEL", level)
+    for size in (10**6, 100, 7):
+        monkeypatch.setattr(prefix, "RANGE_ROWS", size)
         out = prefix.running(spark.createDataFrame(rows, "k long, v long"), ["k"], "v", "before")
         assert {r.k: r.before for r in out.collect()} == want and out.columns == ["k", "v", "before"]
 
 
+def test_ranks_of_texts(spark, monkeypatch):
+    """Texts, ties of the first column, nulls in the value; ranks without a value."""
+    from lexweave.functions import prefix
+
+    monkeypatch.setattr(prefix, "RANGE_ROWS", 11)
+    rows = [(f"{'é' * (i % 3)}k{i * 37 % 101}", i % 4, None if i % 5 == 0 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "a string, b int, v int").repartition(5)
+    ordered = sorted({(a.encode(), b) for a, b, _ in rows})
+    got = {(r.a.encode(), r.b): r.at for r in prefix.placed(df.dropDuplicates(["a", "b"]), ["a", "b"], None, "at").collect()}
+    assert got == {k: i for i, k in enumerate(ordered)}
+    sums, total = {}, 0
+    for a, b, v in sorted(rows, key=lambda r: (r[0].encode(), r[1])):
+        sums[a, b] = total
+        total += v or 0
+    if len(sums) == len(rows):
+        assert {(r.a, r.b): r.at for r in prefix.placed(df, ["a", "b"], "v", "at").collect()} == sums
+    assert prefix.placed(df.limit(0), ["a"], None, "at").collect() == []
+
+
 def test_white_space_strings_agree(spark):
     assert len(tx.SPACES) == 29 and all(c.isspace() for c in tx.SPACES)
