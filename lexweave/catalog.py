@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from lexweave.functions.register import register
 from lexweave.functions.stored import folder
 from lexweave.functions.text import WS_RE2, normalize, words
-from lexweave.operators import dedup, evaluate, generate, layers, pack, quality, quantize, report, sampling, schedule, sft, split, tokenizer
+from lexweave.operators import dedup, evaluate, generate, layers, logits, pack, quality, quantize, report, schedule, sft, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.plans import corpus
 from lexweave.sources import collect, sinks, token_shards
@@ -433,48 +433,57 @@ def _logits(spark, d) -> DataFrame:
     return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("token_id", "x")).select("row_id", F.col("token_id").cast("long"), (F.col("x").cast("double") * 10).alias("logit"))
 
 
+def _arrays(spark, d) -> DataFrame:
+    return _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.transform("embedding", lambda x: x.cast("double") * 10).alias("x"))
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    """The tokens that a filter has left."""
+    return rows.select("row_id", F.posexplode("x").alias("token_id", "logit")).where("logit IS NOT NULL").withColumn("token_id", F.col("token_id").cast("long"))
+
+
 _LOGITS = "SELECT vec_id AS row_id, CAST(i - 1 AS BIGINT) AS token_id, CAST(embedding[i] AS DOUBLE) * 10 AS logit FROM embeddings, unnest(range(1, 65)) AS u(i)"
 
 
 @query(f"SELECT row_id, token_id, logit FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY logit DESC) AS r FROM ({_LOGITS})) WHERE r <= 5")
 def top_k(spark, d):
-    return sampling.top_k(_logits(spark, d), 5)
+    return _long(_arrays(spark, d).select("row_id", logits.top_k(F.col("x"), 5).alias("x")))
 
 
 @query(f"""SELECT row_id, token_id FROM (SELECT *, coalesce(sum(q) OVER (PARTITION BY row_id ORDER BY logit DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS q FROM
 (SELECT *, exp(logit - max(logit) OVER (PARTITION BY row_id)) AS e FROM ({_LOGITS})))) WHERE b <= 0.9""")
 def top_p(spark, d):
-    return sampling.top_p(_logits(spark, d), 0.9).select("row_id", "token_id")
+    return _long(_arrays(spark, d).select("row_id", logits.top_p(F.col("x"), 0.9).alias("x"))).select("row_id", "token_id")
 
 
 @query(f"SELECT row_id, token_id, CASE WHEN token_id % 7 <> row_id % 7 THEN logit WHEN logit > 0 THEN logit / 1.5 ELSE logit * 1.5 END AS logit FROM ({_LOGITS})")
 def repetition_penalty(spark, d):
-    logits = _logits(spark, d)
-    seen = logits.where("token_id % 7 = row_id % 7").select("row_id", "token_id")
-    return sampling.repetition_penalty(logits, seen.union(seen), 1.5)
+    seen = F.filter(F.transform("x", lambda _, i: i), lambda i: F.pmod(i, F.lit(7)) == F.pmod("row_id", F.lit(7)))
+    return _long(_arrays(spark, d).select("row_id", logits.repetition_penalty(F.col("x"), F.concat(seen, seen), 1.5).alias("x")))
 
 
 @query(f"SELECT row_id, token_id, logit / 0.7 AS logit FROM ({_LOGITS})")
 def temperature(spark, d):
-    return sampling.temperature(_logits(spark, d), 0.7)
+    return _long(_arrays(spark, d).select("row_id", logits.temperature(F.col("x"), 0.7).alias("x")))
 
 
 @query(f"SELECT row_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY logit DESC, token_id) AS r FROM ({_LOGITS})) WHERE r = 1")
 def greedy_tokens(spark, d):
-    return sampling.greedy(_logits(spark, d))
+    return _arrays(spark, d).select("row_id", logits.greedy(F.col("x")).cast("long").alias("token_id"))
 
 
 @query(f"""SELECT row_id, token_id FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY x - ln(-ln((CAST('0x' || substr(md5('3-' || row_id || '-' || token_id), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)) DESC, token_id) AS g FROM
 (SELECT *, coalesce(sum(q) OVER (PARTITION BY row_id ORDER BY x DESC, token_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT *, e / sum(e) OVER (PARTITION BY row_id) AS q FROM
 (SELECT *, exp(x - max(x) OVER (PARTITION BY row_id)) AS e FROM (SELECT *, rank() OVER (PARTITION BY row_id ORDER BY x DESC) AS k FROM (SELECT row_id, token_id, logit / 0.8 AS x FROM ({_LOGITS}))) WHERE k <= 20))) WHERE b <= 0.95) WHERE g = 1""")
 def sampled_tokens(spark, d):
-    return sampling.sample(_logits(spark, d), t=0.8, k=20, p=0.95, seed=3)
+    return _arrays(spark, d).select("row_id", logits.sample(F.col("x"), F.col("row_id"), t=0.8, k=20, p=0.95, seed=3).cast("long").alias("token_id"))
 
 
 @query(f"SELECT row_id, round(ln(sum(exp(logit - m))) + max(m) - max(CASE WHEN token_id = label THEN logit END), 9) AS loss FROM (SELECT l.*, max(logit) OVER (PARTITION BY row_id) AS m, label % 64 AS label FROM ({_LOGITS}) l JOIN embeddings ON vec_id = row_id WHERE label % 5 <> 0) GROUP BY row_id")
 def token_losses(spark, d):
-    labels = _table(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.when(F.col("label") % 5 == 0, sft.IGNORE).otherwise(F.col("label") % 64).alias("label"))
-    return evaluate.token_losses(_logits(spark, d), labels).select("row_id", F.round("loss", 9).alias("loss"))
+    label = F.when(F.col("label") % 5 == 0, sft.IGNORE).otherwise(F.col("label") % 64).cast("int")
+    losses = _arrays(spark, d).select("row_id", logits.loss(F.col("x"), label).alias("loss"))
+    return losses.where("loss IS NOT NULL").select("row_id", F.round("loss", 9).alias("loss"))
 
 
 _CHOICES = f"SELECT row_id AS item_id, token_id // 16 AS choice, avg(logit) AS score FROM ({_LOGITS}) GROUP BY 1, 2"
