@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexweave.functions.once import once
 from lexweave.functions.register import register
 from lexweave.functions.stored import folder
-from lexweave.functions.text import WS_RE2, normalize, words
+from lexweave.functions.text import WS_RE2, may_change, nfkc, normalize, words
 from lexweave.operators import dedup, evaluate, generate, layers, logits, pack, quality, quantize, report, schedule, sft, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.plans import corpus
@@ -103,6 +104,28 @@ def redact_urls(spark, d):
     return _digest(clean(_table(spark, d, "pages"), CleanOptions(strip_html=False, unicode_nfkc=False, url_replacement="[URL]"), "html"), "page_id", "html")
 
 
+_WIDE = (b"abcdefghijklmnopqrstuvwxyz".decode(), "".join(chr(c + 0xFEE0) for c in range(97, 123)))
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 AND regexp_matches(text, '[a-z]') AS sent, sha256(text) AS sha FROM documents")
+def nfkc_composed(spark, d):
+    """Of every third document the letters a to z made full-width, and all composed again; only those documents go through Python."""
+    planted = F.when(F.col("doc_id") % 3 == 0, F.translate("text", *_WIDE)).otherwise(F.col("text"))
+    docs = once(_docs(spark, d), {"planted": planted})
+    return docs.select("doc_id", may_change(F.col("planted")).alias("sent"), F.sha2(nfkc(F.col("planted")), 256).alias("sha"))
+
+
+_CONTROLLED = "replace(replace(replace(text, 'e', 'e' || chr(1)), 'n', chr(127) || 'n'), 't', chr(133) || 't' || chr(13))"
+
+
+@query(f"SELECT doc_id, length(t) AS n_chars, sha256(t) AS sha FROM (SELECT doc_id, {_clean('text')} AS t FROM (SELECT doc_id, {_CONTROLLED} AS text FROM documents)) WHERE t <> ''")
+def clean_controls(spark, d):
+    """Control characters of both blocks put into every text."""
+    put = lambda c, a, b: F.replace(c, F.lit(a), F.lit(b))
+    planted = put(put(put(F.col("text"), "e", "e\x01"), "n", "\x7fn"), "t", "\x85t\r")
+    return _digest(clean(_docs(spark, d).withColumn("text", planted)), "doc_id", "text")
+
+
 # quality
 
 METRICS = f"""
@@ -579,6 +602,20 @@ def streamed_counts(spark, d):
     return spark.table(name).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query(f"SELECT doc_id, lang FROM documents WHERE doc_id IN ({FIRST})")
+def streamed_dedup(spark, d):
+    """A stream of documents in two halves, stopped after the first and started anew from its checkpoint."""
+    source, out, checkpoint = (folder(spark, f"dedup-{n}") for n in ("in", "out", "checkpoint"))
+    docs = _docs(spark, d).select("doc_id", "lang", "text", "pos")
+    text_streams.keep_state_on_disk(spark)
+    middle = docs.agg(F.max("pos") / 2).first()[0] or 0
+    for half in (docs.where(F.col("pos") <= middle), docs.where(F.col("pos") > middle)):
+        half.write.mode("append").parquet(source)
+        stream = text_streams.deduplicated_for_good(spark.readStream.schema(docs.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(docs.schema).parquet(out).select("doc_id", "lang")
+
+
 _FUNNEL = f"""WITH c AS (SELECT doc_id, lang, {_clean("text")} AS text FROM documents), k AS (SELECT * FROM c WHERE text <> ''),
 q AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM ({METRICS.replace("FROM documents", "FROM k")}) WHERE len({REASONS}) = 0)),
 f AS (SELECT * FROM q WHERE doc_id IN (SELECT min(doc_id) FROM q GROUP BY sha256({_norm("text")})))

@@ -5,6 +5,8 @@ White space is the 29 code points below, not what a regular-expression engine ta
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -50,15 +52,44 @@ def literal_replacement(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+#: Ranges of characters that the quick check of nfkc() knows, the largest ones; texts with others take the way through Python.
+QUICK_RANGES = 64
+
+
+@functools.cache
+def unchanging() -> tuple[tuple[int, int], ...]:
+    """Ranges of characters that compatibility composition leaves alone in any text of such characters: assigned, their own normal form, no combining class, and second in no composition."""
+    decomposed = (d.split() for c in map(chr, range(sys.maxunicode + 1)) if (d := unicodedata.decomposition(c)) and d[0] != "<")
+    second = {int(d[-1], 16) for d in decomposed if len(d) > 1}
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals, which join the syllable before them
+    found: list[list[int]] = []
+    for k in range(sys.maxunicode + 1):
+        c = chr(k)
+        if unicodedata.category(c) in ("Cn", "Cs") or unicodedata.combining(c) or k in second or k in jamo or not unicodedata.is_normalized("NFKC", c):
+            continue
+        if found and found[-1][1] == k - 1:
+            found[-1][1] = k
+        else:
+            found.append([k, k])
+    return tuple((a, b) for a, b in found)
+
+
+def may_change(text: Column) -> Column:
+    """Whether a text holds a character that isn't known to stay as it is under nfkc(); native."""
+    largest = sorted(unchanging(), key=lambda r: (r[0] > 0x24F, r[0] - r[1]))[:QUICK_RANGES]
+    ranges = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(largest))
+    return text.rlike(f"[^{ranges}]")
+
+
 def nfkc(text: Column) -> Column:
-    """Compatibility composition. Spark has no such function, so batches go through Python; ASCII texts come back as they are."""
+    """Compatibility composition. Spark has no such function, so texts that may change go through Python; the others, found by a native test, are not sent there."""
 
     @F.arrow_udf("string")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in texts.to_pylist()], pa.string())
+            yield texts if texts.null_count == len(texts) else pa.array([s if s is None else unicodedata.normalize("NFKC", s) for s in texts.to_pylist()], pa.string())
 
-    return run(text)
+    return F.coalesce(run(F.when(may_change(text), text)), text)
 
 
 def shingles(tokens: Column, size: int) -> Column:

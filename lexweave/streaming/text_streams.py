@@ -1,9 +1,13 @@
-"""The stateless steps on streams, and deduplication with bounded state."""
+"""The stateless steps on streams, and deduplication with bounded state or for good."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from lexweave.operators.clean import CleanOptions, clean
 from lexweave.operators.dedup import exact_hash
@@ -25,6 +29,40 @@ def deduplicated(stream: DataFrame, time_col: str, delay: str, text_col: str = "
     return marked.dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
+class _FirstOfKey(StatefulProcessor):
+    """Of a key that no batch before had, the row of the least order; the state is one flag a key."""
+
+    def __init__(self, order_col: str, columns: list[str]):
+        self.order_col, self.columns = order_col, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            first = min(rows, key=lambda r: (r[self.order_col] is None, r[self.order_col]))
+            yield Row(**{c: first[c] for c in self.columns})
+
+    def close(self) -> None:
+        pass
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Streams that are started from here on keep their state in RocksDB below their checkpoint, which deduplicated_for_good() needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def deduplicated_for_good(stream: DataFrame, text_col: str = "text", order_col: str = "pos") -> DataFrame:
+    """The first arrival of each normalised text, of a batch the row of the least order; no text is ever forgotten, and nothing is after a restart from the stream's checkpoint.
+
+    A batch looks up and writes the hashes that it holds, not those of all batches before it. Null texts count as empty. Where batches arrive in the rows' order, the rows are those of dedup.exact_dedup.
+    """
+    keyed = stream.withColumn("_h", exact_hash(F.coalesce(F.col(text_col), F.lit(""))))
+    kind = StructType([stream.schema[c] for c in stream.columns])
+    return keyed.groupBy("_h").transformWithState(_FirstOfKey(order_col, stream.columns), kind, "Append", "None")
+
+
 def windowed_counts(stream: DataFrame, time_col: str, key_col: str, size: str, delay: str) -> DataFrame:
     """Rows of each key in each window of time; late rows within the delay count."""
     return stream.withWatermark(time_col, delay).groupBy(F.window(time_col, size).alias("w"), key_col).agg(F.count("*").alias("n")).select("w.start", "w.end", key_col, "n")

@@ -176,3 +176,21 @@ def test_ranks_of_texts(spark, monkeypatch):
 
 def test_white_space_strings_agree(spark):
     assert len(tx.SPACES) == 29 and all(c.isspace() for c in tx.SPACES)
+
+
+def test_quick_check_lets_no_text_pass_that_changes(spark):
+    """Every character alone, and after and before others: what the native test lets pass is its own normal form."""
+    import unicodedata
+
+    ranges = tx.unchanging()
+    known = [c for a, b in ranges for c in (a, b)]
+    assert all(unicodedata.is_normalized("NFKC", chr(c)) for a, b in ranges for c in range(a, b + 1))
+    r = __import__("random").Random(3)
+    assert all(unicodedata.is_normalized("NFKC", "".join(chr(r.choice(known)) for _ in range(6))) for _ in range(20_000))
+    some = ["plain", "é", "e\u0301", "\uff41b", "ﬁ", "한", "\u1112\u1161\u11ab", "\uac00\u11a8", "\u0345\u0301", "中文", "x\u0338", "²", "a\u00a0b", "\u2126", "ß", "İ", "ñandú", "", None, "Ж", "がか\u3099"]
+    df = docs(spark, some)
+    out = df.select("pos", "text", tx.may_change(F.col("text")).alias("sent"), tx.nfkc(F.col("text")).alias("made")).collect()
+    for x in out:
+        assert x.made == (None if x.text is None else unicodedata.normalize("NFKC", x.text))
+        assert x.sent or x.text is None or x.made == x.text
+    assert {x.text: x.sent for x in out}["ñandú"] is False and {x.text: x.sent for x in out}["中文"] is False
