@@ -25,6 +25,7 @@ import functools
 import hashlib
 import itertools
 import json
+import operator
 import os
 import re
 from collections import Counter
@@ -39,12 +40,16 @@ from lexweave.llm.common import bound_batches, checkpoint, fresh, kth_largest, q
 from lexweave.operators.tokenizer import byte_letters
 
 MARK = "▁"
+#: Fixed value: the pattern of byte-level pre-tokenizers.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pairs whose counts every worker has: three arrays of that length.
 FREQUENT = 1 << 18
 #: Segments that a worker keeps what it has found of; characters of texts that are aligned together.
-KNOWN, TOGETHER = 200_000, 1 << 20
+KNOWN, TOGETHER = 600_000, 1 << 20
 _GAP = re.compile(r" (?:\s|$)")
 _CUT = re.compile(r"(?<! )(?= \S)")
+#: Segments that may be encoded as one text: of letters and white space that all engines' patterns class alike, with neither at an end that joins another.
+_PLAIN = re.compile(r"[!-~¡-ɏ](?:[\t\n\r -~¡-ɏ]*[!-~¡-ɏ])?")
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -54,13 +59,10 @@ def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nd
     return ends, a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
 
-class Segment:
-    """What a segment holds: tokens of either side, groups, links; the groups spelled out; the links' id pairs as bytes of 64-bit numbers."""
-
-    __slots__ = ("sizes", "spelled", "pairs")
-
-    def __init__(self, sizes: tuple[int, int, int, int], spelled: bytes, pairs: bytes):
-        self.sizes, self.spelled, self.pairs = sizes, spelled, pairs
+#: Of a segment: tokens of either side, groups and links as four 32-bit numbers; the groups spelled out; the links' id pairs as 64-bit numbers. Without any where it can't be aligned.
+Segment = tuple[bytes, bytes, bytes]
+BAD: Segment = (bytes(16), b"", b"")
+_sizes, _spelled, _pairs = (operator.itemgetter(k) for k in range(3))
 
 
 class Aligner:
@@ -84,8 +86,20 @@ class Aligner:
         whole = self.b.normalize(" a  b\tﬁ ") == MARK + " a  b\tﬁ ".replace(" ", MARK)
         self.cuts = plain and whole and not any(MARK in self.b.id_to_piece(i).lstrip(MARK) for i in range(self.b.get_piece_size()))
         self.digits = len(str(max(len(self.bytes_a), len(self.bytes_b))))
-        self.new: dict[str, Segment | None] = {}
-        self.old: dict[str, Segment | None] = {}
+        self.ranked = self._ranked(spec) if plain else None
+        self.new: dict[str, Segment] = {}
+        self.old: dict[str, Segment] = {}
+
+    def _ranked(self, spec: dict):
+        """The encoder of A's vocabulary as ranks, where each merge makes the token of the next id, so that merges go by ranks; else None."""
+        import tiktoken
+
+        vocab, merges = spec["model"]["vocab"], [x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"]]
+        made = [vocab.get("".join(m)) for m in merges]
+        ranks = {self.bytes_a[i]: i for i in {*made, *(vocab.get(c) for c in byte_letters())} if i is not None}
+        if None in made or made != sorted(set(made)) or len(ranks) != 256 + len(made) or spec["model"].get("ignore_merges"):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def segments(self, text: str) -> list[str]:
         """The segments of a space and the text, each without its first space."""
@@ -107,39 +121,54 @@ class Aligner:
         """The ids that both tokenizers give each segment."""
         return [x.ids for x in self.a.encode_batch_fast([" " + s for s in segments], add_special_tokens=False)], self.b.encode(segments, num_threads=1)
 
-    def found(self, segments: list[str]) -> list[Segment | None]:
-        """Each segment's, None where a tokenizer doesn't give back its bytes."""
+    def found(self, segments: list[str]) -> list[Segment]:
+        """Each segment's."""
         if 2 * len(self.new) > self.most:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = [s for s in segments if s not in new and s not in old]
-        made = dict(zip(missing, self.align(missing), strict=True)) if missing else {}
-        out = []
-        for s in segments:
-            if s in new:
-                x = new[s]
+        out = list(map(new.get, segments))
+        absent = [i for i, x in enumerate(out) if x is None]
+        missing = []
+        for i in absent:
+            if (x := old.get(s := segments[i])) is None:
+                missing.append(i)
             else:
-                x = made[s] if s in made else old[s]
-                if len(s) <= 64:
-                    new[s] = x
-            out.append(x)
+                out[i] = new[s] = x
+        # those that may be encoded together go first
+        missing.sort(key=lambda i: _PLAIN.fullmatch(segments[i]) is None)
+        for i, x in zip(missing, self.align([segments[i] for i in missing]), strict=True):
+            out[i] = x
+            if len(segments[i]) <= 64:
+                new[segments[i]] = x
         return out
 
-    def align(self, segments: list[str]) -> list[Segment | None]:
-        ids_a, ids_b = self.encoded(segments)
-        flat = lambda ids, table: b"".join(map(table.__getitem__, itertools.chain.from_iterable(ids)))
-        text = "".join(" " + s for s in segments).encode()
-        if flat(ids_a, self.bytes_a) != text or flat(ids_b, self.bytes_b) != text:
-            same = [flat([a], self.bytes_a) == flat([b], self.bytes_b) == (" " + s).encode() for s, a, b in zip(segments, ids_a, ids_b, strict=True)]
-            rest = iter(self._align(*([x for x, ok in zip(ids, same, strict=True) if ok] for ids in (ids_a, ids_b))))
-            return [next(rest) if ok else None for ok in same]
-        return self._align(ids_a, ids_b)
-
-    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> list[Segment]:
-        if not ids_a:
+    def align(self, segments: list[str]) -> list[Segment]:
+        if not segments:
+            return []
+        together = sum(1 for _ in itertools.takewhile(_PLAIN.fullmatch, segments)) if self.ranked and self.cuts else 0
+        whole = [(" " + s).encode() for s in segments]
+        text, sizes = b"".join(whole), np.fromiter(map(len, whole), dtype=np.int64, count=len(whole))
+        rest = [x.ids for x in self.a.encode_batch_fast([" " + s for s in segments[together:]], add_special_tokens=False)]
+        a = np.array(self.ranked.encode_ordinary(" " + " ".join(segments[:together])) if together else [], dtype=np.int64)
+        n_a = np.diff(np.searchsorted(np.cumsum(self.size_a[a]), np.cumsum(sizes[:together]), side="right"), prepend=0)
+        a = np.concatenate((a, np.fromiter(itertools.chain.from_iterable(rest), dtype=np.int64)))
+        n_a = np.concatenate((n_a, np.fromiter(map(len, rest), dtype=np.int64, count=len(rest))))
+        ids_b = self.b.encode(segments, num_threads=1)
+        n_b = np.fromiter(map(len, ids_b), dtype=np.int64, count=len(ids_b))
+        b = np.fromiter(itertools.chain.from_iterable(ids_b), dtype=np.int64, count=int(n_b.sum()))
+        spelled = [b"".join(map(table.__getitem__, ids.tolist())) for table, ids in ((self.bytes_a, a), (self.bytes_b, b))]
+        if spelled[0] == spelled[1] == text:
+            return self._align(a, n_a, b, n_b)
+        # some segment isn't given back: the others stay
+        ends = [np.concatenate(([0], np.cumsum(size[ids])))[np.concatenate(([0], np.cumsum(n)))].tolist() for size, ids, n in ((self.size_a, a, n_a), (self.size_b, b, n_b))]
+        same = np.array([spelled[0][ends[0][k] : ends[0][k + 1]] == spelled[1][ends[1][k] : ends[1][k + 1]] == w for k, w in enumerate(whole)])
+        fine = iter(self._align(a[np.repeat(same, n_a)], n_a[same], b[np.repeat(same, n_b)], n_b[same]))
+        return [next(fine) if ok else BAD for ok in same.tolist()]
+
+    def _align(self, a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> list[Segment]:
+        """Segments from all ids side by side, and how many each segment has."""
+        if not len(n_a):
             return []
-        n_a, n_b = (np.array([len(x) for x in ids], dtype=np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64, count=int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
         ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         ends, of_a, of_b, closes = intervals(ends_a, ends_b)
         segment = np.repeat(np.arange(len(n_a)), n_a)[of_a]
@@ -147,8 +176,8 @@ class Aligner:
         group = np.cumsum(closes) - closes
         spelled = self._spell(np.concatenate((a, b)), np.concatenate((group[np.searchsorted(ends, ends_a)] * 2, group[np.searchsorted(ends, ends_b)] * 2 + 1)), np.concatenate(([0], np.cumsum(n_a + n_b))))
         pairs, starts = (a[of_a] << 32 | b[of_b]).astype("<i8").tobytes(), np.concatenate(([0], np.cumsum(n_links * 8))).tolist()
-        sizes = zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n_links.tolist(), strict=True)
-        return [Segment(x, s, pairs[i:j]) for x, s, i, j in zip(sizes, spelled, starts[:-1], starts[1:], strict=True)]
+        sizes = np.stack((n_a, n_b, n_groups, n_links), axis=1).astype("<u4").tobytes()
+        return [(sizes[16 * k : 16 * k + 16], x, pairs[starts[k] : starts[k + 1]]) for k, x in enumerate(spelled)]
 
     def _spell(self, ids: np.ndarray, place: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Ids in the order of their place (group, side), in decimals: commas within a side, a bar between sides, a semicolon between groups."""
@@ -189,7 +218,7 @@ class Aligner:
             segments = [(k, self.segments(part)) for k, part in unit]
             distinct = list(dict.fromkeys(itertools.chain.from_iterable(s for _, s in segments)))
             known = dict(zip(distinct, self.found(distinct), strict=True))
-            bad = {s for s, x in known.items() if x is None}
+            bad = {s for s, x in known.items() if x is BAD}
             wrong = {k for k, s in segments if bad and not bad.isdisjoint(s)}
             last, total = unit[-1][0], Counter()
             if open_text >= 0:
@@ -216,12 +245,14 @@ class Aligner:
 
     def _pairs(self, counts: Counter, known: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         segments = list(counts)
-        held = [known[s].pairs for s in segments] if known else [x.pairs for x in self.found(segments)]
-        times = np.repeat(np.fromiter((counts[s] for s in segments), dtype=np.int64, count=len(segments)), [len(p) // 8 for p in held])
-        pairs, at = np.unique(np.frombuffer(b"".join(held), dtype="<i8"), return_inverse=True)
-        sums = np.zeros(len(pairs), dtype=np.int64)
-        np.add.at(sums, at.reshape(-1), times)
-        return pairs, sums
+        held = list(map(_pairs, map(known.__getitem__, segments) if known else self.found(segments)))
+        links = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) // 8
+        times = np.repeat(np.fromiter(map(counts.__getitem__, segments), dtype=np.int64, count=len(segments)), links)
+        pairs = np.frombuffer(b"".join(held), dtype="<i8")
+        order = np.argsort(pairs, kind="stable")
+        pairs, times = pairs[order], times[order]
+        first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
+        return pairs[first], np.add.reduceat(times, first)
 
     def described(self, texts: list[str | None], frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[dict]:
         """n_a, n_b, n_groups, n_links, groups_sha256 of each text; n_best and count_sum over links of frequent pairs; the pairs of the other links."""
@@ -234,17 +265,19 @@ class Aligner:
             segments = [self.segments(part) for _, part in unit]
             distinct = {s: i for i, s in enumerate(dict.fromkeys(itertools.chain.from_iterable(segments)))}
             known = self.found(list(distinct))
-            if any(x is None for x in known):
-                bad = {s for s, i in distinct.items() if known[i] is None}
+            if any(x is BAD for x in known):
+                bad = {s for s, i in distinct.items() if known[i] is BAD}
                 wrong.update(k for (k, _), s in zip(unit, segments, strict=True) if not bad.isdisjoint(s))
-                known = [x or Segment((0, 0, 0, 0), b"", b"") for x in known]
             table = np.zeros((len(known), 6), dtype=np.int64)
-            table[:, :4] = [x.sizes for x in known]
-            links, of = np.frombuffer(b"".join(x.pairs for x in known), dtype="<i8"), np.repeat(np.arange(len(known)), table[:, 3])
+            table[:, :4] = np.frombuffer(b"".join(map(_sizes, known)), dtype="<u4").reshape(-1, 4)
+            links, of = np.frombuffer(b"".join(map(_pairs, known)), dtype="<i8"), np.repeat(np.arange(len(known)), table[:, 3])
             at = np.minimum(np.searchsorted(pairs, links), max(0, len(pairs) - 1))
             hit = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
-            np.add.at(table[:, 4], of[hit], best[at[hit]].astype(np.int64))
-            np.add.at(table[:, 5], of[hit], counts[at[hit]])
+            if len(pairs):
+                starts = np.concatenate(([0], np.cumsum(table[:, 3])))
+                for column, value in ((4, best[at] & hit), (5, np.where(hit, counts[at], 0))):
+                    total = np.concatenate(([0], np.cumsum(value, dtype=np.int64)))
+                    table[:, column] = total[starts[1:]] - total[starts[:-1]]
             rare_of, rare = of[~hit], links[~hit]
             rare_starts = np.searchsorted(rare_of, np.arange(len(known) + 1))
             sizes = np.array([len(s) for s in segments])
@@ -252,7 +285,7 @@ class Aligner:
             begin = np.concatenate(([0], np.cumsum(sizes)))
             sums_here = np.add.reduceat(table[index], begin[:-1], axis=0)
             has_rare = (np.diff(rare_starts) > 0)[index]
-            spelled = [x.spelled for x in known]
+            spelled = list(map(_spelled, known))
             for n, (k, _) in enumerate(unit):
                 sums[k] += sums_here[n]
                 mine = index[begin[n] : begin[n + 1]]
