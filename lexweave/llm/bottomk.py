@@ -17,7 +17,8 @@ A sketch keeps the k least hash values of a set. Steps:
 4. Components by alternating large and small stars over the links; a component is named by its least id.
 
 Recall: of a pair at 75 %, the union's k=32 least values are shared with probability 3/4 each, so fewer than 11 have a chance
-of about one in ten million; at 85 % it is negligible. Pairs that share that many always meet.
+of about one in ten million; at 85 % it is negligible. Fewer than 57 % of 256 have one of less than one in ten billion. Pairs that
+share that many always meet.
 
 Texts without words (null, empty, blank) have an empty set and link with nothing. Rows without an id take no part: their
 component is null and they are kept. Repeated rows give a row each, and rows that repeat an id with other texts are judged by
@@ -44,8 +45,10 @@ WORDS = 5  #: words of a shingle
 K = 32  #: values of a sketch
 THRESHOLD = 75  #: per cent
 LEAST = 34  #: per cent of the union's sketch that a candidate shares at least
+WIDE_K, WIDE_LEAST = 256, 57  #: the same of the wider sketches by which long lists are looked at
 SHORT = 64  #: classes of a short list
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000  #: bounds of a block
+FEW_BLOCKS = 4  #: of a list, beside its largest group, that meet all others as they are
 EXACT_SETS = 8  #: sets of shingles themselves that a worker keeps for the next pairs
 
 
@@ -100,14 +103,14 @@ def _linked(shared, x, y):
     return 100 * shared >= THRESHOLD * (x + y - shared)
 
 
-def _needed(n):
+def _needed(n, k: int = K, least: int = LEAST):
     """The least overlap of sketches of sets of n shingles."""
-    return F.ceil(F.least(n, F.lit(K)) * LEAST / 100).cast("int")
+    return F.ceil(F.least(n, F.lit(k)) * least / 100).cast("int")
 
 
-def _needed_by_any(n):
+def _needed_by_any(n, k: int = K, least: int = LEAST):
     """The least overlap with the sketch of any set that one of n shingles may be linked to; the smaller set of a pair sets it."""
-    return _needed(F.ceil(n * THRESHOLD / 100))
+    return _needed(F.ceil(n * THRESHOLD / 100), k, least)
 
 
 @F.arrow_udf(T.BooleanType())
@@ -229,18 +232,62 @@ def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest(pdf["rep"].tolist(), [t.encode() for t in pdf["text"]], side, pdf["group"].to_numpy()), columns=["a", "b"]).astype("int64")
 
 
-def _in_blocks(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Confirmed links (a, b) between the groups of classes that share a list. entries: v, rep, n, group."""
-    lists = entries.groupBy("v").agg(F.count("*").alias("rows"), F.sum("n").alias("all"), (F.min("group") < F.max("group")).alias("apart")).where("apart")
-    blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    dealt = entries.join(lists.select("v", blocks.alias("blocks")), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v"), F.col("blocks")).cast("int"))
-    dealt = dealt.join(classes.select("rep", "sketch"), "rep").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = dealt.select("v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "group", "sketch")
+def _lists(entries: DataFrame) -> DataFrame:
+    """v, the blocks that a list takes, its largest group (big), and the blocks of that (m) and of the others (r), of lists that hold two groups or more. entries: v, rep, n, group."""
+    blocks = lambda rows, shingles: F.ceil(F.greatest(rows / BLOCK_ROWS, shingles / BLOCK_SHINGLES)).cast("int")
+    sizes = entries.groupBy("v", "group").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    lists = sizes.groupBy("v").agg(F.count("*").alias("groups"), F.max(F.struct("rows", "group", "all")).alias("of"), F.sum("rows").alias("rows"), F.sum("all").alias("all")).where("groups > 1")
+    return lists.select("v", blocks(F.col("rows"), F.col("all")).alias("blocks"), F.col("of.group").alias("big"), blocks(F.col("of.rows"), F.col("of.all")).alias("m"), blocks(F.col("rows") - F.col("of.rows"), F.col("all") - F.col("of.all")).alias("r"))
+
+
+def _inside_blocks(entries: DataFrame, classes: DataFrame, docs: DataFrame, deal: int) -> DataFrame:
+    """Confirmed links between the groups of classes that stand in one block of a list, as `deal` deals them."""
+    dealt = entries.join(_lists(entries).select("v", "blocks"), "v").withColumn("b", F.pmod(F.xxhash64("rep", "v", F.lit(deal)), F.col("blocks")).cast("int"))
+    return _met_in(dealt.select("v", F.col("b").alias("i"), F.col("b").alias("j"), "b", "rep", "n", "group").join(classes.select("rep", "sketch"), "rep"), classes, docs)
+
+
+def _in_blocks(entries: DataFrame, lists: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between the groups of classes that share one of the lists. Blocks of a list's largest group meet only the others."""
+    one, first = F.col("blocks") == 1, F.col("group") == F.col("big")
+    slot = lambda count: F.pmod(F.xxhash64("rep", "v"), count).cast("int")
+    last = F.col("m") + F.col("r") - 1
+    block = F.when(one, 0).when(first, slot(F.col("m"))).otherwise(F.col("m") + slot(F.col("r")))
+    others = F.when(one, F.array(F.lit(0))).when(first, F.sequence(F.col("m"), last)).otherwise(F.sequence(F.lit(0), last))
+    dealt = entries.join(lists, "v").select("v", block.alias("b"), "rep", "n", "group", others.alias("os")).join(classes.select("rep", "sketch"), "rep").withColumn("o", F.explode("os"))
+    return _met_in(dealt.select("v", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "n", "group", "sketch"), classes, docs)
+
+
+def _met_in(met: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     stay = checkpoint(met.groupBy("v", "i", "j").applyInPandas(_block_candidates, "v long, i int, j int, b int, rep long, group long"))
     texts = _texts_of(docs, checkpoint(classes.join(stay.select("rep").distinct(), "rep", "left_semi").select("id", "h", "rep")))
     return stay.join(texts, "rep").groupBy("v", "i", "j").applyInPandas(_block_links, "a long, b long")
 
 
+def _prefixes(lists: DataFrame, k: int, least: int) -> DataFrame:
+    """Of classes (rep, n) in lists (v, size), the lists of each but the most common ones, as many as a linked class shares beyond the rarest that it shares."""
+    ranked = Window.partitionBy("rep").orderBy(F.desc("size"), "v")
+    needed = _needed_by_any(F.col("n"), k, least)
+    return lists.withColumn("k", F.row_number().over(ranked)).where(F.col("k") >= needed)
+
+
+def _widely(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The classes of entries (v, rep, n, group) in lists of wider sketches: v, rep, n, group of those that may have a partner."""
+    bound_batches(docs.sparkSession)
+    known = checkpoint(entries.select("rep", "n", "group").distinct())
+    texts = _texts_of(docs, checkpoint(classes.join(known, "rep", "left_semi").select("id", "h", "rep")))
+
+    @F.arrow_udf("array<long>")
+    def wide(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([s[:WIDE_K] for _, part in encoded(batch) for s in shingle_sets(part)], pa.list_(pa.int64()))
+        tidy()
+
+    values = checkpoint(texts.select("rep", F.explode(wide("text")).alias("v")))
+    counts = values.groupBy("v").agg(F.count("*").alias("size")).where("size > 1")
+    lists = values.join(counts, "v").join(known, "rep")
+    return _prefixes(lists, WIDE_K, WIDE_LEAST).select("v", "rep", "n", "group")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and component (the least id that links lead to) of each id in the links (a, b), by alternating large and small stars."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
@@ -294,19 +341,32 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = checkpoint(pairs.select("a", "b"))
 
     # classes that may be alike with no short list in common
-    ranked = Window.partitionBy("rep").orderBy(F.desc("size"), "v")
     needed = _needed_by_any(F.col("n"))
-    dense = lists.where((F.col("size") > SHORT) & (F.col("n_long") >= needed)).withColumn("k", F.row_number().over(ranked)).where(F.col("k") >= needed)
+    dense = _prefixes(lists.where((F.col("size") > SHORT) & (F.col("n_long") >= needed)), K, LEAST)
     dense = checkpoint(dense.select("v", "rep", "n"))
 
     wanted = checkpoint(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("id", "h", "rep"))
     texts = checkpoint(_texts_of(docs, wanted))
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     near = checkpoint(pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b"))
-    one_list = dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n")).withColumn("group", F.col("rep"))
-    found = checkpoint(near.union(_in_blocks(one_list, classes, docs)))
-    named = dense.join(_labels(found), "rep", "left").select("v", "rep", "n", F.coalesce("group", "rep").alias("group"))
-    return found.union(_in_blocks(named, classes, docs))
+    one_list = checkpoint(dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n")))
+    one_list = checkpoint(one_list.withColumn("group", F.col("rep")))
+    found = checkpoint(near.union(_inside_blocks(one_list, classes, docs, 1)))
+    if long := not _lists(one_list).where("blocks > 1").isEmpty():
+        found = checkpoint(found.union(_inside_blocks(checkpoint(_named(one_list, _labels(found))), classes, docs, 2)))
+    named = checkpoint(_named(dense, components(found).select(F.col("id").alias("rep"), F.col("component").alias("group")) if long else _labels(found)))
+    lists = checkpoint(_lists(named))
+    few = (F.col("blocks") == 1) | (F.col("r") <= FEW_BLOCKS)
+    found = checkpoint(found.union(_in_blocks(named, lists.where(few), classes, docs)))
+    if not (hard := lists.where(~few)).isEmpty():
+        wide = checkpoint(_widely(named.join(hard.select("v"), "v", "left_semi"), classes, docs))
+        found = found.union(_in_blocks(wide, _lists(wide), classes, docs))
+    return found
+
+
+def _named(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """Entries (v, rep, n) with the group that labels (rep, group) give them, or one of their own."""
+    return entries.select("v", "rep", "n").join(labels, "rep", "left").select("v", "rep", "n", F.coalesce("group", "rep").alias("group"))
 
 
 def _labels(links: DataFrame) -> DataFrame:
