@@ -449,6 +449,35 @@ def pad_batches(spark, d):
     return sft.pad_batches(rows, 8).select("conv_id", "turn", "batch_id", F.size("input_ids").cast("long").alias("padded"), total("attention_mask").alias("real"), total("input_ids").alias("total"), total("labels").alias("label_total"))
 
 
+_TOLD = f"""SELECT conv_id, turn, p[1:64] AS q, list_concat(r, [2])[1:64 - least(64, len(p))] AS a FROM (SELECT conv_id, turn,
+list_transform(string_split(prompt, ' '), lambda w: length(w)) AS p, list_transform(string_split(response, ' '), lambda w: length(w)) AS r FROM ({_PAIRS}))"""
+
+
+@query(f"""SELECT conv_id, turn, CAST(batch_id AS BIGINT) AS batch_id, CAST(m AS BIGINT) AS padded, CAST(n AS BIGINT) AS real, CAST(list_sum(list_concat(q, a)) AS BIGINT) AS total, CAST(coalesce(list_sum(a), 0) - 100 * (m - len(a)) AS BIGINT) AS label_total
+FROM (SELECT *, max(n) OVER (PARTITION BY batch_id) AS m FROM (SELECT *, len(q) + len(a) AS n, (row_number() OVER (ORDER BY conv_id, turn) - 1) // 8 AS batch_id FROM ({_TOLD})))""")
+def instruction_batches(spark, d):
+    """Instruction examples of conversations, some with cut prompts or answers, padded in batches."""
+    pairs = sft.sft_pairs(_table(spark, d, "conversations")).select("conv_id", "turn", _fake_ids("prompt").alias("p"), _fake_ids("response").alias("r"))
+    rows = pairs.select("conv_id", "turn", *(c.alias(n) for n, c in sft.instruction_example(F.col("p"), F.col("r"), 2, 64).items()))
+    rows = rows.withColumn("pos", F.col("conv_id") * 1000 + F.col("turn"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    return sft.pad_batches(rows, 8).select("conv_id", "turn", "batch_id", F.size("input_ids").cast("long").alias("padded"), total("attention_mask").alias("real"), total("input_ids").alias("total"), total("labels").alias("label_total"))
+
+
+@query(f"SELECT conv_id, turn, CAST(len(p) + 1 AS BIGINT) AS n, sha256(array_to_string(list_concat([1], p), ',')) AS sha FROM (SELECT conv_id, turn, list_transform(string_split(prompt, ' '), lambda w: length(w)) AS p FROM ({_PAIRS})) WHERE len(p) + 1 < 1024")
+def recovered_prompts(spark, d):
+    """Prompts from the masked tokens of prepared examples."""
+    found = _kept_rows(spark, d).select("conv_id", "turn", sft.recovered_prompt(F.col("input_ids"), F.col("labels")).alias("prompt"))
+    return found.select("conv_id", "turn", F.size("prompt").cast("long").alias("n"), _ids_sha("prompt"))
+
+
+@query(f"SELECT block // 8 AS batch_id, block, sha FROM (SELECT *, count(*) OVER () AS n FROM ({_blocks_sql(512, 300)})) WHERE (block // 8 + 1) * 8 <= n")
+def block_batches(spark, d):
+    """Training batches of eight blocks; an incomplete last one is left out."""
+    rows = pack.blocks(_word_ids(spark, d), 512, 300)
+    return sft.pad_batches(rows, 8, order_col="block", drop_last=True).select("batch_id", "block", _ids_sha("input_ids"))
+
+
 # logits and metrics; the coordinates of vectors stand for logits
 
 
