@@ -17,7 +17,7 @@ A sketch keeps the k least hash values of a set. Steps:
 4. Components by alternating large and small stars over the links; a component is named by its least id.
 
 Recall: of a pair at 75 %, the union's k=32 least values are shared with probability 3/4 each, so fewer than 11 have a chance
-of about one in ten million; at 85 % it is negligible. Fewer than 62 % of 512 have one of less than one in ten billion. Pairs that
+of about one in ten million; at 85 % it is negligible. Fewer than 57 % of 256 have one of less than one in ten billion. Pairs that
 share that many always meet.
 
 Texts without words (null, empty, blank) have an empty set and link with nothing. Rows without an id take no part: their
@@ -45,10 +45,10 @@ WORDS = 5  #: words of a shingle
 K = 32  #: values of a sketch
 THRESHOLD = 75  #: per cent
 LEAST = 34  #: per cent of the union's sketch that a candidate shares at least
-WIDE_K, WIDE_LEAST = 512, 62  #: the same of the wider sketches by which long lists are looked at
+WIDE_K, WIDE_LEAST = 256, 57  #: the same of the wider sketches by which long lists are looked at
 SHORT = 64  #: classes of a short list
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 400_000  #: bounds of a block
-FEW_BLOCKS = 4  #: of a list, beside its largest group, that meet all others as they are
+FEW_BLOCKS = 16  #: of a list, beside its largest group, that meet all others as they are
 EXACT_SETS = 8  #: sets of shingles themselves that a worker keeps for the next pairs
 
 
