@@ -192,7 +192,7 @@ def learn_from(words: DataFrame, vocabulary: Vocabulary, size: int, least: int =
     pairs and most bound what a level brings to the driver; the merges are the same with any bounds.
     """
     out: list[tuple[int, int, int]] = []
-    words, take = stored(words.where(F.size("s") > 1)), pairs
+    words, take = stored(words.where(F.size("s") > 1)), 16  # common pairs stand in most words, so the first levels are small
     while len(vocabulary.tokens) < size:
         top = [(-r.n, r.a, r.b) for r in pair_counts(words).where(F.col("n") >= least).orderBy(F.desc("n"), "a", "b").limit(pairs + 1).collect()]
         if not top:
