@@ -124,7 +124,7 @@ def test_boilerplate_makes_few_rows(spark, monkeypatch):
     data = [(i, " ".join([*template, *(f"p{i}x{k}" for k in range(80))]), None) for i in range(1500)]
     out = bottomk.near_duplicates(frame(spark, data))
     assert out.where("NOT kept").count() == 0
-    assert seen[:2] == [1500, 1500] and seen[2] <= 1500 and seen[3:] == [0], seen
+    assert max(seen) <= 1500 and seen[3:] == [0], seen
 
 
 def test_union_share():
