@@ -154,11 +154,14 @@ def encode_distinct(df: DataFrame, spec: str, text_col: str = "text", ids_col: s
     common = counted.where(F.col("n") * frequent > total)
     known = stored(word_ids(common, spec).unionByName(word_ids(counted.where(F.col("n") * frequent <= total), spec)))
     met = each.join(F.broadcast(known.join(F.broadcast(common.select("pretoken")), "pretoken", "left_semi")), F.col(key) == F.col("pretoken"), "left")
-    rest = met.where("pretoken IS NULL").select(row, at, key).join(known, F.col(key) == F.col("pretoken"))
-    parts = met.where("pretoken IS NOT NULL").select(row, at, "ids").union(rest.select(row, at, "ids"))
-    listed = parts.groupBy(row).agg(F.sort_array(F.collect_list(F.struct(at, "ids"))).alias("_parts"))
+    listed = stored(met.groupBy(row).agg(F.collect_list(F.struct(F.col(at).alias("at"), "ids", F.when(F.col("pretoken").isNull(), F.col(key)).alias("word"))).alias("_parts")))
+    rare = listed.select(row, F.explode(F.filter("_parts", lambda x: x["word"].isNotNull())).alias("x")).select(row, "x.at", "x.word").join(known, F.col("word") == F.col("pretoken"))
+    rare = rare.groupBy(row).agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
+    met_here = F.transform(F.filter("_parts", lambda x: x["word"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["ids"].alias("ids")))
+    none = F.array().cast("array<struct<at:int,ids:array<int>>>")
+    listed = listed.join(rare, row, "left").select(row, F.sort_array(F.concat(met_here, F.coalesce("_rare", none))).alias("_parts"))
     ends = lambda token, wanted: F.array(F.lit(token)) if wanted else F.array().cast("array<int>")
-    ids = F.concat(ends(BOS, bos), F.flatten(F.transform(F.coalesce("_parts", F.array()), lambda x: x["ids"])), ends(EOS, eos))
+    ids = F.concat(ends(BOS, bos), F.flatten(F.transform(F.coalesce("_parts", none), lambda x: x["ids"])), ends(EOS, eos))
     return rows.join(listed, row, "left").select(*df.columns, F.when(F.col(text_col).isNotNull(), ids).alias(ids_col))
 
 
