@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 import re
@@ -26,17 +27,20 @@ def words_of(text):
 
 
 def word_hash(word):
-    acc = 0
-    for c in word.lower():
-        acc = (acc * ODD + c + 1) & M
-    return scrambled(acc ^ len(word))
+    word = word.lower()
+    if len(word) > common.SHORT_WORD:
+        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+    acc = len(word) * ODD & M
+    for k in range(0, len(word), 8):
+        acc = scrambled(((acc ^ int.from_bytes(word[k : k + 8], "little")) * ODD + k + 1) & M)
+    return acc
 
 
 def run_hash(hashes):
     acc = 0
     for h in hashes:
-        acc = (acc * ODD + h) & M
-    return scrambled(acc)
+        acc = scrambled((acc * ODD + h) & M)
+    return acc
 
 
 def plain_counts(text):
