@@ -48,20 +48,25 @@ def size_bytes(weights: DataFrame, column: str, width: int) -> DataFrame:
 FAN_IN = 4096
 
 
-def checksum(parts: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+def checksum(parts: DataFrame, fan_in: int = FAN_IN, levels: int | None = None) -> DataFrame:
     """A digest over (key, bytes), whose keys are unique, in levels: SHA-256 of each key with the digest of its bytes, then of each `fan_in` such digests in the order of the keys, a line each, until one is left.
 
-    No task holds more than `fan_in` digests. Without rows it is the digest of nothing.
+    No task holds more than `fan_in` digests. levels: so many whatever the number of keys, the last one over all digests that the one before it left (65 bytes for each `fan_in` keys at two
+    levels). Without rows it is the digest of nothing.
     """
+    if levels is not None and levels < 1:
+        raise ValueError("levels must be positive")
     each = parts.select("key", F.sha2(F.concat_ws(":", "key", F.sha2("bytes", 256)), 256).alias("digest"))
     each = stored(each)
     level = each.join(placed(each, ["key"], None, "at"), "key").select("at", "digest")
-    n = each.count()
+    n, done = each.count(), 0
     while True:
+        done += 1
         joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"]), "\n")
-        level = level.groupBy(F.floor(F.col("at") / fan_in).alias("at")).agg(F.sha2(joined, 256).alias("digest"))
-        n = -(-n // fan_in)
-        if n <= 1:
+        group = F.lit(0).cast("long") if done == levels else F.floor(F.col("at") / fan_in)
+        level = level.groupBy(group.alias("at")).agg(F.sha2(joined, 256).alias("digest"))
+        n = 1 if done == levels else -(-n // fan_in)
+        if done == levels or (levels is None and n <= 1):
             return level.agg(F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("checksum"))
 
 
