@@ -24,3 +24,23 @@ def test_weight_checksum_of_any_number_of_keys(spark, tmp_path, n):
     spark.range(n).selectExpr("id AS vec_id", "array(CAST(id AS float), 0.5f) AS embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
     got, want = against_sql(spark, "weight_checksum", tmp_path, "embeddings")
     assert got == want
+
+
+def test_words_are_counted_without_listing_them(spark):
+    """By white space of every kind; a pattern that matches once a word took most of the time of long tables."""
+    from lexweave.functions.text import SPACES
+    from lexweave.operators import quality
+
+    texts = [None, "", " ", SPACES, "a", f" {SPACES}a　b\x1c\x1dc\n\nd ", "x y  z\t\tw", "\U0001f600 é 中文  1", *(f"{c}a{c}{c}b1{c}" for c in SPACES)]
+    df = quality.with_metrics(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"))
+    for r in df.collect():
+        t = r.text
+        if t is None:
+            assert r.n_words is None and r.symbol_ratio is None
+            continue
+        dense = [c for c in t if c not in SPACES]
+        assert (r.n_words, r.n_chars) == (len("".join(" " if c in SPACES else c for c in t).split()), len(t)), t
+        assert r.alpha_ratio == (sum(c.isalpha() for c in dense) / len(dense) if dense else None), t
+        assert r.symbol_ratio == (sum(not (c.isalpha() or c in "0123456789") for c in dense) / len(dense) if dense else None), t
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
