@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexweave.functions.batches import KNOWN, bound_batches, by_word, slices
 from lexweave.functions.stored import stored
 from lexweave.functions.text import WS, nfkc
 from lexweave.operators.merges import Vocabulary, learn, learn_from
@@ -75,6 +76,7 @@ def train(df: DataFrame, vocab_size: int = 32_000, min_frequency: int = 2, text_
     """tokenizer.json. Words are counted and rewritten on the executors; what the driver holds doesn't grow with them (merges.learn_from)."""
     if vocab_size <= len(SPECIALS):
         raise ValueError("vocab_size must exceed the special tokens")
+    bound_batches(df.sparkSession)
     counted = stored(pretoken_counts(df.withColumn(text_col, nfkc(F.col(text_col))), text_col))
     if counted.isEmpty():
         raise ValueError("no text to train on")
@@ -122,47 +124,43 @@ def encode(text: Column, spec: str, bos: bool = False, eos: bool = False) -> Col
 
         tokenizer = Tokenizer.from_str(spec)
         for texts in batches:
-            found = iter(tokenizer.encode_batch([t for t in texts.to_pylist() if t is not None], add_special_tokens=False))
-            ids = [None if not t.is_valid else [BOS] * bos + next(found).ids + [EOS] * eos for t in texts]
-            yield pa.array(ids, pa.list_(pa.int32()))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes):  # a token takes some hundred bytes before it is a number alone
+                part = texts.slice(a, b - a).to_pylist()
+                found = iter(tokenizer.encode_batch([t for t in part if t is not None], add_special_tokens=False))
+                yield pa.array([None if t is None else [BOS] * bos + next(found).ids + [EOS] * eos for t in part], pa.list_(pa.int32()))
 
     return run(text)
 
 
-#: Words that are joined by a broadcast: those of more than one in so many, of which there can't be more than that.
-FREQUENT = 100_000
+#: Words whose ids a worker keeps.
+FREQUENT = KNOWN
 
 
-def word_ids(words: DataFrame, spec: str) -> DataFrame:
-    """pretoken and ids of each row of `words`, which holds each pretoken once."""
-    return words.select("pretoken", encode(F.col("pretoken"), spec).alias("ids"))
+def word_ids(words: Column, spec: str, known: int = FREQUENT) -> Column:
+    """The ids of an array of pretokens, side by side; a worker encodes each of them once, and again only if it has met more than `known` others."""
+
+    made: list = []
+
+    def of(new: list[str]) -> list[list[int]]:
+        from tokenizers import Tokenizer
+
+        if not made:
+            made.append(Tokenizer.from_str(spec))
+        return [e.ids for e in made[0].encode_batch(new, add_special_tokens=False)]
+
+    return by_word(words, of, known)
 
 
 def encode_distinct(df: DataFrame, spec: str, text_col: str = "text", ids_col: str = "ids", bos: bool = False, eos: bool = False, frequent: int = FREQUENT) -> DataFrame:
-    """df with the ids of its texts, null for a null; each distinct pretoken of the whole table is encoded once, and its ids joined back by position.
+    """df with the ids of its texts, null for a null; equal pretokens are encoded once by a worker, which keeps `frequent` of them at most.
 
-    Frequent pretokens, of which most texts consist, meet their rows by a broadcast of `frequent` rows at most; only the others are moved, and no pretoken among those is common.
-    What goes to a text's row is gathered on each side first, so a shuffle moves arrays of ids. df is stored first, since its rows are read more than once.
+    Texts stay where they are: nothing is stored or moved, so a table of any size takes one pass.
     """
-    row, key, at = (f"_{n}" for n in ("row", "pretoken", "at"))
-    if taken := {row, key, at} & {*df.columns}:
-        raise ValueError(f"columns {sorted(taken)} are reserved")
-    rows = stored(df.withColumn(row, F.monotonically_increasing_id()))
-    each = rows.select(row, F.posexplode(pretokens(nfkc(F.col(text_col)))).alias(at, key))
-    counted = stored(each.groupBy(F.col(key).alias("pretoken")).agg(F.count("*").alias("n")))
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    common = counted.where(F.col("n") * frequent > total)
-    known = stored(word_ids(common, spec).unionByName(word_ids(counted.where(F.col("n") * frequent <= total), spec)))
-    met = each.join(F.broadcast(known.join(F.broadcast(common.select("pretoken")), "pretoken", "left_semi")), F.col(key) == F.col("pretoken"), "left")
-    listed = stored(met.groupBy(row).agg(F.collect_list(F.struct(F.col(at).alias("at"), "ids", F.when(F.col("pretoken").isNull(), F.col(key)).alias("word"))).alias("_parts")))
-    rare = listed.select(row, F.explode(F.filter("_parts", lambda x: x["word"].isNotNull())).alias("x")).select(row, "x.at", "x.word").join(known, F.col("word") == F.col("pretoken"))
-    rare = rare.groupBy(row).agg(F.collect_list(F.struct("at", "ids")).alias("_rare"))
-    met_here = F.transform(F.filter("_parts", lambda x: x["word"].isNull()), lambda x: F.struct(x["at"].alias("at"), x["ids"].alias("ids")))
-    none = F.array().cast("array<struct<at:int,ids:array<int>>>")
-    listed = listed.join(rare, row, "left").select(row, F.sort_array(F.concat(met_here, F.coalesce("_rare", none))).alias("_parts"))
+    bound_batches(df.sparkSession)
     ends = lambda token, wanted: F.array(F.lit(token)) if wanted else F.array().cast("array<int>")
-    ids = F.concat(ends(BOS, bos), F.flatten(F.transform(F.coalesce("_parts", none), lambda x: x["ids"])), ends(EOS, eos))
-    return rows.join(listed, row, "left").select(*df.columns, F.when(F.col(text_col).isNotNull(), ids).alias(ids_col))
+    ids = F.concat(ends(BOS, bos), word_ids(pretokens(nfkc(F.col(text_col))), spec, frequent), ends(EOS, eos))
+    return df.select(*df.columns, ids.alias(ids_col))
 
 
 def merge_table(spark, spec: str) -> DataFrame:
@@ -180,7 +178,8 @@ def decode(ids: Column, spec: str, skip_special: bool = True) -> Column:
 
         tokenizer = Tokenizer.from_str(spec)
         for arrays in batches:
-            yield pa.array([None if a is None else tokenizer.decode(a, skip_special_tokens=skip_special) for a in arrays.to_pylist()], pa.string())
+            for a, b in slices(pc.fill_null(pc.list_value_length(arrays), 0).to_numpy(zero_copy_only=False)):
+                yield pa.array([None if x is None else tokenizer.decode(x, skip_special_tokens=skip_special) for x in arrays.slice(a, b - a).to_pylist()], pa.string())
 
     return run(ids)
 

@@ -44,3 +44,58 @@ def test_words_are_counted_without_listing_them(spark):
         assert r.symbol_ratio == (sum(not (c.isalpha() or c in "0123456789") for c in dense) / len(dense) if dense else None), t
     plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
     assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+
+
+def test_texts_are_encoded_and_decoded_in_bounded_parts(spark, monkeypatch):
+    """A batch of texts goes to the tokenizer in parts of some bytes, not as a whole; results stay the same."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from lexweave.operators import tokenizer
+
+    texts = ["a" * 5, None, "", "é b" * 100_000, *("cd ef" * 20_000 for _ in range(9))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string").coalesce(1)
+    spec = tokenizer.train(df, 270)
+    library = Tokenizer.from_str(spec)
+    got = df.select("k", "text", tokenizer.encode(F.col("text"), spec).alias("ids")).withColumn("back", tokenizer.decode(F.col("ids"), spec)).orderBy("k").collect()
+    assert [r.ids for r in got] == [None if t is None else library.encode(t).ids for t in texts] and [r.back for r in got] == texts
+    parts = []
+    monkeypatch.setattr(Tokenizer, "from_str", staticmethod(lambda _: Counting(library, parts)))
+    run = []
+    monkeypatch.setattr(tokenizer.F, "arrow_udf", lambda kind: lambda f: lambda c: run.append(f))
+    tokenizer.encode(None, spec)
+    assert sum(len(x) for x in run[0](iter([pa.array(texts, pa.string())]))) == len(texts)
+    assert len(parts) > 3 and max(parts) <= 400_000
+
+
+class Counting:
+    def __init__(self, library, parts):
+        self.library, self.parts = library, parts
+
+    def encode_batch(self, texts, **more):
+        self.parts.append(sum(len(t.encode()) for t in texts))
+        return self.library.encode_batch(texts, **more)
+
+
+def test_ids_by_words_move_nothing(spark):
+    """Encoding by distinct words shuffled every word of every text before."""
+    from lexweave.operators import tokenizer
+
+    df = spark.createDataFrame([(1, "the cat the cat"), (2, None), (3, "")], "k int, text string")
+    out = tokenizer.encode_distinct(df, tokenizer.train(df, 265))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.ids is None for r in out.orderBy("k").collect()] == [False, True, False]
+
+
+def test_a_store_is_written_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """Shards went to the writer in batches of up to ten thousand."""
+    from pyspark.sql import functions as F
+
+    from lexweave.sources import sinks
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.range(12).select(F.col("id").alias("shard"), (F.col("id") * 500_000).alias("start_offset"), F.expr("sequence(id, id + 499999)").alias("tokens"))
+    manifest = sinks.write_shards(rows, str(tmp_path / "bin"), "uint32")
+    assert manifest["total_tokens"] == 6_000_000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+    assert sinks.read_shards(spark, str(tmp_path / "bin")).selectExpr("shard", "tokens[499999] - tokens[0] AS n", "size(tokens) AS m").distinct().count() == 12
