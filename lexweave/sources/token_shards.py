@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from lexweave.functions.batches import bound_batches
 from lexweave.functions.stored import stored
 
 SCHEMA = "shard int, start_offset long, tokens array<long>"
@@ -179,7 +180,8 @@ class TokenShards(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format known to a session, and lets conditions reach it."""
+    """Makes the format known to a session, lets conditions reach it, and bounds the batches in which shards go to its writer."""
+    bound_batches(spark)
     spark.dataSource.register(TokenShards)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
