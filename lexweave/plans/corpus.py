@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexweave.functions.stored import stored
 from lexweave.operators import pack, split, tokenizer
 from lexweave.operators.clean import CleanOptions, clean
-from lexweave.operators.dedup import exact_dedup, near_dedup
+from lexweave.operators.dedup import component_dedup, exact_dedup, near_dedup
 from lexweave.operators.quality import QualityOptions, route
 from lexweave.sources import collect, sinks
 
@@ -38,6 +38,7 @@ class DedupOptions:
     num_perm: int = 64
     num_bands: int = 16
     similarity_threshold: float = 0.8
+    whole_components: bool = False  #: keep the first row of each component of similar rows, not what a walk leaves
 
 
 @dataclass(frozen=True)
@@ -109,6 +110,9 @@ def prepare(docs: DataFrame, config: CorpusConfig = CorpusConfig(), steps: tuple
                 docs = exact_dedup(docs)
             if o.run_near_dedup:
                 docs = stored(docs) if o.run_exact_dedup else docs
+                if o.whole_components:
+                    docs = component_dedup(docs, shingle_size=o.shingle_size, similarity_threshold=o.similarity_threshold)
+                    continue
                 docs = near_dedup(docs, shingle_size=o.shingle_size, num_perm=o.num_perm, num_bands=o.num_bands, similarity_threshold=o.similarity_threshold)
         elif step == "split":
             o = config.split

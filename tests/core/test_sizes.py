@@ -108,3 +108,28 @@ def test_collected_files_have_a_bounded_size(spark, sf, monkeypatch):
     sizes = rows.selectExpr("spark_partition_id() AS p", "octet_length(text) AS n").groupBy("p").sum("n").collect()
     assert len(sizes) > 8
     assert [r.doc_id for r in rows.select("doc_id").collect()] == sorted(r.doc_id for r in rows.select("doc_id").collect())
+
+
+@pytest.mark.parametrize("common", [64, 2])
+def test_components_that_are_no_cliques(spark, tmp_path, monkeypatch, common):
+    """Chains of texts, copies of some, a passage that all share, texts of few or no words: pairs and the kept rows as the SQL has them."""
+    import random
+
+    from lexweave.operators import dedup
+
+    monkeypatch.setattr(dedup, "COMMON", common)
+    r, texts = random.Random(5), ["", None, "  ", "one two", "One  two", "one two three"]
+    for c in range(4):
+        words = [f"w{c}x{i}" for i in range(60)] + [f"shared{i}" for i in range(20)]
+        for k in range(9):
+            texts += [" ".join(words)] * (3 if k == 4 else 1)
+            words = list(words)
+            for _ in range(r.choice([1, 1, 2])):
+                words[r.randrange(60)] = f"n{r.randint(0, 10**6)}"
+    r.shuffle(texts)
+    spark.createDataFrame([(i, t or "", "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("jaccard_pairs", "near_dedup"):
+        got, want = against_sql(spark, name, tmp_path, "documents")
+        assert got == want and 3 < len(got), name
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("doc_id", "pos")
+    assert dedup.near_dedup(docs).count() > dedup.component_dedup(docs).count()
