@@ -29,8 +29,8 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Each run of white space one space; runs that are one already are not touched."""
-    return F.regexp_replace(text, f"[{WS}]{{2,}}|[{WS}&&[^ ]]", " ")
+    """Each run of white space one space. Characters are translated first, so that the pattern has one to look for."""
+    return F.regexp_replace(F.translate(text, SPACES, " " * len(SPACES)), " {2,}", " ")
 
 
 def normalize(text: Column) -> Column:

@@ -133,3 +133,14 @@ def test_components_that_are_no_cliques(spark, tmp_path, monkeypatch, common):
         assert got == want and 3 < len(got), name
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumnRenamed("doc_id", "pos")
     assert dedup.near_dedup(docs).count() > dedup.component_dedup(docs).count()
+
+
+def test_runs_of_white_space_by_translation(spark):
+    """A class of 29 characters was tried at each place of each text."""
+    from pyspark.sql import functions as F
+
+    from lexweave.functions.text import SPACES, collapse
+
+    df = spark.createDataFrame([(f"a{c}b{c}{c}c {c}",) for c in SPACES] + [("",), (None,), ("a  b",)], "t string").select("t", collapse(F.col("t")).alias("x"))
+    assert [r.x for r in df.collect()] == ["a b c "] * len(SPACES) + ["", None, "a b"]
+    assert "translate" in df._jdf.queryExecution().optimizedPlan().toString()
