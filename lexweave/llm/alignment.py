@@ -10,9 +10,9 @@ at its start only, B because no piece has a space mark after another character.
 stands, so a worker keeps that of recent segments, and a group never reaches over a cut. Where a tokenizer isn't of that
 kind, the text is one segment.
 
-An id pair's count is how many links of all documents hold it. Counting goes by segments first, then by pairs, within
-batches, and only sums of pairs are shuffled; there are as many pairs as the vocabularies allow, at most. The counts then meet the
-documents again: the FREQUENT most common pairs as arrays of that bounded size, which most links need; links of others are
+An id pair's count is how many links of all documents hold it. Texts are encoded once; each row's links are stored, packed, and
+counted within batches, and only sums of pairs are shuffled; there are as many pairs as the vocabularies allow, at most. The counts
+then meet the stored links: the FREQUENT most common pairs as arrays of that bounded size, which most links need; links of others are
 joined by a shuffle, so every link gets its count at any size of the table.
 
 Texts that are null or empty, or of which a tokenizer doesn't give back the bytes, have no tokens: zeros, and '' for the digest.
@@ -254,9 +254,9 @@ class Aligner:
         first = np.flatnonzero(np.concatenate(([True], pairs[1:] != pairs[:-1])))
         return pairs[first], np.add.reduceat(times, first)
 
-    def described(self, texts: list[str | None], frequent: tuple[np.ndarray, np.ndarray, np.ndarray]) -> list[dict]:
-        """n_a, n_b, n_groups, n_links, groups_sha256 of each text; n_best and count_sum over links of frequent pairs; the pairs of the other links."""
-        pairs, counts, best = frequent
+    def described(self, texts: list[str | None], frequent: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> list[dict]:
+        """n_a, n_b, n_groups, n_links, groups_sha256 of each text; n_best and count_sum over links of frequent pairs; the pairs of the other links. Without frequent ones, the pairs of all links."""
+        pairs, counts, best = frequent or (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
         sums = np.zeros((len(texts), 6), dtype=np.int64)
         hashed: dict[int, hashlib._Hash] = {}
         others: dict[int, list[np.ndarray]] = {}
@@ -273,8 +273,8 @@ class Aligner:
             links, of = np.frombuffer(b"".join(map(_pairs, known)), dtype="<i8"), np.repeat(np.arange(len(known)), table[:, 3])
             at = np.minimum(np.searchsorted(pairs, links), max(0, len(pairs) - 1))
             hit = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
+            starts = np.concatenate(([0], np.cumsum(table[:, 3])))
             if len(pairs):
-                starts = np.concatenate(([0], np.cumsum(table[:, 3])))
                 for column, value in ((4, best[at] & hit), (5, np.where(hit, counts[at], 0))):
                     total = np.concatenate(([0], np.cumsum(value, dtype=np.int64)))
                     table[:, column] = total[starts[1:]] - total[starts[:-1]]
@@ -285,6 +285,11 @@ class Aligner:
             begin = np.concatenate(([0], np.cumsum(sizes)))
             sums_here = np.add.reduceat(table[index], begin[:-1], axis=0)
             has_rare = (np.diff(rare_starts) > 0)[index]
+            if frequent is None:
+                n_links = table[index, 3]
+                ends = np.cumsum(n_links)
+                flat = links[np.repeat(starts[index] - (ends - n_links), n_links) + np.arange(n_links.sum())]
+                bounds = np.concatenate(([0], ends))[begin]
             spelled = list(map(_spelled, known))
             for n, (k, _) in enumerate(unit):
                 sums[k] += sums_here[n]
@@ -294,7 +299,9 @@ class Aligner:
                     hashed[k].update(b";" + text)
                 else:
                     hashed[k] = hashlib.sha256(text)
-                if has_rare[begin[n] : begin[n + 1]].any():
+                if frequent is None:
+                    others.setdefault(k, []).append(flat[bounds[n] : bounds[n + 1]])
+                elif has_rare[begin[n] : begin[n + 1]].any():
                     others.setdefault(k, []).extend(rare[rare_starts[i] : rare_starts[i + 1]] for i in mine[has_rare[begin[n] : begin[n + 1]]].tolist())
         names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
         out = []
@@ -373,32 +380,84 @@ def link_counts(df: DataFrame, a_path: str, b_path: str, text_col: str = "text")
                 for pairs, n in aligner.counts(texts):
                     yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
 
-    counts = checkpoint(df.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    return _totals(df.select(text_or_empty(text_col).alias("text")).mapInArrow(run, "pair long, n long"))
+
+
+def _totals(parts: DataFrame) -> DataFrame:
+    """pair, n, best from parts (pair, n) of the sums."""
+    counts = checkpoint(parts.groupBy("pair").agg(F.sum("n").alias("n")))
     most = counts.groupBy(F.col("pair").bitwiseAND(0xFFFFFFFF).alias("b")).agg(F.max("n").alias("most"))
     return counts.withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF)).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+#: Links whose pairs are counted together.
+COUNTED = 1 << 21
+
+
+def packed(pairs: np.ndarray) -> bytes:
+    """Pairs of ids, in two bytes an id where that is enough, compressed."""
+    short = not len(pairs) or int(max((pairs >> 32).max(), (pairs & 0xFFFFFFFF).max())) < 1 << 16
+    plain = ((pairs >> 32 << 16) | (pairs & 0xFFFF)).astype("<u4").tobytes() if short else pairs.astype("<i8").tobytes()
+    return bytes([short]) + len(plain).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(plain, asbytes=True)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    plain = pa.Codec("zstd").decompress(blob[9:], int.from_bytes(blob[1:9], "little"), asbytes=True)
+    if not blob[0]:
+        return np.frombuffer(plain, dtype="<i8")
+    short = np.frombuffer(plain, dtype="<u4").astype(np.int64)
+    return short >> 16 << 32 | short & 0xFFFF
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """pair and how many of the packed links hold it, a bounded number of links at a time."""
+    held, n = [], 0
+    for blob in itertools.chain((x for batch in batches for x in batch.column(0)), [None]):
+        if blob is not None:
+            held.append(unpacked(blob.as_py()))
+            n += len(held[-1])
+        if held and (blob is None or n >= COUNTED):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(held), return_counts=True)], ["pair", "n"])
+            held, n = [], 0
+
+
 def describe(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """id_col, n_a, n_b, n_groups, n_links, n_best (links whose pair no pair of their B id outnumbers), count_sum (of the links' pairs' counts), groups_sha256 of each row. Other columns are left out."""
     require(df, id_col, text_col)
     spark, a, b = df.sparkSession, read_file(a_path), read_file(b_path)
-    counts = checkpoint(link_counts(df, a_path, b_path, text_col))
-    common = counts.where(F.col("n") > kth_largest(counts, "n", frequent)) if counts.limit(frequent + 1).count() > frequent else counts
-    common = common.toPandas().sort_values("pair")  # of `frequent` rows at most
-    held = spark.sparkContext.broadcast((common["pair"].to_numpy(np.int64), common["n"].to_numpy(np.int64), common["best"].to_numpy(bool)))
-    names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    kind = ", ".join(f"{n} long" for n in names) + ", groups_sha256 string, rest array<long>"
-    arrow = pa.struct([*((n, pa.int64()) for n in names), ("groups_sha256", pa.string()), ("rest", pa.list_(pa.int64()))])
+    names = ("n_a", "n_b", "n_groups", "n_links")
+    arrow = pa.struct([*((n, pa.int64()) for n in names), ("groups_sha256", pa.string()), ("links", pa.binary())])
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf(", ".join(f"{n} long" for n in names) + ", groups_sha256 string, links binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = worker_aligner(a, b)
         for texts in batches:
-            yield pa.chunked_array([pa.array(aligner.described(part, held.value), arrow) for part in _listed(texts)], arrow).combine_chunks()
+            yield pa.chunked_array([pa.array([x | {"links": packed(x["rest"])} for x in aligner.described(part)], arrow) for part in _listed(texts)], arrow).combine_chunks()
         tidy()
 
     row, id_ = fresh(df, "row", "id")
-    rows = checkpoint(df.select(quoted(id_col).alias(id_), run(text_or_empty(text_col)).alias("r")).select(id_, "r.*").withColumn(row, F.monotonically_increasing_id()))
+    found = checkpoint(df.select(quoted(id_col).alias(id_), run(text_or_empty(text_col)).alias("r"))).select(id_, "r.*")
+    counts = checkpoint(_totals(found.select("links").mapInArrow(tidied(_counted), "pair long, n long")))
+    common = counts.where(F.col("n") > kth_largest(counts, "n", frequent)) if counts.limit(frequent + 1).count() > frequent else counts
+    common = common.toPandas().sort_values("pair")  # of `frequent` rows at most
+    held = spark.sparkContext.broadcast((common["pair"].to_numpy(np.int64), common["n"].to_numpy(np.int64), common["best"].to_numpy(bool)))
+    sums = pa.struct([("n_best", pa.int64()), ("count_sum", pa.int64()), ("rest", pa.list_(pa.int64()))])
+
+    @F.arrow_udf("n_best long, count_sum long, rest array<long>")
+    def summed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pairs, n, best = held.value
+        for blobs in batches:
+            out = []
+            for links in (unpacked(x.as_py()) for x in blobs):
+                at = np.minimum(np.searchsorted(pairs, links), max(0, len(pairs) - 1))
+                hit = pairs[at] == links if len(pairs) else np.zeros(len(links), bool)
+                at = at[hit]
+                out.append({"n_best": int(np.count_nonzero(best[at])), "count_sum": int(n[at].sum()), "rest": links[~hit]})
+            yield pa.array(out, sums)
+        tidy()
+
+    rows = found.select(id_, *names, "groups_sha256", summed("links").alias("s")).withColumn(row, F.monotonically_increasing_id())
+    rows = checkpoint(rows).select(id_, *names, "groups_sha256", "s.*", row)
     more = rows.where(F.size("rest") > 0).select(row, F.explode("rest").alias("pair")).groupBy(row, "pair").agg(F.count("*").alias("times")).join(counts, "pair")
     more = more.groupBy(row).agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("more_best"), F.sum(F.col("times") * F.col("n")).alias("more_sum"))
     plus = lambda c, m: (F.col(c) + F.coalesce(F.col(m), F.lit(0))).alias(c)

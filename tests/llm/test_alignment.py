@@ -132,3 +132,16 @@ def test_real_outputs(spark):
 def test_edge_tables(spark):
     assert got(empty(spark)) == []
     assert got(frame(spark)) == plain(texts())
+
+
+def test_texts_are_encoded_once(spark, monkeypatch):
+    """The counts come from stored links; texts were encoded for them, and again for the rows."""
+
+    def again(*a, **b):
+        raise AssertionError("texts are read a second time")
+
+    monkeypatch.setattr(alignment, "link_counts", again)
+    monkeypatch.setattr(alignment, "COUNTED", 7, raising=False)
+    assert got(frame(spark)) == plain(texts())
+    for pairs in ([], [(1 << 32) + 2, (65535 << 32) + 65535], [(65536 << 32) + 1], [(5 << 32) + 70000]):
+        assert alignment.unpacked(alignment.packed(alignment.np.array(pairs, dtype="int64"))).tolist() == pairs
