@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from lexweave.functions.stored import stored
 from lexweave.operators import sampling, sft
 
+#: Rows that are scored in one task; each becomes as many logits as the vocabulary has tokens.
+ROWS = 8192
+
 #: From rows (row_id, tokens) to the logits (row_id, token_id, logit) of what comes next.
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -18,7 +21,7 @@ def generate(prompts: DataFrame, scorer: Scorer, max_new_tokens: int, eos: int |
     """row_id, tokens (prompt and what follows) of prompts (row_id, tokens), whose token lists must not be empty.
 
     A row that has its end token stays as it is. The scorer sees the latest max_context tokens. options: of sampling.sample(), with `penalty` over all
-    tokens of a row. Steps are stored, so a lost executor costs one step; the loop ends once no row is open.
+    tokens of a row. Each step deals open rows out anew, ROWS a task on average, so a task holds no more logits in larger tables. Steps are stored, so a lost executor costs one step; the loop ends once no row is open.
     """
     if max_new_tokens <= 0:
         raise ValueError("max_new_tokens must be positive")
@@ -28,8 +31,9 @@ def generate(prompts: DataFrame, scorer: Scorer, max_new_tokens: int, eos: int |
     rows = stored(prompts.select("row_id", F.transform("tokens", lambda t: t.cast("long")).alias("tokens"), F.lit(False).alias("done")))
     for step in range(max_new_tokens):
         live = rows.where("NOT done").select("row_id", "tokens")
-        if live.isEmpty():
+        if not (open_rows := live.count()):
             break
+        live = live.repartition(-(-open_rows // ROWS), "row_id")
         context = live if max_context is None else live.withColumn("tokens", F.when(F.size("tokens") > max_context, F.slice("tokens", -max_context, max_context)).otherwise(F.col("tokens")))
         seen = live.select("row_id", F.explode("tokens").alias("token_id"))
         next_ = sampling.sample(scorer(context), seen=seen, seed=seed + step, is_greedy=greedy, **options)

@@ -175,3 +175,22 @@ def test_similar_pairs_of_a_large_group(spark, monkeypatch, block):
     sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
     got = sorted(map(tuple, dedup.all_similar_pairs(df).collect()))
     assert got == [(a, b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for a in range(61) for b in range(a + 1, 61)]
+
+
+def test_open_rows_are_scored_in_bounded_parts(spark, monkeypatch):
+    """Rows stayed in the few partitions that narrow rows take, however many logits each became."""
+    from pyspark.sql import functions as F
+
+    from lexweave.operators import generate
+
+    monkeypatch.setattr(generate, "ROWS", 10, raising=False)
+    parts = []
+
+    def scorer(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return rows.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("token_id")).withColumn("logit", F.when(F.col("token_id") == F.col("row_id") % 4, 1.0).otherwise(0.0))
+
+    prompts = spark.range(95).select(F.col("id").alias("row_id"), F.array(F.lit(9)).alias("tokens"))
+    out = generate.generate(prompts, scorer, 2, eos=3)
+    assert {r.row_id: r.tokens for r in out.collect()} == {k: [9, 3] if k % 4 == 3 else [9, k % 4, k % 4] for k in range(95)}
+    assert parts == [10, 8]
