@@ -188,7 +188,7 @@ def test_open_rows_are_scored_in_bounded_parts(spark, monkeypatch):
 
     def scorer(rows):
         parts.append(rows.rdd.getNumPartitions())
-        return rows.select("row_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long").alias("token_id")).withColumn("logit", F.when(F.col("token_id") == F.col("row_id") % 4, 1.0).otherwise(0.0))
+        return rows.select("row_id", F.explode(F.expr("sequence(0L, 3L)")).alias("token_id")).withColumn("logit", F.when(F.col("token_id") == F.col("row_id") % 4, 1.0).otherwise(0.0))
 
     prompts = spark.range(95).select(F.col("id").alias("row_id"), F.array(F.lit(9)).alias("tokens"))
     out = generate.generate(prompts, scorer, 2, eos=3)
