@@ -14,7 +14,8 @@ A sketch keeps the k least hash values of a set. Steps:
    union's sketch allows. Then those that stay meet with their texts, and what joins two components that are still apart is
    confirmed on full sets: a forest comes back instead of all pairs. This is done in one list of each class first, the one
    of its least value, so that large groups of near copies are one component before their other lists are looked at.
-4. Components by alternating large and small stars over the links; a component is named by its least id.
+4. Components by alternating large and small stars over the links, until the edges are stars; a component is named by its least id.
+   Stars that step 3 has made stand for their links in step 4.
 
 Recall: of a pair at 75 %, the union's k=32 least values are shared with probability 3/4 each, so fewer than 11 have a chance
 of about one in ten million; at 85 % it is negligible. Fewer than 57 % of 256 have one of less than one in ten billion. Pairs that
@@ -289,27 +290,38 @@ def _widely(entries: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFram
     return _prefixes(lists, WIDE_K, WIDE_LEAST).select("v", "rep", "n", "group")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and component (the least id that links lead to) of each id in the links (a, b), by alternating large and small stars."""
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("from"), F.lit(0).alias("to")), F.struct(F.col("v").alias("x"), F.lit(0).alias("from"), F.lit(1).alias("to")))))
+    return ends.groupBy("x").agg(F.sum("from").alias("from"), F.max("to").alias("to")).where("from > 1 OR from = 1 AND to = 1").isEmpty()
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """Links (a, b) as stars (u, v): v is the least id that links lead to from u, by alternating large and small stars. Ids that are least have no row.
+
+    All edges lead from a larger id u to a smaller one v. So the least neighbour of v in a large star is the least that an edge from v leads to, and
+    neither step needs the edges in both directions.
+    """
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
+
+    def large(e: DataFrame) -> DataFrame:
+        return e.join(least(e), F.col("v") == F.col("w"), "left").select("u", F.coalesce("m", "v").alias("v"))
+
+    def small(e: DataFrame) -> DataFrame:
+        met = e.join(least(e), F.col("u") == F.col("w"))
+        return met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    while not _settled(edges):
+        edges = checkpoint(small(large(edges)).distinct())
+    return edges
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        near = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        met = near.join(least, F.col("u") == F.col("w"))
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-
-    before, now = None, state(edges)
-    while now != before:
-        edges = checkpoint(star(star(edges, True), False))
-        before, now = now, state(edges)
+
+def components(links: DataFrame) -> DataFrame:
+    """id and component (the least id that links lead to) of each id in the links (a, b)."""
+    edges = _stars(links)
     pairs = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return pairs.union(edges.select("v", "v").distinct())
 
@@ -349,19 +361,24 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     wanted = checkpoint(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("id", "h", "rep"))
     texts = checkpoint(_texts_of(docs, wanted))
     left, right = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    near = checkpoint(pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b"))
+    found = checkpoint(pairs.join(left, "a").join(right, "b").withColumn("ok", confirm("ta", "tb")).where("ok").select("a", "b"))
     one_list = checkpoint(dense.groupBy("rep").agg(F.min("v").alias("v"), F.first("n").alias("n")))
-    one_list = checkpoint(one_list.withColumn("group", F.col("rep")))
-    found = checkpoint(near.union(_inside_blocks(one_list, classes, docs, 1)))
-    if long := not _lists(one_list).where("blocks > 1").isEmpty():
-        found = checkpoint(found.union(_inside_blocks(checkpoint(_named(one_list, _labels(found))), classes, docs, 2)))
-    named = checkpoint(_named(dense, components(found).select(F.col("id").alias("rep"), F.col("component").alias("group")) if long else _labels(found)))
+    one_list = one_list.withColumn("group", F.col("rep"))
+    found = found.union(checkpoint(_inside_blocks(one_list, classes, docs, 1)))
+    if _lists(one_list).where("blocks > 1").isEmpty():
+        labels = _labels(found)
+    else:
+        found = found.union(checkpoint(_inside_blocks(checkpoint(_named(one_list, _labels(found))), classes, docs, 2)))
+        # from here on the stars stand for the links that they come from
+        found = _stars(found).select(F.col("u").alias("a"), F.col("v").alias("b"))
+        labels = found.select(F.col("a").alias("rep"), F.col("b").alias("group"))
+    named = checkpoint(_named(dense, labels))
     lists = checkpoint(_lists(named))
     few = (F.col("blocks") == 1) | (F.col("r") <= FEW_BLOCKS)
-    found = checkpoint(found.union(_in_blocks(named, lists.where(few), classes, docs)))
+    found = found.union(checkpoint(_in_blocks(named, lists.where(few), classes, docs)))
     if not (hard := lists.where(~few)).isEmpty():
         wide = checkpoint(_widely(named.join(hard.select("v"), "v", "left_semi"), classes, docs))
-        found = found.union(_in_blocks(wide, _lists(wide), classes, docs))
+        found = found.union(checkpoint(_in_blocks(wide, _lists(wide), classes, docs)))
     return found
 
 

@@ -226,3 +226,20 @@ def test_components(spark):
         for a, b in pairs:
             label[a] = label[b] = min(label[a], label[b])
     assert found == {x: label[x] for a, b in pairs if a != b for x in (a, b)}
+
+
+def test_components_run_few_stages(spark):
+    """Stars are found to be settled without a further round, and a round moves each edge in one direction only: every stage costs tasks and files in all partitions."""
+    pairs = [(i, i % 40) for i in range(40, 400)]
+    sc, group = spark.sparkContext, "components-of-stars"
+    links = spark.createDataFrame(pairs, "a long, b long")
+    sc.setJobGroup(group, group)
+    try:
+        bottomk.components(links)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+    known = sc.statusTracker()
+    stages = {s for j in known.getJobIdsForGroup(group) for s in known.getJobInfo(j).stageIds}
+    ran = [i for s in stages if (i := known.getStageInfo(s)) and i.numCompletedTasks]
+    assert len(ran) <= 6, len(ran)
