@@ -194,3 +194,48 @@ def test_open_rows_are_scored_in_bounded_parts(spark, monkeypatch):
     out = generate.generate(prompts, scorer, 2, eos=3)
     assert {r.row_id: r.tokens for r in out.collect()} == {k: [9, 3] if k % 4 == 3 else [9, k % 4, k % 4] for k in range(95)}
     assert parts == [10, 8]
+
+
+def test_stream_deduplicates_without_a_call_for_each_text(spark, tmp_path):
+    """Two batches from many files, the first rows not first in their files, with a restart between them; no Python state is asked for each text."""
+    from pyspark.sql import functions as F
+
+    from lexweave.operators.dedup import exact_dedup
+    from lexweave.streaming import text_streams
+
+    kind = "pos long, text string, more struct<a: int, b: array<string>>"
+    made = [(k, None if k % 97 == 5 else "" if k % 97 == 6 else "the same" if k % 3 == 0 else f"Text {k % 400}", (k, [str(k), None])) for k in range(1000)]
+    halves = made[:600], made[600:]
+    text_streams.keep_state_on_disk(spark)
+    for half in halves:
+        for part in range(3):
+            rows = spark.createDataFrame(half[part::3][::-1], kind).coalesce(1)
+            rows.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = text_streams.deduplicated_for_good(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"))
+        run = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+        states = [o for p in run.recentProgress for o in p["stateOperators"]]
+        assert {o["operatorName"] for o in states} == {"dedupe"}
+    got = spark.read.schema(kind).parquet(f"{tmp_path}/out")
+    want = exact_dedup(spark.createDataFrame(made, kind))
+    assert sorted(got.collect(), key=lambda r: r.pos) == sorted(want.collect(), key=lambda r: r.pos)
+    assert got.where(F.col("text") == "the same").count() == 1
+
+
+def test_first_rows_of_keys_in_any_batches():
+    """Least order, nulls last, over batches; no rows, no batches."""
+    import random
+
+    import pyarrow as pa
+
+    from lexweave.streaming.text_streams import _first_rows
+
+    r = random.Random(4)
+    rows = [{"k": r.choice("abcde"), "o": r.choice([None, *range(100)]), "t": str(i)} for i in range(300)] + [{"k": "f", "o": None, "t": "only"}]
+    kind = pa.schema([("k", pa.string()), ("o", pa.int64()), ("t", pa.string())])
+    parts = [pa.RecordBatch.from_pylist(rows[a : a + 37], kind) for a in range(0, len(rows), 37)] + [pa.RecordBatch.from_pylist([], kind)]
+    out = [x for b in _first_rows("k", "o")(iter(parts)) for x in b.to_pylist()]
+    order = lambda x: (x["o"] is None, x["o"] or 0)
+    assert sorted((x["k"], order(x)) for x in out) == sorted((k, min(order(x) for x in rows if x["k"] == k)) for k in "abcdef")
+    assert all(x in rows for x in out)
+    assert list(_first_rows("k", "o")(iter([]))) == []
